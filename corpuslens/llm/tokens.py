@@ -108,7 +108,6 @@ def _find(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def survivors(v: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Symbols left of each sequence first[i] .. first[i + 1] when no more pairs can be merged."""
     count = np.diff(first)
-    alive = np.flatnonzero(count > 1)
     seq = np.repeat(np.arange(len(count)), count)
     keep = np.repeat(count > 1, count)
     sym, seq = symbols[keep], seq[keep]
@@ -142,12 +141,14 @@ def survivors(v: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> np.ndarr
         to = np.cumsum(stay) - 1
         sym, seq, makes = sym[stay], seq[stay], makes[stay]
         new = to[at]
-        touched = np.unique(np.concatenate([new, new[new > 0] - 1]))
-        makes[touched] = -1
-        touched = touched[touched + 1 < len(sym)]
+        touch = np.zeros(len(sym), bool)
+        touch[new] = True
+        touch[new[new > 0] - 1] = True
+        makes[touch] = -1
+        touch[-1] = False
+        touched = np.flatnonzero(touch)
         touched = touched[seq[touched] == seq[touched + 1]]
         makes[touched] = _find(v, sym[touched], sym[touched + 1])
-    del alive
     return count
 
 

@@ -45,6 +45,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(added)))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -5,7 +5,7 @@ fingerprints are one node, so copies never meet in a comparison.
 
 Pairs: fingerprints that differ in at most d bits agree in at least k of d + k blocks of bits, so
 nodes are looked up under every choice of k blocks out of d + k; k grows with the number of nodes
-so that such a group holds a few nodes on average.  Within a group the method decides: distances of
+so that such a group holds at most MEAN_GROUP nodes on average.  Within a group the method decides: distances of
 every fingerprint to many reference fingerprints (pivots, drawn from the data by hash) are
 tabulated; by the triangle inequality a pair whose distances to any pivot differ by more than d is
 discarded, and the survivors are verified.  Only a spanning forest of a group's links is emitted.
@@ -35,9 +35,9 @@ from .components import connected_components
 
 PIECE_BYTES = 2 << 20
 GROUP_ROWS = 4096
-SMALL_GROUP = 48
+SMALL_GROUP = 256
 PIVOTS = 32
-MEAN_GROUP = 16
+MEAN_GROUP = 4096
 
 
 def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:

@@ -54,6 +54,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(added)))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 

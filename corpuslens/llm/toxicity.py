@@ -149,8 +149,9 @@ def _take(b: Bags, docs: np.ndarray) -> Bags:
     return Bags(inverse, np.concatenate([[0], ends]), b.features[ids])
 
 
-def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], *, epochs: int = 4, batch: int = 64, rate: float = 0.05, seed: int = 7) -> Model:
-    """A quarter of the rows calibrates thresholds, the others fit the filters (AdaGrad on the log loss)."""
+def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], *, epochs: int = 4, steps: int = 120, batch: int = 64, rate: float = 0.05, seed: int = 7) -> Model:
+    """A quarter of the rows calibrates thresholds, the others fit the filters (AdaGrad on the log loss, for
+    epochs passes and steps batches at least)."""
     m, rng = Model(), np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
     if len(set(labels.tolist())) < 2:
@@ -169,7 +170,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], *, epochs
     params = [m.table, *m.kernels, m.bias, m.out]
     squares = [np.full_like(p, 1e-6) for p in params]
     n = np.diff(bags.first)
-    for epoch in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // max(len(learn), 1)))):
         order = rng.permutation(learn)
         order = order[np.argsort(n[order] // 256 + rng.random(len(order)) * 4, kind="stable")]  # batches of like length
         cuts = np.arange(0, len(order), batch)

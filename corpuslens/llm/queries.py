@@ -60,6 +60,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    train = bucket_of("doc_id", 10) != 0
+    out = score_texts(table(spark, sf_dir, "documents"), train)
+    return out.select("doc_id", (bucket_of("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 

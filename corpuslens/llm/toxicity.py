@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import hash_spans, pieces, words_of
 
-MAX_ROWS = 6_000
-MAX_WORDS = 3_000_000
+MAX_ROWS = 5_000
+MAX_WORDS = 2_500_000
 CUT = 0.7
 PREFIXES = (3, 4, 5, 6)
 WIDTHS = (1, 2, 3)

@@ -38,9 +38,8 @@ def bucket_of(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise df once in the cluster's shared checkpoint folder and cut its lineage."""
-    spark = df.sparkSession
+def durable_path(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share (spark.checkpoint.dir); a temporary one in local mode."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +48,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="corpuslens-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise df once in the cluster's shared checkpoint folder and cut its lineage."""
+    durable_path(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

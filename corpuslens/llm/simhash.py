@@ -63,15 +63,16 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
     return out
 
 
-def fingerprint_table(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed 64-bit numbers."""
+def fingerprint_table(docs: DataFrame, *, shingle: int = 4, seed: int = 42, extra: bool = False) -> DataFrame:
+    """(doc_id, fp), with extra also _row: fingerprints as signed 64-bit numbers."""
+    more = ["_row"] if extra else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in pieces(batch, "text", PIECE_BYTES):
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(fingerprints(p.column("text"), shingle, seed).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(fingerprints(p.column("text"), shingle, seed).view(np.int64)), *(p.column(k) for k in more)], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, "doc_id long, fp long" + ", _row long" * extra)
 
 
 def block_masks(n: int, bits: int) -> list[int]:
@@ -176,12 +177,28 @@ def _last_group(b: pa.RecordBatch) -> int:
 def near_duplicates(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach from the document."""
     marked = durable(fingerprint_table(docs, shingle=shingle, seed=seed))
+    return marked.join(_classes(marked, bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(marked: DataFrame, bits: int) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint."""
     nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(near_links(nodes.select("fp"), bits=bits))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return placed.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component: the row with the smallest doc_id (null ids last; of equal ids the first by
+    fingerprint and text hash).  One id a component survives, so the choice meets the texts in a join on (doc_id, row)."""
+    rows = docs.withColumn("_row", F.xxhash64("text"))
+    marked = durable(fingerprint_table(rows, extra=True, **{k: v for k, v in options.items() if k != "bits"}))
+    classes = _classes(marked, options.get("bits", 4))
+    first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "_row"))
+    chosen = marked.join(classes, "fp").groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_r"))
+    kept = rows.join(chosen, rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_row"]).drop("_row")
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -98,6 +98,11 @@ def build_index(items: list[tuple[int, str | None]]) -> Index | None:
     return Index(pa.array(list(code), pa.large_binary()), shards, term_of, max(MIN_CHUNK, held[-1][0]))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
     """(row, item_id, score, question overlap, answer overlap): verified hits, the best passage of each row and item."""
     w = words_of(texts, lower=True, breaks=PARTS)
@@ -116,7 +121,7 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float,
         term = local[ids]
         has = term >= 0
         v = shard.impact.shape[0]
-        pairs = np.unique(chunk[has] * v + term[has])
+        pairs = _distinct(chunk[has] * v + term[has])
         c, t = pairs // v, pairs % v
         if not len(c):
             continue
@@ -132,7 +137,7 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float,
             continue
         size = np.where(follows[passage], begin[passage + 2], begin[passage + 1]) - begin[passage]
         pair = np.repeat(np.arange(len(passage)), size)
-        keys = np.unique(pair * v + t[spans(begin[passage], size)])
+        keys = _distinct(pair * v + t[spans(begin[passage], size)])
         pair, terms = keys // v, keys % v
         lead = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         scores = np.zeros((len(passage), BLOCK_ITEMS), np.float32)

@@ -8,12 +8,12 @@ A window is 20 consecutive words; a word goes if a window over it also starts ea
    window's.  Each partition makes a count-min sketch of two rows, saturating at two, in sparse
    form; cell ranges are merged in parallel.  The sketch has a fixed size, a proven bound for what
    is broadcast: the cells that reached two, 2 x 2^28 bits.
-2. Exact pass.  Only windows whose estimate is two or more are grouped.  A piece of a partition sends
-   just its first occurrence of a window (later ones are repeats already), so a passage that a third
-   of the documents share sends one row a piece; groups are streamed in order of (document, start)
-   and nothing is gathered.  Estimates are never too low, so no repeat is lost; a full sketch only
-   lets more windows through.
-3. Covered ranges meet their documents in one shuffle by document and the words go.
+2. Exact pass.  Only windows whose estimate is two or more are grouped, in shards by hash, packed as
+   arrays.  A piece of a partition sends just its first occurrence of a window (later ones are repeats
+   already), so a passage that a third of the documents share sends one entry a piece; a shard keeps
+   the first place of each hash and passes the others on, so no group is gathered.  Estimates are
+   never too low, so no repeat is lost; a full sketch only lets more windows through.
+3. Places of repeats meet their documents in one shuffle by document and the words go.
 
 Windows are told apart by 64-bit hashes of their words (chance of any mistake about n^2 / 2^65 for n
 windows that pass the sketch).
@@ -39,7 +39,8 @@ CELL_BITS = 28
 SHARD_BITS = 22
 ROWS = 2
 FLUSH_CELLS = 8 << 20
-FLUSH_WINDOWS = 1 << 20
+FLUSH_WINDOWS = 2 << 20
+SHARD_WINDOWS = 8 << 20  # words of the corpus for each shard of the exact pass, at most
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -83,11 +84,11 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def repeated_cells(docs: DataFrame, window: int, run: int) -> list[tuple[int, bytes]]:
-    """Merged over all partitions: (shard, deflated bitmap of its cells that reached two)."""
+    """Merged over all partitions: (shard, deflated bitmap of its cells that reached two); under shard -1 counts of words."""
     shard_cells = 1 << SHARD_BITS
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [[] for _ in range(ROWS)], 0
+        held, count, total = [[] for _ in range(ROWS)], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             shards, once, twice = [], [], []
@@ -105,7 +106,9 @@ def repeated_cells(docs: DataFrame, window: int, run: int) -> list[tuple[int, by
 
         for batch in batches:
             for p in pieces(batch, "text"):
-                found = _cells(_windows(words_of(p.column("text")), window, run)[3])
+                w = words_of(p.column("text"))
+                total += len(w.start)
+                found = _cells(_windows(w, window, run)[3])
                 for r in range(ROWS):
                     held[r].append(found[r])
                 count += len(found[0])
@@ -114,11 +117,15 @@ def repeated_cells(docs: DataFrame, window: int, run: int) -> list[tuple[int, by
                     count = 0
         if count:
             yield from flush()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total.to_bytes(8, "little")], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, twice = -1, None, None
+        now, seen, twice, words = -1, None, None, 0
         for b in batches:
             for shard, one, two in zip(*(b.column(k).to_pylist() for k in ("shard", "once", "twice")), strict=True):
+                if shard < 0:
+                    words += int.from_bytes(one, "little")
+                    continue
                 if shard != now:
                     if now >= 0:
                         yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["shard", "cells"])
@@ -129,6 +136,7 @@ def repeated_cells(docs: DataFrame, window: int, run: int) -> list[tuple[int, by
                 seen[two] = twice[two] = True
         if now >= 0:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["shard", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([words.to_bytes(8, "little")], pa.binary())], names=["shard", "cells"])
 
     parts = docs.select("text").mapInArrow(sketch, "shard int, once binary, twice binary")
     merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, cells binary")
@@ -157,29 +165,61 @@ class Sketch:
         return out
 
 
-_CANDIDATE = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("starts", pa.list_(pa.int32()))])
-_CANDIDATE_SQL = "h long, id long, row long, at int, starts array<int>"
+def _pack_windows(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, h: np.ndarray | None = None) -> bytes:
+    """Windows of several documents as bytes, by document and place: ids, keys, counts, steps between places, hashes."""
+    order = np.lexsort((at, keys))
+    ids, keys, at = ids[order], keys[order], at[order]
+    lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    parts = [np.array([len(at), len(lead)], np.int64), ids[lead], keys[lead], np.diff(np.append(lead, len(at))), np.diff(at, prepend=0).astype(np.int32)]
+    return b"".join(x.tobytes() for x in ([*parts, h[order]] if h is not None else parts))
+
 
+def _unpack_windows(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(ids, keys, places, hashes or nothing)."""
+    n, d = np.frombuffer(blob, np.int64, 2)
+    head = np.frombuffer(blob, np.int64, 3 * d, 16).reshape(3, d)
+    at = np.cumsum(np.frombuffer(blob, np.int32, n, 16 + 24 * d), dtype=np.int64)
+    rest = 16 + 24 * d + 4 * n
+    return np.repeat(head[0], head[2]), np.repeat(head[1], head[2]), at, np.frombuffer(blob, np.int64, n, rest) if len(blob) > rest else None
 
-def _by_document(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """One entry a document with the list of its starts."""
-    order = np.lexsort((starts, rows, ids))
-    ids, rows, starts = ids[order], rows[order], starts[order]
-    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    return pa.array(ids[new]), pa.array(rows[new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(ids)), pa.int32()), pa.array(starts, pa.int32()))
 
+def _deal(shard: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The rows of each shard."""
+    if not len(shard):
+        return
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for part in np.split(order, cuts):
+        yield int(shard[part[0]]), [x[part] for x in arrays]
 
-def _known(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    i, r, s = _by_document(ids, rows, starts)
-    return pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), i, r, pa.nulls(len(i), pa.int32()), s], schema=_CANDIDATE)
 
+def _rows(kind: int, found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    found = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["kind", "shard", "blob"])
 
-def repeated_windows(docs: DataFrame, window: int = 20, run: int = 10) -> DataFrame:
-    """(id, row, starts): windows that also start earlier, as lists of starts; a document may have several rows."""
-    texts = docs.select("text", "id", "row")
-    shared = docs.sparkSession.sparkContext.broadcast(Sketch(repeated_cells(texts, window, run)))
+
+def repeated_windows(texts: DataFrame, window: int = 20, run: int = 10) -> tuple[DataFrame, int]:
+    """texts: text, id (its order) and key (its row).  ((shard, blob): places of windows that also start earlier, packed by
+    document, dealt by key; the number of shards)."""
+    spark = texts.sparkSession
+    blobs = repeated_cells(texts, window, run)
+    total = sum(int.from_bytes(b, "little") for s, b in blobs if s < 0)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_WINDOWS + 1)
+    shared = spark.sparkContext.broadcast(Sketch([x for x in blobs if x[0] >= 0]))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, repeats, count = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if firsts:
+                h, ids, keys, at = map(np.concatenate, zip(*firsts, strict=True))
+                yield _rows(0, ((s, _pack_windows(*x[1:], x[0])) for s, x in _deal((h.view(U64) % U64(shards)).astype(np.int64), h, ids, keys, at)))
+            if repeats:
+                ids, keys, at = map(np.concatenate, zip(*repeats, strict=True))
+                yield _rows(1, ((s, _pack_windows(*x)) for s, x in _deal(keys % shards, ids, keys, at)))
+            firsts.clear()
+            repeats.clear()
+
         for batch in batches:
             for p in pieces(batch, "text"):
                 w = words_of(p.column("text"))
@@ -187,82 +227,95 @@ def repeated_windows(docs: DataFrame, window: int = 20, run: int = 10) -> DataFr
                 hit = shared.value.often(anchors)
                 starts, h = starts[hit], hashes[hit].view(np.int64)
                 doc = np.searchsorted(w.first, starts, "right") - 1
-                ids, rows = p.column("id").to_numpy()[doc], p.column("row").to_numpy()[doc]
-                at = (starts - w.first[doc]).astype(np.int32)
-                order = np.lexsort((at, ids, h))
-                h, ids, rows, at = h[order], ids[order], rows[order], at[order]
-                lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                of = np.repeat(lead, np.diff(np.append(lead, len(h))))
-                first = (ids == ids[of]) & (at == at[of])
-                yield _known(ids[~first], rows[~first], at[~first])
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ids[first]), pa.array(rows[first]), pa.array(at[first]), pa.nulls(int(first.sum()), pa.list_(pa.int32()))], schema=_CANDIDATE)
+                ids, keys, at = p.column("id").to_numpy()[doc], p.column("key").to_numpy()[doc], starts - w.first[doc]
+                first, rest = _first_of_each(h, ids, keys, at)
+                firsts.append(first)
+                repeats.append(rest[1:])
+                count += len(h)
+                if count > FLUSH_WINDOWS:
+                    yield from flush()
+                    count = 0
+        yield from flush()
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, count = None, [], 0
-        for b in batches:
-            known = b.column("h").is_null().to_numpy(zero_copy_only=False)
-            if known.any():
-                mine = b.filter(pa.array(known))
-                yield pa.RecordBatch.from_arrays([mine.column(k) for k in ("id", "row", "starts")], names=["id", "row", "starts"])
-                b = b.filter(pa.array(~known))
-            if not b.num_rows:
-                continue
-            h, ids, rows, at = (b.column(k).to_numpy() for k in ("h", "id", "row", "at"))
-            lead = np.concatenate([[last is None or h[0] != last[0]], h[1:] != h[:-1]])
-            of = np.maximum.accumulate(np.where(lead, np.arange(len(h)), -1))
-            id0, at0 = np.where(of >= 0, ids[of], last[1] if last else 0), np.where(of >= 0, at[of], last[2] if last else 0)
-            last = (h[-1], id0[-1], at0[-1])
-            later = (ids != id0) | (at != at0)
-            held.append((ids[later], rows[later], at[later]))
-            count += int(later.sum())
-            if count > FLUSH_WINDOWS:
-                yield pa.RecordBatch.from_arrays(list(_by_document(*map(np.concatenate, zip(*held, strict=True)))), names=["id", "row", "starts"])
-                held, count = [], 0
-        if count:
-            yield pa.RecordBatch.from_arrays(list(_by_document(*map(np.concatenate, zip(*held, strict=True)))), names=["id", "row", "starts"])
+        none = np.zeros(0, np.int64)
+        now, known, held, count = None, (none,) * 4, [], 0
 
-    found = texts.mapInArrow(candidates, _CANDIDATE_SQL)
-    dealt = found.repartition(F.coalesce("h", F.xxhash64("id", "row"))).sortWithinPartitions("h", "id", "at")
-    return dealt.mapInArrow(repeats, "id long, row long, starts array<int>")
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal known, held, count
+            known, later = _first_of_each(*map(np.concatenate, zip(known, *held, strict=True)))
+            held, count = [], 0
+            yield _rows(1, ((s, _pack_windows(*x)) for s, x in _deal(later[2] % shards, *later[1:])))
+
+        for b in batches:
+            for kind, shard, blob in zip(*(b.column(k).to_pylist() for k in ("kind", "shard", "blob")), strict=True):
+                if kind:
+                    yield _rows(1, [(shard, blob)])
+                    continue
+                if shard != now:
+                    yield from settle()
+                    now, known = shard, (none,) * 4
+                ids, keys, at, h = _unpack_windows(blob)
+                held.append((h, ids, keys, at))
+                count += len(h)
+                if count > FLUSH_WINDOWS:
+                    yield from settle()
+        yield from settle()
+
+    schema = "kind int, shard int, blob binary"
+    found = texts.select("text", "id", "key").mapInArrow(candidates, schema).repartition(shards, "shard").sortWithinPartitions("kind", "shard")
+    return found.mapInArrow(repeats, schema).select("shard", "blob"), shards
+
+
+def _first_of_each(h: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Windows split into those at their hash's first place (id, at) and the later ones."""
+    order = np.lexsort((at, ids, h))
+    h, ids, keys, at = h[order], ids[order], keys[order], at[order]
+    lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    of = np.repeat(lead, np.diff(np.append(lead, len(h))))
+    first = (ids == ids[of]) & (at == at[of])
+    return tuple(x[first] for x in (h, ids, keys, at)), tuple(x[~first] for x in (h, ids, keys, at))
 
 
 def remove_repeats(docs: DataFrame, *, keep: Sequence[str] = (), window: int = 20, run: int = 10) -> DataFrame:
     """doc_id, the columns of keep, n_words, n_removed and kept_text (the words left, joined by one space)."""
     texts = docs.select(F.col("doc_id").cast("long"), *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).withColumn("row", F.xxhash64("text"))
-    found = repeated_windows(texts, window, run)
-    both = found.unionByName(texts, allowMissingColumns=True).repartition("id", "row").sortWithinPartitions("id", "row", F.col("text").isNotNull())
+    texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).withColumn("key", F.xxhash64("id", "text"))
+    found, shards = repeated_windows(texts, window, run)
+    dealt = texts.drop("id").withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    both = found.unionByName(dealt, allowMissingColumns=True).repartition(shards, "shard").sortWithinPartitions("shard", F.col("text").isNotNull())
     names = ["doc_id", *keep]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, starts = None, []
+        now, blobs, keys, at = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def look_up(q: pa.RecordBatch) -> pa.RecordBatch:
+            w = words_of(q.column("text"))
+            mine = q.column("key").to_numpy()
+            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+            s = at[spans(lo, hi - lo)] + np.repeat(w.first[:-1], hi - lo)
+            gone = np.zeros(len(w.start) + 1, np.int64)
+            np.add.at(gone, s, 1)
+            np.add.at(gone, s + window, -1)
+            left, removed = kept_words(w, ~(np.cumsum(gone[:-1]) > 0))
+            return pa.RecordBatch.from_arrays([*(q.column(k) for k in names), pa.array(w.per_doc, pa.int64()), pa.array(removed, pa.int64()), left], names=[*names, "n_words", "n_removed", "kept_text"])
+
         for batch in batches:
             for p in pieces(batch, "text"):
-                ids, rows, listed = p.column("id").to_numpy(), p.column("row").to_numpy(), p.column("starts")
-                is_text = p.column("text").is_valid().to_numpy(zero_copy_only=False)
-                places, of, t = [], [], 0
-                values, ends = listed.values.to_numpy(), listed.offsets.to_numpy()
-                for k in range(p.num_rows):
-                    if (ids[k], rows[k]) != now:
-                        now, starts = (ids[k], rows[k]), []
-                    if not is_text[k]:
-                        starts.append(values[ends[k] : ends[k + 1]])
-                    else:
-                        if starts:
-                            s = np.concatenate(starts)
-                            places.append(s)
-                            of.append(np.full(len(s), t))
-                        t += 1
-                q = p.filter(pa.array(is_text))
-                w = words_of(q.column("text"))
-                gone = np.zeros(len(w.start) + 1, np.int64)
-                if places:
-                    s = np.concatenate(places) + w.first[np.concatenate(of)]
-                    np.add.at(gone, s, 1)
-                    np.add.at(gone, s + window, -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                texts, removed = kept_words(w, ~gone)
-                yield pa.RecordBatch.from_arrays([*(q.column(k) for k in names), pa.array(w.per_doc, pa.int64()), pa.array(removed, pa.int64()), texts], names=[*names, "n_words", "n_removed", "kept_text"])
+                shard, is_text = p.column("shard").to_numpy(), p.column("text").is_valid().to_numpy(zero_copy_only=False)
+                change = np.flatnonzero((shard[1:] != shard[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+                for a, b in zip([0, *change], [*change, p.num_rows], strict=True):
+                    if shard[a] != now:
+                        now, blobs, keys, at = shard[a], [], keys[:0], at[:0]
+                    if not is_text[a]:
+                        blobs += p.column("blob").slice(a, b - a).to_pylist()
+                        continue
+                    if blobs:
+                        got = [_unpack_windows(x) for x in blobs]
+                        keys, at = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+                        order = np.argsort(keys, kind="stable")
+                        keys, at, blobs = keys[order], at[order], []
+                    yield look_up(p.slice(a, b - a))
 
     kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in names)
     return both.mapInArrow(cut, f"{kinds}, n_words long, n_removed long, kept_text string")

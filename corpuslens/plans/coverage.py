@@ -1 +1,139 @@
+"""Queries over coverage, absence, entities and samples."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuslens.operators import coverage as C
+from corpuslens.operators import sampling as S
+
+from .registry import query
+from .relational import OUTLETS, outlets
+
+
+@query(f"with {OUTLETS}, g as (select r_name region, n_name country from nation join region on r_regionkey = n_regionkey union all select 'EXTRA', n_name from nation where n_nationkey % 5 = 0), j as (select region, country in (select country from outlets) hit from g) select region, count(*) filter (hit) present, count(*) filter (not hit) absent, round(count(*) filter (hit) / count(*), 6) ratio from j group by 1 having count(*) filter (not hit) > 0")
+def region_coverage_ratio(t):  # M34
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    g = n.select(F.col("r_name").alias("region"), F.col("n_name").alias("country")).unionByName(t.nation.where("n_nationkey % 5 = 0").select(F.lit("EXTRA").alias("region"), F.col("n_name").alias("country")))
+    return C.absence_report(g, outlets(t)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("select lang language from (values ('en'), ('fr'), ('de'), ('es'), ('ru'), ('fa'), ('zh')) v(lang) where lang not in (select lang from documents where lang is not null)")
+def missing_languages(t):  # U3 M33
+    u = t.spark.createDataFrame([(x,) for x in ("en", "fr", "de", "es", "ru", "fa", "zh")], "language string")
+    return u.join(t.documents.select(F.col("lang").alias("language")), "language", "left_anti")
+
+
+@query(f"with {OUTLETS}, d as (select * from documents join outlets on outlet = source) select 'region' dimension, region \"value\", count(*) n from d group by 2 union all select 'language', lang, count(*) from d group by 2 union all select 'source', source, count(*) from d group by 2 union all select 'country', country, count(*) from d group by 2")
+def coverage_report(t):  # M33 M36
+    d = t.documents.join(outlets(t), F.col("source") == F.col("outlet"))
+    out = C.distribution(d, "region", "region")
+    for column, name in (("lang", "language"), ("source", "source"), ("country", "country")):
+        out = out.unionByName(C.distribution(d, column, name))
+    return out
+
+
+@query("with k(name) as (values ('idiot'), ('clown'), ('haha'), ('onthe'), ('keit'), ('nowhere')), m as (select name, doc_id, source from documents join k on contains(lower(text), name)), a as (select name, count(*) docs, count(*) filter (source = 'src1') media from m group by 1) select name, docs, media, round(media / greatest(docs, 1), 6) ratio, case when docs >= 10 and media = 0 then 'SUPPRESSED' when docs >= 10 and media / greatest(docs, 1) < 0.2 then 'UNDER-COVERED' else '' end status from a")
+def suppression_index(t):  # M38 M39 J19 J23
+    k = t.spark.createDataFrame([(x,) for x in ("idiot", "clown", "haha", "onthe", "keit", "nowhere")], "name string")
+    m = t.documents.join(F.broadcast(k), F.lower("text").contains(F.col("name")))
+    docs, media = m.groupBy("name").agg(F.count("*").alias("docs")), m.where("source = 'src1'").groupBy("name").agg(F.count("*").alias("media"))
+    return C.suppression(docs, media).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("select user_id, count(*) contexts, count(*) filter (event_type = 'purchase') money, count(*) filter (ts > timestamp '2024-01-15') later, arg_max(event_type, (n, event_type)) dominant from (select *, count(*) over (partition by user_id, event_type) n from events) group by 1")
+def involvement_status(t):  # M40 A7
+    per = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("ts") > F.expr("timestamp'2024-01-15 00:00:00'")).alias("late"))
+    return per.groupBy("user_id").agg(F.sum("n").alias("contexts"), F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("n"))), F.lit(0)).alias("money"), F.sum("late").alias("later"), F.max_by("event_type", F.struct("n", "event_type")).alias("dominant"))
+
+
+@query("with c as (select (select count(*) from documents) total, (select count(*) from documents where text <> '') texts, (select count(*) from labels) analysed, (select count(*) from labels where quality = 1) judged) select *, case when total = 0 then 'ingest' when texts / total < 0.5 then 'extract' when analysed / texts < 0.9 then 'analyze' when judged / analysed < 0.9 then 'council' else 'cluster' end next_phase from c")
+def phase_status(t):  # M41
+    d = t.documents.agg(F.count("*").alias("total"), F.count_if(F.col("text") != "").alias("texts"))
+    return C.next_phase(d.crossJoin(t.labels.agg(F.count("*").alias("analysed"), F.count_if(F.col("quality") == 1).alias("judged"))))
+
+
+@query("select label, count(*) articles, count(*) filter (vec_id % 3 = 0) high, count(*) filter (vec_id % 3 = 1) medium, count(*) filter (vec_id % 3 = 2) contested from embeddings group by 1 having count(*) > 1")
+def cluster_report(t):  # M42 P22
+    v = F.col("vec_id") % 3
+    return t.embeddings.groupBy("label").agg(F.count("*").alias("articles"), *(F.count_if(v == k).alias(n) for k, n in enumerate(("high", "medium", "contested")))).where("articles > 1")
+
+
+@query("with a as (select vec_id item, label cluster from embeddings where vec_id % 5 <> 0), m as (select item, cluster % 3 merged from a where cluster % 4 <> 3) select item, merged, false carried from m union all select item, cluster + 100, true from a where item not in (select item from m)")
+def coverage_preserving_merge(t):  # M43 J7
+    a = t.embeddings.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("item"), F.col("label").alias("cluster"))
+    m = a.where("cluster % 4 <> 3").select("item", (F.col("cluster") % 3).alias("merged"), F.lit(False).alias("carried"))
+    return m.unionByName(a.join(m, "item", "left_anti").select("item", (F.col("cluster") + 100).alias("merged"), F.lit(True).alias("carried")))
+
+
+@query("with r as (select doc_id, lang, unnest(case when toxic = 1 then ['alarm', 'anger'] else ['calm'] end) register from labels join documents using (doc_id)) select register, coalesce(lang, '??') lang, count(*) n from r group by all")
+def register_distribution(t):  # M44
+    r = t.labels.join(t.documents, "doc_id").select("lang", F.explode(F.when(F.col("toxic") == 1, F.array(F.lit("alarm"), F.lit("anger"))).otherwise(F.array(F.lit("calm")))).alias("register"))
+    return r.groupBy("register", F.coalesce("lang", F.lit("??")).alias("lang")).agg(F.count("*").alias("n"))
+
+
+@query("with p as (select conv_id, role, left(text, 40) sample, row_number() over (partition by conv_id order by turn, text) r, count(*) over (partition by conv_id) n from conversations) select conv_id, n, string_agg(sample, '|' order by r) samples from p where r <= 3 group by all")
+def presupposition_summary(t):  # M45 L5
+    from corpuslens.operators.relational import top_per_group
+
+    n = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"))
+    top = top_per_group(t.conversations, ["conv_id"], ["turn", "text"], 3).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.left("text", F.lit(40)).alias("s")))).alias("s"))
+    return n.join(top, "conv_id").select("conv_id", "n", F.array_join(F.transform("s", lambda x: x["s"]), "|").alias("samples"))
+
+
+@query("select label, count(*) filter (vec_id % 6 = 0) tensions, round(avg(cast(vec_id % 6 = 0 as int)), 6) prevalence, label >= 7 novel from embeddings group by label")
+def tension_prevalence(t):  # M46
+    x = (F.col("vec_id") % 6) == 0
+    return t.embeddings.groupBy("label").agg(F.count_if(x).alias("tensions"), F.round(F.avg(x.cast("int")), 6).alias("prevalence")).withColumn("novel", F.col("label") >= 7)
+
+
+@query("with w as (select doc_id, unnest(string_split(text, chr(10))) claim, generate_subscripts(string_split(text, chr(10)), 1) pos from documents where doc_id < 50 and text is not null), f as (select claim, min((doc_id, pos)) f from w where claim <> '' group by 1) select claim from f order by f limit 40")
+def claims_list(t):  # M47
+    w = t.documents.where("doc_id < 50").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "claim")).where("claim <> ''")
+    return w.groupBy("claim").agg(F.min(F.struct("doc_id", "pos")).alias("f")).orderBy("f").limit(40).select("claim")
+
+
+@query("select event, total, round(rate, 6) rate, case when rate >= 0.6 then 'transfers' when rate >= 0.4 then 'partial' else 'fails' end band from (select vec_id % 3 event, count(*) total, avg(cast(label in (1, 2, 3, 4, 5) as int)) rate from embeddings group by 1)")
+def preregistration_score(t):  # M49
+    g = t.embeddings.groupBy((F.col("vec_id") % 3).alias("event")).agg(F.count("*").alias("total"), F.avg(F.col("label").isin(1, 2, 3, 4, 5).cast("int")).alias("rate"))
+    return g.select("event", "total", F.round("rate", 6).alias("rate"), F.when(F.col("rate") >= 0.6, "transfers").when(F.col("rate") >= 0.4, "partial").otherwise("fails").alias("band"))
+
+
+FRAMES = [("insult", "idiot"), ("insult", "clown"), ("french", "eaux"), ("german", "keit"), ("english", "thand")]
+
+
+@query("with f(frame, term) as (values ('insult', 'idiot'), ('insult', 'clown'), ('french', 'eaux'), ('german', 'keit'), ('english', 'thand')), h as (select distinct frame, doc_id from documents join f on contains(lower(text), term)) select frame, count(*) n, round(count(*) / (select count(*) from documents), 6) share from h group by 1")
+def absent_frame_share(t):  # M50
+    return C.frame_share(t.documents, t.spark.createDataFrame(FRAMES, "frame string, term string"), t.documents.count()).withColumn("share", F.round("share", 6))
+
+
+@query("with d as (select contains(lower(text), 'keit') a, contains(lower(text), 'lich') b from documents) select count(*) filter (a) mention, count(*) filter (a and b) \"both\", round(count(*) filter (a and b) / greatest(count(*) filter (a), 1), 6) share from d")
+def nested_frame_share(t):  # M50
+    a, b = F.lower("text").contains("keit"), F.lower("text").contains("lich")
+    return t.documents.agg(F.count_if(a).alias("mention"), F.count_if(a & b).alias("both"), F.round(F.count_if(a & b) / F.greatest(F.count_if(a), F.lit(1)), 6).alias("share"))
+
+
+@query("with f as (select unnest(string_split(text, ' ')) flag from conversations where role = 'user') select flag, count(*) n from f where flag <> '' group by 1 order by n desc, flag limit 10")
+def absence_flag_leaderboard(t):  # M51
+    f = t.conversations.where("role = 'user'").select(F.explode(F.split("text", " ")).alias("flag")).where("flag <> ''")
+    return f.groupBy("flag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "flag").limit(10)
+
+
+@query("with g as (select user_id, event_type, count(*) n, string_agg(event_id::varchar, ',' order by event_id) filter (r <= 2) samples from (select *, row_number() over (partition by user_id, event_type order by event_id) r from events) group by all) select user_id, event_type, n, samples, case when n / 10 >= 2 then 'AMPLIFIED' else '' end mark from g")
+def entity_dossier(t):  # M52
+    from corpuslens.operators.relational import top_per_group
+
+    n = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    s = top_per_group(t.events, ["user_id", "event_type"], ["event_id"], 2).groupBy("user_id", "event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("samples"))
+    return n.join(s, ["user_id", "event_type"]).withColumn("mark", C.amplified(F.col("n") / 10))
+
+
+@query("with n as (select lang, count(*) n from documents where lang is not null group by 1), q as (select lang, cast(least(greatest(round_even(n / (select sum(n) from n) * 60, 0), 1), n) as bigint) q from n), r as (select doc_id, lang, row_number() over (partition by lang order by md5('42:' || doc_id), doc_id) r from documents where lang is not null) select doc_id, lang from r join q using (lang) where r <= q")
+def stratified_sample(t):  # M6 D12
+    return S.stratified(t.documents.where("lang is not null").select("doc_id", "lang"), "lang", "doc_id", 60)
+
+
+@query()
+def priority_sample(t):  # M7
+    d = t.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "contested").when(F.col("doc_id") % 3 == 1, "medium").otherwise("high").alias("level"))
+    return S.priority(d, "doc_id", "level", "lang", 60)

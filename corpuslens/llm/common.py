@@ -7,8 +7,10 @@ document is never cut, whatever its length.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,6 +70,20 @@ def pieces(batch: pa.RecordBatch, text: str, max_bytes: int = PIECE_BYTES) -> It
         yield batch.slice(a, b - a)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, after which its worker gives memory it no longer needs back: workers live on and serve other operators."""
+
+    def then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return then_trim
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if texts.null_count:

@@ -81,9 +81,45 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+_WORDS = r"""w as (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+ p as (select doc_id, w, unnest(range(1, len(w) + 1)) i from w)"""
+
+
+def _op4_sql() -> str:
+    from .quality import Rules
+
+    rules = Rules()
+    lengths = sorted({*rules.ngram_shares, rules.window})
+    flags = ", ".join(f"len(w) - i >= {n - 1} and count(*) over (partition by doc_id, case when len(w) - i >= {n - 1} then array_to_string(w[i:i + {n - 1}], ' ') end) > 1 f{n}" for n in lengths)
+    covers = ", ".join(f"max(f{n}::int) over (partition by doc_id order by i rows between {n - 1} preceding and current row) c{n}" for n in lengths)
+    sums = ", ".join(f"cast(sum(case when c{n} = 1 then length(w[i]) else 0 end) as bigint) dup_{n}gram_chars" for n in rules.ngram_shares)
+    fills = ", ".join(f"coalesce(dup_{n}gram_chars, 0) dup_{n}gram_chars" for n in rules.ngram_shares)
+    over = " or ".join(f"dup_{n}gram_chars > {share}::double * word_chars" for n, share in rules.ngram_shares.items())
+    return f"""with {_WORDS}, f as (select *, {flags} from p), c as (select *, {covers} from f),
+ s as (select doc_id, cast(sum(length(w[i])) as bigint) word_chars, cast(sum(c{rules.window}) as bigint) n_repeat_words, {sums} from c group by 1),
+ l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) k from w),
+ m as (select doc_id, line, row_number() over (partition by doc_id, line order by k) > 1 again from l where len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 0),
+ n as (select doc_id, count(*) filter (again) n_dup_lines, cast(coalesce(sum(length(line)) filter (again), 0) as bigint) dup_line_chars, cast(sum(length(line)) as bigint) line_chars from m group by 1),
+ j as (select w.doc_id, cast(len(w) as bigint) n_words, coalesce(word_chars, 0) word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, {fills}, coalesce(dup_line_chars, 0) dup_line_chars, coalesce(line_chars, 0) line_chars from w left join s using (doc_id) left join n using (doc_id)),
+ b as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words base_failed from j)
+ select *, not (base_failed or {over} or dup_line_chars > {rules.max_dup_line_share}::double * line_chars or n_symbols > {rules.max_symbol_share}::double * word_chars) kept from b"""
+
+
+_OP6_SQL = r"""with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ x as (select *, (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, '</turn>', ''))) // 7 controls from c)
+ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256, cast(sum(15 + length(role) + length(text) + controls) as bigint) formatted_chars from x group by 1"""
+
+_OP10_SQL = f"""with {_WORDS}, k as (select *, case when len(w) - i >= 19 then array_to_string(w[i:i + 19], ' ') end g from p), f as (select doc_id, i, w[i] word, g is not null and (doc_id, i) > min((doc_id, i)) over (partition by g) again from k),
+ c as (select *, max(again::int) over (partition by doc_id order by i rows between 19 preceding and current row) = 1 gone from f),
+ s as (select doc_id, count(*) n_words, count(*) filter (gone) n_removed, string_agg(word, ' ' order by i) filter (not gone) kept from c group by 1)
+ select w.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join s using (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators 1, 2, 3, 5, 7, 8 and 9 have no SQL form; tests/llm holds them against brute force or held-out rows."""
+    return {"op4_quality_rules": _op4_sql(), "op6_chat_format": _OP6_SQL, "op10_substring_dedup": _OP10_SQL}

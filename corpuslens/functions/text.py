@@ -179,3 +179,11 @@ def packed_chunks(x: Column | str, size: int = 400) -> Column:
         return F.struct(done.alias("done"), F.when(fits | (acc["open"] == ""), joined).otherwise(s).alias("open"))
 
     return F.aggregate(parts, empty, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def json_list(x: Column | str, fields: str) -> Column:
+    """The list of objects in a model's answer: a list as it is, a lone object as a list of one, prose around either cut."""
+    bare = F.trim(F.regexp_replace(strip_reasoning(x), "```[a-z]*", ""))
+    listed, single = F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    one = F.from_json(F.when(single != "", single), f"struct<{fields.replace(' ', ':')}>")
+    return F.coalesce(F.from_json(F.when(listed != "", listed), f"array<struct<{fields.replace(' ', ':')}>>"), F.when(one.isNotNull(), F.array(one)))

@@ -239,3 +239,13 @@ def carry_forward(t):  # W13
     w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     d = t.documents.withColumn("prev_kind", F.last(F.when(F.col("doc_id") % 10 == 0, F.col("lang")), True).over(w))
     return d.select("doc_id", F.col("source").alias("outlet"), (F.col("doc_id") % 3 + 1).alias("event"), "prev_kind")
+
+
+@query("select label, max(vec_id) vec_id from embeddings group by 1")
+def latest_per_label(t):  # W5 W12
+    return R.first_per_key(t.embeddings, ["label"], [F.col("vec_id").desc()]).select("label", "vec_id")
+
+
+@query("with f as (select vec_id, embedding from embeddings where label = 0) select count(*) n, round(avg(len(embedding)), 2) dims from f")
+def table_scan_count(t):  # S4 K13
+    return t.embeddings.where("label = 0").agg(F.count("*").alias("n"), F.round(F.avg(F.size("embedding")), 2).alias("dims"))

@@ -168,3 +168,22 @@ def article_record_union(t):  # P1 S1 S3
     b = t.supplier.select(F.lit("feed_b").alias("dialect"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("url"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("country"))
     u = a.unionByName(b, allowMissingColumns=True)
     return u.select("dialect", "url", F.coalesce("seendate", F.lit("")).alias("seendate"), F.coalesce("country", F.lit("unknown")).alias("country"))
+
+
+@query("select doc_id, coalesce(nullif(trim(case when doc_id % 3 = 0 then '  ' else left(text, 20) end), ''), nullif(trim(lang), ''), 'archive') best from documents")
+def first_nonblank_tier(t):  # S19
+    tiers = [F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.left("text", F.lit(20))), F.col("lang")]
+    return t.documents.select("doc_id", F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in tiers), F.lit("archive")).alias("best"))
+
+
+@query("select event_id, case when event_id % 2 = 0 then 2 else 1 end n, cast(json_extract_string(props, '$.k') as bigint) first_k from events")
+def json_array_coercion(t):  # N2 N5
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]"))).otherwise(F.concat(F.lit("noise "), "props", F.lit(" noise")))
+    e = t.events.select("event_id", X.json_list(raw, "k long").alias("l"))
+    return e.select("event_id", F.size("l").alias("n"), F.get("l", F.lit(0))["k"].alias("first_k"))
+
+
+@query("select event_type, count(*) n, round(avg(value), 2) r2, round(avg(value), 4) r4 from events where json_extract_string(props, '$.missing') is null and event_type <> 'error' group by 1")
+def error_rows_excluded(t):  # P23 M5f
+    e = t.events.where(F.get_json_object("props", "$.missing").isNull() & (F.col("event_type") != "error"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("r2"), F.round(F.avg("value"), 4).alias("r4"))

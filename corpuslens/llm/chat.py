@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
 ROLES = {v: k for k, v in NAMES.items()}
 CONTROL = re.compile(r"### |</turn>")
@@ -109,7 +111,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(made, pa.string()), pa.array([s[0] for s in span], pa.int64()), pa.array([s[1] for s in span], pa.int64())], schema=schema)
 
     columns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, "conv_id long, turn long, role string, text string, rendered string, loss_begin long, loss_end long")
+    return columns.mapInArrow(trimmed(run), "conv_id long, turn long, role string, text string, rendered string, loss_begin long, loss_end long")
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -145,4 +147,4 @@ def digests(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "rendered", "loss_begin", "loss_end")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(trimmed(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, trimmed
 
 MAX_ROUNDS = 100
 
@@ -60,7 +60,7 @@ def _sign(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long).  (node, root) of every node that has an edge to another; root is its component's smallest."""
     ordered = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    now = durable(ordered.mapInArrow(_contract, "u long, v long").distinct())
+    now = durable(ordered.mapInArrow(trimmed(_contract), "u long, v long").distinct())
     sign = _sign(now)
     for _ in range(MAX_ROUNDS):
         if not sign[0]:

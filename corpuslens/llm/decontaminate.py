@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, spans, words_of
+from .common import pieces, spans, trimmed, words_of
 
 MAX_PART_BYTES = 16 << 20
 SHARD_ITEMS = 1024
@@ -193,7 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rows = pa.array([h[0] for h in hits], pa.int64())
                     yield pa.RecordBatch.from_arrays([p.column(0).take(rows), pa.array([h[1] for h in hits], pa.int64()), *(pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, columns)
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), columns)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], columns) if out is None else out
 
@@ -210,5 +210,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[[h[0] for h in search(shared.value, p.column("text"))]] = False
                     yield p.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

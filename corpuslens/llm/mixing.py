@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, pieces, spans, words_of
+from .common import durable, mix64, pieces, spans, trimmed, words_of
 
 BUCKET_ROWS = 4096
 BROADCAST_SOURCES = 10_000
+PIECE_BYTES = 1 << 20
 PIECE = "epoch int, shard int, slot long, first_word long, n_words long"
 _PIECE_ARROW = pa.struct([("epoch", pa.int32()), ("shard", pa.int32()), ("slot", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
 
@@ -153,15 +154,16 @@ def _drawn(plan: dict, source: np.ndarray, begin: np.ndarray, size: np.ndarray)
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in pieces(batch, "text"):
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(words_of(p.column(2)).per_doc, pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(3), pa.array(words_of(p.column(2)).per_doc, pa.int64())], names=["doc_id", "source", "key", "size"])
 
 
 def mix(docs: DataFrame, *, weights: Callable[[int], Sequence[float]] = cyclic_weights, share: float = 1.5, max_passes: float = 2, block_words: int = 512, shards: int = 64, seed: int = 42) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target and pieces, the word ranges the mix takes
-    (epoch, shard, slot of its block in the source's permuted order, first_word, n_words).  weights(n) gives the
+    """One row a document: doc_id, source, key (a hash of id, source and text), size, source_size, target and pieces, the word
+    ranges the mix takes (epoch, shard, slot of its block in the source's permuted order, first_word, n_words).  weights(n) gives the
     weights of n sources in code-point order, null last."""
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_sizes, "doc_id long, source string, size long")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    sized = texts.withColumn("key", F.xxhash64("doc_id", "source", "text")).mapInArrow(trimmed(_sizes), "doc_id long, source string, key long, size long")
     sized = durable(sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
     rows = sorted(((r[0], r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     plan = _plan(rows, weights, share, max_passes, block_words, shards, seed)
@@ -180,9 +182,9 @@ def mix(docs: DataFrame, *, weights: Callable[[int], Sequence[float]] = cyclic_w
             d, f = _drawn(shared.value, s, begin, size)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(s)))])
             taken = pa.StructArray.from_arrays([pa.array(f[x.name]).cast(x.type) for x in _PIECE_ARROW], fields=list(_PIECE_ARROW))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", "source", "size", "source_size", "target")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken)], names=["doc_id", "source", "size", "source_size", "target", "pieces"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", "source", "key", "size", "source_size", "target")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken)], names=["doc_id", "source", "key", "size", "source_size", "target", "pieces"])
 
-    return placed.select("doc_id", "source", "size", "source_size", "target", "s", "begin").mapInArrow(draw, f"doc_id long, source string, size long, source_size long, target double, pieces array<struct<{PIECE.replace(' int', ':int').replace(' long', ':long')}>>")
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "s", "begin").mapInArrow(trimmed(draw), f"doc_id long, source string, key long, size long, source_size long, target double, pieces array<struct<{PIECE.replace(' int', ':int').replace(' long', ':long')}>>")
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
@@ -190,43 +192,50 @@ def taken_words(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["n_words"])).drop("pieces")
 
 
+_PIECES = "shard int, epoch int, slot long, n_words long, doc_id long, lang string, source string, text string"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by key, ranges before texts: the first row of a key takes one list of ranges, the next the next."""
+    now, waiting = None, []
     for batch in batches:
-        for p in pieces(batch, "text"):
-            w, drawn = words_of(p.column("text")), p.column("pieces").to_pylist()
+        for p in pieces(batch, "text", PIECE_BYTES):
+            is_text = p.column("text").is_valid().to_numpy(zero_copy_only=False)
+            drawn, at, taken = p.column("pieces"), [], []
+            for i, key in enumerate(p.column("key").to_pylist()):
+                if key != now:
+                    now, waiting = key, []
+                if not is_text[i]:
+                    waiting.append(drawn[i].as_py())
+                elif waiting:
+                    at.append(i)
+                    taken.append(waiting.pop(0))
+            if not at:
+                continue
+            q = p.take(pa.array(at, pa.int64()))
+            w = words_of(q.column("text"))
             rows = {k: [] for k in ("at", "shard", "epoch", "slot", "n_words", "text")}
-            for i, ranges in enumerate(drawn):
+            for i, ranges in enumerate(taken):
                 for r in ranges:
                     a = w.first[i] + r["first_word"]
-                    rows["text"].append(w.data[w.start[a] : w.end[a + r["n_words"] - 1]].tobytes().decode("utf-8", "replace"))
+                    rows["text"].append(w.data[w.start[a] : w.end[a + r["n_words"] - 1]].tobytes())
                     rows["at"].append(i)
                     for k in ("shard", "epoch", "slot", "n_words"):
                         rows[k].append(r[k])
-            at = pa.array(rows["at"], pa.int64())
+            of = pa.array(rows["at"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["shard"], pa.int32()), pa.array(rows["epoch"], pa.int32()), pa.array(rows["slot"], pa.int64()), pa.array(rows["n_words"], pa.int64()), *(p.column(k).take(at) for k in ("doc_id", "lang", "source")), pa.array(rows["text"], pa.string())],
+                [pa.array(rows["shard"], pa.int32()), pa.array(rows["epoch"], pa.int32()), pa.array(rows["slot"], pa.int64()), pa.array(rows["n_words"], pa.int64()), *(q.column(k).take(of) for k in ("doc_id", "lang", "source")), pa.array(rows["text"], pa.binary()).cast(pa.string())],
                 names=["shard", "epoch", "slot", "n_words", "doc_id", "lang", "source", "text"],
             )
 
 
 def mix_texts(docs: DataFrame, *, seed: int = 42, shards: int = 64, **options) -> DataFrame:
     """The mix itself: one row a drawn piece (shard, position, epoch, doc_id, lang, source, n_words, text), each shard
-    in a locally shuffled order.  A document's rows meet their text by (doc_id, size): rows that agree in both are
-    numbered, so repeated rows stay apart."""
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    mixed = mix(docs, seed=seed, shards=shards, **options).where(F.size("pieces") > 0)
-    keyed = sized.mapInArrow(_keyed, "doc_id long, lang string, source string, text string, size long")
-    nth = Window.partitionBy("doc_id", "source", "size")
-    left = keyed.withColumn("nth", F.row_number().over(nth.orderBy("text", "lang")))
-    right = mixed.withColumn("nth", F.row_number().over(nth.orderBy("pieces"))).select("doc_id", "source", "size", "nth", "pieces")
-    same = [left[k].eqNullSafe(right[k]) for k in ("doc_id", "source", "size", "nth")]
-    joined = left.join(right, same).select(left["doc_id"], left["lang"], left["source"], left["text"], "pieces")
-    cut = joined.mapInArrow(_cut, "shard int, epoch int, slot long, n_words long, doc_id long, lang string, source string, text string")
-    cut = cut.withColumn("position", F.xxhash64(F.lit(seed), "source", "slot"))
+    in a locally shuffled order.  Ranges meet their text by key in one shuffle; equal rows share a key and each takes
+    the ranges of one of them."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "source", "text")).where("text is not null")
+    drawn = mix(docs, seed=seed, shards=shards, **options).where(F.size("pieces") > 0).select("key", "pieces")
+    both = drawn.unionByName(texts, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", F.col("text").isNotNull())
+    cut = both.mapInArrow(trimmed(_cut), _PIECES).withColumn("position", F.xxhash64(F.lit(seed), "source", "slot"))
     return cut.repartition(shards, "shard").sortWithinPartitions("shard", "position", "slot", "doc_id").select("shard", "position", "epoch", "doc_id", "lang", "source", "n_words", "text")
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for p in pieces(batch, "text"):
-            yield pa.RecordBatch.from_arrays([*p.columns, pa.array(words_of(p.column("text")).per_doc, pa.int64())], names=[*p.schema.names, "size"])

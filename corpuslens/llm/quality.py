@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Words, hash_spans, mix64, pieces, words_of
+from .common import IS_SPACE, U64, Words, hash_spans, mix64, pieces, trimmed, words_of
 
 #: bytes of the characters that n_symbols counts
 SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -128,4 +128,4 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, text: str = "text", ke
                 yield pa.RecordBatch.from_arrays([p.column(0), *(pa.array(m[k], pa.int64()) for k in counts), pa.array(m["base_failed"]), pa.array(m["kept"])], names=[key, *counts, "base_failed", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {', '.join(k + ' long' for k in counts)}, base_failed boolean, kept boolean")
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), f"`{key}` {kind}, {', '.join(k + ' long' for k in counts)}, base_failed boolean, kept boolean")

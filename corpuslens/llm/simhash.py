@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, pieces, spans, words_of
+from .common import durable, pieces, spans, trimmed, words_of
 from .components import connected_components
 
 PIECE_BYTES = 2 << 20
@@ -72,7 +72,7 @@ def fingerprint_table(docs: DataFrame, *, shingle: int = 4, seed: int = 42, extr
             for p in pieces(batch, "text", PIECE_BYTES):
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(fingerprints(p.column("text"), shingle, seed).view(np.int64)), *(p.column(k) for k in more)], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, "doc_id long, fp long" + ", _row long" * extra)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(trimmed(run), "doc_id long, fp long" + ", _row long" * extra)
 
 
 def block_masks(n: int, bits: int) -> list[int]:
@@ -157,7 +157,7 @@ def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
         i, j = links(np.cumsum(_changes(b)), fp, pivots, bits)
         return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["u", "v"])
 
-    return ordered.mapInArrow(run, "u long, v long")
+    return ordered.mapInArrow(trimmed(run), "u long, v long")
 
 
 def _changes(b: pa.RecordBatch) -> np.ndarray:

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix64, pieces, spans, window_hashes, within_docs, words_of
+from .common import U64, Words, mix64, pieces, spans, trimmed, window_hashes, within_docs, words_of
 
 CELL_BITS = 28
 SHARD_BITS = 22
 ROWS = 2
-FLUSH_CELLS = 8 << 20
-FLUSH_WINDOWS = 2 << 20
+FLUSH_CELLS = 2 << 20
+FLUSH_WINDOWS = 1 << 20
 SHARD_WINDOWS = 8 << 20  # words of the corpus for each shard of the exact pass, at most
 NULL_ID = np.iinfo(np.int64).max
 
@@ -138,8 +138,8 @@ def repeated_cells(docs: DataFrame, window: int, run: int) -> list[tuple[int, by
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["shard", "cells"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([words.to_bytes(8, "little")], pa.binary())], names=["shard", "cells"])
 
-    parts = docs.select("text").mapInArrow(sketch, "shard int, once binary, twice binary")
-    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, cells binary")
+    parts = docs.select("text").mapInArrow(trimmed(sketch), "shard int, once binary, twice binary")
+    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(trimmed(merge), "shard int, cells binary")
     return [tuple(r) for r in merged.collect()]  # at most ROWS * 2^CELL_BITS bits
 
 
@@ -263,8 +263,8 @@ def repeated_windows(texts: DataFrame, window: int = 20, run: int = 10) -> tuple
         yield from settle()
 
     schema = "kind int, shard int, blob binary"
-    found = texts.select("text", "id", "key").mapInArrow(candidates, schema).repartition(shards, "shard").sortWithinPartitions("kind", "shard")
-    return found.mapInArrow(repeats, schema).select("shard", "blob"), shards
+    found = texts.select("text", "id", "key").mapInArrow(trimmed(candidates), schema).repartition(shards, "shard").sortWithinPartitions("kind", "shard")
+    return found.mapInArrow(trimmed(repeats), schema).select("shard", "blob"), shards
 
 
 def _first_of_each(h: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, *, keep: Sequence[str] = (), window: int = 2
                     yield look_up(p.slice(a, b - a))
 
     kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in names)
-    return both.mapInArrow(cut, f"{kinds}, n_words long, n_removed long, kept_text string")
+    return both.mapInArrow(trimmed(cut), f"{kinds}, n_words long, n_removed long, kept_text string")
 
 
 def kept_words(w: Words, keep: np.ndarray) -> tuple[pa.Array, np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, text_bytes
+from .common import mix64, pieces, text_bytes, trimmed
 
 SPACE = "▁"  # what the model writes for a space
 PIECE_BYTES = 12 << 20
@@ -204,4 +204,4 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, text: s
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(count, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(trimmed(count), f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, pieces, words_of
+from .common import hash_spans, pieces, trimmed, words_of
 
 MAX_ROWS = 5_000
 MAX_WORDS = 2_500_000
 CUT = 0.7
+PIECE_BYTES = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 WIDTHS = (1, 2, 3)
 
@@ -288,9 +289,9 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for p in pieces(batch, "_text"):
+            for p in pieces(batch, "_text", PIECE_BYTES):
                 s = scores(m, bags_of(p.column("_text"), m.bits))
                 yield pa.RecordBatch.from_arrays([*(p.column(k) for k in names), pa.array(s, pa.float64())], names=[*names, "score"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names)
-    return docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(trimmed(run), f"{kinds}, score double")

@@ -102,7 +102,7 @@ class Words:
     """Words of several documents, one after the other.
 
     data: the documents' bytes; offsets: where documents begin in data; start, end: of each word
-    in data; first: first[d] .. first[d + 1] are document d's words.
+    in data; first: first[d] .. first[d + 1] are document d's words; inside: which bytes are words'.
     """
 
     data: np.ndarray
@@ -110,6 +110,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    inside: np.ndarray
 
     @property
     def n_docs(self) -> int:
@@ -127,8 +128,7 @@ class Words:
         size = self.end - self.start
         offs = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=offs[1:])
-        keep = self.data[_spans(self.start, size)] if len(size) else self.data[:0]
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(keep))])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(self.data[self.inside])])
 
     def distinct(self) -> tuple[np.ndarray, pa.Array]:
         """(id of each word, the distinct words): exact, ids count from 0 in order of appearance."""
@@ -159,7 +159,7 @@ def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = IS_SPACE
         data = LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64))
+        return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64), np.zeros(0, bool))
     inside = ~breaks[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -171,7 +171,7 @@ def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = IS_SPACE
     finish[edge - 1] = inside[edge - 1]
     start = np.flatnonzero(begin)
     end = np.flatnonzero(finish) + 1
-    return Words(data, offsets, start, end, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, np.searchsorted(start, offsets), inside)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,9 +8,11 @@ children's, so predictions mix the estimates of all depths by how well each has
 Contexts that were not seen in training predict as their longest seen suffix.
 
 Counts come from every training text: (DEPTH + 1)-grams of bytes are summed per partition, dealt by
-their contexts' last three bytes, summed in shards, and only then gathered.  The tree has a fixed
-capacity (MAX_CONTEXTS contexts of full depth): if there are more, the grams of the rarest are
-summed under a suffix of their context, so every order keeps the exact counts of the whole corpus.
+their contexts' last TRUNK_DEPTH bytes and summed in shards.  No context is left out: the tree grows with the corpus.
+A shard holds whole branches, the nodes deeper than TRUNK_DEPTH; what a branch's nodes weigh together goes
+to the trunk, the nodes up to TRUNK_DEPTH (at most 256 ** 3 grams of them), which is built on the
+driver and broadcast.  Grams with at least HOT_SHARE of all occurrences are broadcast with their
+probabilities; other grams travel to their shard, as cold words do.
 
 Base score (add-0.1 unigram): word counts are summed in shards by word hash.  Words with at least
 HOT_SHARE of the tokens (at most 1 / HOT_SHARE of them, a proven bound) are broadcast with their
@@ -25,7 +27,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,12 @@ from .common import U64, Words, hash_spans, mix64, pieces, spans, trimmed, words
 
 DEPTH = 5
 END = 0x0A
-MAX_CONTEXTS = 150_000
+TRUNK_DEPTH = 2
 FLUSH = 3 << 20
 HOT_SHARE = 1e-6
 MIN_SHARDS = 64
-SHARD_WORDS = 32 << 20
+SHARD_BYTES = 32 << 20
+ASK_GRAMS = 1 << 18
 PIECE_BYTES = 2 << 20
 END_HASH = hash_spans(np.array([END], np.uint8), np.array([0]), np.array([1]))
 
@@ -126,7 +130,7 @@ def _deal(shard: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]
 
 
 def _gram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(keys >> U64(8) & U64(0xFFFFFF)) % U64(shards)).astype(np.int64)  # a context's grams stay together
+    return (mix64(keys >> U64(8) & U64((1 << 8 * TRUNK_DEPTH) - 1)) % U64(shards)).astype(np.int64)  # a branch stays together
 
 
 def corpus_counts(texts: DataFrame, shards: int) -> DataFrame:
@@ -177,48 +181,6 @@ def corpus_counts(texts: DataFrame, shards: int) -> DataFrame:
     return parts.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(trimmed(total), _BLOBS)
 
 
-def _orders(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, depth of the context each keeps, counts), at most MAX_CONTEXTS contexts of full depth: grams of rarer ones are
-    summed under the longest suffix that is common enough (two bytes at least)."""
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros(64, np.int64)
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                keys, n = _unpack(blob)
-                hist += np.bincount(np.minimum(np.log2(_sum_equal(keys >> U64(8), n)[1]).astype(np.int64), 63), minlength=64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(hist)], names=["power", "n"])
-
-    only = counts.where("kind = 0").select("blob")
-    hist = dict(only.mapInArrow(trimmed(sizes), "power long, n long").groupBy("power").sum("n").collect())
-    floor, held = 0, 0
-    for power in range(63, -1, -1):
-        held += hist.get(power, 0)
-        if held > MAX_CONTEXTS:
-            floor = 1 << (power + 1)
-            break
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                keys, n = _unpack(blob)
-                level = np.full(len(keys), DEPTH)
-                for depth in range(DEPTH, 2, -1):  # grams of thin contexts fall back to a suffix, from the deepest up
-                    _, of = np.unique(keys >> U64(8) & U64((1 << 8 * depth) - 1), return_inverse=True)
-                    level[(level == depth) & (np.bincount(of, n)[of] < floor)] = depth - 1
-                keys = keys & ((U64(1) << U64(8) * (level + 1).astype(U64)) - U64(1))
-                order = np.lexsort((keys, level))
-                keys, level, n = keys[order], level[order], n[order]
-                lead = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (level[1:] != level[:-1])])) if len(keys) else np.zeros(0, np.int64)
-                keys, level, n = keys[lead], level[lead], np.add.reduceat(n, lead) if len(lead) else n
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(keys, level.astype(np.int8), n)], pa.binary())], names=["blob"])
-
-    got = [_unpack(r[0]) for r in only.mapInArrow(trimmed(keep), "blob binary").collect()]
-    if not got:
-        return np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
-
-
 # --- the weighted tree ------------------------------------------------------------------------
 
 
@@ -238,31 +200,38 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 class Tree:
     """Nodes by depth: key (context, bits so far), probability of a one, and weight of the node's own estimate."""
 
-    def __init__(self, keys: np.ndarray, level: np.ndarray, counts: np.ndarray):
-        """keys: grams; level: bytes of context each has; counts: occurrences."""
+    def __init__(self, keys: np.ndarray, level: np.ndarray, counts: np.ndarray, depths: range = range(DEPTH + 1), above: tuple[np.ndarray, np.ndarray] | None = None):
+        """keys: grams; level: bytes of context each has; counts: occurrences; depths: those of the nodes to hold; above: nodes of
+        the last of these depths and the log weight of their children, if those are held elsewhere."""
         self.keys, self.one, self.own = [], [], []
         tables = []
-        for d in range(DEPTH, -1, -1):  # a gram counts at its own depth and at every lower one
+        for d in reversed(depths):  # a gram counts at its own depth and at every lower one
             mask = U64((1 << 8 * (d + 1)) - 1)
             here = level >= d
             k, n = _sum_equal(keys[here] & mask, counts[here].astype(float))
             tables.append(self._nodes(k, n))
-        below = None
-        for d, (k, n0, n1) in zip(range(DEPTH, -1, -1), tables, strict=True):
+        below = above
+        for d, (k, n0, n1) in zip(reversed(depths), tables, strict=True):
             own = log_kt(n0, n1)
             weighted, weight = own.copy(), np.ones(len(k))
             if below is not None and len(below[0]):
-                kc, wc = below
-                parent = (kc >> U64(9) & U64((1 << 8 * d) - 1)) << U64(9) | kc & U64(511)
+                parent, wc = below
                 at = np.searchsorted(k, parent)
                 inner = np.bincount(at, minlength=len(k)) > 0
                 children = np.bincount(at, wc, len(k))
                 weighted[inner] = np.logaddexp(own[inner], children[inner]) - np.log(2)
                 weight[inner] = 1 / (1 + np.exp(-np.clip(own - children, -60, 60)[inner]))
-            below = (k, weighted)
+            below = ((k >> U64(9) & U64((1 << 8 * max(d - 1, 0)) - 1)) << U64(9) | k & U64(511), weighted)
             self.keys.insert(0, k)
             self.one.insert(0, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32))
             self.own.insert(0, weight.astype(np.float32))
+        self.above = _sum_equal(*below)
+
+    def on(self, trunk: Tree) -> Tree:
+        """The tree of a trunk's nodes and these deeper ones."""
+        out = copy(self)
+        out.keys, out.one, out.own = trunk.keys + self.keys, trunk.one + self.one, trunk.own + self.own
+        return out
 
     @staticmethod
     def _nodes(grams_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,39 +275,80 @@ class Tree:
         return out
 
 
-class Scorer:
-    """A tree and, for the grams of full depth it was built from, their probabilities in a hash table."""
+def branches(keys: np.ndarray, counts: np.ndarray) -> Tree:
+    """The nodes deeper than the trunk of a shard's grams."""
+    return Tree(keys, np.full(len(keys), DEPTH), counts, range(TRUNK_DEPTH + 1, DEPTH + 1))
+
+
+def trunk_of(grams_: DataFrame) -> tuple[Tree, int]:
+    """(the nodes up to TRUNK_DEPTH, occurrences of all grams), from packed shards of grams (column blob)."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                keys, n = _unpack(blob)
+                low = _sum_equal(keys & U64((1 << 8 * (TRUNK_DEPTH + 1)) - 1), n)
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(*low)], pa.binary()), pa.array([_pack(*branches(keys, n).above)], pa.binary())], names=["low", "above"])
+
+    got = grams_.mapInArrow(trimmed(part), "low binary, above binary").collect()  # a suffix of TRUNK_DEPTH bytes is in one shard only
+    none = [np.zeros(0, U64), np.zeros(0, np.int64)], [np.zeros(0, U64), np.zeros(0)]
+    low, above = (_sum_equal(*map(np.concatenate, zip(*(_unpack(r[k]) for r in got), strict=True))) if got else none[k] for k in (0, 1))
+    return Tree(low[0], np.full(len(low[0]), TRUNK_DEPTH), low[1], range(TRUNK_DEPTH + 1), above), int(low[1].sum())
+
 
-    def __init__(self, keys: np.ndarray, level: np.ndarray, counts: np.ndarray):
-        self.tree = Tree(keys, level, counts)
-        full = np.unique(keys[level == DEPTH])
-        size = 1 << max(4, int(2 * len(full)).bit_length())
+class Known:
+    """A hash table of grams and their log10 probabilities."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray):
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
         self.slots, self.value = np.full(size, ~U64(0)), np.zeros(size, np.float32)
-        value = np.concatenate([self.tree.log10(full[a : a + FLUSH]) for a in range(0, len(full), FLUSH)] or [np.zeros(0)])
-        at = (mix64(full) & U64(size - 1)).astype(np.int64)
-        while len(full):
+        at = (mix64(keys) & U64(size - 1)).astype(np.int64)
+        while len(keys):
             won = np.zeros(len(at), bool)
             won[np.unique(at, return_index=True)[1]] = True
             won &= self.slots[at] == ~U64(0)
-            self.slots[at[won]], self.value[at[won]] = full[won], value[won]
-            full, value, at = full[~won], value[~won], (at[~won] + 1) % size
+            self.slots[at[won]], self.value[at[won]] = keys[won], value[won]
+            keys, value, at = keys[~won], value[~won], (at[~won] + 1) % size
 
-    def log10(self, g: np.ndarray) -> np.ndarray:
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability or 0, is it known?) of every gram."""
         size = len(self.slots)
         at, out, todo = (mix64(g) & U64(size - 1)).astype(np.int64), np.zeros(len(g)), np.arange(len(g))
-        missing = []
+        known = np.zeros(len(g), bool)
         while len(todo):
             got = self.slots[at]
             hit, free = got == g[todo], got == ~U64(0)
             out[todo[hit]] = self.value[at[hit]]
-            missing.append(todo[free])
+            known[todo[hit]] = True
             more = ~(hit | free)
             todo, at = todo[more], (at[more] + 1) % size
-        missing = np.concatenate(missing) if missing else todo
-        if len(missing):
-            distinct, of = np.unique(g[missing], return_inverse=True)
-            out[missing] = self.tree.log10(distinct)[of]
-        return out
+        return out, known
+
+
+def _asked(item: np.ndarray, doc: np.ndarray, key: np.ndarray, shard_of: Callable[[np.ndarray], np.ndarray]) -> list[tuple[int, bytes]]:
+    """Occurrences of items in documents, by the items' shards: items, how often each occurs, the document of each occurrence and
+    the documents' keys."""
+    order = np.argsort(item, kind="stable")
+    item, doc = item[order], doc[order]
+    lead = np.ones(len(item), bool)
+    lead[1:] = item[1:] != item[:-1]
+    shard = shard_of(item)
+    order = np.argsort(shard, kind="stable")
+    found = []
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+        mine = lead[part]
+        docs_, of = np.unique(doc[part], return_inverse=True)
+        found.append((int(shard[part[0]]), b"".join(len(x).to_bytes(8, "little") + x for x in (_pack(item[part[mine]]), _pack(np.diff(np.append(np.flatnonzero(mine), len(part))).astype(np.int32)), _pack(of.astype(np.int32)), _pack(key[docs_])))))
+    return found
+
+
+def _asked_parts(blob: bytes) -> list[np.ndarray]:
+    parts, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at : at + 8], "little")
+        parts.append(_unpack(blob[at + 8 : at + 8 + size])[0])
+        at += 8 + size
+    return parts
 
 
 # --- scoring ----------------------------------------------------------------------------------
@@ -350,8 +360,8 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
 
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
-    n_words = int(texts.select(F.sum(F.octet_length("text"))).first()[0] or 0) // 4
-    shards = max(MIN_SHARDS, n_words // SHARD_WORDS + 1)
+    n_bytes = int(texts.select(F.sum(F.octet_length("text"))).first()[0] or 0)
+    shards = max(MIN_SHARDS, n_bytes // SHARD_BYTES + 1)
     counts = durable(corpus_counts(texts, shards))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,15 +382,31 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
 
     hot = [_unpack(r[0]) for r in words.select("blob").mapInArrow(trimmed(often), "blob binary").collect()]  # at most 1 / HOT_SHARE words
     hot = _sum_equal(*map(np.concatenate, zip(*hot, strict=True))) if hot else (np.zeros(0, U64), np.zeros(0, np.int64))
-    shared = spark.sparkContext.broadcast((Scorer(*_orders(counts)), hot))
+
+    grams_ = counts.where("kind = 0").select("blob")
+    tree, n_grams = trunk_of(grams_)
+    trunk = spark.sparkContext.broadcast(tree)
+    common = max(1, int(np.ceil(HOT_SHARE * n_grams)))
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                keys, c = _unpack(blob)
+                chosen = keys[c >= common]
+                if len(chosen):
+                    yield pa.RecordBatch.from_arrays([pa.array([_pack(chosen, branches(keys, c).on(trunk.value).log10(chosen).astype(np.float32))], pa.binary())], names=["blob"])
+
+    known_grams = [_unpack(r[0]) for r in grams_.mapInArrow(trimmed(valued), "blob binary").collect()]  # at most 1 / HOT_SHARE grams
+    shared = spark.sparkContext.broadcast((Known(*(map(np.concatenate, zip(*known_grams, strict=True)) if known_grams else (np.zeros(0, U64), np.zeros(0)))), hot))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, (hot_keys, hot_counts) = shared.value
+        known_table, (hot_keys, hot_counts) = shared.value
         for batch in batches:
             for p in pieces(batch, "text", PIECE_BYTES):
                 w = words_of(p.column("text"), lower=True)
                 g, size = grams(*plain_text(w))
-                score = np.add.reduceat(scorer.log10(g), np.cumsum(size) - size)
+                value, is_known = known_table.find(g)
+                score = np.add.reduceat(value, np.cumsum(size) - size)
                 tokens, first = word_hashes(w)
                 at = np.minimum(np.searchsorted(hot_keys, tokens), max(len(hot_keys) - 1, 0))
                 is_hot = hot_keys[at] == tokens if len(hot_keys) else np.zeros(len(tokens), bool)
@@ -390,51 +416,57 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
                 known = np.add.reduceat(is_hot.astype(np.int64), first[:-1])
                 ids = p.column("doc_id")
                 yield _rows(2, _deal(key % shards, key, np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), np.diff(first), known, np.add.reduceat(logs, first[:-1]), score))
-                cold, cold_doc = tokens[~is_hot], doc[~is_hot]
-                order = np.argsort(cold, kind="stable")
-                cold, cold_doc = cold[order], cold_doc[order]
-                lead = np.flatnonzero(np.concatenate([[True], cold[1:] != cold[:-1]])) if len(cold) else np.zeros(0, np.int64)
-                shard = (cold % U64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                found = []
-                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-                    mine = np.zeros(len(part), bool)
-                    mine[np.isin(part, lead, assume_unique=True)] = True
-                    docs_, of = np.unique(cold_doc[part], return_inverse=True)
-                    found.append((int(shard[part[0]]), b"".join(len(x).to_bytes(8, "little") + x for x in (_pack(cold[part[mine]]), _pack(np.diff(np.append(np.flatnonzero(mine), len(part))).astype(np.int32)), _pack(of.astype(np.int32)), _pack(key[docs_])))))
-                yield _rows(3, found)
+                yield _rows(3, _asked(tokens[~is_hot], doc[~is_hot], key, lambda k: (k % U64(shards)).astype(np.int64)))
+                yield _rows(4, _asked(g[~is_known], np.repeat(np.arange(p.num_rows), size)[~is_known], key, lambda k: _gram_shard(k, shards)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cold words meet their counts; documents' sums go on to the documents."""
+        """Cold words meet their counts and cold grams their branches; documents' sums go on to the documents."""
         now, keys, c = None, np.zeros(0, U64), np.zeros(0, np.int64)
+        tree, asked, n_asked = None, [], 0
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            distinct, of = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+            value = np.repeat(tree.log10(distinct)[of], np.concatenate([x[1] for x in asked]))
+            doc_keys, doc = np.unique(np.concatenate([x[3][x[2]] for x in asked]), return_inverse=True)
+            yield _rows(4, _deal(doc_keys % shards, doc_keys, np.bincount(doc, value, len(doc_keys))))
+
         for b in batches:
             for kind, shard, blob in zip(*(b.column(k).to_pylist() for k in ("kind", "shard", "blob")), strict=True):
-                if kind == 2:
-                    yield _rows(2, [(shard, blob)])
-                    continue
                 if shard != now:
+                    if asked:
+                        yield from answer()
                     now, keys, c = shard, keys[:0], c[:0]
-                if kind == 1:
+                    tree, asked, n_asked = None, [], 0
+                if kind == 0:
+                    tree = branches(*_unpack(blob)).on(trunk.value)
+                elif kind == 1:
                     keys, c = _unpack(blob)
-                    continue
-                parts, at = [], 0
-                while at < len(blob):
-                    size = int.from_bytes(blob[at : at + 8], "little")
-                    parts.append(_unpack(blob[at + 8 : at + 8 + size])[0])
-                    at += 8 + size
-                cold, times, of, doc_keys = parts
-                place = np.minimum(np.searchsorted(keys, cold), max(len(keys) - 1, 0))
-                got = np.where(keys[place] == cold, c[place], 0) if len(keys) else np.zeros(len(cold), np.int64)
-                got = np.repeat(got, times)
-                sums = np.bincount(of, np.log10(got + 0.1), len(doc_keys))
-                known = np.bincount(of, got > 0, len(doc_keys)).astype(np.int64)
-                yield _rows(3, _deal(doc_keys % shards, doc_keys, known, sums))
+                elif kind == 2:
+                    yield _rows(2, [(shard, blob)])
+                elif kind == 3:
+                    cold, times, of, doc_keys = _asked_parts(blob)
+                    place = np.minimum(np.searchsorted(keys, cold), max(len(keys) - 1, 0))
+                    got = np.where(keys[place] == cold, c[place], 0) if len(keys) else np.zeros(len(cold), np.int64)
+                    got = np.repeat(got, times)
+                    sums = np.bincount(of, np.log10(got + 0.1), len(doc_keys))
+                    known = np.bincount(of, got > 0, len(doc_keys)).astype(np.int64)
+                    yield _rows(3, _deal(doc_keys % shards, doc_keys, known, sums))
+                else:
+                    if tree is None:
+                        tree = branches(np.zeros(0, U64), np.zeros(0, np.int64)).on(trunk.value)
+                    asked.append(_asked_parts(blob))
+                    n_asked += len(asked[-1][2])
+                    if n_asked > ASK_GRAMS:
+                        yield from answer()
+                        asked, n_asked = [], 0
+        if asked:
+            yield from answer()
 
     base = float(np.log10(n + 0.1 * (v + 1)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of a shard's documents; equal rows got each other's sums too and share them."""
-        now, rows, sums = None, [], []
+        now, rows, sums, gram_sums = None, [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
             if not rows:
@@ -446,18 +478,21 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
                 at = np.searchsorted(distinct, k)
                 known = known + (np.bincount(at, more_known, len(distinct)) / times)[of].round().astype(np.int64)
                 logs = logs + (np.bincount(at, more, len(distinct)) / times)[of]
+            if gram_sums:
+                k, more = map(np.concatenate, zip(*gram_sums, strict=True))
+                score = score + (np.bincount(np.searchsorted(distinct, k), more, len(distinct)) / times)[of]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=~valid), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs - tokens * base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for b in batches:
             for kind, shard, blob in zip(*(b.column(k).to_pylist() for k in ("kind", "shard", "blob")), strict=True):
                 if shard != now:
                     yield from close()
-                    now, rows, sums = shard, [], []
-                (rows if kind == 2 else sums).append(_unpack(blob))
+                    now, rows, sums, gram_sums = shard, [], [], []
+                {2: rows, 3: sums, 4: gram_sums}[kind].append(_unpack(blob))
         yield from close()
 
     keyed = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    found = keyed.mapInArrow(trimmed(read), _BLOBS).unionByName(words)
+    found = keyed.mapInArrow(trimmed(read), _BLOBS).unionByName(counts)
     met = found.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(trimmed(look_up), _BLOBS)
     done = met.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(trimmed(finish), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(n).cast("long"))

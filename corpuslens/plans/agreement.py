@@ -175,7 +175,7 @@ def scalable_clusters(t):  # D9
 
 @query()
 def bootstrap_ci(t):  # M18
-    return C.bootstrap_ci(t.labels.select("doc_id", "quality"), "quality", 200)
+    return C.bootstrap_ci(t.labels.select("doc_id", "quality"), "quality")
 
 
 @query("""with a as (select doc_id item, quality label from labels union all select doc_id, toxic from labels), c as (select item, label, count(*) c from a group by all), m as (select item, sum(c) m, sum(c * (c - 1)) s from c group by 1 having sum(c) >= 2),

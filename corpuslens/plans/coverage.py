@@ -89,8 +89,8 @@ def tension_prevalence(t):  # M46
 
 @query("with w as (select doc_id, unnest(string_split(text, chr(10))) claim, generate_subscripts(string_split(text, chr(10)), 1) pos from documents where doc_id < 50 and text is not null), f as (select claim, min((doc_id, pos)) f from w where claim <> '' group by 1) select claim from f order by f limit 40")
 def claims_list(t):  # M47
-    w = t.documents.where("doc_id < 50").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "claim")).where("claim <> ''")
-    return w.groupBy("claim").agg(F.min(F.struct("doc_id", "pos")).alias("f")).orderBy("f").limit(40).select("claim")
+    w = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "claim")).where("claim <> ''")
+    return w.groupBy("claim").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")).alias("f")).orderBy("f").limit(40).select("claim")
 
 
 @query("select event, total, round(rate, 6) rate, case when rate >= 0.6 then 'transfers' when rate >= 0.4 then 'partial' else 'fails' end band from (select vec_id % 3 event, count(*) total, avg(cast(label in (1, 2, 3, 4, 5) as int)) rate from embeddings group by 1)")

@@ -138,7 +138,7 @@ def cooccurrence_rates(t):  # M12 J18
 
 
 @query(f"with {RATES}, q as (select cluster, i item, together / sampled r from pr union all select cluster, j, together / sampled from pr), mm as (select cluster, item, avg(r) m from q group by all) select cast(cluster as bigint) cluster, n, round(mean_rate, 6) mean_rate, core from (select cluster, count(*) n, count(*) filter (round(m, 9) >= 0.8) core from mm group by 1) join (select cluster, avg(together / sampled) mean_rate from pr group by 1) using (cluster)")
-def hard_core(t):  # M12 M13
+def hard_core(t):  # M12
     r = G.cooccurrence(t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label")), bootstrap_runs(t))
     return G.hard_core(r).select("cluster", "n", F.round("mean_rate", 6).alias("mean_rate"), "core")
 
@@ -149,7 +149,7 @@ def cluster_jaccard(t):  # J15 J18 M2f
 
 
 @query()
-def hungarian_match(t):  # D10 M14
+def hungarian_match(t):  # D10
     return C.match_clusters(labelings(t)).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -163,7 +163,7 @@ def taxonomy_transfer(t):  # M15 U5
 
 
 @query()
-def agglomerative_clusters(t):  # D8 D11
+def agglomerative_clusters(t):  # D8
     e = t.embeddings.withColumn("chunk", F.floor(F.col("vec_id") / 80).cast("long"))
     return C.cluster_groups(e, "chunk", "vec_id", "embedding", 8)
 

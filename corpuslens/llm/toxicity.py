@@ -4,8 +4,10 @@ Words are hashed into an embedding table together with their beginnings of a few
 so inflected and unseen forms share what was learnt.  Filters of several widths run over a text's
 words, each is max-pooled over the whole text, and a logistic unit weighs the pooled values.
 
-The classifier is fitted on the driver on a bounded sample (MAX_ROWS labelled rows and MAX_WORDS
-words, in hash order of the id; both parameters); scoring is one narrow pass over whole texts.
+The classifier is fitted on the driver on a bounded sample of labelled rows, in hash order of the id:
+at most MAX_ROWS rows and MAX_WORDS words, no row of more than MAX_ROW_WORDS words (all parameters; a
+row that does not fit is passed over, those after it are not).  Scoring is one narrow pass over whole
+texts; the convolution runs over BLOCK_PLACES words at a time, so memory per word is a few integers.
 
 Thresholds are calibrated by language: the language is told from the text alone (a bag-of-words
 model learnt from the sample), each language's best threshold is found on sample rows the filters
@@ -32,6 +34,9 @@ from .common import hash_spans, pieces, trimmed, words_of
 
 MAX_ROWS = 5_000
 MAX_WORDS = 2_500_000
+MAX_ROW_WORDS = 250_000
+BLOCK_PLACES = 1 << 16
+BATCH_WORDS = 1 << 18
 CUT = 0.7
 PIECE_BYTES = 1 << 20
 PREFIXES = (3, 4, 5, 6)
@@ -39,6 +44,7 @@ WIDTHS = (1, 2, 3)
 
 #: what parts words here: all ASCII but letters and digits
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words, for the JVM
 
 
 @dataclass
@@ -120,10 +126,33 @@ def _forward(m: Model, b: Bags) -> tuple[np.ndarray, ...]:
     return places, first, x, c, pooled
 
 
+def _pooled(m: Model, b: Bags) -> np.ndarray:
+    """The last of _forward's results, block by block: a block's windows may read into the next one."""
+    places, first = _padded(b, m.widths)
+    reach = max(m.widths) - 1
+    body = np.maximum(first[1:] - reach, first[:-1] + 1)  # windows that begin behind hold no word
+    out = np.full((len(first) - 1, len(m.widths) * m.filters), -np.inf, np.float32)
+    for lo in range(0, len(places), BLOCK_PLACES):
+        hi = min(lo + BLOCK_PLACES, len(places))
+        used, inverse = np.unique(places[lo : hi + reach], return_inverse=True)
+        vectors = _embed(m, b.features[np.maximum(used, 0)])
+        vectors[used < 0] = 0
+        c = _convolve(m, vectors[inverse])
+        a, z = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left")
+        begin, end = np.maximum(first[a:z], lo) - lo, np.minimum(body[a:z], hi) - lo
+        some = end > begin
+        edges = np.stack([begin[some], end[some]], axis=1).ravel()
+        if len(edges):
+            c = np.concatenate([c, np.full((1, c.shape[1]), -np.inf, np.float32)])  # lets an end be the last row
+            docs = np.arange(a, z)[some]
+            out[docs] = np.maximum(out[docs], np.maximum.reduceat(c, edges, axis=0)[::2])
+    return out
+
+
 def logits(m: Model, b: Bags) -> np.ndarray:
     if len(b.first) < 2:
         return np.zeros(0)
-    pooled = _forward(m, b)[-1]
+    pooled = _pooled(m, b)
     return (np.maximum(pooled + m.bias, 0) @ m.out[:-1] + m.out[-1]).astype(np.float64)
 
 
@@ -131,8 +160,11 @@ def language_of(m: Model, b: Bags) -> np.ndarray:
     n = len(b.first) - 1
     if m.lang_table.shape[1] < 2 or not len(b.ids):
         return np.zeros(n, np.int64)
-    votes = np.concatenate([np.zeros((1, m.lang_table.shape[1])), np.cumsum(m.lang_table[b.features[b.ids, 0]], axis=0, dtype=np.float64)])
-    return np.argmax(votes[b.first[1:]] - votes[b.first[:-1]], axis=1)
+    votes = np.zeros((n, m.lang_table.shape[1]))
+    doc = np.repeat(np.arange(n), np.diff(b.first))
+    for k in range(votes.shape[1]):
+        votes[:, k] = np.bincount(doc, m.lang_table[b.features[:, 0], k][b.ids], n)
+    return np.argmax(votes, axis=1)
 
 
 def scores(m: Model, b: Bags) -> np.ndarray:
@@ -174,9 +206,9 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], *, epochs
     for _ in range(max(epochs, -(-steps * batch // max(len(learn), 1)))):
         order = rng.permutation(learn)
         order = order[np.argsort(n[order] // 256 + rng.random(len(order)) * 4, kind="stable")]  # batches of like length
-        cuts = np.arange(0, len(order), batch)
-        for at in rng.permutation(len(cuts)):
-            docs = order[cuts[at] : cuts[at] + batch]
+        batches = _batches(order, n, batch)
+        for at in rng.permutation(len(batches)):
+            docs = batches[at]
             grads = _gradients(m, _take(bags, docs), labels[docs], weight[docs])
             for p, s, g in zip(params, squares, grads, strict=True):
                 if isinstance(g, tuple):
@@ -190,6 +222,17 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], *, epochs
     return m
 
 
+def _batches(order: np.ndarray, n: np.ndarray, batch: int) -> list[np.ndarray]:
+    """Runs of at most batch rows and BATCH_WORDS words (one row at least)."""
+    cuts, rows, words = [], 0, 0
+    for k, size in enumerate(n[order].tolist()):
+        if rows == batch or rows and words + size > BATCH_WORDS:
+            cuts.append(k)
+            rows = words = 0
+        rows, words = rows + 1, words + size
+    return np.split(order, cuts)
+
+
 def _gradients(m: Model, b: Bags, y: np.ndarray, weight: np.ndarray) -> list:
     places, first, x, c, pooled = _forward(m, b)
     docs, width = pooled.shape
@@ -265,19 +308,19 @@ def _calibrate(m: Model, b: Bags, y: np.ndarray, least: int = 20) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, seed: int = 42) -> Model:
-    """Fit on at most max_rows rows of labels for which learn holds, in hash order of doc_id, and max_words words."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_row_words: int = MAX_ROW_WORDS, seed: int = 42) -> Model:
+    """Fit on rows of labels for which learn holds, in hash order of doc_id, as far as they fit the bounds."""
     chosen = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     chosen = chosen.withColumn("_h", F.xxhash64(F.lit(seed), "_id")).orderBy("_h", "_id").limit(max_rows)  # max_rows rows are broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "_id")
-    texts, ys, langs, words = [], [], [], 0
-    for r in rows.orderBy("_h", "_id", "text").select("text", "_y", "lang").limit(2 * max_rows).toLocalIterator():
-        words += (r[0] or "").count(" ") + 1
-        if words > max_words:
-            break
-        texts.append(r[0] or "")
-        ys.append(r[1])
-        langs.append(r[2])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "_id")
+    rows = rows.withColumn("n", F.regexp_count("text", F.lit(WORD_PATTERN))).where(F.col("n") <= min(max_row_words, max_words))
+    texts, ys, langs, left = [], [], [], max_words
+    for text, y, lang, n in rows.orderBy("_h", "_id", "text").select("text", "_y", "lang", "n").limit(2 * max_rows).toLocalIterator():
+        if n <= left:
+            left -= n
+            texts.append(text)
+            ys.append(y)
+            langs.append(lang)
     return fit(texts, np.array(ys, float), langs)
 
 

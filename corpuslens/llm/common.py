@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
+HOT_KEY_SHARE = 1e-4
+HOT_KEY_ROWS = 64
 U64 = np.uint64
 
 #: space and \t \n \v \f \r: what parts words everywhere in this subpackage
@@ -59,6 +61,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_counted(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with side, whose column n tells how many of the total rows have its key.  Keys with more than HOT_KEY_SHARE of the
+    rows (so at most 1 / HOT_KEY_SHARE of them) are broadcast and their rows stay where they are; the others are shuffled."""
+    most = max(HOT_KEY_ROWS, int(total * HOT_KEY_SHARE))
+    hot = F.broadcast(side.where(F.col(n) > most).drop(n))
+    cold = side.where(F.col(n) <= most).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def pieces(batch: pa.RecordBatch, text: str, max_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch between rows so that each piece has about max_bytes of text (one row at least)."""
     if not batch.num_rows:

@@ -1,14 +1,21 @@
 """Operator 5: SimHash near-duplicates with pivot distance tables.
 
-Fingerprints: 64 bits by majority over the XXH64 hashes of a text's word shingles.  Equal
-fingerprints are one node, so copies never meet in a comparison.
+Fingerprints: 64 bits by majority over the XXH64 hashes of a text's word shingles (or, for a
+similarity, WIDE_WORDS times 64 bits over its distinct shingles).  Equal fingerprints are one node,
+so copies never meet in a comparison.
 
 Pairs: fingerprints that differ in at most d bits agree in at least k of d + k blocks of bits, so
 nodes are looked up under every choice of k blocks out of d + k; k grows with the number of nodes
-so that such a group holds at most MEAN_GROUP nodes on average.  Within a group the method decides: distances of
-every fingerprint to many reference fingerprints (pivots, drawn from the data by hash) are
-tabulated; by the triangle inequality a pair whose distances to any pivot differ by more than d is
-discarded, and the survivors are verified.  Only a spanning forest of a group's links is emitted.
+so that such a group holds at most MEAN_GROUP random nodes (up to 4 x 10^12 nodes).  Within a group
+the method decides: distances of every fingerprint to many reference fingerprints (pivots, drawn
+from the data by hash) are tabulated; by the triangle inequality a pair whose distances to any
+pivot differ by more than d is discarded, and the survivors are verified.  Only a spanning forest
+of a group's links is emitted.
+
+A similarity of word shingles (Jaccard) asks for a wide radius: d is the
+distance that wide fingerprints of so similar texts have, and SLACK standard deviations.  No exact
+choice of blocks is small there, so nodes are looked up under samples of bits, as many as find a
+pair at distance d with probability FOUND (nearer pairs with more), and decided in the same way.
 
 Hot groups (more than GROUP_ROWS nodes) are dealt into chunks by hash and every two chunks meet in
 a task of their own, exactly; a task walks its nodes breadth-first, comparing each only with nodes
@@ -16,13 +23,14 @@ not reached yet, so a dense group costs a few passes and emits less links than i
 
 Defined cases: a text without words has fingerprint 0, linked like any other; null text is empty;
 null ids take part but are no component's id (unless it has no other); repeated rows share a
-fingerprint; other columns are ignored; an empty table gives an empty result.
+fingerprint; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, pieces, spans, trimmed, words_of
+from .common import durable, join_counted, mix64, pieces, spans, trimmed, window_hashes, words_of
 from .components import connected_components
 
 PIECE_BYTES = 2 << 20
 GROUP_ROWS = 4096
-SMALL_GROUP = 256
+SMALL_GROUP = 512
 PIVOTS = 32
-MEAN_GROUP = 4096
+MEAN_GROUP = 128
+FINGERPRINT_DOCS = 256
+WIDE_WORDS = 4
+SLACK = 1.0
+FOUND = 0.99
 
 
 def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -63,16 +75,51 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
     return out
 
 
-def fingerprint_table(docs: DataFrame, *, shingle: int = 4, seed: int = 42, extra: bool = False) -> DataFrame:
-    """(doc_id, fp), with extra also _row: fingerprints as signed 64-bit numbers."""
-    more = ["_row"] if extra else []
+def wide_fingerprints(texts: pa.Array, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """(texts, WIDE_WORDS): the fingerprint of every text over its distinct shingles, hashed from the words' hashes."""
+    w = words_of(texts, lower=True)
+    out = np.zeros((w.n_docs, WIDE_WORDS), np.uint64)
+    h = w.hashes()
+    if not len(h):
+        return out
+    n = w.per_doc
+    doc = np.repeat(np.arange(w.n_docs), np.maximum(n - shingle + 1, 0))
+    full = window_hashes(h, shingle)[spans(w.first[:-1], np.maximum(n - shingle + 1, 0))]
+    short = np.flatnonzero((n > 0) & (n < shingle))  # fewer words: the whole sequence
+    whole = np.array([window_hashes(h[a : a + k], int(k))[0] for a, k in zip(w.first[short], n[short], strict=True)], np.uint64)
+    doc, key = np.concatenate([doc, short]), mix64(np.concatenate([full, whole]) + np.uint64(seed))
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+    doc, key = doc[new], key[new]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    size = np.diff(np.append(first, len(doc)))
+    for k in range(WIDE_WORDS):
+        for a in range(0, len(first), FINGERPRINT_DOCS):  # a few documents at a time: a byte a bit and shingle
+            z = min(a + FINGERPRINT_DOCS, len(first))
+            lo, hi = first[a], first[z] if z < len(first) else len(doc)
+            bits = np.unpackbits(mix64(key[lo:hi] + np.uint64(k)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, first[a:z] - lo, axis=0, dtype=np.int32)
+            out[doc[first[a:z]], k] = np.packbits(2 * ones > size[a:z, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def fingerprint_table(docs: DataFrame, *, shingle: int, seed: int = 42, wide: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns of keep (longs) and the fingerprint as signed numbers f0, f1, ... with node, one number for all of them."""
+    n = WIDE_WORDS if wide else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in pieces(batch, "text", PIECE_BYTES):
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(fingerprints(p.column("text"), shingle, seed).view(np.int64)), *(p.column(k) for k in more)], names=["doc_id", "fp", *more])
+                fp = wide_fingerprints(p.column("text"), shingle, seed) if wide else fingerprints(p.column("text"), shingle, seed)[:, None]
+                node = fp[:, 0].copy()
+                for k in range(1, n):
+                    node = mix64(node) ^ fp[:, k]
+                columns = [node, *fp.T]
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), *(p.column(k) for k in keep), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=["doc_id", *keep, "node", *(f"f{k}" for k in range(n))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(trimmed(run), "doc_id long, fp long" + ", _row long" * extra)
+    kinds = ", ".join(["doc_id long", *(f"`{k}` long" for k in keep), "node long", *(f"f{k} long" for k in range(n))])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(trimmed(run), kinds)
 
 
 def block_masks(n: int, bits: int) -> list[int]:
@@ -86,20 +133,39 @@ def block_masks(n: int, bits: int) -> list[int]:
     raise AssertionError
 
 
+def radius(similarity: float) -> int:
+    """Bits by which wide fingerprints of two texts with this Jaccard similarity differ, and SLACK standard deviations."""
+    share, bits = acos(2 * similarity / (1 + similarity)) / pi, 64 * WIDE_WORDS
+    return round(bits * share + SLACK * sqrt(bits * share * (1 - share)))
+
+
+def bit_samples(n: int, bits: int, seed: int = 42) -> list[np.ndarray]:
+    """Places of bits to look n nodes up under: enough bits for small groups, enough samples to meet pairs at distance bits."""
+    size = max(1, ceil(log(max(n, 2) / MEAN_GROUP, 2)))
+    meet = (1 - bits / (64 * WIDE_WORDS)) ** size
+    rng = np.random.default_rng([seed, size])
+    return [np.sort(rng.choice(64 * WIDE_WORDS, size, replace=False)) for _ in range(ceil(log(1 - FOUND) / log(1 - meet)) if meet < 1 else 1)]
+
+
 def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs i, j those that differ in at most bits bits: pivot by pivot, then verified."""
+    """Of the pairs i, j those that differ in at most bits bits: pivot by pivot, then verified word by word."""
     for p in range(table.shape[1]):
         near = np.abs(table[i, p] - table[j, p]) <= bits
         i, j = i[near], j[near]
         if not len(i):
             return i, j
-    near = np.bitwise_count(fp[i] ^ fp[j]) <= bits
-    return i[near], j[near]
+    far = np.zeros(len(i), np.int16)
+    for k in range(fp.shape[1]):
+        far += np.bitwise_count(fp[i, k] ^ fp[j, k])
+        near = far <= bits
+        i, j, far = i[near], j[near], far[near]
+    return i, j
 
 
 def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that connect the nodes of each group as its close pairs do; groups are runs of equal numbers."""
-    table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+    """fp: (nodes,) or (nodes, words), pivots alike.  Links (positions) that connect the nodes of each group as its close pairs do; groups are runs of equal numbers."""
+    fp, pivots = fp.reshape(len(fp), -1), pivots.reshape(len(pivots), -1)
+    table = np.bitwise_count(fp[:, None, :] ^ pivots[None, :, :]).sum(axis=2, dtype=np.int16)
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.concatenate([begin, [len(group)]]))
     left, right = [], []
@@ -124,21 +190,56 @@ def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> t
                     right.append(hit)
                     queue.extend(hit)
                     rest = rest[~np.isin(rest, hit, assume_unique=True)]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    tree = _forest(len(fp), i, j)
+    return i[tree], j[tree]
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Those of the links i, j of n nodes that suffice to connect what all of them connect."""
+    root, found, open_ = np.arange(n), [], np.arange(len(i))
+    while True:
+        a, b = root[i[open_]], root[j[open_]]
+        open_, a, b = open_[a != b], a[a != b], b[a != b]
+        if not len(open_):
+            return np.concatenate(found) if found else open_
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((low, high))  # each root hooks once, to the smallest it meets
+        first = order[np.flatnonzero(np.concatenate([[True], np.diff(high[order]) > 0]))]
+        found.append(open_[first])
+        root[high[first]] = low[first]
+        while (root != root[root]).any():
+            root = root[root]
 
 
 def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp) that leave no close pair unconnected."""
-    count = nodes.count()
-    pivots = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(PIVOTS).collect()], np.int64).view(np.uint64)
-    masks = block_masks(count, bits)
-    keyed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("g")).select("fp", "g.t", "g.key")
+    """(u, v): links between nodes (node, f0, ...) that leave no close pair unconnected; of wide fingerprints, as many as FOUND says."""
+    names = [c for c in nodes.columns if c != "node"]
+    count, wide = nodes.count(), len(names) > 1
+    few = PIVOTS // WIDE_WORDS if wide else PIVOTS  # pivots discard little at a wide radius
+    pivots = np.array([list(r) for r in nodes.select(*names).orderBy(F.xxhash64("node"), "node").limit(few).collect()], np.int64).reshape(-1, len(names)).view(np.uint64)
+    samples = bit_samples(count, bits) if wide else []
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.stack([b.column(k).to_numpy() for k in names], axis=1)
+            set_ = np.unpackbits(fp.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            for t, places in enumerate(samples):
+                key = set_[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *(b.column(k) for k in ("node", *names))], names=["t", "key", "node", *names])
+
+    if wide:
+        keyed = nodes.mapInArrow(trimmed(looked_up), ", ".join(["t int", "key long", "node long", *(f"{k} long" for k in names)]))
+    else:
+        masks = block_masks(count, bits)
+        keyed = nodes.select("node", "f0", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("g")).select("g.t", "g.key", "node", "f0")
     hot = keyed.groupBy("t", "key").count().where(F.col("count") > GROUP_ROWS).select("t", "key", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("chunks"))
     dealt = keyed.join(hot, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("t", "key", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), "fp")
-    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "fp")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("t", "key", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), "node", *names)
+    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -153,9 +254,10 @@ def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
             yield _linked(rest)
 
     def _linked(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = b.column("fp").to_numpy().view(np.uint64)
+        fp = np.stack([b.column(k).to_numpy() for k in names], axis=1).view(np.uint64)
         i, j = links(np.cumsum(_changes(b)), fp, pivots, bits)
-        return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["u", "v"])
+        node = b.column("node")
+        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
 
     return ordered.mapInArrow(trimmed(run), "u long, v long")
 
@@ -177,28 +279,34 @@ def _last_group(b: pa.RecordBatch) -> int:
 def near_duplicates(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach from the document."""
     marked = durable(fingerprint_table(docs, shingle=shingle, seed=seed))
-    return marked.join(_classes(marked, bits), "fp").select("doc_id", "fp", "component_id")
-
-
-def _classes(marked: DataFrame, bits: int) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint."""
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(nodes.select("fp"), bits=bits))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(smallest, "root").select("fp", "root", "component_id")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: the row with the smallest doc_id (null ids last; of equal ids the first by
-    fingerprint and text hash).  One id a component survives, so the choice meets the texts in a join on (doc_id, row)."""
-    rows = docs.withColumn("_row", F.xxhash64("text"))
-    marked = durable(fingerprint_table(rows, extra=True, **{k: v for k, v in options.items() if k != "bits"}))
-    classes = _classes(marked, options.get("bits", 4))
-    first = F.min_by(F.struct("doc_id", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "_row"))
-    chosen = marked.join(classes, "fp").groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_r"))
-    kept = rows.join(chosen, rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row"]).drop("_row")
+    classes, total = _classes(marked, bits)
+    return join_counted(marked.select("doc_id", "node"), classes.select("node", "component_id", "docs"), "node", "docs", total).select("doc_id", F.col("node").alias("fp"), "component_id")
+
+
+def _classes(marked: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """(node, docs, root, component_id of every distinct fingerprint; rows of marked)."""
+    names = [c for c in marked.columns if c[0] == "f" and c[1:].isdigit()]
+    nodes = durable(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")))
+    total, n_nodes = nodes.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count("*")).first()
+    roots = connected_components(near_links(nodes.select("node", *names), bits=bits))
+    placed = durable(nodes.drop(*names).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return durable(join_counted(placed, smallest, "root", "members", n_nodes).select("node", "docs", "root", "component_id")), total
+
+
+def one_of_each(docs: DataFrame, *, similarity: float | None = None, shingle: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
+    """docs with one row of each component: the row with the smallest doc_id (null ids last; of equal ids the first by text hash;
+    equal rows are one).  Links are those of texts whose shingle sets have the similarity; without one, of 64-bit fingerprints that
+    differ in at most bits bits.  One row key a component survives and meets the texts in one shuffle."""
+    key, wide = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), similarity is not None
+    texts = docs.select("doc_id", "text", key.alias("row"))
+    marked = durable(fingerprint_table(texts, shingle=shingle, seed=seed, wide=wide, keep=["row"]))
+    classes, total = _classes(marked, radius(similarity) if wide else bits)
+    rooted = join_counted(marked.select("doc_id", "row", "node"), classes.select("node", "root", "docs"), "node", "docs", total)
+    chosen = rooted.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.select(key.alias("row"), F.struct(*columns).alias("all")).join(chosen, "row", "left_semi")
+    return kept.groupBy("row").agg(F.min_by("all", F.xxhash64("all.*")).alias("all")).select("all.*")
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -165,7 +165,7 @@ def test_links_of_a_dense_and_of_a_small_group():
 
 def test_hot_groups_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_ROWS", 8)
-    nodes = spark.range(1, 60).select((F.col("id") * F.col("id") % 61).alias("fp")).distinct()
+    nodes = spark.range(1, 60).select((F.col("id") * F.col("id") % 61).alias("node")).distinct().withColumn("f0", F.col("node"))
     edges = [(r.u, r.v) for r in simhash.near_links(nodes, bits=4).collect()]
     assert edges and all((u ^ v).bit_count() <= 4 for u, v in edges)
 

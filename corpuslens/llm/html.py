@@ -2,11 +2,14 @@
 
 A tolerant tokenizer builds the tree (void elements, implied ends of p, li, td ..., raw script and
 style).  Elements that are no article by their tag, role, class or id (navigation, page header,
-footer, sidebar, notice, advert, form, comments) are cut with all they hold.  Every remaining block
-of text gives points for its length and commas to its container and, lessened by distance, to the
-containers above; a container's points are discounted by its link density.  The best container is
-kept whole, widened to the article element around it if there is one, together with siblings that
-score well or read like text.
+footer, sidebar, notice, advert, form, comments) are cut with all they hold.  A class or id counts by
+its whole name or the name's first or last word, unless it tells of a state (has-sidebar,
+comments-open, overflow-hidden); paragraphs and headings count by the whole name only.  An element
+that was marked only by class or as a form but holds most of the page's text around paragraphs (a form
+around a page) is not cut.  Every remaining block of text gives points for its length and commas to
+its container and, lessened by distance, to the containers above; a container's points are discounted
+by its link density.  The best container is kept whole, widened to the article or main element around
+it if there is one, together with siblings that score well or read like text and the page's heading.
 
 Output: character references decoded, white space collapsed, blocks joined by one space.
 
@@ -32,12 +35,19 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CUT_TAGS = set("head script style noscript template iframe nav footer aside form button select option textarea input svg canvas object embed audio video dialog menu map title".split())
+CUT_TAGS = set("head script style noscript template iframe nav footer aside button select option textarea input svg canvas object embed audio video dialog menu map title".split())
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "note"}
 #: words of class and id that mark what is no article
-CUT_WORDS = set("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies social share sharing related recommended newsletter subscribe subscription signup login popup modal overlay widget pager pagination masthead toolbar skip hidden".split())
+CUT_WORDS = set("ad ads adbox adslot adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer comment comments commentlist disqus respond replies social share sharing related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pager pagination masthead toolbar skip hidden".split())
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
+ADVERT_WORDS = {"ad", "ads", "adsbygoogle", "advert", "advertisement", "sponsored", "promo", "cookie", "newsletter"}
+#: what related must be followed by, if by anything
+LISTED_WORDS = {"post", "posts", "article", "articles", "story", "stories", "link", "links", "content", "item", "items", "news", "reading", "topics", "list"}
+#: words that make a name tell of a state, before the marking word and after it
+STATE_BEFORE = {"has", "no", "with", "without", "is", "not", "overflow", "show", "hide", "allow"}
+STATE_AFTER = {"open", "closed", "enabled", "disabled", "visible", "on", "off", "active"}
 WEAK_WORDS = {"header", "top", "tags", "meta"}  # only outside an article
-KEPT_TAGS = {"html", "body", "article", "main"}
+KEPT_TAGS = {"html", "body", "main"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 SCOPE = {"html", "body", "table", "td", "th", "ul", "ol", "dl", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "blockquote"}
@@ -46,29 +56,51 @@ LEVELS = 6  # how far up points are passed
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
-def _cut(tag: str, raw: str, in_article: bool) -> bool:
+def _names(tag: str, value: str, in_article: bool) -> str:
+    """What a class or id makes of an element: "" (nothing), "mark" or "comment"."""
+    out = ""
+    for name in value.split():
+        words = [x.lower() for x in WORD.findall(name)]
+        marks = [k for k in (0, len(words) - 1) if words and words[k] in CUT_WORDS or words and not in_article and words[k] in WEAK_WORDS]
+        if not marks or STATE_BEFORE & set(words) or len(words) > 1 and words[-1] in STATE_AFTER:
+            continue
+        if words[0] == "related" and len(words) > 1 and words[1] not in LISTED_WORDS:
+            continue
+        if tag in LEAF_BLOCKS - {"li"} and len(words) > 1 and not ADVERT_WORDS & {words[0], words[-1]}:
+            continue
+        if COMMENT_WORDS & {words[0], words[-1]}:
+            return "comment"
+        out = "mark"
+    return out
+
+
+def _cut(tag: str, raw: str, in_article: bool) -> str:
+    """"tag" or "comment" if an element is cut, "mark" if it is unless it holds the page, else ""."""
     if tag in CUT_TAGS or tag == "header" and not in_article:
-        return True
-    if not raw or tag in KEPT_TAGS and "comment" not in raw:
-        return False
+        return "tag"
+    out = "mark" if tag == "form" else ""
+    if not raw or tag in KEPT_TAGS:
+        return out
     for name, a, b, c in ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & CUT_WORDS or not in_article and words & WEAK_WORDS:
-                return True
-        elif name == "role" and value.lower() in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            found = _names(tag, value, in_article)
+            if found == "comment":
+                return found
+            out = out or found if tag != "article" else out
+        elif name == "role" and value.lower() in CUT_ROLES - {"form"} or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return "tag"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "tag"
+    return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    # nodes in order of their start: tag, parent, last node inside, nearest block, cut, inside a link
-    tags, parent, last, block, cut, link, article = ["#"], [0], [0], [0], [False], [False], [False]
+    # nodes in order of their start: tag, parent, last node inside, nearest block, kind of cut, nearest node with one, inside a link
+    tags, parent, last, block, kind, near, link, article = ["#"], [0], [0], [0], [""], [0], [False], [False]
+    prose: set[int] = set()  # nearest nodes with a kind of cut around paragraphs
     chunks: list[tuple[int, str]] = []
     stack, at = [0], 0
 
@@ -77,7 +109,7 @@ def main_text(page: str | None) -> str:
             last[stack.pop()] = len(tags) - 1
 
     def text(value: str) -> None:
-        if value and not cut[stack[-1]]:
+        if value and kind[near[stack[-1]]] != "tag":
             chunks.append((stack[-1], _html.unescape(value) if "&" in value else value))
 
     while m := TOKEN.search(page, at):
@@ -107,13 +139,16 @@ def main_text(page: str | None) -> str:
                 if tags[stack[k]] in SCOPE:
                     break
         up = stack[-1]
-        inside = article[up] or tag == "article"
+        inside = article[up] or tag in ("article", "main")
         tags.append(tag)
         parent.append(up)
         last.append(len(tags) - 1)
         node = len(tags) - 1
         block.append(block[up] if tag in INLINE else node)
-        cut.append(cut[up] or _cut(tag, m[3], article[up]))
+        kind.append("tag" if kind[near[up]] == "tag" else _cut(tag, m[3], article[up]))
+        near.append(node if kind[node] else near[up])
+        if tag in ("p", "article", "main"):
+            prose.add(near[node])
         link.append(link[up] or tag == "a")
         article.append(inside)
         if tag not in INLINE:
@@ -130,6 +165,8 @@ def main_text(page: str | None) -> str:
     pop(0)
 
     n = len(tags)
+    cut = _cuts(parent, kind, near, prose, chunks)
+    chunks = [(node, value) for node, value in chunks if not cut[node]]
     chars, linked, commas = [0] * n, [0] * n, [0] * n
     for node, value in chunks:
         size = len(value) - value.count(" ") if len(value) < 4 else len(" ".join(value.split()))
@@ -165,23 +202,27 @@ def main_text(page: str | None) -> str:
         return ""
     home, k = best, best
     while k:
-        if tags[k] == "article":
+        if tags[k] == "article" or tags[k] == "main" and density(k) < 0.5:
             home = k
-            break
+            if tags[k] == "article":
+                break
         k = parent[k]
     kept = [(home, last[home])]
-    if tags[home] != "article":
+    heads = [k for k in range(n) if tags[k] == "h1" and not cut[k]]
+    if len(heads) == 1 and heads[0] < home and last[heads[0]] < home:
+        kept.append((heads[0], last[heads[0]]))
+    if tags[home] not in ("article", "main"):
         least = 0.2 * final[best]
         for s in range(1, n):
             if s != home and parent[s] == parent[home] and not cut[s] and home:
                 size = total[last[s] + 1] - total[s]
                 reads = tags[s] in LEAF_BLOCKS and size and density(s) < 0.25
-                if final[s] >= least or reads:
+                if (final[s] >= least or reads) and s not in heads[:1]:
                     kept.append((s, last[s]))
     kept.sort()
     out, spot = [], 0
     for node, value in chunks:
-        if any(a <= node <= b for a, b in kept) if len(kept) < 8 else _inside(kept, node):
+        if (any(a <= node <= b for a, b in kept) if len(kept) < 8 else _inside(kept, node)):
             out.append(value)
             spot = 1
         elif spot:
@@ -190,6 +231,25 @@ def main_text(page: str | None) -> str:
     return " ".join("".join(out).split())
 
 
+def _cuts(parent: list[int], kind: list[str], near: list[int], prose: set[int], chunks: list[tuple[int, str]]) -> list[bool]:
+    """Which nodes are cut: all that have a kind or lie in one that has, but for a mark that holds the page."""
+    own: dict[int, int] = {0: 0}
+    for node, value in chunks:
+        own[near[node]] = own.get(near[node], 0) + len(value.strip())
+    spared = set()
+    most = max((s for s in own if kind[s] == "mark" and s in prose), key=lambda s: (own[s], -s), default=0)
+    if most and own[most] > 2 * own[0]:
+        way, s = {most}, near[parent[most]]
+        while s and kind[s] == "mark":
+            way.add(s)
+            s = near[parent[s]]
+        spared = way if not s else set()
+    cut = [False]
+    for k in range(1, len(parent)):
+        cut.append(cut[parent[k]] or bool(kind[k]) and k not in spared)
+    return cut
+
+
 def _inside(spans: list[tuple[int, int]], node: int) -> bool:
     from bisect import bisect_right
 

@@ -5,15 +5,19 @@ A window is 20 consecutive words; a word goes if a window over it also starts ea
 1. Sketch.  Every window is represented by its anchor, the least hash of the 10-word runs inside it:
    equal windows have equal anchors at different places, and neighbouring windows share one, so
    about a sixth as many anchors as windows are counted and an anchor's count is never below a
-   window's.  Each partition makes a count-min sketch of two rows, saturating at two, in sparse
-   form; cell ranges are merged in parallel.  The sketch has a fixed size, a proven bound for what
-   is broadcast: the cells that reached two, 2 x 2^28 bits.
-2. Exact pass.  Only windows whose estimate is two or more are grouped, in shards by hash, packed as
-   arrays.  A piece of a partition sends just its first occurrence of a window (later ones are repeats
-   already), so a passage that a third of the documents share sends one entry a piece; a shard keeps
-   the first place of each hash and passes the others on, so no group is gathered.  Estimates are
-   never too low, so no repeat is lost; a full sketch only lets more windows through.
-3. Places of repeats meet their documents in one shuffle by document and the words go.
+   window's.  Anchors are dealt into cell shards by hash, as many as the corpus asks for (CELL_BYTES
+   of text each), so the sketch's fill does not depend on the corpus.  A piece of a partition is a
+   sparse sketch; a cell shard merges its pieces into count-min rows that saturate at two, and
+   answers each document shard which of the anchors it asked for have an estimate of two or more.
+   Anchors that a piece itself has twice are answered where they are, so a passage that a third of
+   the documents share sends one entry a piece.  Nothing is collected or broadcast.
+2. Exact pass.  Only windows whose anchor was answered are grouped, in shards by hash, packed as
+   arrays.  A document shard sends just its first occurrence of a window (later ones are repeats
+   already); a shard keeps the first place of each hash and passes the others on, so no group is
+   gathered.  Estimates are never too low, so no repeat is lost; a full sketch only lets more
+   windows through.
+3. Places of repeats meet their documents and the words go.  Documents are dealt by key once; the
+   second and the third step read the same shuffle.
 
 Windows are told apart by 64-bit hashes of their words (chance of any mistake about n^2 / 2^65 for n
 windows that pass the sketch).
@@ -25,22 +29,23 @@ under 20 words lose nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import U64, Words, mix64, pieces, spans, trimmed, window_hashes, within_docs, words_of
+from .common import U64, Words, durable, mix64, pieces, spans, trimmed, window_hashes, within_docs, words_of
 
-CELL_BITS = 28
-SHARD_BITS = 22
+CELL_BITS = 24
 ROWS = 2
-FLUSH_CELLS = 2 << 20
+CELL_BYTES = 256 << 20  # text for each cell shard: about 8 million anchors in 2^24 cells a row
+SHARD_BYTES = 48 << 20  # text for each shard of documents, and of windows, at most
+FLUSH_ANCHORS = 2 << 20
 FLUSH_WINDOWS = 1 << 20
-SHARD_WINDOWS = 8 << 20  # words of the corpus for each shard of the exact pass, at most
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -54,115 +59,113 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     return x
 
 
-def _windows(w: Words, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, hashes, anchors) of the windows of all documents, and the hash at every place that is an anchor."""
+def _windows(w: Words, window: int, run: int) -> tuple[np.ndarray, ...]:
+    """(starts, hashes, anchors) of the windows of all documents; the hash at every place that is an anchor, and the place."""
     h = w.hashes()
     inside = within_docs(w.first, window, len(h))
     starts = np.flatnonzero(inside)
     if not len(starts):
-        return starts, h[:0], h[:0], h[:0]
+        return starts, h[:0], h[:0], h[:0], starts
     short, span = mix64(window_hashes(h, run)), window - run + 1
     least = _sliding(short, span, np.minimum)
     # a run is an anchor if it is the least of some window over it; equal runs in one window all count
     edge = np.zeros(span - 1, U64)
     most = _sliding(np.concatenate([edge, np.where(inside, least, U64(0)), edge]), span, np.maximum)
-    return starts, mix64(window_hashes(h, window)[starts]), least[starts], short[most == short]
+    anchors = np.flatnonzero(most == short)
+    return starts, mix64(window_hashes(h, window)[starts]), least[starts], short[anchors], anchors
 
 
-def _cells(anchors: np.ndarray) -> list[np.ndarray]:
-    x = mix64(anchors)
-    return [((x >> U64(r * (64 - CELL_BITS) // max(ROWS - 1, 1))) & U64((1 << CELL_BITS) - 1)).astype(np.int64) for r in range(ROWS)]
+def _cells(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell of each scrambled anchor in every row."""
+    return [(x >> U64(8 + 28 * r) & U64((1 << bits) - 1)).astype(np.int64) for r in range(ROWS)]
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    """Sorted cells: differences, byte planes apart, deflated."""
-    return zlib.compress(np.diff(cells, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _blob(of: np.ndarray, x: np.ndarray) -> bytes:
+    """Anchors x, each with a number, sorted by number."""
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    lead = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return b"".join(y.tobytes() for y in (np.array([len(x), len(lead)], np.int64), of[lead].astype(np.int64), np.diff(np.append(lead, len(of))), x[order]))
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64)
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, k = np.frombuffer(blob, np.int64, 2)
+    head = np.frombuffer(blob, np.int64, 2 * k, 16).reshape(2, k)
+    return np.repeat(head[0], head[1]), np.frombuffer(blob, U64, n, 16 + 16 * k)
 
 
-def repeated_cells(docs: DataFrame, window: int, run: int) -> list[tuple[int, bytes]]:
-    """Merged over all partitions: (shard, deflated bitmap of its cells that reached two); under shard -1 counts of words."""
-    shard_cells = 1 << SHARD_BITS
+_MESSAGE = "kind int, shard int, blob binary"
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, total = [[] for _ in range(ROWS)], 0, 0
+
+def asked_anchors(texts: DataFrame, shards: int, cell_shards: int, window: int, run: int) -> DataFrame:
+    """From texts (text, shard): kind 0 to cell shards: anchors with the document shard that asks, or -1 for those that occur twice
+    here; kind 1 to document shards: such anchors."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            shards, once, twice = [], [], []
-            for r in range(ROWS):
-                cells, n = np.unique(np.concatenate(held[r]), return_counts=True)
-                cuts = np.searchsorted(cells, np.arange(0, (1 << CELL_BITS) + 1, shard_cells))
-                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if a < b:
-                        mine, more = cells[a:b] - s * shard_cells, n[a:b] > 1
-                        shards.append(r << (CELL_BITS - SHARD_BITS) | s)
-                        once.append(_pack(mine[~more]))
-                        twice.append(_pack(mine[more]))
-                held[r].clear()
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["shard", "once", "twice"])
+            x, doc_shard, n = (np.concatenate(y) for y in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((doc_shard, x))
+            x, doc_shard, n = x[order], doc_shard[order], n[order]
+            lead = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            twice = np.repeat(np.add.reduceat(n, lead) > 1, np.diff(np.append(lead, len(x)))) if len(x) else np.zeros(0, bool)
+            once = np.concatenate([[True], (x[1:] != x[:-1]) | (doc_shard[1:] != doc_shard[:-1])])[: len(x)]
+            yield _rows(1, ((d, _blob(np.zeros(len(y), np.int64), y)) for d, (y,) in _deal(doc_shard[once & twice], x[once & twice])))
+            first = lead[twice[lead]]
+            x = np.concatenate([x[~twice & once], x[first]])
+            of = np.concatenate([doc_shard[~twice & once], np.full(len(first), -1)])
+            yield _rows(0, ((c, _blob(*y)) for c, y in _deal((x % U64(cell_shards)).astype(np.int64), of, x)))
 
         for batch in batches:
             for p in pieces(batch, "text"):
                 w = words_of(p.column("text"))
-                total += len(w.start)
-                found = _cells(_windows(w, window, run)[3])
-                for r in range(ROWS):
-                    held[r].append(found[r])
-                count += len(found[0])
-                if count > FLUSH_CELLS:
+                found, at = _windows(w, window, run)[3:]
+                doc_shard = p.column("shard").to_numpy()[np.searchsorted(w.first, at, "right") - 1].astype(np.int64)
+                held.append((mix64(found), doc_shard, np.ones(len(found), np.int64)))
+                count += len(found)
+                if count > FLUSH_ANCHORS:
                     yield from flush()
                     count = 0
         if count:
             yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total.to_bytes(8, "little")], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "once", "twice"])
+
+    return texts.select("text", "shard").mapInArrow(trimmed(ask), _MESSAGE)
+
+
+def answered_anchors(asked: DataFrame, cell_shards: int, cell_bits: int = CELL_BITS) -> DataFrame:
+    """Kind 1 to document shards: of the anchors they asked for, those that the merged sketch estimates at two or more."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, twice, words = -1, None, None, 0
+        now, blobs = None, []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            seen, twice = np.zeros((ROWS, 1 << cell_bits), bool), np.zeros((ROWS, 1 << cell_bits), bool)
+            for blob in blobs:
+                of, x = _unblob(blob)
+                for r, cells in enumerate(_cells(x, cell_bits)):
+                    twice[r, cells[of < 0]] = True
+                    cells = np.sort(cells)
+                    twice[r, cells[1:][cells[1:] == cells[:-1]]] = True
+                    twice[r, cells[seen[r, cells]]] = True
+                    seen[r, cells] = True
+            for blob in blobs:
+                of, x = _unblob(blob)
+                often = of >= 0
+                for r, cells in enumerate(_cells(x, cell_bits)):
+                    often &= twice[r, cells]
+                yield _rows(1, ((d, _blob(np.zeros(len(y), np.int64), y)) for d, (y,) in _deal(of[often], x[often])))
+
         for b in batches:
-            for shard, one, two in zip(*(b.column(k).to_pylist() for k in ("shard", "once", "twice")), strict=True):
-                if shard < 0:
-                    words += int.from_bytes(one, "little")
-                    continue
+            for shard, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 if shard != now:
-                    if now >= 0:
-                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["shard", "cells"])
-                    now, seen, twice = shard, np.zeros(shard_cells, bool), np.zeros(shard_cells, bool)
-                one, two = _unpack(one), _unpack(two)
-                twice[one] |= seen[one]
-                seen[one] = True
-                seen[two] = twice[two] = True
-        if now >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["shard", "cells"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([words.to_bytes(8, "little")], pa.binary())], names=["shard", "cells"])
-
-    parts = docs.select("text").mapInArrow(trimmed(sketch), "shard int, once binary, twice binary")
-    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(trimmed(merge), "shard int, cells binary")
-    return [tuple(r) for r in merged.collect()]  # at most ROWS * 2^CELL_BITS bits
-
-
-class Sketch:
-    """The broadcast cells that reached two; unpacked once in each worker."""
-
-    def __init__(self, blobs: list[tuple[int, bytes]]):
-        self.blobs, self.bits = blobs, None
-
-    def __getstate__(self) -> dict:
-        return {"blobs": self.blobs, "bits": None}
-
-    def often(self, anchors: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            self.bits = np.zeros((ROWS, 1 << (CELL_BITS - 3)), np.uint8)
-            size = 1 << (SHARD_BITS - 3)
-            for shard, blob in self.blobs:
-                r, s = shard >> (CELL_BITS - SHARD_BITS), shard & ((1 << (CELL_BITS - SHARD_BITS)) - 1)
-                self.bits[r, s * size : (s + 1) * size] = np.frombuffer(zlib.decompress(blob), np.uint8)
-        out = np.ones(len(anchors), bool)
-        for r, cells in enumerate(_cells(anchors)):
-            out &= (self.bits[r][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
-        return out
+                    yield from answer()
+                    now, blobs = shard, []
+                blobs.append(blob)
+        yield from answer()
+
+    return asked.where("kind = 0").select("shard", "blob").repartition(cell_shards, "shard").sortWithinPartitions("shard").mapInArrow(trimmed(merge), _MESSAGE)
 
 
 def _pack_windows(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, h: np.ndarray | None = None) -> bytes:
@@ -198,33 +201,31 @@ def _rows(kind: int, found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["kind", "shard", "blob"])
 
 
-def repeated_windows(texts: DataFrame, window: int = 20, run: int = 10) -> tuple[DataFrame, int]:
-    """texts: text, id (its order) and key (its row).  ((shard, blob): places of windows that also start earlier, packed by
-    document, dealt by key; the number of shards)."""
-    spark = texts.sparkSession
-    blobs = repeated_cells(texts, window, run)
-    total = sum(int.from_bytes(b, "little") for s, b in blobs if s < 0)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_WINDOWS + 1)
-    shared = spark.sparkContext.broadcast(Sketch([x for x in blobs if x[0] >= 0]))
+def repeated_windows(dealt: DataFrame, answers: DataFrame, shards: int, window: int, run: int) -> DataFrame:
+    """dealt: text, id (its order), key (its row) and shard; answers: shard, blob.  (shard, blob): places of windows that also start
+    earlier, packed by document, to their document's shard."""
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, repeats, count = [], [], 0
+    def candidates(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        known = [_unblob(b)[1] for b in answers.column("blob").to_pylist()]
+        known = np.unique(np.concatenate(known)) if known else np.zeros(0, U64)
+        firsts, repeats, count, out = [], [], 0, []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> None:
             if firsts:
                 h, ids, keys, at = map(np.concatenate, zip(*firsts, strict=True))
-                yield _rows(0, ((s, _pack_windows(*x[1:], x[0])) for s, x in _deal((h.view(U64) % U64(shards)).astype(np.int64), h, ids, keys, at)))
+                out.append(_rows(0, ((s, _pack_windows(*x[1:], x[0])) for s, x in _deal((h.view(U64) % U64(shards)).astype(np.int64), h, ids, keys, at))))
             if repeats:
                 ids, keys, at = map(np.concatenate, zip(*repeats, strict=True))
-                yield _rows(1, ((s, _pack_windows(*x)) for s, x in _deal(keys % shards, ids, keys, at)))
+                out.append(_rows(1, ((s, _pack_windows(*x)) for s, x in _deal(keys % shards, ids, keys, at))))
             firsts.clear()
             repeats.clear()
 
-        for batch in batches:
+        for batch in texts.select(["text", "id", "key"]).to_batches():
             for p in pieces(batch, "text"):
                 w = words_of(p.column("text"))
-                starts, hashes, anchors, _ = _windows(w, window, run)
-                hit = shared.value.often(anchors)
+                starts, hashes, anchors = _windows(w, window, run)[:3]
+                x = mix64(anchors)
+                hit = known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
                 starts, h = starts[hit], hashes[hit].view(np.int64)
                 doc = np.searchsorted(w.first, starts, "right") - 1
                 ids, keys, at = p.column("id").to_numpy()[doc], p.column("key").to_numpy()[doc], starts - w.first[doc]
@@ -233,9 +234,10 @@ def repeated_windows(texts: DataFrame, window: int = 20, run: int = 10) -> tuple
                 repeats.append(rest[1:])
                 count += len(h)
                 if count > FLUSH_WINDOWS:
-                    yield from flush()
+                    flush()
                     count = 0
-        yield from flush()
+        flush()
+        return pa.Table.from_batches(out or [_rows(0, ())])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -262,9 +264,15 @@ def repeated_windows(texts: DataFrame, window: int = 20, run: int = 10) -> tuple
                     yield from settle()
         yield from settle()
 
-    schema = "kind int, shard int, blob binary"
-    found = texts.select("text", "id", "key").mapInArrow(trimmed(candidates), schema).repartition(shards, "shard").sortWithinPartitions("kind", "shard")
-    return found.mapInArrow(trimmed(repeats), schema).select("shard", "blob"), shards
+    found = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_trimmed_table(candidates), _MESSAGE)
+    return found.repartition(shards, "shard").sortWithinPartitions("kind", "shard").mapInArrow(trimmed(repeats), _MESSAGE).select("shard", "blob")
+
+
+def _trimmed_table(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def then_trim(left: pa.Table, right: pa.Table) -> pa.Table:
+        return next(iter(trimmed(lambda _: iter([run(left, right)]))(iter(()))))
+
+    return then_trim
 
 
 def _first_of_each(h: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -277,48 +285,43 @@ def _first_of_each(h: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndar
     return tuple(x[first] for x in (h, ids, keys, at)), tuple(x[~first] for x in (h, ids, keys, at))
 
 
-def remove_repeats(docs: DataFrame, *, keep: Sequence[str] = (), window: int = 20, run: int = 10) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, keep: Sequence[str] = (), window: int = 20, run: int = 10, shard_bytes: int = SHARD_BYTES, cell_bytes: int = CELL_BYTES, cell_bits: int = CELL_BITS) -> DataFrame:
     """doc_id, the columns of keep, n_words, n_removed and kept_text (the words left, joined by one space)."""
-    texts = docs.select(F.col("doc_id").cast("long"), *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).withColumn("key", F.xxhash64("id", "text"))
-    found, shards = repeated_windows(texts, window, run)
-    dealt = texts.drop("id").withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    both = found.unionByName(dealt, allowMissingColumns=True).repartition(shards, "shard").sortWithinPartitions("shard", F.col("text").isNotNull())
-    names = ["doc_id", *keep]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs, keys, at = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def look_up(q: pa.RecordBatch) -> pa.RecordBatch:
-            w = words_of(q.column("text"))
-            mine = q.column("key").to_numpy()
-            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-            s = at[spans(lo, hi - lo)] + np.repeat(w.first[:-1], hi - lo)
-            gone = np.zeros(len(w.start) + 1, np.int64)
-            np.add.at(gone, s, 1)
-            np.add.at(gone, s + window, -1)
-            left, removed = kept_words(w, ~(np.cumsum(gone[:-1]) > 0))
-            return pa.RecordBatch.from_arrays([*(q.column(k) for k in names), pa.array(w.per_doc, pa.int64()), pa.array(removed, pa.int64()), left], names=[*names, "n_words", "n_removed", "kept_text"])
-
-        for batch in batches:
-            for p in pieces(batch, "text"):
-                shard, is_text = p.column("shard").to_numpy(), p.column("text").is_valid().to_numpy(zero_copy_only=False)
-                change = np.flatnonzero((shard[1:] != shard[:-1]) | (is_text[1:] != is_text[:-1])) + 1
-                for a, b in zip([0, *change], [*change, p.num_rows], strict=True):
-                    if shard[a] != now:
-                        now, blobs, keys, at = shard[a], [], keys[:0], at[:0]
-                    if not is_text[a]:
-                        blobs += p.column("blob").slice(a, b - a).to_pylist()
-                        continue
-                    if blobs:
-                        got = [_unpack_windows(x) for x in blobs]
-                        keys, at = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
-                        order = np.argsort(keys, kind="stable")
-                        keys, at, blobs = keys[order], at[order], []
-                    yield look_up(p.slice(a, b - a))
-
-    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in names)
-    return both.mapInArrow(trimmed(cut), f"{kinds}, n_words long, n_removed long, kept_text string")
+    kept = [F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(keep)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n_bytes) // shard_bytes + 1)
+    cell_shards = int(n_bytes) // cell_bytes + 1
+    texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).withColumn("key", F.xxhash64("id", "text")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    dealt = texts.repartition(shards, "shard")
+    asked = durable(asked_anchors(texts, shards, cell_shards, window, run))
+    answers = asked.where("kind = 1").unionByName(answered_anchors(asked, cell_shards, cell_bits)).select("shard", "blob").repartition(shards, "shard")
+    places = repeated_windows(dealt, answers, shards, window, run).repartition(shards, "shard")
+    names = ["doc_id", *(f"_keep{k}" for k in range(len(keep)))]
+
+    def cut(texts: pa.Table, places: pa.Table) -> pa.Table:
+        got = [_unpack_windows(b) for b in places.column("blob").to_pylist()]
+        keys, at = (np.concatenate([x[k] for x in got]) if got else np.zeros(0, np.int64) for k in (1, 2))
+        order = np.argsort(keys, kind="stable")
+        keys, at, out = keys[order], at[order], []
+        for batch in texts.to_batches():
+            for q in pieces(batch, "text"):
+                w = words_of(q.column("text"))
+                mine = q.column("key").to_numpy()
+                lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+                s = at[spans(lo, hi - lo)] + np.repeat(w.first[:-1], hi - lo)
+                gone = np.zeros(len(w.start) + 1, np.int64)
+                np.add.at(gone, s, 1)
+                np.add.at(gone, s + window, -1)
+                left, removed = kept_words(w, ~(np.cumsum(gone[:-1]) > 0))
+                out.append(pa.RecordBatch.from_arrays([*(q.column(k) for k in names), pa.array(w.per_doc, pa.int64()), pa.array(removed, pa.int64()), left], schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    kinds = [(k, texts.schema[k].dataType) for k in names] + [("n_words", LongType()), ("n_removed", LongType()), ("kept_text", StringType())]
+    result = StructType([StructField(k, t) for k, t in kinds])
+    schema = to_arrow_schema(result)
+    done = dealt.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(_trimmed_table(cut), result)
+    return done.select("doc_id", *(F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)), "n_words", "n_removed", "kept_text")
 
 
 def kept_words(w: Words, keep: np.ndarray) -> tuple[pa.Array, np.ndarray]:

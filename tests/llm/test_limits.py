@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import decontaminate, mixing, simhash, toxicity
+from corpuslens.llm import decontaminate, mixing, simhash, substrings, toxicity
 
 
 def test_hypergeometric_draws_of_any_size(monkeypatch):
@@ -93,8 +93,8 @@ def test_groups_stay_small_at_any_number_of_nodes():
         assert n / 2 ** min(m.bit_count() if m >= 0 else 64 - (~m).bit_count() for m in masks) <= 2 * simhash.MEAN_GROUP
 
 
-def brute_bm25(items, passages):
-    """item → its best share of its own BM25 score over the passages."""
+def own_weights(items):
+    """item → BM25 weight of each of its words as a share of the item's score for itself."""
     from collections import Counter
 
     words = {k: t for k, t in items if t}
@@ -103,14 +103,13 @@ def brute_bm25(items, passages):
     out = {}
     for k, w in words.items():
         weight = {t: math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, f in Counter(w).items()}
-        out[k] = max((sum(x for t, x in weight.items() if t in p) / sum(weight.values()) for p in passages), default=0)
+        out[k] = {t: x / sum(weight.values()) for t, x in weight.items()}
     return out
 
 
 @pytest.mark.parametrize("part_bytes", [1 << 24, 400])
 def test_decontamination_finds_what_plain_bm25_finds(spark, monkeypatch, part_bytes):
     monkeypatch.setattr(decontaminate, "MAX_PART_BYTES", part_bytes)
-    monkeypatch.setattr(decontaminate, "BOUND_CELLS", 50)
     rng = random.Random(8)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("aeiou") * rng.randint(1, 4)
     items = [(k, [word() for _ in range(rng.choice([3, 4, 8, 20, 70, 150]))]) for k in range(50)] + [(60, ["solo"]), (61, ["two", "words"]), (62, [])]
@@ -127,7 +126,7 @@ def test_decontamination_finds_what_plain_bm25_finds(spark, monkeypatch, part_by
     docs += [(200, ["Solo!"]), (201, ["two", "words"]), (202, ["not", "solo"]), (203, docs[1][1]), (203, docs[1][1])]
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs] + [(300, None), (301, "")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(90, None), (91, "")], "item_id long, text string")
-    want = []
+    want, weights = [], own_weights(items)
     for d, w in docs:
         for k, item in items:
             if not item:
@@ -141,12 +140,16 @@ def test_decontamination_finds_what_plain_bm25_finds(spark, monkeypatch, part_by
                 passages = [w[a : a + 2 * chunk] for a in range(0, len(w), chunk)]
                 ok = False
                 for p in passages:
-                    score = brute_bm25(items, [set(p)])[k] if set(item) & set(p) else 0
+                    score = sum(x for t, x in weights[k].items() if t in set(p))
                     ok |= score >= 0.5 and min(decontaminate.overlaps([hash(x) for x in item], [hash(x) for x in p])) >= 0.5
             if ok:
                 want.append((d, k))
     got = decontaminate.find_leaks(df, bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    monkeypatch.setattr(decontaminate, "BOUND_CELLS", 50)
+    monkeypatch.setattr(decontaminate, "SCORE_CELLS", 50)
+    hits = decontaminate.search(decontaminate.build_index([(k, " ".join(w)) for k, w in items]), pa.array([" ".join(w) for _, w in docs]))
+    assert sorted((docs[r][0], k) for r, k, *_ in hits) == sorted(want)
     left = decontaminate.drop_leaks(df, bench).collect()
     assert sorted(r.doc_id for r in left) == sorted([d for d, _ in docs if d not in {x for x, _ in want}] + [300, 301])
 
@@ -156,3 +159,30 @@ def test_scripts_without_spaces_are_searched():
     index = decontaminate.build_index([(1, item), (2, "an item of plain english words, with its answer")])
     hits = decontaminate.search(index, pa.array(["前置き" + item + "後書きが続く", "東京", None]))
     assert [(r, i) for r, i, *_ in hits] == [(0, 1)]
+
+
+@pytest.mark.parametrize("cell_bits, cell_bytes, shard_bytes", [(24, 1 << 28, 1 << 25), (4, 3000, 2000), (1, 1 << 28, 500)])
+def test_a_full_sketch_loses_no_repeat(spark, cell_bits, cell_bytes, shard_bytes):
+    rng = random.Random(11)
+    shared = [" ".join(f"p{k}.{j}" for j in range(rng.randint(20, 60))) for k in range(5)]
+    rows = []
+    for d in range(90):
+        parts = [" ".join(f"u{d}.{j}" for j in range(rng.randint(0, 80)))] + rng.sample(shared, rng.choice([0, 0, 1, 2]))
+        rng.shuffle(parts)
+        rows.append((d, " \n".join(parts), "x", 1))
+    rows += [(None, rows[0][1], "n", 2), (None, rows[1][1], "n", 3), (5, rows[5][1], "again", 4), (300, None, "null", 5), (301, "", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_text string, n_words int").repartition(6)
+    first = {}
+    for d, t, *_ in rows:
+        w = (t or "").split()
+        for i in range(len(w) - 19):
+            at = (d is None, d or 0, i)
+            first[tuple(w[i : i + 20])] = min(first.get(tuple(w[i : i + 20]), at), at)
+    want = []
+    for d, t, name, _ in rows:
+        w = (t or "").split()
+        gone = {k for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (d is None, d or 0, i) for k in range(i, i + 20)}
+        want.append((str(d), str(name), len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    got = substrings.remove_repeats(docs, keep=["kept_text"], cell_bits=cell_bits, cell_bytes=cell_bytes, shard_bytes=shard_bytes)
+    assert sorted((str(r[0]), str(r[1]), r[2], r[3], r[4]) for r in got.collect()) == sorted(want)
+    assert substrings.remove_repeats(docs.limit(0)).count() == 0

@@ -55,10 +55,32 @@ def durable_path(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_MADE: list[list[str]] = []  # for each open scratch() the tables made in it
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise df once in the cluster's shared checkpoint folder and cut its lineage."""
     durable_path(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _MADE:
+        _MADE[-1].append(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that durable() makes inside are deleted at the end: what needs them must have been written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            delete(spark, path)
 
 
 def join_counted(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:

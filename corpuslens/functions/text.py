@@ -146,6 +146,11 @@ def tolerant_json(x: Column | str) -> Column:
     return F.coalesce(ok(bare), ok(span))
 
 
+def json_or_raw(x: Column | str) -> Column:
+    """tolerant_json, or an object that holds the whole answer as raw_response."""
+    return F.coalesce(tolerant_json(x), F.to_json(F.struct(_c(x).alias("raw_response"))))
+
+
 def render_template(template: str, slots: dict[str, Column | str]) -> Column:
     out = F.lit(template)
     for name, value in slots.items():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "aggregation", "texts", "agreement", "bias", "coverage", "streams")
+MODULES = ("relational", "aggregation", "texts", "ingest", "agreement", "bias", "coverage", "streams")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpuslens import schema
+from corpuslens.functions import text as X
 from corpuslens.operators.relational import first_per_key
 
 
@@ -66,22 +68,43 @@ def topic(text: str) -> Topic:
     return Topic(**known, more=raw)
 
 
+_RSS = "struct<channel:struct<item:array<{0}>>,item:array<{0}>>".format("struct<title:array<string>,link:array<string>,pubDate:array<string>,description:array<string>,enclosure:array<struct<_url:string,_type:string>>,duration:array<string>>")
+_ATOM = "struct<entry:array<struct<title:array<string>,link:array<struct<_href:string>>,published:array<string>,updated:array<string>,summary:array<string>>>>"
+
+
+def _first(values: str) -> Column:
+    return F.trim(F.coalesce(F.get(values, F.lit(0)), F.lit("")))
+
+
+def _items(df: DataFrame, xml: str, kind: str, path: Column) -> DataFrame:
+    read = F.from_xml(xml, kind, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    return df.select("doc", read.alias("x")).select("doc", F.posexplode(path).alias("pos", "i")).select("doc", "pos", "i.*")
+
+
+def _rss(df: DataFrame, xml: str) -> DataFrame:
+    i = _items(df, xml, _RSS, F.coalesce("x.channel.item", "x.item"))
+    enclosure = F.get("enclosure", F.lit(0))
+    audio = F.when(F.coalesce(enclosure["_type"], F.lit("")).contains("audio") | (F.coalesce(enclosure["_type"], F.lit("")) == ""), enclosure["_url"])
+    duration = F.trim(F.coalesce(F.element_at("duration", -1), F.lit("")))
+    return i.select("doc", "pos", _first("title").alias("title"), _first("link").alias("link"), F.coalesce(audio, F.lit("")).alias("enclosure"), _first("pubDate").alias("published"), _first("description").alias("description"), duration.alias("duration_text"))
+
+
 def feed_items(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Items with a title and a link of RSS documents, or of Atom documents that have no RSS item; enclosure and duration
-    for podcasts."""
-    rss = _by_position(df, xml, "rss", "/rss/channel/item", "link/text()")
-    atom = _by_position(df, xml, "atom", "/*[local-name()='feed']/*[local-name()='entry']", "*[local-name()='link']/@href")
-    return rss.unionByName(atom.join(rss.select("doc").distinct(), "doc", "left_anti")).where("title <> '' and link <> ''")
+    """Items with a title and a link of RSS documents (columns doc and xml), or of Atom documents that have no such RSS item.
+    Fields are read item by item, so one that lacks a field has ''; a document that is no XML has no items."""
+    rss = _rss(df, xml).where("title <> '' and link <> ''").select("doc", "pos", "title", "link", "published", "description")
+    i = _items(df, xml, _ATOM, F.col("x.entry"))
+    published = F.coalesce(F.nullif(_first("published"), F.lit("")), _first("updated"))
+    atom = i.select("doc", "pos", _first("title").alias("title"), F.trim(F.coalesce(F.get("link", F.lit(0))["_href"], F.lit(""))).alias("link"), published.alias("published"), _first("summary").alias("description"))
+    return rss.unionByName(atom.where("title <> '' and link <> ''").join(rss.select("doc").distinct(), "doc", "left_anti"))
 
 
-def _by_position(df: DataFrame, xml: str, kind: str, item: str, link: str) -> DataFrame:
-    """Arrays of titles and links of a document, zipped by position."""
-    local = (lambda n: n) if kind == "rss" else (lambda n: f"*[local-name()='{n}']")
-    quoted = lambda p: '"' + p.replace('"', "'") + '"'
-    arrays = {"title": f"{item}/{local('title')}/text()", "link": f"{item}/{link}", "enclosure": f"{item}/enclosure[starts-with(@type, 'audio')]/@url", "published": f"{item}/{local('pubDate' if kind == 'rss' else 'updated')}/text()"}
-    cols = [F.expr(f"xpath({xml}, {quoted(p)})").alias(n) for n, p in arrays.items()]
-    zipped = df.select(F.col("doc"), *cols).select("doc", F.posexplode(F.arrays_zip("title", "link", "enclosure", "published")).alias("pos", "i"))
-    return zipped.select("doc", "pos", *(F.coalesce(f"i.{n}", F.lit("")).alias(n) for n in arrays))
+def podcast_items(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """Episodes with a title and an audio enclosure; the address is the link or else the audio's; descriptions of 300 characters,
+    durations as text and in seconds (null if they cannot be read)."""
+    i = _rss(df, xml).where("title <> '' and enclosure <> ''")
+    url = F.coalesce(F.nullif("link", F.lit("")), "enclosure")
+    return i.select("doc", "pos", "title", url.alias("url"), F.col("enclosure").alias("audio_url"), "published", F.left("description", F.lit(300)).alias("description"), "duration_text", X.duration_seconds("duration_text").alias("duration_seconds"))
 
 
 def institutional_articles(df: DataFrame) -> DataFrame:
@@ -110,9 +133,25 @@ def failed_urls(lines: DataFrame) -> DataFrame:
     return seen.where(F.lower("value").contains("failed")).select(F.col("_last").alias("url")).where("url is not null").distinct()
 
 
+class Page(NamedTuple):
+    """One answer of a paged API: rows (url, title, published), how many the query has in all, the quota left, the HTTP status."""
+
+    rows: Sequence[tuple]
+    found: int | None = None
+    quota_left: float | None = None
+    status: int = 200
+
+
 class PagedApi(DataSource):
-    """A paged record API as a batch source: one partition a query and window.  The client is a Python callable given by
-    name (module:function, called with query, window, page → list of (url, title, published)); budget caps its calls."""
+    """A paged record API as a batch source.
+
+    client: one or more Python callables by name (module:function, parted by |), called with query, window and page; each gives a
+    Page or a list of rows, or raises.  A client is asked attempts times (2), wait seconds (3) apart; 429 is waited for once more, 402
+    and a quota below quota_floor (5) make the next client take over for good, any other failure for that page only.  A slice (query
+    and window) ends without rows, after pages (10), or at page >= found / page_size.  An address is given once a slice.
+
+    Slices are partitions of their own unless budget caps the calls of all of them: then one partition holds them in order, as only
+    one reader can count."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,32 +164,74 @@ class PagedApi(DataSource):
         return _PagedReader(self.options)
 
 
-@dataclass
-class _Slice(InputPartition):
-    query: str
-    window: str
-
-    def __init__(self, query: str, window: str):
-        super().__init__(f"{query}|{window}")
-        self.query, self.window = query, window
+class _Slices(InputPartition):
+    def __init__(self, slices: list[tuple[str, str]]):
+        super().__init__(str(slices))
+        self.slices = slices
 
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options):
-        self.client, self.pages, self.budget = options["client"], int(options.get("pages", "10")), int(options.get("budget", "190"))
-        self.slices = [_Slice(q, w) for q in options.get("queries", "").split("|") if q for w in options.get("windows", "all").split("|")]
+        self.clients = options["client"].split("|")
+        self.pages, self.page_size = int(options.get("pages", "10")), float(options.get("page_size", "3"))
+        self.attempts, self.wait, self.floor = int(options.get("attempts", "2")), float(options.get("wait", "3")), float(options.get("quota_floor", "5"))
+        self.budget = int(options["budget"]) if "budget" in options else None
+        self.slices = [(q, w) for q in options.get("queries", "").split("|") if q for w in options.get("windows", "all").split("|")]
 
     def partitions(self) -> list[InputPartition]:
-        return self.slices
-
-    def read(self, partition: _Slice) -> Iterator[tuple]:
+        return [_Slices(self.slices)] if self.budget is not None else [_Slices([s]) for s in self.slices]
+
+    def read(self, partition: _Slices) -> Iterator[tuple]:
+        calls = _Calls(self)
+        for query, window in partition.slices:
+            seen: set[str] = set()
+            for page in range(1, self.pages + 1):
+                got = calls.page(query, window, page)
+                if got is None or not got.rows:
+                    break
+                for url, title, published in got.rows:
+                    if url and url not in seen:
+                        seen.add(url)
+                        yield query, window, url, title, published
+                if got.found is not None and page >= got.found / self.page_size:
+                    break
+
+
+class _Calls:
+    """The calls of one reader: who answers, how many were made."""
+
+    def __init__(self, options: _PagedReader):
         import importlib
 
-        module, name = self.client.split(":")
-        fetch: Callable = getattr(importlib.import_module(module), name)
-        for page in range(1, min(self.pages, max(1, self.budget // max(len(self.slices), 1))) + 1):
-            got = fetch(partition.query, partition.window, page)
-            if not got:
-                return
-            for url, title, published in got:
-                yield partition.query, partition.window, url, title, published
+        self.o, self.made, self.current = options, 0, 0
+        self.clients: list[Callable] = [getattr(importlib.import_module(m), f) for m, f in (c.split(":") for c in options.clients)]
+
+    def page(self, query: str, window: str, page: int) -> Page | None:
+        at = self.current
+        while at < len(self.clients):
+            got = self._ask(self.clients[at], query, window, page)
+            if got is not None and got.status == 402 or got is not None and got.quota_left is not None and got.quota_left < self.o.floor:
+                self.current = max(self.current, at + 1)
+            if got is not None and got.status == 200:
+                return got
+            at += 1
+        return None
+
+    def _ask(self, client: Callable, query: str, window: str, page: int) -> Page | None:
+        import time
+
+        got = None
+        for attempt in range(self.o.attempts):
+            if self.o.budget is not None and self.made >= self.o.budget:
+                return None
+            self.made += 1
+            try:
+                got = client(query, window, page)
+                got = got if isinstance(got, Page) else Page(got)
+                if got.status != 429:
+                    return got
+            except Exception:  # noqa: BLE001  a client may raise anything; the last failure hands over
+                got = None
+            if attempt + 1 < self.o.attempts:
+                time.sleep(self.o.wait)
+        return got

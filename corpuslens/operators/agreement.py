@@ -64,22 +64,59 @@ def cooccurrence(reference: DataFrame, runs: DataFrame) -> DataFrame:
     return p.groupBy("cluster", "i", "j").agg(F.count("*").alias("sampled"), F.count_if(F.col("li") == F.col("lj")).alias("together")).withColumn("rate", F.col("together") / F.col("sampled"))
 
 
-def hard_core(rates: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """cluster, n, mean_rate, core: members whose mean rate with the others reaches the threshold."""
-    both = rates.select("cluster", F.col("i").alias("item"), "rate").unionByName(rates.select("cluster", F.col("j").alias("item"), "rate"))
-    members = both.groupBy("cluster", "item").agg(F.avg("rate").alias("m"))
-    core = members.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.round("m", 9) >= threshold).alias("core"))
-    return core.join(rates.groupBy("cluster").agg(F.avg("rate").alias("mean_rate")), "cluster").select("cluster", "n", "mean_rate", "core")
-
-
-def cluster_jaccard(runs: DataFrame) -> DataFrame:
-    """Jaccard of member sets of every two clusters of two runs that share members."""
+def label_vectors(reference: DataFrame, runs: DataFrame) -> DataFrame:
+    """cluster, vector (a map run → label), items, n: members of a reference cluster that every run treats alike are one row."""
+    r = reference.select("item", F.col("label").alias("cluster"))
+    each = runs.join(r, "item").groupBy("cluster", "item").agg(F.sort_array(F.collect_list(F.struct("run", "label"))).alias("vector"))
+    return each.groupBy("cluster", "vector").agg(F.count("*").alias("n"))
+
+
+def hard_core(reference: DataFrame, runs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """cluster, n, mean_rate, core: members whose mean rate of landing with the others (over runs that sample both) reaches the
+    threshold.  Members are paired by what the runs make of them, not one by one: pairs of vectors carry the pairs of members."""
+    v = label_vectors(reference, runs).withColumn("m", F.map_from_entries("vector")).withColumn("id", F.xxhash64("cluster", "vector"))
+    a, b = v.select("cluster", F.col("id").alias("x"), F.col("m").alias("mx"), F.col("n").alias("nx")), v.select("cluster", F.col("id").alias("y"), F.col("m").alias("my"), F.col("n").alias("ny"))
+    shared = F.array_intersect(F.map_keys("mx"), F.map_keys("my"))
+    p = a.join(b, "cluster").where((F.col("x") != F.col("y")) | (F.col("nx") > 1)).withColumn("s", shared).where(F.size("s") > 0)
+    others = F.when(F.col("x") == F.col("y"), F.col("ny") - 1).otherwise(F.col("ny"))
+    p = p.withColumn("rate", F.size(F.filter("s", lambda r: F.col("mx")[r] == F.col("my")[r])) / F.size("s")).withColumn("others", others)
+    members = p.groupBy("cluster", "x", "nx").agg((F.sum(F.col("rate") * F.col("others")) / F.sum("others")).alias("mean"), F.sum(F.col("rate") * F.col("others")).alias("rates"), F.sum("others").alias("pairs"))
+    core = F.sum(F.when(F.round("mean", 9) >= threshold, F.col("nx")).otherwise(0))
+    g = members.groupBy("cluster").agg(F.sum("nx").alias("n"), (F.sum(F.col("rates") * F.col("nx")) / F.sum(F.col("pairs") * F.col("nx"))).alias("mean_rate"), core.alias("core"))
+    return g.select("cluster", "n", "mean_rate", "core")
+
+
+def perturbation_stability(baseline: DataFrame, runs: DataFrame, n_runs: int) -> DataFrame:
+    """cluster, n, stability: how often two members of a baseline cluster (item, label) share a label in the runs over noisy vectors
+    (run, item, label), all pairs over n_runs; 1 for a cluster of one.  Pairs are counted from the sizes of the parts, not formed."""
+    b = baseline.select("item", F.col("label").alias("cluster"))
+    size = b.groupBy("cluster").agg(F.count("*").alias("n"))
+    parts = runs.join(b, "item").groupBy("cluster", "run", "label").agg(F.count("*").alias("k"))
+    together = parts.groupBy("cluster").agg(F.sum(_pairs(F.col("k"))).alias("t"))
+    rate = F.coalesce("t", F.lit(0.0)) / (_pairs(F.col("n")) * n_runs)
+    return size.join(together, "cluster", "left").select("cluster", "n", F.when(F.col("n") < 2, 1.0).otherwise(rate).alias("stability"))
+
+
+def cluster_jaccard(runs: DataFrame, zeros: bool = False) -> DataFrame:
+    """Jaccard of member sets of every two clusters of two runs that share members; with zeros also of those that share none (as many
+    rows as two runs have pairs of labels)."""
     c = contingency(runs)
     size = runs.groupBy("run", "label").agg(F.count("*").alias("size"))
-    j = c.join(size.toDF("run_a", "label_a", "size_a"), ["run_a", "label_a"]).join(size.toDF("run_b", "label_b", "size_b"), ["run_b", "label_b"])
+    a, b = size.toDF("run_a", "label_a", "size_a"), size.toDF("run_b", "label_b", "size_b")
+    if zeros:
+        keys = ["run_a", "run_b", "label_a", "label_b"]
+        j = a.join(b, F.col("run_a") < F.col("run_b")).join(c, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    else:
+        j = c.join(a, ["run_a", "label_a"]).join(b, ["run_b", "label_b"])
     return j.select("run_a", "run_b", "label_a", "label_b", (F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))).alias("jaccard"))
 
 
+def best_pair(runs: DataFrame, order: str = "run") -> DataFrame:
+    """run_a, run_b, common of the two runs with most common items; of equal ones the first pair in order."""
+    common = contingency(runs).groupBy("run_a", "run_b").agg(F.sum("n").alias("common"))
+    return common.orderBy(F.desc("common"), f"{order}_a", f"{order}_b").limit(1)
+
+
 def krippendorff_nominal(annotations: DataFrame) -> DataFrame:
     """items, observed and expected disagreement and alpha over items with two or more labels (annotations: item, label).
     Coincidences are counted from label counts of an item, so no pairs are formed."""
@@ -96,14 +133,22 @@ def krippendorff_nominal(annotations: DataFrame) -> DataFrame:
 
 def alpha_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Alpha with the set distance: observed over pairs not both empty, expected over all pairs of pooled non-empty sets.
-    Equal sets are counted, so the expectation compares distinct sets only."""
+
+    The distance depends on the sizes of two sets and of what they share, and is 1 unless they share an element.  So only distinct
+    sets that share one meet (by element, a set under each of its own), and pairs that share none are what is left of all pairs."""
     observed = pairs.where((F.size(a) > 0) | (F.size(b) > 0)).agg(F.avg(set_distance(a, b)).alias("observed"))
-    pooled = pairs.select(F.array_sort(a).alias("s")).unionByName(pairs.select(F.array_sort(b).alias("s"))).where(F.size("s") > 0).groupBy("s").agg(F.count("*").alias("c"))
-    x, y = pooled.select(F.col("s").alias("x"), F.col("c").alias("cx")), pooled.select(F.col("s").alias("y"), F.col("c").alias("cy"))
-    cross = x.join(y, F.col("x") <= F.col("y"))
-    weight = F.when(F.col("x") == F.col("y"), F.col("cx") * (F.col("cx") - 1) / 2).otherwise(F.col("cx") * F.col("cy"))
-    expected = cross.agg((F.sum(weight * set_distance("x", "y")) / F.nullif(F.sum(weight), F.lit(0.0))).alias("expected"))
-    return observed.crossJoin(expected).withColumn("alpha", F.when(F.coalesce("expected", F.lit(0.0)) == 0, 1.0).otherwise(1 - F.col("observed") / F.col("expected")))
+    pooled = pairs.select(F.array_sort(F.array_distinct(a)).alias("s")).unionByName(pairs.select(F.array_sort(F.array_distinct(b)).alias("s"))).where(F.size("s") > 0).groupBy("s").agg(F.count("*").alias("c"))
+    x = pooled.select(F.col("s").alias("x"), F.col("c").alias("cx"), F.explode("s").alias("e"))
+    y = x.select(F.col("x").alias("y"), F.col("cx").alias("cy"), "e")
+    least = F.element_at(F.array_sort(F.array_intersect("x", "y")), 1)  # two sets meet once, under the least element they share
+    met = x.join(y, "e").where((F.col("x") < F.col("y")) & (F.col("e") == least))
+    apart = met.agg(F.coalesce(F.sum(F.col("cx") * F.col("cy")), F.lit(0)).alias("near"), F.coalesce(F.sum(F.col("cx") * F.col("cy") * set_distance("x", "y")), F.lit(0.0)).alias("d"))
+    every = pooled.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("same"))
+    n = F.col("n")
+    total = n * (n - 1) / 2
+    expected = (F.col("d") + total - F.col("same") - F.col("near")) / F.nullif(total, F.lit(0.0))
+    j = observed.crossJoin(apart).crossJoin(every).select("observed", expected.alias("expected"))  # one row each
+    return j.withColumn("alpha", F.when(F.coalesce("expected", F.lit(0.0)) == 0, 1.0).otherwise(1 - F.col("observed") / F.col("expected")))
 
 
 def alpha_wording(alpha: Column) -> Column:

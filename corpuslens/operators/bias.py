@@ -12,22 +12,25 @@ from corpuslens.functions import text as X
 WINDOW = 15
 
 
-def _count_of(tokens: Column, terms: Sequence[str]) -> Column:
-    return F.size(F.filter(tokens, lambda w: w.isin(*terms)))
-
-
 def actor_vocabulary(docs: DataFrame, actors: dict[str, Sequence[str]], sanitizing: Sequence[str], condemnatory: Sequence[str], window: int = WINDOW) -> DataFrame:
     """doc_id, actor, mentions, sanitizing, condemnatory, score.  Each mention of an actor looks at the tokens within window
-    places before and window - 1 after; tokens near several mentions count for each.  All inside a row: no shuffle."""
+    places before and window - 1 after; tokens near several mentions count for each.  All inside a row: no shuffle.  A token is
+    looked up in the lexicons once: its worth holds both counts, which the mentions' windows then add up."""
     tokens = X.words(F.regexp_replace(F.lower("text"), "[^a-z0-9\\s]", " "))
+    one, high = F.lit(1).cast("long"), F.lit(1 << 32).cast("long")
+    zero = F.lit(0).cast("long")
+    worth = lambda w: F.when(w.isin(*sanitizing), one).otherwise(zero) + F.when(w.isin(*condemnatory), high).otherwise(zero)
+    rows = docs.select("doc_id", "source", tokens.alias("tokens")).withColumn("worth", F.transform("tokens", worth))
     parts = []
     for name, terms in actors.items():
         at = F.filter(F.transform("tokens", lambda w, i: F.when(w.isin(*terms), i)), lambda i: i.isNotNull())  # noqa: B023
-        near = F.transform(at, lambda i: F.slice("tokens", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)) + window))
-        total = lambda lexicon: F.aggregate(near, F.lit(0), lambda s, w: s + _count_of(w, lexicon))  # noqa: B023, E731
-        parts.append(F.struct(F.lit(name).alias("actor"), F.size(at).cast("long").alias("mentions"), total(sanitizing).cast("long").alias("sanitizing"), total(condemnatory).cast("long").alias("condemnatory")))
-    rows = docs.select("doc_id", "source", tokens.alias("tokens")).select("doc_id", "source", F.explode(F.array(*parts)).alias("p"))
-    return rows.select("doc_id", "source", "p.*").where("mentions > 0").withColumn("score", F.col("sanitizing") - F.col("condemnatory"))
+        near = lambda i: F.aggregate(F.slice("worth", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)) + window), zero, lambda s, x: s + x)
+        both = F.transform(at, near)
+        parts.append(F.struct(F.lit(name).alias("actor"), both.alias("near")))
+    each = rows.select("doc_id", "source", F.explode(F.array(*parts)).alias("p")).select("doc_id", "source", "p.actor", "p.near")
+    total = lambda f: F.aggregate("near", zero, lambda s, x: s + f(x))
+    each = each.select("doc_id", "source", "actor", F.size("near").cast("long").alias("mentions"), total(lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))).alias("sanitizing"), total(lambda x: F.shiftright(x, 32)).alias("condemnatory"))
+    return each.where("mentions > 0").withColumn("score", F.col("sanitizing") - F.col("condemnatory"))
 
 
 def double_standard(scores: DataFrame, group: str, actor_a: str, actor_b: str) -> DataFrame:
@@ -54,37 +57,115 @@ def elaboration(docs: DataFrame, side_a: Sequence[str], side_b: Sequence[str], n
 
 def sentence_features(docs: DataFrame, sides: tuple[Sequence[str], Sequence[str]], hedges: Sequence[str], attribution: Sequence[str], passive: Sequence[str], concessive: Sequence[str]) -> DataFrame:
     """Per document, over its sentences: n, attribution and passive share, precision of either side ((numbers - hedges) /
-    max(1, sentences)), sentences that name just one side with a number, and sentences with a concessive marker."""
-    s = docs.select("doc_id", F.explode(X.sentences(F.lower("text"))).alias("s"))
-    has = lambda terms: F.col("s").rlike(r"(^|[ \n,;:])(" + "|".join(terms) + r")([ \n,;:.!?]|$)")
-    number = F.regexp_count("s", F.lit(r"\b[0-9]+\b"))
-    hedged = F.size(F.filter(X.words("s"), lambda w: w.isin(*hedges)))
-    a, b = has(sides[0]), has(sides[1])
-    precision = lambda side: F.sum(F.when(side, number - hedged).otherwise(0)) / F.greatest(F.count_if(side), F.lit(1))
-    return s.groupBy("doc_id").agg(
-        F.count("*").alias("sentences"),
-        F.avg(has(attribution).cast("double")).alias("attribution_share"),
-        F.avg(has(passive).cast("double")).alias("passive_share"),
-        precision(a).alias("precision_a"),
-        precision(b).alias("precision_b"),
-        F.count_if(a & ~b & (number > 0)).alias("specific_a"),
-        F.count_if(b & ~a & (number > 0)).alias("specific_b"),
-        F.count_if(has(concessive)).alias("concessive"),
+    max(1, sentences)), sentences that name just one side with a number, and sentences with a concessive marker.  A sentence is
+    looked at once, and the sums are taken inside the row: no shuffle."""
+
+    def look(s: Column) -> Column:
+        has = lambda terms: s.rlike(r"(^|[ \n,;:])(" + "|".join(terms) + r")([ \n,;:.!?]|$)")
+        number = F.regexp_count(s, F.lit(r"\b[0-9]+\b"))
+        hedged = F.size(F.filter(X.words(s), lambda w: w.isin(*hedges)))
+        return F.struct(has(attribution).alias("att"), has(passive).alias("pas"), has(concessive).alias("con"), has(sides[0]).alias("a"), has(sides[1]).alias("b"), number.alias("num"), (number - hedged).alias("sure"))
+
+    f = docs.select("doc_id", F.transform(X.sentences(F.lower("text")), look).alias("f")).where(F.size("f") > 0)
+    n = F.size("f")
+    count = lambda test: F.size(F.filter("f", test)).cast("long")
+
+    def precision(side: str) -> Column:
+        sure = F.aggregate("f", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x[side], x["sure"]).otherwise(0))
+        return sure / F.greatest(count(lambda x: x[side]), F.lit(1))
+
+    return f.select(
+        "doc_id",
+        n.cast("long").alias("sentences"),
+        (count(lambda x: x["att"]) / n).alias("attribution_share"),
+        (count(lambda x: x["pas"]) / n).alias("passive_share"),
+        precision("a").alias("precision_a"),
+        precision("b").alias("precision_b"),
+        count(lambda x: x["a"] & ~x["b"] & (x["num"] > 0)).alias("specific_a"),
+        count(lambda x: x["b"] & ~x["a"] & (x["num"] > 0)).alias("specific_b"),
+        count(lambda x: x["con"]).alias("concessive"),
     )
 
 
+# Concessive markers in the order they are tried, by what they part, and the wordings of casualties.
+CONCESSIVE_MARKERS = ("although", "though", "even though", "while", "despite", "in spite of", "notwithstanding", "however", "nevertheless", "nonetheless", "but", "yet")
+LEADING_MARKERS = ("although", "though", "even though", "while", "despite")
+TURNING_MARKERS = ("however",)
+JOINING_MARKERS = ("but", "yet")
+CASUALTY_WORDS = ("killed", "died", "dead", "wounded", "injured", "casualties", "martyred")
+CASUALTY_NAMED = r"(?i)(?:killed|died|dead|wounded|injured|martyred)\s.*?(?:named|identified as|was\s)"
+CASUALTY_NUMBER = r"(?i)(\d+)\s+(?:people|civilians|soldiers|fighters|militants|casualties|dead|killed|wounded|injured)"
+CASUALTY_HEDGED = r"(?i)(?:reports?\s+(?:of|suggest)|casualties\s+(?:were|are)\s+(?:reported|estimated)|(?:allegedly|reportedly)\s+(?:killed|wounded)|unconfirmed\s+(?:reports?|casualties))"
+
+
+def concessive_constructions(text: Column | str, markers: Sequence[str] = CONCESSIVE_MARKERS, leading: Sequence[str] = LEADING_MARKERS, turning: Sequence[str] = TURNING_MARKERS, joining: Sequence[str] = JOINING_MARKERS, least: int = 10) -> Column:
+    """Concessive constructions, array of (pattern, subordinated, main), one a sentence at most: the first marker in order that the
+    lowered sentence holds decides, even if it parts nothing.  A leading marker subordinates what stands between it and the next comma
+    (over 5 characters on), a turning one all before it, a joining one all before it as a word of its own; the subordinated part must
+    be over least characters long."""
+
+    def part(s: Column) -> Column:
+        low = F.lower(s)
+        out = F.lit(None)
+        for m in reversed(markers):
+            size = len(m)
+            at = F.instr(low, m)
+            rest = F.substr(s, at + size)
+            comma = F.instr(rest, ",")
+            if m in leading:
+                found = F.when(comma > 6, F.struct(F.lit(m).alias("pattern"), F.trim(F.left(rest, comma - 1)).alias("subordinated"), F.trim(F.substr(rest, comma + 1)).alias("main")))
+            elif m in turning:
+                found = F.struct(F.lit(m).alias("pattern"), F.rtrim(F.trim(F.left(s, at - 1)), F.lit(",")).alias("subordinated"), F.trim(F.ltrim(F.trim(rest), F.lit(","))).alias("main"))
+            elif m in joining:
+                spot = F.instr(low, f" {m} ")
+                found = F.when(spot > 1, F.struct(F.lit(m).alias("pattern"), F.trim(F.left(s, spot - 1)).alias("subordinated"), F.trim(F.substr(s, spot + size + 1)).alias("main")))
+            else:
+                found = F.lit(None)
+            out = F.when(at > 0, found).otherwise(out)
+        return out
+
+    return F.filter(F.transform(X.sentences(text), part), lambda p: p.isNotNull() & (F.length(p["subordinated"]) > least))
+
+
+def marker_frequency(docs: DataFrame, constructions: str = "constructions") -> DataFrame:
+    """pattern, n: how often each marker parts a sentence, over all documents."""
+    return docs.select(F.explode(constructions).alias("c")).groupBy(F.col("c.pattern").alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def casualty_counts(text: Column | str, sides: dict[str, Sequence[str]], words: Sequence[str] = CASUALTY_WORDS, named: str = CASUALTY_NAMED, number: str = CASUALTY_NUMBER, hedged: str = CASUALTY_HEDGED) -> Column:
+    """struct of named, numbered and hedged casualties in the text, and for each of the two sides, as <side>_named ..., the sentences
+    with a casualty word that mention only that side."""
+    t = F.col(text) if isinstance(text, str) else text
+    kinds = {"named": named, "numbered": number, "hedged": hedged}
+    some = F.filter(F.split(t, r"\. "), lambda s: X.any_term(s, words))
+    out = [F.regexp_count(t, F.lit(p)).cast("long").alias(k) for k, p in kinds.items()]
+    for side, terms in sides.items():
+        others = [x for other, more in sides.items() if other != side for x in more]
+        mine = F.filter(some, lambda s: X.any_term(s, terms) & ~X.any_term(s, others))  # noqa: B023
+        out += [F.size(F.filter(mine, lambda s: s.rlike(p))).cast("long").alias(f"{side}_{k}") for k, p in kinds.items()]  # noqa: B023
+    return F.struct(*out)
+
+
+def opening_subject(text: Column | str, verbs: Sequence[str]) -> Column:
+    """The words before the first verb of the first sentence (a stand-in for a parser's subject); null if the sentence has none of the
+    verbs or opens with one."""
+    first = X.words(F.get(X.sentences(text), F.lit(0)))
+    at = F.array_position(F.transform(first, lambda w: F.lower(F.trim(w, F.lit(".,;:!?"))).isin(*verbs)), True)
+    return F.when(at > 1, F.array_join(F.slice(first, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), " "))
+
+
 def ambiguity(passive: Column, attribution: Column, elaboration_ratio: Column) -> Column:
     """.3 passive + .3 attribution + .4 min(elaboration / 10, 1); a null elaboration counts 1."""
     return 0.3 * passive + 0.3 * attribution + 0.4 * F.least(F.coalesce(elaboration_ratio, F.lit(1.0)) / 10, F.lit(1.0))
 
 
 def quotes_by_speaker(docs: DataFrame, classes: Sequence[tuple[str, Sequence[str]]], reach: int = 150) -> DataFrame:
-    """doc_id, speaker, n: quotes by the class named within reach characters around them."""
-    pieces = F.split("text", '["“”]')
-    spot = F.posexplode(pieces).alias("pos", "span")
-    q = docs.select("doc_id", pieces.alias("all"), spot).where("pos % 2 = 1 and length(span) >= 20")
-    around = F.concat_ws(" ", F.right(F.get("all", F.col("pos") - 1), F.lit(reach)), F.left(F.coalesce(F.get("all", F.col("pos") + 1), F.lit("")), F.lit(reach)))
-    return q.select("doc_id", X.first_class(around, classes, "unattributed").alias("speaker")).groupBy("doc_id", "speaker").agg(F.count("*").alias("n"))
+    """doc_id, speaker, n: quotes by the class named within reach characters around them.  A quote's row carries its two neighbours'
+    ends, not the text."""
+    parts = docs.select("doc_id", F.split("text", '["“”]').alias("all"))
+    beside = lambda x, i: F.struct(i.alias("pos"), x.alias("span"), F.concat_ws(" ", F.right(F.get("all", i - 1), F.lit(reach)), F.left(F.coalesce(F.get("all", i + 1), F.lit("")), F.lit(reach))).alias("around"))
+    q = parts.select("doc_id", F.explode(F.filter(F.transform("all", beside), lambda s: (s["pos"] % 2 == 1) & (F.length(s["span"]) >= 20))).alias("q"))
+    return q.select("doc_id", X.first_class(F.col("q.around"), classes, "unattributed").alias("speaker")).groupBy("doc_id", "speaker").agg(F.count("*").alias("n"))
 
 
 def mirror_gap(frames: DataFrame, home: Column, quoted_home: Column, quoted_total: Column) -> DataFrame:

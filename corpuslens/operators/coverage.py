@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as X
+
+# Last names that are words, and what tells of an academic angle.
+AMBIGUOUS_NAMES = ("church",)
+ANGLE_TERMS = ("academic", "professor", "university", "scientist", "research", "mit media lab", "harvard", "yale", "stanford", "columbia", "guru", "wellness", "chopra", "spiritual")
+MAX_LEXICON = 10_000
+
 
 def absence_report(registry: DataFrame, covered: DataFrame) -> DataFrame:
     """registry: region, country (a country may be in several regions).  region, present, absent, ratio for regions with a gap."""
@@ -41,3 +50,65 @@ def next_phase(counts: DataFrame) -> DataFrame:
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     phase = F.when(F.col("total") == 0, "ingest").when(share("texts", "total") < 0.5, "extract").when(share("analysed", "texts") < 0.9, "analyze").when(share("judged", "analysed") < 0.9, "council").otherwise("cluster")
     return counts.withColumn("next_phase", phase)
+
+
+def entity_terms(entities: DataFrame, ambiguous: Sequence[str] = AMBIGUOUS_NAMES) -> DataFrame:
+    """entities: ord, name, aliases.  (term, name): lowered names and aliases, and the last of several words of a name if it has over
+    five characters and is not ambiguous; a term of several entities is the last one's, last names above all else."""
+    name = F.lower("name")
+    words = F.split(F.col("name"), r"\s+")
+    last = F.lower(F.element_at(words, -1))
+    full = entities.select("ord", "name", F.explode(F.concat(F.array(name), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))).alias("term"), F.lit(0).alias("phase"))
+    short = entities.where((F.size(words) >= 2) & (F.length(last) > 5) & ~last.isin(*ambiguous)).select("ord", "name", last.alias("term"), F.lit(1).alias("phase"))
+    return full.unionByName(short).groupBy("term").agg(F.max_by("name", F.struct("phase", "ord")).alias("name"))
+
+
+def tag_entities(docs: DataFrame, terms: DataFrame, text: Column, angles: Sequence[str] = ANGLE_TERMS) -> DataFrame:
+    """docs with entities (names whose terms the lowered text holds, sorted) and angle (does it hold an angle term?), where there are
+    any.  The lexicon, at most MAX_LEXICON terms, becomes part of the expression, so texts are looked at where they are."""
+    lexicon = [(r["term"], r["name"]) for r in terms.select("term", "name").limit(MAX_LEXICON + 1).collect()]
+    if len(lexicon) > MAX_LEXICON:
+        raise ValueError(f"over {MAX_LEXICON} terms: match tokens with a join instead")
+    low = F.lower(text)
+    pairs = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in sorted(lexicon))) if lexicon else F.array().cast("array<struct<t:string,n:string>>")
+    named = F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(F.col("_low"), p["t"])), lambda p: p["n"])))
+    tagged = docs.withColumn("_low", low).withColumn("entities", named).withColumn("angle", X.any_term("_low", angles)).drop("_low")
+    return tagged.where((F.size("entities") > 0) | F.col("angle"))
+
+
+def entity_counts(tagged: DataFrame, key: str) -> DataFrame:
+    """name, media: documents that mention each entity."""
+    return tagged.select(key, F.explode("entities").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("media"))
+
+
+def frame_ratio(docs: DataFrame, text: Column, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """left_docs, right_docs, ratio: documents that hold a term of either set; null if the right set is met nowhere."""
+    g = docs.agg(F.count_if(X.any_term(text, left)).alias("left_docs"), F.count_if(X.any_term(text, right)).alias("right_docs"))
+    return g.withColumn("ratio", F.col("left_docs") / F.nullif("right_docs", F.lit(0)))
+
+
+def frame_summary(shares: DataFrame, names: DataFrame) -> DataFrame:
+    """rank, frame, n, share, median_share: all named frames by how rarely they are met (never: 0), with the median of the shares."""
+    from pyspark.sql import Window
+
+    every = names.select("frame").distinct().join(shares, "frame", "left").fillna({"n": 0, "share": 0.0})
+    rank = F.row_number().over(Window.orderBy("n", "frame")).cast("long")  # a few named questions
+    return every.withColumn("rank", rank).crossJoin(every.agg(F.median("share").alias("median_share"))).select("rank", "frame", "n", "share", "median_share")
+
+
+def dossier(contexts: DataFrame, lists: Sequence[str], samples: int = 3) -> DataFrame:
+    """contexts: entity, level, ord, detail and the columns of lists.  entity, contexts, levels (array of (level, n, samples: the first
+    details in order), most frequent first), and for each list its distinct non-empty values in order of appearance."""
+    from corpuslens.operators.aggregates import distinct_in_order
+    from corpuslens.operators.relational import top_per_group
+
+    n = contexts.groupBy("entity", "level").agg(F.count("*").alias("n"))
+    top = top_per_group(contexts.where("detail <> ''"), ["entity", "level"], ["ord"], samples)
+    details = top.groupBy("entity", "level").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "detail"))), lambda x: x["detail"]).alias("samples"))
+    levels = n.join(details, ["entity", "level"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    order = F.struct((-F.col("n")).alias("k"), "level", "n", "samples")
+    out = levels.groupBy("entity").agg(F.sum("n").alias("contexts"), F.transform(F.sort_array(F.collect_list(order)), lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n"), x["samples"].alias("samples"))).alias("levels"))
+    for name in lists:
+        found = distinct_in_order(contexts, ["entity"], name, "ord").withColumnRenamed("values", name)
+        out = out.join(found, "entity", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out

@@ -36,11 +36,15 @@ def upsert_last(existing: DataFrame, new: DataFrame, keys: Sequence[str], values
 
 
 def get_or_create(dimension: DataFrame, names: DataFrame, key: str, identity: str) -> DataFrame:
-    """dimension plus a row for each new name, numbered after the largest identity in order of name."""
-    new = names.select(key).where(F.col(key).isNotNull()).distinct().join(dimension.select(key), key, "left_anti")
+    """dimension plus a row for each new name, numbered after the largest identity in order of name.  Names are numbered within
+    their first characters; only the counts of those meet in one task."""
+    new = names.select(key).where(F.col(key).isNotNull()).distinct().join(dimension.select(key), key, "left_anti").withColumn("_p", F.left(key, F.lit(3)))
+    placed = new.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = new.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_b"))
     start = dimension.agg(F.coalesce(F.max(identity), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(key))).crossJoin(start)  # one row beside few new names
-    return dimension.select(identity, key).unionByName(numbered.select((F.col("_n") + F.col("_top")).cast("long").alias(identity), key))
+    numbered = placed.join(before, "_p").crossJoin(start)  # one row
+    return dimension.select(identity, key).unionByName(numbered.select((F.col("_n") + F.col("_b") + F.col("_top")).cast("long").alias(identity), key))
 
 
 def gaps(universe: DataFrame, covered: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
@@ -83,6 +87,11 @@ def circuit_breaker(df: DataFrame, key: str, order: Sequence[str], failed: Colum
     return streaks.withColumn("_open", open_).where("_open").drop("_f", "_i", "_open")
 
 
+def remaining(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a resumed run has still to do: rows of work whose key has no result; a null key is never done."""
+    return work.join(done.select(*keys).dropDuplicates(), list(keys), "left_anti")
+
+
 def share_of_total(df: DataFrame, value: str, order: Sequence[Column | str]) -> DataFrame:
     """share and cumulative_share of a small aggregate's value."""
     total = F.sum(value).over(Window.partitionBy())
@@ -91,11 +100,12 @@ def share_of_total(df: DataFrame, value: str, order: Sequence[Column | str]) ->
 
 
 def assign_windows(df: DataFrame, ts: str, windows: DataFrame) -> DataFrame:
-    """Rows in half-open named windows [begins, ends); a row in several gets the first listed (column ord).  windows is a
-    configuration table of a few rows."""
-    hit = df.join(F.broadcast(windows), (F.col(ts) >= F.col("begins")) & (F.col(ts) < F.col("ends")))
-    keys = [c for c in df.columns]
-    return hit.groupBy(*keys).agg(F.min_by("window", "ord").alias("window"))
+    """Rows in half-open named windows [begins, ends); a row in several gets the first listed (column ord), rows in none go.  windows
+    is a configuration table of a few rows; it is read to the driver and becomes one expression, so nothing is joined or merged."""
+    out = F.lit(None).cast("string")
+    for w in sorted(windows.collect(), key=lambda w: w["ord"], reverse=True):
+        out = F.when((F.col(ts) >= F.lit(w["begins"])) & (F.col(ts) < F.lit(w["ends"])), F.lit(w["window"])).otherwise(out)
+    return df.withColumn("window", out).where(F.col("window").isNotNull())
 
 
 def union_by_position(tables: Sequence[DataFrame], key: str, order: str) -> DataFrame:

@@ -139,8 +139,8 @@ def cooccurrence_rates(t):  # M12 J18
 
 @query(f"with {RATES}, q as (select cluster, i item, together / sampled r from pr union all select cluster, j, together / sampled from pr), mm as (select cluster, item, avg(r) m from q group by all) select cast(cluster as bigint) cluster, n, round(mean_rate, 6) mean_rate, core from (select cluster, count(*) n, count(*) filter (round(m, 9) >= 0.8) core from mm group by 1) join (select cluster, avg(together / sampled) mean_rate from pr group by 1) using (cluster)")
 def hard_core(t):  # M12
-    r = G.cooccurrence(t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label")), bootstrap_runs(t))
-    return G.hard_core(r).select("cluster", "n", F.round("mean_rate", 6).alias("mean_rate"), "core")
+    r = t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label"))
+    return G.hard_core(r, bootstrap_runs(t)).select("cluster", "n", F.round("mean_rate", 6).alias("mean_rate"), "core")
 
 
 @query(f"with {RUNS}, c as (select x.run run_a, y.run run_b, x.label label_a, y.label label_b, count(*) n from m x join m y on x.item = y.item and x.run < y.run group by all), s as (select run, label, count(*) s from m group by all) select c.run_a, c.run_b, label_a, label_b, round(n / (a.s + b.s - n), 6) jaccard from c join s a on a.run = run_a and a.label = label_a join s b on b.run = run_b and b.label = label_b")

@@ -78,23 +78,30 @@ def syntactic_report(t):  # M30 A20
 AMBIGUITY = f"""{SENTENCES}, {ELABORATION}, am as (select ff.doc_id, round(0.3 * passive_share + 0.3 * attribution_share + 0.4 * least(coalesce(ratio, 1) / 10, 1), 6) score, coalesce(ratio > 8, false) severe from ff left join er on er.doc_id = ff.doc_id)"""
 
 
-def ambiguous(t):
-    j = features(t).join(elaborated(t).select("doc_id", "ratio", "severe"), "doc_id", "left")
+def ambiguous(t, of=None):
+    """Scores of all documents, or of those that of holds: the texts are read after the choice."""
+    d = t.documents.where("text is not null")
+    d = d if of is None else d.join(of, "doc_id", "left_semi")
+    lexicons = ((["the", "la"], ["and", "der"]), ["on", "in"], ["with", "by"], ["was", "are"], ["as", "this", "que"])
+    j = B.sentence_features(d, *lexicons).join(B.elaboration(d, [" was ", " que "], [" this ", " und "], [" with ", " by "]).select("doc_id", "ratio", "severe"), "doc_id", "left")
     return j.select("doc_id", F.round(B.ambiguity(F.col("passive_share"), F.col("attribution_share"), F.col("ratio")), 6).alias("score"), F.coalesce("severe", F.lit(False)).alias("severe"))
 
 
 @query(f"with {AMBIGUITY} select am.doc_id, score from am join labels l on l.doc_id = am.doc_id where quality <> toxic order by score desc, am.doc_id limit 15")
 def ambiguity_ranking(t):  # M4f M31 L2
-    return ambiguous(t).join(t.labels.where("quality <> toxic").select("doc_id"), "doc_id").orderBy(F.desc("score"), "doc_id").limit(15).select("doc_id", "score")
+    chosen = t.labels.where("quality <> toxic").select("doc_id")
+    return ambiguous(t, chosen).join(chosen, "doc_id").orderBy(F.desc("score"), "doc_id").limit(15).select("doc_id", "score")
 
 
 @query(f"with {AMBIGUITY}, top as (select am.doc_id from am join labels l on l.doc_id = am.doc_id where quality <> toxic and not severe order by score desc, am.doc_id limit 15) select doc_id from documents where lang = 'es' union select doc_id from top")
 def presupposition_targets(t):  # M31 U1
-    top = ambiguous(t).where("not severe").join(t.labels.where("quality <> toxic").select("doc_id"), "doc_id").orderBy(F.desc("score"), "doc_id").limit(15).select("doc_id")
+    chosen = t.labels.where("quality <> toxic").select("doc_id")
+    top = ambiguous(t, chosen).where("not severe").join(chosen, "doc_id").orderBy(F.desc("score"), "doc_id").limit(15).select("doc_id")
     return t.documents.where("lang = 'es'").select("doc_id").union(top).distinct()
 
 
-@query()
+@query("""with p as (select doc_id, regexp_split_to_array(text, '["“”]') p from documents where contains(text, '"')), q as (select doc_id, p, unnest(range(2, len(p) + 1, 2)) i from p),
+ r as (select doc_id, lower(right(p[i - 1], 150) || ' ' || left(coalesce(p[i + 1], ''), 150)) near from q where length(p[i]) >= 20) select doc_id, case when contains(near, 'the') then 'official' when contains(near, 'que') or contains(near, 'und') then 'civil' else 'unattributed' end speaker, count(*) n from r group by 1, 2""")
 def quotes_by_speaker(t):  # M28 J21
     return B.quotes_by_speaker(t.documents.where("text like '%\"%'"), [("official", ["the"]), ("civil", ["que", "und"])])
 
@@ -105,3 +112,46 @@ def mirror_gap(t):  # M32 J3 A15
     c = t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count_if(F.col("role") == "user").alias("q"), F.count("*").alias("total"))
     f = t.documents.join(outlets(t), F.col("source") == F.col("outlet")).join(c, "doc_id").withColumn("frame", F.col("lang"))
     return B.mirror_gap(f, F.col("region") == "AMERICA", F.col("q"), F.col("total")).withColumn("domestic_ratio", F.round("domestic_ratio", 6))
+
+
+MARKERS = {"markers": ["thand", "the", "of", "and", "to", "que"], "leading": ["the", "que"], "turning": ["thand"], "joining": ["and", "to"]}
+
+CONCESSIVE = r"""cs as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '[.!?]+[ \n]+'), lambda x: x <> '')) s from documents where text is not null),
+ cm as (select doc_id, s, case when contains(lower(s), 'thand') then 'thand' when contains(lower(s), 'the') then 'the' when contains(lower(s), 'of') then 'of' when contains(lower(s), 'and') then 'and' when contains(lower(s), 'to') then 'to' when contains(lower(s), 'que') then 'que' end m from cs),
+ cr as (select *, substr(s, instr(lower(s), m) + length(m)) rest, instr(lower(s), ' ' || m || ' ') spot from cm where m is not null),
+ cp as (select doc_id, m pattern, case when m in ('the', 'que') and instr(rest, ',') > 6 then trim(left(rest, instr(rest, ',') - 1)) when m = 'thand' then rtrim(trim(left(s, instr(lower(s), m) - 1)), ',') when m in ('and', 'to') and spot > 1 then trim(left(s, spot - 1)) end subordinated from cr),
+ cc as (select * from cp where length(subordinated) > 10)"""
+
+
+def constructions(t):
+    return t.documents.where("text is not null").select("doc_id", B.concessive_constructions("text", **MARKERS).alias("constructions"))
+
+
+@query(f"with {CONCESSIVE} select doc_id, pattern, count(*) n, max(length(subordinated)) longest from cc group by 1, 2")
+def concessive_constructions(t):  # M29
+    c = constructions(t).select("doc_id", F.explode("constructions").alias("c"))
+    return c.groupBy("doc_id", F.col("c.pattern").alias("pattern")).agg(F.count("*").alias("n"), F.max(F.length("c.subordinated")).cast("long").alias("longest"))
+
+
+@query(f"with {CONCESSIVE} select pattern, count(*) n from cc group by 1")
+def concessive_marker_frequency(t):  # M30
+    return B.marker_frequency(constructions(t))
+
+
+CASUALTIES = {"words": ["the", "que"], "named": r"(?i)(?:the|of)\s[a-z]+\s(?:and|to)\s", "number": r"(?i)([a-z]+ing)\s+(?:of|the|and)", "hedged": r"(?i)(?:en|er)\s+(?:of|le)"}
+
+
+@query(r"""with x as (select doc_id, text, list_filter(string_split(text, '. '), lambda s: contains(lower(s), 'the') or contains(lower(s), 'que')) s from documents where text is not null),
+ y as (select *, list_filter(s, lambda x: contains(lower(x), 'ing') and not contains(lower(x), 'ea')) l, list_filter(s, lambda x: contains(lower(x), 'ea') and not contains(lower(x), 'ing')) r from x)
+ select doc_id, cast(len(regexp_extract_all(text, '(?i)(?:the|of)\s[a-z]+\s(?:and|to)\s')) as bigint) named, cast(len(regexp_extract_all(text, '(?i)([a-z]+ing)\s+(?:of|the|and)')) as bigint) numbered, cast(len(regexp_extract_all(text, '(?i)(?:en|er)\s+(?:of|le)')) as bigint) hedged,
+ cast(len(list_filter(l, lambda x: regexp_matches(x, '(?i)(?:the|of)\s[a-z]+\s(?:and|to)\s'))) as bigint) left_named, cast(len(list_filter(l, lambda x: regexp_matches(x, '(?i)([a-z]+ing)\s+(?:of|the|and)'))) as bigint) left_numbered, cast(len(list_filter(l, lambda x: regexp_matches(x, '(?i)(?:en|er)\s+(?:of|le)'))) as bigint) left_hedged,
+ cast(len(list_filter(r, lambda x: regexp_matches(x, '(?i)(?:the|of)\s[a-z]+\s(?:and|to)\s'))) as bigint) right_named, cast(len(list_filter(r, lambda x: regexp_matches(x, '(?i)([a-z]+ing)\s+(?:of|the|and)'))) as bigint) right_numbered, cast(len(list_filter(r, lambda x: regexp_matches(x, '(?i)(?:en|er)\s+(?:of|le)'))) as bigint) right_hedged from y""")
+def casualty_specificity(t):  # F8
+    c = B.casualty_counts("text", {"left": ["ing"], "right": ["ea"]}, **CASUALTIES)
+    return t.documents.where("text is not null").select("doc_id", c.alias("c")).select("doc_id", "c.*")
+
+
+@query(r"""with f as (select doc_id, list_filter(regexp_split_to_array(list_filter(regexp_split_to_array(text, '[.!?]+[ \n]+'), lambda x: x <> '')[1], '[ \t\n\x0B\f\r]+'), lambda w: w <> '') w from documents where text is not null),
+ p as (select doc_id, w, list_position(list_transform(w, lambda x: lower(trim(x, '.,;:!?')) in ('the', 'of', 'que', 'der')), true) i from f) select doc_id, case when i > 1 then array_to_string(w[1:i - 1], ' ') end subject from p""")
+def opening_subjects(t):  # D5
+    return t.documents.where("text is not null").select("doc_id", B.opening_subject("text", ["the", "of", "que", "der"]).alias("subject"))

@@ -137,3 +137,55 @@ def stratified_sample(t):  # M6 D12
 def priority_sample(t):  # M7
     d = t.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "contested").when(F.col("doc_id") % 3 == 1, "medium").otherwise("high").alias("level"))
     return S.priority(d, "doc_id", "level", "lang", 60)
+
+
+ENTITIES = [(0, "Ada Keitle", ["thand", "ofthe"]), (1, "Bo Church", ["idiot"]), (2, "Cy Tionat", ["onthe", "thand"]), (3, "Solo", []), (4, "Dee Reaux", None)]
+TERMS = "k(term, name) as (values ('ada keitle', 'Ada Keitle'), ('ofthe', 'Ada Keitle'), ('keitle', 'Ada Keitle'), ('bo church', 'Bo Church'), ('idiot', 'Bo Church'), ('cy tionat', 'Cy Tionat'), ('onthe', 'Cy Tionat'), ('thand', 'Cy Tionat'), ('tionat', 'Cy Tionat'), ('solo', 'Solo'), ('dee reaux', 'Dee Reaux'))"
+
+
+def tagged(t):
+    e = t.spark.createDataFrame(ENTITIES, "ord int, name string, aliases array<string>")
+    return C.tag_entities(t.documents.select("doc_id", "lang", "text"), C.entity_terms(e), F.concat_ws(" ", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))), ["schich", "ement"])
+
+
+@query(f"with {TERMS}, d as (select doc_id, lower(concat_ws(' ', coalesce(lang, ''), coalesce(text, ''))) x from documents), m as (select doc_id, string_agg(distinct name, ',' order by name) names from d join k on contains(x, term) group by 1) select d.doc_id, coalesce(names, '') entities, contains(x, 'schich') or contains(x, 'ement') angle from d left join m using (doc_id) where names is not null or contains(x, 'schich') or contains(x, 'ement')")
+def entity_tags(t):  # J19 M39
+    return tagged(t).select("doc_id", F.array_join("entities", ",").alias("entities"), "angle")
+
+
+@query(f"with {TERMS}, d as (select doc_id, lower(concat_ws(' ', coalesce(lang, ''), coalesce(text, ''))) x from documents) select name, count(distinct doc_id) media from d join k on contains(x, term) group by 1")
+def entity_media_counts(t):  # M39
+    return C.entity_counts(tagged(t), "doc_id")
+
+
+@query("with d as (select lower(text) x from documents) select count(*) filter (contains(x, 'keit') or contains(x, 'lich')) left_docs, count(*) filter (contains(x, 'eaux')) right_docs, round(count(*) filter (contains(x, 'keit') or contains(x, 'lich')) / nullif(count(*) filter (contains(x, 'eaux')), 0), 6) ratio from d")
+def frame_set_ratio(t):  # M50
+    return C.frame_ratio(t.documents, F.col("text"), ["keit", "lich"], ["eaux"]).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("with f(frame, term) as (values ('insult', 'idiot'), ('insult', 'clown'), ('french', 'eaux'), ('german', 'keit'), ('english', 'thand'), ('never', 'zzzqqq')), h as (select distinct frame, doc_id from documents join f on contains(lower(text), term)), s as (select frame, count(*) n, round(count(*) / (select count(*) from documents), 6) share from h group by 1), e as (select frame, coalesce(n, 0) n, coalesce(share, 0) share from (select distinct frame from f) left join s using (frame)) select row_number() over (order by n, frame) rank, frame, n, share, (select median(share) from e) median_share from e")
+def frame_ranking(t):  # M50
+    frames = t.spark.createDataFrame([*FRAMES, ("never", "zzzqqq")], "frame string, term string")
+    return C.frame_summary(C.frame_share(t.documents, frames, t.documents.count()).withColumn("share", F.round("share", 6)), frames)
+
+
+@query("""with c as (select user_id entity, event_type "level", event_id ord, cast(json_extract_string(props, '$.k') as varchar) detail, case when event_type = 'purchase' then 'm' || cast(round(value) as bigint) else '' end money, case when event_type = 'error' then 'c' || event_id % 4 else '' end consequences from events),
+ n as (select entity, "level", count(*) n from c group by all), s as (select entity, "level", string_agg(detail, '/' order by ord) samples from (select *, row_number() over (partition by entity, "level" order by ord) r from c) where r <= 3 group by all),
+ l as (select entity, cast(sum(n) as bigint) contexts, string_agg("level" || ':' || n || ':' || samples, ';' order by n desc, "level") levels from n join s using (entity, "level") group by 1),
+ m as (select entity, string_agg(money, ',' order by f) money from (select entity, money, min(ord) f from c where money <> '' group by 1, 2) group by 1), q as (select entity, string_agg(consequences, ',' order by f) consequences from (select entity, consequences, min(ord) f from c where consequences <> '' group by 1, 2) group by 1)
+ select entity, contexts, levels, coalesce(money, '') money, coalesce(consequences, '') consequences from l left join m using (entity) left join q using (entity)""")
+def entity_dossier_lists(t):  # M52
+    kind = lambda k, v: F.when(F.col("event_type") == k, v).otherwise("")
+    money, hurt = F.concat(F.lit("m"), F.round("value").cast("long").cast("string")), F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string"))
+    c = t.events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("level"), F.col("event_id").alias("ord"), F.get_json_object("props", "$.k").alias("detail"), kind("purchase", money).alias("money"), kind("error", hurt).alias("consequences"))
+    d = C.dossier(c, ["money", "consequences"])
+    levels = F.array_join(F.transform("levels", lambda x: F.concat_ws(":", x["level"], x["n"].cast("string"), F.array_join(x["samples"], "/"))), ";")
+    return d.select("entity", "contexts", levels.alias("levels"), F.array_join("money", ",").alias("money"), F.array_join("consequences", ",").alias("consequences"))
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def resume_pending(t):  # X6
+    from corpuslens.operators.relational import remaining
+
+    done = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return remaining(t.orders.select("o_orderkey"), done, ["o_orderkey"])

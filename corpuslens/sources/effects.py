@@ -16,18 +16,24 @@ Client = Callable[[Sequence[str]], Sequence[str | None]]
 
 
 def complete(df: DataFrame, prompt: str, client: Client, attempts: int = 2, output: str = "answer") -> DataFrame:
-    """Answers to prompts, a partition's batches at a time; None after the last failed attempt."""
+    """Answers to prompts, a partition's batches at a time.  A batch that fails after the last attempt is halved until the failing
+    prompts stand alone; those are answered by None."""
     fields = df.schema
 
+    def ask(prompts: list[str]) -> list[str | None]:
+        for _ in range(attempts):
+            try:
+                return list(client(prompts))
+            except Exception:  # noqa: BLE001, S112  a client may raise anything
+                continue
+        if len(prompts) < 2:
+            return [None] * len(prompts)
+        mid = len(prompts) // 2
+        return ask(prompts[:mid]) + ask(prompts[mid:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(attempts):
-                try:
-                    answers = list(client(b[prompt].tolist()))
-                    break
-                except Exception:  # noqa: BLE001  a client may raise anything; the last failure is a null answer
-                    answers = [None] * len(b)
-            yield b.assign(**{output: answers})
+            yield b.assign(**{output: ask(b[prompt].tolist())})
 
     return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{output} string"]))
 
@@ -38,23 +44,58 @@ def echo_client(prompts: Sequence[str]) -> list[str]:
 
 
 def embed(df: DataFrame, text: str, dims: int = 64, output: str = "embedding") -> DataFrame:
-    """Hashed character trigrams, unit length: a stand-in for a sentence encoder."""
+    """Hashed character trigrams, unit length: a stand-in for a sentence encoder.  A batch is one array of code points."""
 
     @F.pandas_udf("array<double>")
     def vector(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[float]:
-            v = np.zeros(dims)
-            t = f"  {(t or '').lower()} "
-            for i in range(len(t) - 2):
-                h = int.from_bytes(hashlib.blake2b(t[i : i + 3].encode(), digest_size=8).digest(), "little")
-                v[h % dims] += 1 if h >> 63 else -1
-            return (v / max(np.linalg.norm(v), 1e-12)).tolist()
-
-        return s.map(one)
+        padded = ["  " + t.lower() + " " for t in s]
+        points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = np.array([len(t) for t in padded], np.int64)
+        row = np.repeat(np.arange(len(s)), size)
+        h = (points[:-2] << np.uint64(42)) ^ (points[1:-1] << np.uint64(21)) ^ points[2:]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        own = row[:-2] == row[2:]
+        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+        v = np.bincount((row[:-2] * dims + (h % np.uint64(dims)).astype(np.int64))[own], sign[own], len(s) * dims).reshape(len(s), dims)
+        return pd.Series(list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)))
 
     return df.withColumn(output, vector(F.coalesce(text, F.lit(""))))
 
 
+#: what a speech model returns for a recording
+TRANSCRIPT = "key string, transcript string, language string, confidence double, minutes double"
+
+
+def transcribe(audio: DataFrame, url: str, client: Callable[[str], dict | None], cache: DataFrame | None = None) -> DataFrame:
+    """Transcripts of recordings, one row a distinct address: key (md5 of the address), transcript, language, confidence, minutes.
+    What cache (rows of the same kind) has is taken from there; only the others go to the client, which downloads and recognises one
+    recording and returns those fields, or None.  A failed recording has null fields and is asked again next time: cache rows without
+    a transcript do not count."""
+    keyed = audio.where(F.col(url).isNotNull()).select(F.col(url).alias("url"), F.md5(F.col(url).cast("binary")).alias("key")).distinct()
+    known = cache.where("transcript is not null").dropDuplicates(["key"]) if cache is not None else None
+    open_ = keyed.join(known.select("key"), "key", "left_anti").select("url", "key") if known is not None else keyed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for address, key in zip(b["url"], b["key"], strict=True):
+                try:
+                    got = client(address) or {}
+                except Exception:  # noqa: BLE001  a client may raise anything; the recording stays open
+                    got = {}
+                rows.append((key, got.get("transcript"), got.get("language"), got.get("confidence"), got.get("minutes")))
+            yield pd.DataFrame(rows, columns=["key", "transcript", "language", "confidence", "minutes"])
+
+    new = open_.mapInPandas(run, TRANSCRIPT)
+    return new.unionByName(known.join(keyed.select("key"), "key", "left_semi").select(new.columns)) if known is not None else new
+
+
+def silent_client(address: str) -> dict:
+    """A stand-in: a transcript that names the recording."""
+    return {"transcript": f"recording {hashlib.md5(address.encode()).hexdigest()[:8]}", "language": "en", "confidence": 1.0, "minutes": 0.0}
+
+
 PROFILES = {"en": "the and of to in that is was for with", "de": "der die und das von mit den nicht ist ein", "fr": "le la les des et du que dans une pour", "es": "el los las que del por una con para de"}
 
 

@@ -1,13 +1,54 @@
-"""Append-only, run-versioned writes."""
+"""Append-only, run-versioned writes, reports and their publication."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _fs(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _free(spark: SparkSession, path: str, join: str = "_", ending: str = "", first: int = 1) -> str:
+    """path + ending, or with the first number for which nothing is there."""
+    fs, p = _fs(spark, path + ending)
+    k, name = first, path + ending
+    while fs.exists(p):
+        name = f"{path}{join}{k}{ending}"
+        p, k = _fs(spark, name)[1], k + 1
+    return name
+
+
+def write_artifact(df: DataFrame, path: str, run_id: str | None = None, now: datetime | None = None) -> str | None:
+    """Write df as JSON to path, the canonical copy; the one that was there moves to path_<time> (numbered if that is taken), and a
+    copy under path_<run id> is never touched again (an error if it is there).  The canonical copy is replaced in one rename, so
+    readers find the old or the new one.  The run's copy, or None without a run."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    safe = re.sub(r"[^\w-]", "_", run_id) if run_id else None
+    written = f"{path}_{safe}" if safe else f"{path}.next"
+    df.write.mode("errorifexists" if safe else "overwrite").json(written)
+    if safe:
+        spark.read.text(written).write.mode("overwrite").text(f"{path}.next")
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        fs.rename(p, _fs(spark, _free(spark, f"{path}_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}"))[1])
+    fs.rename(_fs(spark, f"{path}.next")[1], p)
+    return written if safe else None
+
+
 def write_run(df: DataFrame, path: str, run_id: str) -> bool:
     """Write a run's rows once, under run_id=...; False (nothing written) if the run is there already."""
     spark = df.sparkSession
@@ -44,8 +85,92 @@ def csv_sample(df: DataFrame, path: str, widths: dict[str, int]) -> None:
 
 def html_table(df: DataFrame, title: str, rows: int = 200) -> str:
     """A small aggregate as an HTML page; rows bounds what is read to the driver."""
+    return html_report(title, {title: df}, rows=rows)
+
+
+def html_report(title: str, sections: dict[str, DataFrame], notes: dict[str, str] | None = None, rows: int = 200) -> str:
+    """A page with a section for each small aggregate: its note, a table of at most rows rows (and how many there are), and a bar
+    beside the last numeric column's values.  Sections without rows say so."""
     import html
 
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>" for r in df.limit(rows).collect())
-    return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    parts, notes = [], notes or {}
+    for name, df in sections.items():
+        got, total = df.limit(rows).collect(), df.count()
+        kinds = [f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal") for f in df.schema.fields]
+        bar = max((k for k, numeric in enumerate(kinds) if numeric), default=None)
+        most = max((abs(r[bar]) for r in got if r[bar] is not None), default=0) if bar is not None else 0
+        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+        body = []
+        for r in got:
+            cells = "".join(f"<td>{html.escape('' if x is None else str(x))}</td>" for x in r)
+            width = round(100 * abs(r[bar]) / most) if most and r[bar] is not None else 0
+            body.append(f"<tr>{cells}" + (f'<td><div class="bar" style="width:{width}px"></div></td>' if most else "") + "</tr>")
+        note = f"<p>{html.escape(notes[name])}</p>" if name in notes else ""
+        table = f"<table><tr>{head}</tr>{''.join(body)}</table><p>{len(got)} of {total} rows</p>" if got else "<p>no rows</p>"
+        parts.append(f"<section><h2>{html.escape(name)}</h2>{note}{table}</section>")
+    style = "<style>td,th{padding:2px 8px;text-align:left}.bar{height:8px;background:#888}</style>"
+    return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title>{style}</head><body><h1>{html.escape(title)}</h1>{"".join(parts)}</body></html>'
+
+
+def write_page(spark: SparkSession, path: str, text: str) -> None:
+    _put(spark, path, text)
+
+
+def write_topic(spark: SparkSession, topic, folder: str) -> str:
+    """A topic's configuration as YAML under its slug; one that is there stays and the new one takes the next number.  Its path."""
+    import yaml
+
+    raw = {"name": topic.name, "slug": topic.slug, "event_type": topic.event_type, "description": topic.description, "windows": topic.windows, "queries": topic.queries, **topic.more}
+    path = _free(spark, f"{folder}/{topic.slug}", "-", ".yaml", 2)
+    _put(spark, path, yaml.safe_dump(raw, allow_unicode=True, sort_keys=False))
+    return path
+
+
+def publish(spark: SparkSession, source: str, target: str, page: str = "index.html") -> list[str]:
+    """Copy the report folders of source (those that hold the page) to target, the root of a static host, if their page differs from
+    what is there.  The folders that were copied; an error if there is no report."""
+    fs, root = _fs(spark, source)
+    util = spark._jvm.org.apache.hadoop.fs.FileUtil
+    reports = [f.getPath() for f in fs.listStatus(root) if f.isDirectory() and fs.exists(_fs(spark, f"{f.getPath()}/{page}")[1])] if fs.exists(root) else []
+    if not reports:
+        raise ValueError(f"no report under {source}")
+    copied = []
+    for r in reports:
+        to_fs, to = _fs(spark, f"{target}/{r.getName()}")
+        if to_fs.exists(to):
+            if _text(spark, f"{to}/{page}") == _text(spark, f"{r}/{page}"):
+                continue
+            to_fs.delete(to, True)
+        to_fs.mkdirs(to.getParent())
+        util.copy(fs, r, to_fs, to, False, spark._jsc.hadoopConfiguration())
+        copied.append(r.getName())
+    return sorted(copied)
+
+
+def _text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def save_stage(spark: SparkSession, path: str, stage: str, **state: object) -> None:
+    """Note that a stage is done, with what the next needs (a small JSON file a stage)."""
+    import json
+
+    _put(spark, f"{path}/{stage}.json", json.dumps({"stage": stage, **state}))
+
+
+def done_stages(spark: SparkSession, path: str) -> dict[str, dict]:
+    """State of every stage that save_stage noted."""
+    import json
+
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")]
+    return {n[:-5]: json.loads(_text(spark, f"{path}/{n}")) for n in names}

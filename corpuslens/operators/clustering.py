@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import product
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.operators.agreement import cluster_jaccard
+from corpuslens.functions.vectors import cosine
+from corpuslens.operators.agreement import cluster_jaccard, perturbation_stability
+from corpuslens.operators.graph import components, durable
 
 MAX_AGGLOMERATIVE = 4000
+MAX_LEVELS = 4
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -62,6 +69,16 @@ def match_clusters(runs: DataFrame) -> DataFrame:
     return j.groupBy("run_a", "run_b").applyInPandas(solve, j.select("run_a", "run_b", "label_a", "label_b", "jaccard").schema)
 
 
+def taxonomy_stability(runs: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every matched pair of clusters with jaccard and the cosine of its labels' vectors; pairs, mean and std of the cosines).
+    vectors: run, label, vector."""
+    a = vectors.select(F.col("run").alias("run_a"), F.col("label").alias("label_a"), F.col("vector").alias("va"))
+    b = vectors.select(F.col("run").alias("run_b"), F.col("label").alias("label_b"), F.col("vector").alias("vb"))
+    matched = match_clusters(runs).join(a, ["run_a", "label_a"]).join(b, ["run_b", "label_b"])
+    matched = matched.select("run_a", "run_b", "label_a", "label_b", "jaccard", cosine("va", "vb").alias("cosine"))
+    return matched, matched.agg(F.count("*").alias("pairs"), F.avg("cosine").alias("mean"), F.stddev_pop("cosine").alias("std"))
+
+
 def transfer(similarity: DataFrame, threshold: float = 0.70) -> DataFrame:
     """similarity: a, b, similarity of two taxonomies' clusters.  (a, b, similarity, status): matched pairs reaching the
     threshold are transferred; below it both sides count as unmatched (untransferred, novel)."""
@@ -114,6 +131,117 @@ def cluster_groups(df: DataFrame, group: str, item: str, vector: str, k: int) ->
     return df.select(group, item, vector).groupBy(group).applyInPandas(solve, kinds)
 
 
+Solver = Callable[[np.ndarray], "np.ndarray | None"]
+
+
+def halving(solve: Solver, vectors: np.ndarray, least: int = 5) -> np.ndarray:
+    """Labels that solve gives; where it gives none (or raises), those of either half, down to least rows, which then stand alone."""
+    try:
+        labels = solve(vectors)
+    except Exception:  # noqa: BLE001  a solver behind the seam may raise anything
+        labels = None
+    if labels is not None and len(labels) == len(vectors):
+        return np.unique(np.asarray(labels), return_inverse=True)[1]
+    if len(vectors) <= least:
+        return np.arange(len(vectors))
+    mid = len(vectors) // 2
+    left, right = halving(solve, vectors[:mid], least), halving(solve, vectors[mid:], least)
+    return np.concatenate([left, right + left.max(initial=-1) + 1])
+
+
+def by_average_linkage(share: float = 0.25) -> Solver:
+    """A solver: average linkage down to a share of the rows, two at least."""
+    return lambda v: agglomerative(v, max(2, int(len(v) * share)))
+
+
+def reduce_clusters(df: DataFrame, item: str, vector: str, *, chunk: int = 80, most: int = 40, levels: int = MAX_LEVELS, solve: Solver | None = None) -> DataFrame:
+    """item, cluster (the smallest item of it).  Items are dealt into chunks of bounded size by hash, a solver clusters each chunk
+    (halved where it fails), and clusters, as items with the mean of their members' vectors, are dealt and clustered again, until at
+    most `most` are left or after `levels` levels.  Every item stays in a cluster: what a level does not merge is carried over."""
+    solve = solve or by_average_linkage()
+    kind = df.schema[item].dataType.simpleString()
+    assigned = df.select(F.col(item).alias("item"), F.col(item).alias("cluster"))
+    now = df.select(F.col(item).alias("cluster"), F.transform(vector, lambda x: x.cast("double")).alias("vector"), F.lit(1).cast("long").alias("size"))
+
+    def cluster(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("cluster").reset_index(drop=True)
+        v, n = np.stack(p["vector"].to_numpy()), p["size"].to_numpy()
+        labels = halving(solve, v)
+        rows = []
+        for k in range(labels.max(initial=-1) + 1):
+            at = np.flatnonzero(labels == k)
+            mean = np.average(v[at], axis=0, weights=n[at])
+            rows += [(p["cluster"][i], p["cluster"][at[0]], mean.tolist(), int(n[at].sum()), i == at[0]) for i in at]
+        return pd.DataFrame(rows, columns=["old", "cluster", "vector", "size", "lead"])
+
+    for level in range(levels):
+        left = now.count()
+        if left <= most:
+            break
+        chunks = max(1, -(-left // chunk))
+        dealt = now.withColumn("chunk", F.pmod(F.xxhash64(F.lit(level), "cluster"), F.lit(chunks)))
+        merged = durable(dealt.groupBy("chunk").applyInPandas(cluster, f"old {kind}, cluster {kind}, vector array<double>, size long, lead boolean"))
+        assigned = assigned.withColumnRenamed("cluster", "old").join(merged.select("old", "cluster"), "old").select("item", "cluster")
+        now = merged.where("lead").select("cluster", "vector", "size")
+    return assigned.select(F.col("item").alias(item), "cluster")
+
+
+def cluster_tables(document: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clusters: cluster_name, singleton, articles, signature (country → articles); members: cluster_name, item) of a cluster document
+    (emergent_clusters, singletons); articles: index, item, country.  A singleton is a cluster of one; indices without an article go;
+    an article named twice in a cluster counts once."""
+    grouped = document.select(F.explode("emergent_clusters").alias("c")).select(F.col("c.cluster_name").alias("cluster_name"), F.lit(False).alias("singleton"), F.explode("c.member_indices").alias("index"))
+    alone = document.select(F.explode("singletons").alias("s")).select(F.concat(F.lit("Singleton "), F.col("s.index").cast("string")).alias("cluster_name"), F.lit(True).alias("singleton"), F.col("s.index").alias("index"))
+    members = grouped.unionByName(alone).distinct().join(articles, "index")
+    n = members.groupBy("cluster_name", "singleton", F.coalesce("country", F.lit("unknown")).alias("country")).agg(F.count("*").alias("n"))
+    clusters = n.groupBy("cluster_name", "singleton").agg(F.sum("n").alias("articles"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("country", "n")))).alias("signature"))
+    return clusters, members.select("cluster_name", "item")
+
+
+def noisy(df: DataFrame, item: str, vector: str, run: int, sigma: float, seed: int = 42) -> DataFrame:
+    """df with Gaussian noise on every coordinate, drawn from hashes of item, run and place (Box-Muller), so the same on any
+    partitioning."""
+    u = lambda k, salt: (F.pmod(F.xxhash64(F.lit(seed + salt), F.col(item), F.lit(run), k), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    noise = lambda k: sigma * F.sqrt(-2 * F.ln(u(k, 0))) * F.cos(2 * np.pi * u(k, 1))
+    return df.withColumn(vector, F.transform(vector, lambda x, k: x + noise(k)))
+
+
+def noisy_stability(df: DataFrame, k: int, n_runs: int = 5, sigma: float = 0.01, cluster: Callable[[DataFrame], DataFrame] | None = None, seed: int = 42) -> DataFrame:
+    """cluster, n, stability: df (item, vector) is clustered as it is and n_runs times with noise; see perturbation_stability.
+    cluster: DataFrame (item, vector) → (item, label); cosine k-means by default."""
+    cluster = cluster or (lambda d: scalable_clusters(d, "vector", k, seed).select("item", F.col("cluster").alias("label")))
+    runs = None
+    for r in range(n_runs):
+        one = durable(cluster(noisy(df, "item", "vector", r, sigma, seed)).withColumn("run", F.lit(r)))
+        runs = one if runs is None else runs.unionByName(one)
+    return perturbation_stability(durable(cluster(df)), runs, n_runs)
+
+
+def density_clusters(df: DataFrame, item: str, vector: str, *, axes: int = 3, cells: int = 8, min_samples: int = 3, min_cluster: int = 5) -> DataFrame:
+    """item, cluster: a stand-in for density clustering of reduced vectors.  Unit vectors are projected on their first principal axes
+    and dealt into a grid of cells to each axis' four standard deviations; cells with min_samples items are dense, dense cells that touch
+    are one cluster (its smallest cell's number), clusters under min_cluster items and items in other cells are noise, -1.  Only counts
+    of cells are joined, never items with items."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = df.select(F.col(item).alias("item"), array_to_vector(F.transform(vector, lambda x: x.cast("double") / F.greatest(length, F.lit(1e-12)))).alias("v"))
+    low = PCA(k=axes, inputCol="v", outputCol="p").fit(unit).transform(unit).select("item", vector_to_array("p").alias("p"))
+    spread = low.agg(*(F.avg(F.get("p", F.lit(k))).alias(f"m{k}") for k in range(axes)), *(F.stddev_pop(F.get("p", F.lit(k))).alias(f"s{k}") for k in range(axes))).first()
+    place = [F.floor((F.get("p", F.lit(k)) - (spread[f"m{k}"] or 0.0)) / (4 * (spread[f"s{k}"] or 1.0)) * cells).cast("long") for k in range(axes)]
+    number = lambda cs: sum((c + (1 << 19)) * (1 << 20) ** k for k, c in enumerate(cs))
+    dealt = durable(low.select("item", *(c.alias(f"c{k}") for k, c in enumerate(place))).withColumn("cell", number([F.col(f"c{k}") for k in range(axes)]).cast("long")))
+    dense = durable(dealt.groupBy("cell", *(f"c{k}" for k in range(axes))).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples))
+    steps = [d for d in product((-1, 0, 1), repeat=axes) if d > (0,) * axes]
+    beside = dense.select(F.col("cell").alias("u"), F.explode(F.array(*(number([F.col(f"c{k}") + x for k, x in enumerate(d)]).cast("long") for d in steps))).alias("cell"))
+    edges = beside.join(dense.select("cell"), "cell").select("u", F.col("cell").alias("v"))
+    roots = dense.select("cell", "n").join(components(edges).withColumnRenamed("node", "cell"), "cell", "left").withColumn("root", F.coalesce("root", "cell"))
+    big = roots.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") >= min_cluster).select("root")
+    kept = roots.join(big, "root").select("cell", F.col("root").alias("cluster"))
+    return dealt.select("item", "cell").join(kept, "cell", "left").select(F.col("item").alias(item), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
+
+
 def scalable_clusters(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
     """Cosine k-means over all rows: what corpus-level clustering uses where average linkage cannot reach."""
     from pyspark.ml.clustering import KMeans
@@ -125,17 +253,22 @@ def scalable_clusters(df: DataFrame, vector: str, k: int, seed: int = 42) -> Dat
 
 
 def bootstrap_ci(df: DataFrame, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and 2.5 / 97.5 percentiles of resampled means.  Each row enters each resample a Poisson(1) number of times,
-    drawn from a hash, so rows are weighted where they are and only sums per resample are shuffled."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "_row"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, total, term = [], 0.0, float(np.exp(-1))
-    for n in range(8):
-        total += term
-        steps.append(total)
-        term /= n + 1
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.xxhash64(*df.columns).alias("_row"))
-    drawn = rows.select("x", "_row", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
+    """Mean, n and 2.5 / 97.5 percentiles of resampled means.  A row enters each resample a Poisson(1) number of times; equal rows are
+    one with their count c and enter Poisson(c) times, drawn from a generator seeded by the row's hash, so any partitioning gives the
+    same draws.  A partition adds its rows up in two arrays of one number a resample, which are all that is shuffled; a resample that
+    drew nothing has no mean."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.xxhash64(*df.columns).alias("row")).groupBy("x", "row").agg(F.count("*").alias("c"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            x, row, c = (b.column(k).to_numpy() for k in ("x", "row", "c"))
+            for k in range(len(x)):
+                w = np.random.default_rng([seed, int(row[k]) & (1 << 64) - 1]).poisson(c[k], resamples)
+                sums += w * x[k]
+                weights += w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(weights)], names=["b", "s", "w"])
+
+    means = rows.mapInArrow(add, "b long, s double, w double").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return rows.agg(F.avg("x").alias("mean"), F.count("*").alias("n")).crossJoin(ci)  # one row each
+    return rows.agg((F.sum(F.col("x") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("mean"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).crossJoin(ci)  # one row each

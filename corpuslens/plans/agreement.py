@@ -81,10 +81,10 @@ def similarity_histogram(t):  # A19
     return A.histogram(p, "similarity").select("bin", F.col("n").cast("long").alias("n"))
 
 
-@query(f"with {READINGS} select e.i article_id, case when s >= 0.82 then 'high' when s >= 0.65 then 'medium' else 'contested' end band from e left join (select article_id, s from p where oa = 0 and ob = 1) x on x.article_id = e.i where e.i % 3 = 0")
+@query(f"with {READINGS} select e.i article_id, case when s >= 0.82 then 'high' when s >= 0.65 then 'medium' else 'contested' end band from e left join (select article_id, s from p where oa = 0 and ob = 1) x on x.article_id = e.i")
 def sample_comparison(t):  # M5
     p = K.reading_pairs(readings(t)).where("ord_a = 0 and ord_b = 1").select("article_id", "similarity")
-    s = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("article_id")).join(p, "article_id", "left")
+    s = t.embeddings.select(F.col("vec_id").alias("article_id")).join(p, "article_id", "left")
     return s.select("article_id", K.banded(F.coalesce("similarity", F.lit(0.0))).alias("band"))
 
 
@@ -109,7 +109,10 @@ def cluster_run_agreement(t):  # M8 M9 J14
     return a.select("run_a", "run_b", "common", F.round("ari", 6).alias("ari"), F.round("nmi", 6).alias("nmi"))
 
 
-@query()
+@query(f"""with {RUNS}, c as (select x.run run_a, y.run run_b, x.label la, y.label lb, count(*) n from m x join m y on x.item = y.item and x.run < y.run group by all),
+ r as (select run_a, run_b, sum(x * (x - 1) / 2) sa from (select run_a, run_b, la, sum(n) x from c group by all) group by all), k as (select run_a, run_b, sum(x * (x - 1) / 2) sb from (select run_a, run_b, lb, sum(n) x from c group by all) group by all),
+ z as (select run_a, run_b, cast(sum(n) as bigint) common, sum(n * (n - 1) / 2) sab from c group by all), a as (select (sab - sa * sb / (common * (common - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (common * (common - 1) / 2)) ari from z join r using (run_a, run_b) join k using (run_a, run_b))
+ select count(*) n, round(avg(ari), 6) mean, round(stddev_pop(ari), 6) std, round(min(ari), 6) least, round(max(ari), 6) greatest, round(median(ari), 6) median, case when avg(ari) > 0.6 then 'strong' when avg(ari) > 0.3 then 'moderate' else 'weak' end wording from a""")
 def run_agreement_summary(t):  # M10
     return G.run_agreement(labelings(t)).agg(*A.summary("ari")).withColumn("wording", G.agreement_wording(F.col("mean")))
 
@@ -148,11 +151,43 @@ def cluster_jaccard(t):  # J15 J18 M2f
     return G.cluster_jaccard(labelings(t)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(f"with {RUNS}, c as (select x.run run_a, y.run run_b, count(*) common from m x join m y on x.item = y.item and x.run < y.run where not (x.run = 'a' and y.run = 'c' and x.item % 3 = 0) group by all) select * from c order by common desc, run_a, run_b limit 1")
+def best_run_pair(t):  # J15
+    r = labelings(t)
+    return G.best_pair(r.where("not (run = 'c' and item % 3 = 0)").unionByName(r.where("run = 'c' and item % 3 = 0").withColumn("item", -F.col("item") - 1)))
+
+
+@query(f"with {RUNS}, c as (select x.run run_a, y.run run_b, x.label label_a, y.label label_b, count(*) n from m x join m y on x.item = y.item and x.run < y.run group by all), s as (select run, label, count(*) s from m group by all) select a.run run_a, b.run run_b, a.label label_a, b.label label_b, round(coalesce(n, 0) / (a.s + b.s - coalesce(n, 0)), 6) jaccard from s a join s b on a.run < b.run left join c on c.run_a = a.run and c.run_b = b.run and c.label_a = a.label and c.label_b = b.label")
+def cluster_jaccard_all(t):  # J18
+    return G.cluster_jaccard(labelings(t), zeros=True).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"""with {RATES.split(',\n w as')[0]}, e as (select vec_id item, case when label = 9 then 1000 + vec_id else label end cluster from embeddings), z as (select cluster, count(*) n from e group by 1), k as (select cluster, run, label, count(*) k from b join e using (item) group by all),
+ t as (select cluster, sum(k * (k - 1) / 2) t from k group by 1) select cast(cluster as bigint) cluster, n, case when n < 2 then 1.0 else round(coalesce(t, 0) / (n * (n - 1) / 2 * 6), 6) end stability from z left join t using (cluster)""")
+def perturbed_cluster_stability(t):  # M13
+    base = t.embeddings.select(F.col("vec_id").alias("item"), F.when(F.col("label") == 9, F.col("vec_id") + 1000).otherwise(F.col("label")).cast("long").alias("label"))
+    return G.perturbation_stability(base, bootstrap_runs(t), 6).withColumn("stability", F.round("stability", 6))
+
+
+@query()
+def noisy_cluster_stability(t):  # M13
+    e = t.embeddings.select(F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return C.noisy_stability(e, 8, n_runs=3).withColumn("stability", F.round("stability", 6))
+
+
 @query()
 def hungarian_match(t):  # D10
     return C.match_clusters(labelings(t)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query()
+def taxonomy_stability(t):  # M14
+    r = labelings(t)
+    e = t.embeddings.select(F.col("vec_id").alias("item"), "embedding")
+    vectors = A.centroids(r.join(e, "item").withColumn("key", F.struct("run", "label")), "key", "embedding").select("key.*", F.col("centroid").alias("vector"))
+    return C.taxonomy_stability(r, vectors)[1].select("pairs", *(F.round(c, 6).alias(c) for c in ("mean", "std")))
+
+
 @query()
 def taxonomy_transfer(t):  # M15 U5
     from corpuslens.functions.vectors import cosine
@@ -168,11 +203,48 @@ def agglomerative_clusters(t):  # D8
     return C.cluster_groups(e, "chunk", "vec_id", "embedding", 8)
 
 
+@query()
+def reduced_clusters(t):  # D11 W8
+    return C.reduce_clusters(t.embeddings.select(F.col("vec_id").alias("item"), "embedding"), "item", "embedding", chunk=80, most=12)
+
+
 @query()
 def scalable_clusters(t):  # D9
     return C.scalable_clusters(t.embeddings, "embedding", 8).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+@query()
+def density_clusters(t):  # D9
+    d = C.density_clusters(t.embeddings, "vec_id", "embedding")
+    return d.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def cluster_document(t: Tables) -> DataFrame:
+    """A cluster document over articles 0 .. n - 1: a cluster a label under 8, the others as singletons."""
+    e = t.embeddings
+    c = e.where("label < 8").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("m"))
+    clusters = c.agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("c"), F.col("label").cast("string")).alias("cluster_name"), F.lit("").alias("description"), F.col("m").alias("member_indices")))).alias("emergent_clusters"))
+    single = e.where("label >= 8").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").alias("index"), F.lit("alone").alias("why_unique")))).alias("singletons"))
+    return clusters.crossJoin(single)
+
+
+_MEMBERS = "a as (select vec_id, 'C' || vec_id % 7 country, label from embeddings), k as (select case when label < 8 then 'c' || label else 'Singleton ' || vec_id end cluster_name, label >= 8 singleton, vec_id item, country from a)"
+
+
+@query(f"with {_MEMBERS} select cluster_name, singleton, cast(sum(n) as bigint) articles, string_agg(country || ':' || n, ',' order by country) signature from (select cluster_name, singleton, country, count(*) n from k group by all) group by all")
+def cluster_table(t):  # K12 A9
+    a = t.embeddings.select(F.col("vec_id").alias("index"), F.col("vec_id").alias("item"), F.concat(F.lit("C"), (F.col("vec_id") % 7).cast("string")).alias("country"))
+    c, _ = C.cluster_tables(cluster_document(t), a)
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("signature")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return c.select("cluster_name", "singleton", "articles", listed.alias("signature"))
+
+
+@query(f"with {_MEMBERS} select cluster_name, item from k")
+def cluster_members(t):  # K12
+    a = t.embeddings.select(F.col("vec_id").alias("index"), F.col("vec_id").alias("item"), F.lit("x").alias("country"))
+    return C.cluster_tables(cluster_document(t), a)[1].select("cluster_name", "item")
+
+
 @query()
 def bootstrap_ci(t):  # M18
     return C.bootstrap_ci(t.labels.select("doc_id", "quality"), "quality")
@@ -191,10 +263,19 @@ def annotator_confusion(t):  # M16
     return t.labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query()
+def _distance(x: str, y: str) -> str:
+    both, all_ = f"len(list_intersect({x}, {y}))", f"len(list_distinct(list_concat({x}, {y})))"
+    return f"case when len({x}) = {both} and len({y}) = {both} then 0.0 when {both} = 0 then 1.0 when len({x}) = {both} or len({y}) = {both} then 1 - {both} / {all_} * 2 / 3 else 1 - {both} / {all_} / 3 end"
+
+
+@query(f"""with p as (select event_id // 7 item, coalesce(list(distinct event_type order by event_type) filter (event_id % 2 = 0), []) a, coalesce(list(distinct event_type order by event_type) filter (event_id % 2 = 1), []) b from events group by 1),
+ o as (select avg({_distance('a', 'b')}) observed from p where len(a) > 0 or len(b) > 0), u as (select s, count(*) c from (select a s from p union all select b from p) where len(s) > 0 group by 1),
+ e as (select sum(case when x.s = y.s then x.c * (x.c - 1) / 2 else x.c * y.c end * ({_distance('x.s', 'y.s')})) / sum(case when x.s = y.s then x.c * (x.c - 1) / 2 else x.c * y.c end) expected from u x join u y on x.s <= y.s)
+ select round(observed, 6) observed, round(expected, 6) expected, round(1 - observed / expected, 6) alpha from o, e""")
 def masi_alpha(t):  # M17 U6 M3f
     kinds = lambda parity: F.sort_array(F.collect_set(F.when(F.col("event_id") % 2 == parity, F.col("event_type"))))
-    return G.alpha_sets(t.events.groupBy("user_id").agg(kinds(0).alias("a"), kinds(1).alias("b")), "a", "b")
+    a = G.alpha_sets(t.events.groupBy(F.floor(F.col("event_id") / 7)).agg(kinds(0).alias("a"), kinds(1).alias("b")), "a", "b")
+    return a.select(*(F.round(c, 6).alias(c) for c in ("observed", "expected", "alpha")))
 
 
 @query("""with x as (select cast(length(text) as double) v, quality f from labels join documents using (doc_id)), g as (select count(*) filter (f = 0) n0, count(*) filter (f = 1) n1, avg(v) filter (f = 0) m0, avg(v) filter (f = 1) m1, var_samp(v) filter (f = 0) v0, var_samp(v) filter (f = 1) v1, corr(v, cast(f as double)) r from x)

@@ -87,7 +87,7 @@ def tension_prevalence(t):  # M46
     return t.embeddings.groupBy("label").agg(F.count_if(x).alias("tensions"), F.round(F.avg(x.cast("int")), 6).alias("prevalence")).withColumn("novel", F.col("label") >= 7)
 
 
-@query("with w as (select doc_id, unnest(string_split(text, chr(10))) claim, generate_subscripts(string_split(text, chr(10)), 1) pos from documents where doc_id < 50 and text is not null), f as (select claim, min((doc_id, pos)) f from w where claim <> '' group by 1) select claim from f order by f limit 40")
+@query("with w as (select doc_id, unnest(string_split(text, chr(10))) claim, generate_subscripts(string_split(text, chr(10)), 1) pos from documents where text is not null), f as (select claim, min((doc_id is null, doc_id, pos)) f from w where claim <> '' group by 1) select claim from f order by f limit 40")
 def claims_list(t):  # M47
     w = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "claim")).where("claim <> ''")
     return w.groupBy("claim").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")).alias("f")).orderBy("f").limit(40).select("claim")
@@ -133,7 +133,12 @@ def stratified_sample(t):  # M6 D12
     return S.stratified(t.documents.where("lang is not null").select("doc_id", "lang"), "lang", "doc_id", 60)
 
 
-@query()
+@query("""with d as (select doc_id, lang, case doc_id % 3 when 0 then 'contested' when 1 then 'medium' else 'high' end "level", md5('42:' || doc_id) h from documents),
+ c as (select *, 0 tier from d where "level" = 'contested' order by h, doc_id limit 24), m as (select *, 1 tier from d where "level" = 'medium' order by h, doc_id limit 18), t as (select * from c union all select * from m),
+ r as (select *, 2 tier from d where doc_id not in (select doc_id from t) order by h, doc_id limit 60), k as (select * from (select * from t union all select * from r) order by tier, h, doc_id limit 60),
+ n as (select greatest(ceil(count(*) * 0.3) - count(*) filter (lang <> 'en'), 0) need from k), i as (select *, row_number() over (order by h, doc_id) j from d where doc_id not in (select doc_id from k) and lang <> 'en'),
+ i2 as (select doc_id, lang, "level" from i, n where j <= least(need, 60)), o as (select *, row_number() over (order by tier desc, h desc, doc_id) j from k where not (lang <> 'en')),
+ o2 as (select doc_id from o where j <= (select count(*) from i2)) select doc_id, lang, "level" from k where doc_id not in (select doc_id from o2) union all select * from i2""")
 def priority_sample(t):  # M7
     d = t.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "contested").when(F.col("doc_id") % 3 == 1, "medium").otherwise("high").alias("level"))
     return S.priority(d, "doc_id", "level", "lang", 60)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +52,28 @@ def split_undated(df: DataFrame, ts: str) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(ts).isNotNull()), df.where(F.col(ts).isNull())
 
 
-def run_available(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run the stream over what is there now and return the resulting table (an in-memory sink: small results)."""
-    name = f"stream_{uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_available(df: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Run the stream over what is there now and return the table it wrote: Parquet in the folder that all executors share
+    (spark.checkpoint.dir unless given).  Of a complete stream every batch writes the whole result and the last one counts."""
+    folder = f"{folder or _shared(df.sparkSession)}/stream-{uuid4().hex}"
+    if mode == "append":
+        append_available(df, f"{folder}/rows", f"{folder}/state")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def _shared(spark: SparkSession) -> str:
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corpuslens-")
+    return folder
 
 
 def append_available(df: DataFrame, path: str, checkpoint: str) -> None:

@@ -132,12 +132,18 @@ def _pooled(m: Model, b: Bags) -> np.ndarray:
     reach = max(m.widths) - 1
     body = np.maximum(first[1:] - reach, first[:-1] + 1)  # windows that begin behind hold no word
     out = np.full((len(first) - 1, len(m.widths) * m.filters), -np.inf, np.float32)
+    few = len(b.features) <= 2 * BLOCK_PLACES  # then all words' vectors take no more room than a block's
+    words = np.concatenate([_embed(m, b.features), np.zeros((1, m.dim), np.float32)]) if few else None
     for lo in range(0, len(places), BLOCK_PLACES):
         hi = min(lo + BLOCK_PLACES, len(places))
-        used, inverse = np.unique(places[lo : hi + reach], return_inverse=True)
-        vectors = _embed(m, b.features[np.maximum(used, 0)])
-        vectors[used < 0] = 0
-        c = _convolve(m, vectors[inverse])
+        if few:
+            x = words[places[lo : hi + reach]]
+        else:
+            used, inverse = np.unique(places[lo : hi + reach], return_inverse=True)
+            vectors = _embed(m, b.features[np.maximum(used, 0)])
+            vectors[used < 0] = 0
+            x = vectors[inverse]
+        c = _convolve(m, x)
         a, z = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left")
         begin, end = np.maximum(first[a:z], lo) - lo, np.minimum(body[a:z], hi) - lo
         some = end > begin

@@ -12,7 +12,9 @@ their contexts' last TRUNK_DEPTH bytes and summed in shards.  No context is left
 A shard holds whole branches, the nodes deeper than TRUNK_DEPTH; what a branch's nodes weigh together goes
 to the trunk, the nodes up to TRUNK_DEPTH (at most 256 ** 3 grams of them), which is built on the
 driver and broadcast.  Grams with at least HOT_SHARE of all occurrences are broadcast with their
-probabilities; other grams travel to their shard, as cold words do.
+probabilities; other grams travel to their shard, as cold words do.  A shard that more than twice the
+mean number of them ask (a frequent ending) has copies in tasks of their own, and pieces of the corpus
+ask one of them.
 
 Base score (add-0.1 unigram): word counts are summed in shards by word hash.  Words with at least
 HOT_SHARE of the tokens (at most 1 / HOT_SHARE of them, a proven bound) are broadcast with their
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from copy import copy
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +136,24 @@ def _gram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mix64(keys >> U64(8) & U64((1 << 8 * TRUNK_DEPTH) - 1)) % U64(shards)).astype(np.int64)  # a branch stays together
 
 
+@dataclass
+class Copies:
+    """How many tasks hold each shard of grams, and the number of its second one: the first is the shard's own."""
+
+    n: np.ndarray
+    second: np.ndarray
+
+    @staticmethod
+    def by(load: np.ndarray) -> Copies:
+        n = np.maximum(1, np.ceil(load / max(2 * load.mean(), 1))).astype(np.int64) if len(load) else np.zeros(0, np.int64)
+        return Copies(n, len(n) + np.cumsum(n - 1) - (n - 1))
+
+    def task(self, shard: np.ndarray, salt: int) -> np.ndarray:
+        """The task of each shard that a piece of the corpus asks."""
+        pick = salt % self.n[shard]
+        return np.where(pick > 0, self.second[shard] + pick - 1, shard)
+
+
 def corpus_counts(texts: DataFrame, shards: int) -> DataFrame:
     """Summed over the rows of texts (text, train) that train: kind 0 grams by order, kind 1 words, packed by shard."""
 
@@ -396,11 +417,22 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
                 if len(chosen):
                     yield pa.RecordBatch.from_arrays([pa.array([_pack(chosen, branches(keys, c).on(trunk.value).log10(chosen).astype(np.float32))], pa.binary())], names=["blob"])
 
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                c = _unpack(blob)[1]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(c[c < common].sum())], pa.int64())], names=["shard", "n"])
+
+    load = np.zeros(shards, np.int64)
+    for shard, asks in counts.where("kind = 0").select("shard", "blob").mapInArrow(trimmed(loads), "shard int, n long").collect():  # a row a shard
+        load[shard] += asks
+    copies = Copies.by(load)
+
     known_grams = [_unpack(r[0]) for r in grams_.mapInArrow(trimmed(valued), "blob binary").collect()]  # at most 1 / HOT_SHARE grams
-    shared = spark.sparkContext.broadcast((Known(*(map(np.concatenate, zip(*known_grams, strict=True)) if known_grams else (np.zeros(0, U64), np.zeros(0)))), hot))
+    shared = spark.sparkContext.broadcast((Known(*(map(np.concatenate, zip(*known_grams, strict=True)) if known_grams else (np.zeros(0, U64), np.zeros(0)))), hot, copies))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_table, (hot_keys, hot_counts) = shared.value
+        known_table, (hot_keys, hot_counts), held = shared.value
         for batch in batches:
             for p in pieces(batch, "text", PIECE_BYTES):
                 w = words_of(p.column("text"), lower=True)
@@ -417,7 +449,7 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
                 ids = p.column("doc_id")
                 yield _rows(2, _deal(key % shards, key, np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), np.diff(first), known, np.add.reduceat(logs, first[:-1]), score))
                 yield _rows(3, _asked(tokens[~is_hot], doc[~is_hot], key, lambda k: (k % U64(shards)).astype(np.int64)))
-                yield _rows(4, _asked(g[~is_known], np.repeat(np.arange(p.num_rows), size)[~is_known], key, lambda k: _gram_shard(k, shards)))
+                yield _rows(4, _asked(g[~is_known], np.repeat(np.arange(p.num_rows), size)[~is_known], key, lambda k: held.task(_gram_shard(k, shards), abs(int(key[0])) >> 8)))  # noqa: B023
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cold words meet their counts and cold grams their branches; documents' sums go on to the documents."""
@@ -492,7 +524,10 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
         yield from close()
 
     keyed = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    extra = [(s, int(copies.second[s] + k)) for s in np.flatnonzero(copies.n > 1).tolist() for k in range(int(copies.n[s]) - 1)]  # half as many as shards at most
     found = keyed.mapInArrow(trimmed(read), _BLOBS).unionByName(counts)
+    if extra:
+        found = found.unionByName(counts.where("kind = 0").join(F.broadcast(spark.createDataFrame(extra, "shard int, task int")), "shard").select("kind", F.col("task").alias("shard"), "blob"))
     met = found.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(trimmed(look_up), _BLOBS)
     done = met.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(trimmed(finish), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(n).cast("long"))

@@ -84,7 +84,25 @@ def read_vocabulary(model: bytes) -> Vocabulary:
         won &= keys[at] == -1
         keys[at[won]], merged[at[won]] = todo[won], value[won]
         todo, value, at = todo[~won], value[~won], (at[~won] + 1) % size
-    return Vocabulary(char_class, symbol, joins, keys, merged, rank.astype(np.int32), safe)
+    v = Vocabulary(char_class, symbol, joins, keys, merged, rank.astype(np.int32), safe)
+    _check(v, sp, name)
+    return v
+
+
+#: what a model may do to a text before it merges: each must cost what the library says
+PROBES = ["a", " a", "a  b", "  a", "a ", "\t a\n\nb ", "ﬁ ²", "Ａ", "é", "e\u0301", "\u00a0x", "\u200bx", "\x00x", "\r\nx", "▁a", "a▁▁b", "<s>", "</s>", "<unk>", "<pad>", "<0x41>", "日本語", "😀", "12345", "don't", "A.B", "..."]
+
+
+def _check(v: Vocabulary, sp, names: dict[str, int]) -> None:
+    """Cuts and the space before a text hold for models that change no character and whose pieces cross no line end and no beginning
+    of white space; any other model is refused, not counted wrong."""
+    for w in names:
+        if len(w) > 1 and "\n" in w or any(b == SPACE != a for a, b in zip(w, w[1:])):
+            raise ValueError(f"the piece {w!r} crosses a place where texts are cut")
+    got, want = token_counts(v, pa.array(PROBES)).tolist(), [len(x) for x in sp.encode(PROBES)]
+    wrong = [p for p, a, b in zip(PROBES, got, want, strict=True) if a != b]
+    if wrong:
+        raise ValueError(f"this model treats {wrong[0]!r} in a way that is not supported")
 
 
 def _slot(keys: np.ndarray, size: int) -> np.ndarray:

@@ -177,3 +177,36 @@ def test_scoring_the_tree_of_a_page_prefers_text_to_links():
 def test_words_are_runs_between_six_bytes():
     w = words_of(pa.array(["a\x0bb\x0cc d\x85 e", None, ""]))
     assert w.per_doc.tolist() == [4, 0, 0]
+
+
+def test_a_busy_shard_has_copies():
+    c = lm.Copies.by(np.array([10, 10, 100, 10, 0]))
+    assert c.n.tolist() == [1, 1, 2, 1, 1] and c.second[2] == 5
+    c = lm.Copies.by(np.array([1, 1000, 1, 1, 500, 1, 1, 1]))
+    assert c.n.tolist() == [1, 3, 1, 1, 2, 1, 1, 1] and c.second[[1, 4]].tolist() == [8, 10]
+    assert {int(c.task(np.array([1]), k)[0]) for k in range(9)} == {1, 8, 9} and c.task(np.array([0]), 5).tolist() == [0]
+
+
+def test_scores_with_copies_of_busy_shards(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(d, " ".join(rng.choice(["ae", "be", "ce", "xyz"]) * rng.randint(1, 3) + str(rng.randint(0, 9)) for _ in range(60)), d % 5 != 0) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(6)
+    plain = sorted((r.doc_id, r.score) for r in lm.score_texts(docs, F.col("train")).collect())
+    monkeypatch.setattr(lm, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(lm, "MIN_SHARDS", 3)
+    monkeypatch.setattr(lm.Copies, "by", staticmethod(lambda load: lm.Copies(np.full(len(load), 3), len(load) + 2 * np.arange(len(load)))))
+    got = sorted((r.doc_id, r.score) for r in lm.score_texts(docs, F.col("train")).collect())
+    assert [d for d, _ in got] == [d for d, _ in plain] and [s for _, s in got] == pytest.approx([s for _, s in plain], rel=1e-5)
+
+
+@pytest.mark.parametrize("file", ["piece_bpe_32k.model"])
+def test_only_models_that_are_counted_right_are_read(file, monkeypatch):
+    import public_tokenizers
+
+    from corpuslens.llm import tokens
+
+    model = open(public_tokenizers.path(file), "rb").read()
+    tokens.read_vocabulary(model)
+    monkeypatch.setattr(tokens, "token_counts", lambda v, texts: np.zeros(len(texts), int))
+    with pytest.raises(ValueError, match="not supported"):
+        tokens.read_vocabulary(model)

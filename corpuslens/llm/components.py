@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a minimum by node (combined before the shuffle) joined back to the edges; a node with
-very many neighbours is an ordinary skewed join, which adaptive execution splits.  Partitions first
+Every step is a minimum by node (combined before the shuffle) joined back to the edges; minima of nodes
+with very many neighbours are broadcast, so their edges stay where they are.  Partitions first
 contract their own edges to stars, so few rounds remain.  Each round's edges are checkpointed.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, trimmed
+from .common import durable, join_counted, trimmed
 
 MAX_ROUNDS = 100
 
@@ -40,15 +40,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in stars], pa.int64()), pa.array([x for _, x in stars], pa.int64())], names=["u", "v"])
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u < v) → edges: neighbours on one side of a node are tied to its smallest neighbour."""
+def _step(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """edges (u < v), total of them → edges: neighbours on one side of a node are tied to its smallest neighbour."""
     if large:  # neighbours above the node, tied to the least of all neighbours and itself
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        out = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).join(least, "x").select(F.col("m").alias("u"), F.col("y").alias("v"))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
+        out = join_counted(edges.select(F.col("u").alias("x"), F.col("v").alias("y")), least, "x", "n", total).select(F.col("m").alias("u"), F.col("y").alias("v"))
     else:  # neighbours below the node and itself, tied to the least of them
-        least = edges.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
-        below = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).join(least, "x").select(F.col("m").alias("u"), F.col("y").alias("v"))
+        least = edges.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        below = join_counted(edges.select(F.col("v").alias("x"), F.col("u").alias("y")), least, "x", "n", total).select(F.col("m").alias("u"), F.col("y").alias("v"))
         out = below.unionByName(least.select(F.col("m").alias("u"), F.col("x").alias("v")))
     return out.where("u < v").distinct()
 
@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not sign[0]:
             break
-        now = durable(_step(_step(now, True), False))
+        now = durable(_step(durable(_step(now, True, sign[0])), False, sign[0]))
         before, sign = sign, _sign(now)
         if sign == before:
             break

@@ -5,7 +5,7 @@ so inflected and unseen forms share what was learnt.  Filters of several widths
 words, each is max-pooled over the whole text, and a logistic unit weighs the pooled values.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows, in hash order of the id:
-at most MAX_ROWS rows and MAX_WORDS words, no row of more than MAX_ROW_WORDS words (all parameters; a
+at most MAX_ROWS rows and MAX_WORDS words, no row of more than MAX_ROW_BYTES bytes (all parameters; a
 row that does not fit is passed over, those after it are not).  Scoring is one narrow pass over whole
 texts; the convolution runs over BLOCK_PLACES words at a time, so memory per word is a few integers.
 
@@ -34,7 +34,7 @@ from .common import hash_spans, pieces, trimmed, words_of
 
 MAX_ROWS = 5_000
 MAX_WORDS = 2_500_000
-MAX_ROW_WORDS = 250_000
+MAX_ROW_BYTES = 2 << 20
 BLOCK_PLACES = 1 << 16
 BATCH_WORDS = 1 << 18
 CUT = 0.7
@@ -44,7 +44,6 @@ WIDTHS = (1, 2, 3)
 
 #: what parts words here: all ASCII but letters and digits
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words, for the JVM
 
 
 @dataclass
@@ -314,14 +313,15 @@ def _calibrate(m: Model, b: Bags, y: np.ndarray, least: int = 20) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_row_words: int = MAX_ROW_WORDS, seed: int = 42) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_row_bytes: int = MAX_ROW_BYTES, seed: int = 42) -> Model:
     """Fit on rows of labels for which learn holds, in hash order of doc_id, as far as they fit the bounds."""
     chosen = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     chosen = chosen.withColumn("_h", F.xxhash64(F.lit(seed), "_id")).orderBy("_h", "_id").limit(max_rows)  # max_rows rows are broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "_id")
-    rows = rows.withColumn("n", F.regexp_count("text", F.lit(WORD_PATTERN))).where(F.col("n") <= min(max_row_words, max_words))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.octet_length("text") <= max_row_bytes).join(F.broadcast(chosen), "_id")
     texts, ys, langs, left = [], [], [], max_words
-    for text, y, lang, n in rows.orderBy("_h", "_id", "text").select("text", "_y", "lang", "n").limit(2 * max_rows).toLocalIterator():
+    for text, y, lang in rows.orderBy("_h", "_id", "text").select("text", "_y", "lang").limit(2 * max_rows).toLocalIterator():
+        n = len(words_of(pa.array([text]), breaks=PARTS).start)
         if n <= left:
             left -= n
             texts.append(text)

@@ -65,14 +65,14 @@ def test_long_texts_are_convolved_in_blocks(monkeypatch, block):
 
 
 def test_a_long_labelled_row_is_passed_over_not_the_end(spark):
-    rows = [(d, ("vile " if d % 2 else "kind ") + "word " * 5, "en") for d in range(60)] + [(1000 + d, "long\n" * 5000, "en") for d in range(5)]
+    rows = [(d, ("vile " if d % 2 else "kind ") + "word " * 5, "en") for d in range(60)] + [(1000 + d, "long\n" * (5000 + 4000 * (d % 2)), "en") for d in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(d, d % 2) for d, _, _ in rows], "doc_id long, toxic int")
     seen = []
     plain = toxicity.fit
     toxicity.fit = lambda texts, y, langs: seen.extend(texts) or plain(texts, y, langs, epochs=1, steps=1)
     try:
-        toxicity.train(docs, labels, F.lit(True), max_words=2000, max_row_words=1000)
+        toxicity.train(docs, labels, F.lit(True), max_words=2000, max_row_bytes=40_000)
     finally:
         toxicity.fit = plain
     assert sorted(seen) == sorted(t for _, t, _ in rows if len(t) < 1000)

@@ -10,12 +10,14 @@ so that such a group holds at most MEAN_GROUP random nodes (up to 4 x 10^12 node
 the method decides: distances of every fingerprint to many reference fingerprints (pivots, drawn
 from the data by hash) are tabulated; by the triangle inequality a pair whose distances to any
 pivot differ by more than d is discarded, and the survivors are verified.  Only a spanning forest
-of a group's links is emitted.
+of a group's links, the nearest ones, is emitted.
 
-A similarity of word shingles (Jaccard) asks for a wide radius: d is the
-distance that wide fingerprints of so similar texts have, and SLACK standard deviations.  No exact
-choice of blocks is small there, so nodes are looked up under samples of bits, as many as find a
-pair at distance d with probability FOUND (nearer pairs with more), and decided in the same way.
+A similarity of word shingles (Jaccard) asks for a wide radius: d is the distance that wide
+fingerprints of so similar texts have, and SLACK standard deviations.  No exact choice of blocks is
+small there, so nodes are looked up under samples of bits, as many as find a pair at distance d with
+probability FOUND (nearer pairs with more), and decided in the same way.  Links are then verified by
+the texts' shingle sets; a group's forest prefers near pairs, so what two similar texts are tied by
+is as near as they are.
 
 Hot groups (more than GROUP_ROWS nodes) are dealt into chunks by hash and every two chunks meet in
 a task of their own, exactly; a task walks its nodes breadth-first, comparing each only with nodes
@@ -28,7 +30,7 @@ fingerprint; other columns are ignored, whatever their names; an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from math import acos, ceil, log, pi, sqrt
 
@@ -48,7 +50,7 @@ PIVOTS = 32
 MEAN_GROUP = 128
 FINGERPRINT_DOCS = 256
 WIDE_WORDS = 4
-SLACK = 1.0
+SLACK = 1.5
 FOUND = 0.99
 
 
@@ -75,23 +77,27 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
     return out
 
 
-def wide_fingerprints(texts: pa.Array, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """(texts, WIDE_WORDS): the fingerprint of every text over its distinct shingles, hashed from the words' hashes."""
+def shingle_sets(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every distinct shingle of the texts, in order; of fewer words the whole sequence is one."""
     w = words_of(texts, lower=True)
-    out = np.zeros((w.n_docs, WIDE_WORDS), np.uint64)
-    h = w.hashes()
-    if not len(h):
-        return out
-    n = w.per_doc
+    h, n = w.hashes(), w.per_doc
     doc = np.repeat(np.arange(w.n_docs), np.maximum(n - shingle + 1, 0))
-    full = window_hashes(h, shingle)[spans(w.first[:-1], np.maximum(n - shingle + 1, 0))]
-    short = np.flatnonzero((n > 0) & (n < shingle))  # fewer words: the whole sequence
+    full = window_hashes(h, shingle)[spans(w.first[:-1], np.maximum(n - shingle + 1, 0))] if len(h) else h
+    short = np.flatnonzero((n > 0) & (n < shingle))
     whole = np.array([window_hashes(h[a : a + k], int(k))[0] for a, k in zip(w.first[short], n[short], strict=True)], np.uint64)
     doc, key = np.concatenate([doc, short]), mix64(np.concatenate([full, whole]) + np.uint64(seed))
     order = np.lexsort((key, doc))
     doc, key = doc[order], key[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
-    doc, key = doc[new], key[new]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[: len(doc)]
+    return doc[new], key[new]
+
+
+def wide_fingerprints(texts: pa.Array, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """(texts, WIDE_WORDS): the fingerprint of every text over its distinct shingles, hashed from the words' hashes."""
+    out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
+    doc, key = shingle_sets(texts, shingle, seed)
+    if not len(doc):
+        return out
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     size = np.diff(np.append(first, len(doc)))
     for k in range(WIDE_WORDS):
@@ -147,19 +153,17 @@ def bit_samples(n: int, bits: int, seed: int = 42) -> list[np.ndarray]:
     return [np.sort(rng.choice(64 * WIDE_WORDS, size, replace=False)) for _ in range(ceil(log(1 - FOUND) / log(1 - meet)) if meet < 1 else 1)]
 
 
-def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs i, j those that differ in at most bits bits: pivot by pivot, then verified word by word."""
+def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs i, j those that differ in at most bits bits, and in how many: pivot by pivot, then verified word by word."""
     for p in range(table.shape[1]):
         near = np.abs(table[i, p] - table[j, p]) <= bits
         i, j = i[near], j[near]
-        if not len(i):
-            return i, j
     far = np.zeros(len(i), np.int16)
     for k in range(fp.shape[1]):
         far += np.bitwise_count(fp[i, k] ^ fp[j, k])
         near = far <= bits
         i, j, far = i[near], j[near], far[near]
-    return i, j
+    return i, j, far
 
 
 def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,50 +172,59 @@ def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> t
     table = np.bitwise_count(fp[:, None, :] ^ pivots[None, :, :]).sum(axis=2, dtype=np.int16)
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.concatenate([begin, [len(group)]]))
-    left, right = [], []
+    left, right, far = [], [], []
     small = np.repeat(np.where(size <= SMALL_GROUP, size, 0), size)
     place = np.arange(len(group)) - np.repeat(begin, size)
     for d in range(1, SMALL_GROUP):
         i = np.flatnonzero(place + d < small)
         if not len(i):
             break
-        i, j = _close(fp, table, i, i + d, bits)
+        i, j, x = _close(fp, table, i, i + d, bits)
         left.append(i)
         right.append(j)
+        far.append(x)
     for b, n in zip(begin[size > SMALL_GROUP], size[size > SMALL_GROUP], strict=True):
         rest = np.arange(b, b + n)
         while len(rest):
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 q = queue.pop()
-                _, hit = _close(fp, table, np.full(len(rest), q), rest, bits)
+                _, hit, x = _close(fp, table, np.full(len(rest), q), rest, bits)
                 if len(hit):
                     left.append(np.full(len(hit), q))
                     right.append(hit)
+                    far.append(x)
                     queue.extend(hit)
                     rest = rest[~np.isin(rest, hit, assume_unique=True)]
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = np.concatenate(left), np.concatenate(right)
-    tree = _forest(len(fp), i, j)
+    tree = _forest(len(fp), i, j, np.concatenate(far))
     return i[tree], j[tree]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Those of the links i, j of n nodes that suffice to connect what all of them connect."""
+def _forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Those of the links i, j of n nodes that connect what all of them connect by the nearest links (every part takes its nearest
+    link out, part by part, until none is left)."""
     root, found, open_ = np.arange(n), [], np.arange(len(i))
     while True:
         a, b = root[i[open_]], root[j[open_]]
         open_, a, b = open_[a != b], a[a != b], b[a != b]
         if not len(open_):
             return np.concatenate(found) if found else open_
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((low, high))  # each root hooks once, to the smallest it meets
-        first = order[np.flatnonzero(np.concatenate([[True], np.diff(high[order]) > 0]))]
-        found.append(open_[first])
-        root[high[first]] = low[first]
-        while (root != root[root]).any():
-            root = root[root]
+        part, link = np.concatenate([a, b]), np.concatenate([open_, open_])
+        order = np.lexsort((link, far[link], part))
+        lead = order[np.concatenate([[True], np.diff(part[order]) > 0])]
+        part, link = part[lead], link[lead]
+        other = np.where(root[i[link]] == part, root[j[link]], root[i[link]])
+        up = np.arange(n)
+        up[part] = other
+        both = (up[other] == part) & (part < other)  # two parts chose one link: the lesser stays
+        up[part[both]] = part[both]
+        found.append(link[~both])
+        while (up != up[up]).any():
+            up = up[up]
+        root = up[root]
 
 
 def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
@@ -239,7 +252,7 @@ def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
     dealt = keyed.join(hot, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("t", "key", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), "node", *names)
-    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "node")
+    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", F.xxhash64("t", "node"))  # other walks in every group
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -283,12 +296,33 @@ def near_duplicates(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: i
     return join_counted(marked.select("doc_id", "node"), classes.select("node", "component_id", "docs"), "node", "docs", total).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def _classes(marked: DataFrame, bits: int) -> tuple[DataFrame, int]:
+def similar_links(links: DataFrame, marked: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """Those of the links (u, v) whose texts' shingle sets have the similarity.  marked: row, node; texts: row, text.  One text stands
+    for a node, and only texts of linked nodes are read into sets."""
+    pairs = durable(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    rows = marked.groupBy("node").agg(F.min("row").alias("row")).join(ends, "node", "left_semi")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in pieces(batch, "text", PIECE_BYTES):
+                doc, key = shingle_sets(p.column("text"), shingle, seed)
+                offsets = np.searchsorted(doc, np.arange(p.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([p.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))], names=["node", "shingles"])
+
+    sets = durable(texts.join(rows, "row").dropDuplicates(["node"]).select("node", "text").mapInArrow(trimmed(read), "node long, shingles array<long>"))
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.where(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select("u", "v")
+
+
+def _classes(marked: DataFrame, bits: int, verify: Callable[[DataFrame], DataFrame] = lambda links: links) -> tuple[DataFrame, int]:
     """(node, docs, root, component_id of every distinct fingerprint; rows of marked)."""
     names = [c for c in marked.columns if c[0] == "f" and c[1:].isdigit()]
     nodes = durable(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")))
     total, n_nodes = nodes.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count("*")).first()
-    roots = connected_components(near_links(nodes.select("node", *names), bits=bits))
+    roots = connected_components(verify(near_links(nodes.select("node", *names), bits=bits)))
     placed = durable(nodes.drop(*names).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     return durable(join_counted(placed, smallest, "root", "members", n_nodes).select("node", "docs", "root", "component_id")), total
@@ -301,7 +335,10 @@ def one_of_each(docs: DataFrame, *, similarity: float | None = None, shingle: in
     key, wide = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), similarity is not None
     texts = docs.select("doc_id", "text", key.alias("row"))
     marked = durable(fingerprint_table(texts, shingle=shingle, seed=seed, wide=wide, keep=["row"]))
-    classes, total = _classes(marked, radius(similarity) if wide else bits)
+    if wide:
+        classes, total = _classes(marked, radius(similarity), lambda links: similar_links(links, marked, texts.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), similarity, shingle, seed))
+    else:
+        classes, total = _classes(marked, bits)
     rooted = join_counted(marked.select("doc_id", "row", "node"), classes.select("node", "root", "docs"), "node", "docs", total)
     chosen = rooted.groupBy("root").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
     columns = [F.col(f"`{c}`") for c in docs.columns]

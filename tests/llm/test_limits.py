@@ -87,6 +87,22 @@ def test_links_are_a_forest():
     assert (np.bitwise_count(fp[i] ^ fp[j]) <= 4).all()
 
 
+def test_the_forest_holds_the_nearest_links():
+    rng = np.random.default_rng(5)
+    for n, m in ((12, 30), (40, 60), (5, 0), (30, 400)):
+        i, j, far = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 6, m)
+        tree = simhash._forest(n, i, j, far)
+        root = list(range(n))
+        find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
+        least, edges = 0, 0
+        for k in np.argsort(far, kind="stable"):
+            a, b = find(i[k]), find(j[k])
+            if a != b:
+                root[a] = b
+                least, edges = least + far[k], edges + 1
+        assert len(tree) == len(set(tree.tolist())) == edges and far[tree].sum() == least
+
+
 def test_groups_stay_small_at_any_number_of_nodes():
     for n in (10**5, 10**6, 10**7, 10**9, 10**12):
         masks = simhash.block_masks(n, 4)

@@ -177,8 +177,8 @@ def test_scripts_without_spaces_are_searched():
     assert [(r, i) for r, i, *_ in hits] == [(0, 1)]
 
 
-@pytest.mark.parametrize("cell_bits, cell_bytes, shard_bytes", [(24, 1 << 28, 1 << 25), (4, 3000, 2000), (1, 1 << 28, 500)])
-def test_a_full_sketch_loses_no_repeat(spark, cell_bits, cell_bytes, shard_bytes):
+@pytest.mark.parametrize("cell_bits, cell_bytes, part_bytes", [(24, 1 << 28, 1 << 25), (4, 3000, 2000), (1, 1 << 28, 500)])
+def test_a_full_sketch_loses_no_repeat(spark, cell_bits, cell_bytes, part_bytes):
     rng = random.Random(11)
     shared = [" ".join(f"p{k}.{j}" for j in range(rng.randint(20, 60))) for k in range(5)]
     rows = []
@@ -199,6 +199,6 @@ def test_a_full_sketch_loses_no_repeat(spark, cell_bits, cell_bytes, shard_bytes
         w = (t or "").split()
         gone = {k for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (d is None, d or 0, i) for k in range(i, i + 20)}
         want.append((str(d), str(name), len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    got = substrings.remove_repeats(docs, keep=["kept_text"], cell_bits=cell_bits, cell_bytes=cell_bytes, shard_bytes=shard_bytes)
+    got = substrings.remove_repeats(docs, keep=["kept_text"], cell_bits=cell_bits, cell_bytes=cell_bytes, part_bytes=part_bytes)
     assert sorted((str(r[0]), str(r[1]), r[2], r[3], r[4]) for r in got.collect()) == sorted(want)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with costly columns that are computed once a row: filters on them are not pushed below (which would compute them twice) and
+    later columns do not repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def effective_text(*candidates: Column | str) -> Column:
     """The first candidate that is neither null nor empty, else ''."""
     return F.coalesce(*(F.nullif(_c(c), F.lit("")) for c in candidates), F.lit(""))

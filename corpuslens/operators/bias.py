@@ -66,7 +66,7 @@ def sentence_features(docs: DataFrame, sides: tuple[Sequence[str], Sequence[str]
         hedged = F.size(F.filter(X.words(s), lambda w: w.isin(*hedges)))
         return F.struct(has(attribution).alias("att"), has(passive).alias("pas"), has(concessive).alias("con"), has(sides[0]).alias("a"), has(sides[1]).alias("b"), number.alias("num"), (number - hedged).alias("sure"))
 
-    f = docs.select("doc_id", F.transform(X.sentences(F.lower("text")), look).alias("f")).where(F.size("f") > 0)
+    f = X.computed_once(docs.select("doc_id", "text"), f=F.transform(X.sentences(F.lower("text")), look)).where(F.size("f") > 0)
     n = F.size("f")
     count = lambda test: F.size(F.filter("f", test)).cast("long")
 
@@ -133,17 +133,27 @@ def marker_frequency(docs: DataFrame, constructions: str = "constructions") -> D
 
 
 def casualty_counts(text: Column | str, sides: dict[str, Sequence[str]], words: Sequence[str] = CASUALTY_WORDS, named: str = CASUALTY_NAMED, number: str = CASUALTY_NUMBER, hedged: str = CASUALTY_HEDGED) -> Column:
-    """struct of named, numbered and hedged casualties in the text, and for each of the two sides, as <side>_named ..., the sentences
-    with a casualty word that mention only that side."""
+    """struct of named, numbered and hedged casualties in the text, and sides: for each side, as <side>_named ..., the sentences with
+    a casualty word that mention only that side."""
     t = F.col(text) if isinstance(text, str) else text
     kinds = {"named": named, "numbered": number, "hedged": hedged}
-    some = F.filter(F.split(t, r"\. "), lambda s: X.any_term(s, words))
     out = [F.regexp_count(t, F.lit(p)).cast("long").alias(k) for k, p in kinds.items()]
-    for side, terms in sides.items():
-        others = [x for other, more in sides.items() if other != side for x in more]
-        mine = F.filter(some, lambda s: X.any_term(s, terms) & ~X.any_term(s, others))  # noqa: B023
-        out += [F.size(F.filter(mine, lambda s: s.rlike(p))).cast("long").alias(f"{side}_{k}") for k, p in kinds.items()]  # noqa: B023
-    return F.struct(*out)
+    names = [f"{side}_{k}" for side in sides for k in kinds]
+    zero = F.lit(0).cast("long")
+
+    def add(total: Column, s: Column) -> Column:
+        """Every sentence is looked at once."""
+        met = {side: X.any_term(s, terms) for side, terms in sides.items()}
+        more = []
+        for side in sides:
+            alone = met[side]
+            for other in sides:
+                alone = alone if other == side else alone & ~met[other]
+            more += [(total[f"{side}_{k}"] + F.when(X.any_term(s, words) & alone & s.rlike(p), 1).otherwise(0)).alias(f"{side}_{k}") for k, p in kinds.items()]
+        return F.struct(*more)
+
+    sums = F.aggregate(F.split(t, r"\. "), F.struct(*(zero.alias(n) for n in names)), add)
+    return F.struct(*out, sums.alias("sides"))
 
 
 def opening_subject(text: Column | str, verbs: Sequence[str]) -> Column:

@@ -72,7 +72,7 @@ def tag_entities(docs: DataFrame, terms: DataFrame, text: Column, angles: Sequen
     low = F.lower(text)
     pairs = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in sorted(lexicon))) if lexicon else F.array().cast("array<struct<t:string,n:string>>")
     named = F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(F.col("_low"), p["t"])), lambda p: p["n"])))
-    tagged = docs.withColumn("_low", low).withColumn("entities", named).withColumn("angle", X.any_term("_low", angles)).drop("_low")
+    tagged = X.computed_once(X.computed_once(docs, _low=low), entities=named, angle=X.any_term("_low", angles)).drop("_low")
     return tagged.where((F.size("entities") > 0) | F.col("angle"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as X
 from corpuslens.operators import bias as B
 
 from .registry import query
@@ -148,7 +149,8 @@ CASUALTIES = {"words": ["the", "que"], "named": r"(?i)(?:the|of)\s[a-z]+\s(?:and
  cast(len(list_filter(r, lambda x: regexp_matches(x, '(?i)(?:the|of)\s[a-z]+\s(?:and|to)\s'))) as bigint) right_named, cast(len(list_filter(r, lambda x: regexp_matches(x, '(?i)([a-z]+ing)\s+(?:of|the|and)'))) as bigint) right_numbered, cast(len(list_filter(r, lambda x: regexp_matches(x, '(?i)(?:en|er)\s+(?:of|le)'))) as bigint) right_hedged from y""")
 def casualty_specificity(t):  # F8
     c = B.casualty_counts("text", {"left": ["ing"], "right": ["ea"]}, **CASUALTIES)
-    return t.documents.where("text is not null").select("doc_id", c.alias("c")).select("doc_id", "c.*")
+    d = X.computed_once(t.documents.where("text is not null").select("doc_id", "text"), c=c).select("doc_id", "c.*")
+    return d.select("doc_id", "named", "numbered", "hedged", "sides.*")
 
 
 @query(r"""with f as (select doc_id, list_filter(regexp_split_to_array(list_filter(regexp_split_to_array(text, '[.!?]+[ \n]+'), lambda x: x <> '')[1], '[ \t\n\x0B\f\r]+'), lambda w: w <> '') w from documents where text is not null),

@@ -194,7 +194,7 @@ def test_concessive_constructions(spark):
 def test_casualties_and_opening_subject(spark):
     text = "Two were killed and one of them is named Ada. Reportedly killed were 12 soldiers in Iran. Five people were wounded in the US."
     c = spark.createDataFrame([(text,)], "t string").select(B.casualty_counts("t", {"us": ["the us"], "iran": ["iran"]}).alias("c")).first().c
-    assert (c.named, c.numbered, c.hedged, c.us_numbered, c.iran_numbered, c.iran_hedged, c.us_hedged) == (1, 1, 1, 0, 1, 1, 0)
+    assert (c.named, c.numbered, c.hedged, c.sides.us_numbered, c.sides.iran_numbered, c.sides.iran_hedged, c.sides.us_hedged) == (1, 1, 1, 0, 1, 1, 0)
     got = [r[0] for r in spark.createDataFrame([("The old bridge holds. It is fine.",), ("Holds it?",), ("No verb here",), ("",)], "t string").select(B.opening_subject("t", ["holds"])).collect()]
     assert got == ["The old bridge", None, None, None]
 

@@ -123,7 +123,7 @@ def own_weights(items):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 24, 400])
+@pytest.mark.parametrize("part_bytes", [1 << 24, 3000])
 def test_decontamination_finds_what_plain_bm25_finds(spark, monkeypatch, part_bytes):
     monkeypatch.setattr(decontaminate, "MAX_PART_BYTES", part_bytes)
     rng = random.Random(8)

@@ -43,8 +43,7 @@ from .common import U64, Words, durable, mix64, pieces, spans, trimmed, window_h
 CELL_BITS = 24
 ROWS = 2
 CELL_BYTES = 256 << 20  # text for each cell shard: about 8 million anchors in 2^24 cells a row
-PART_BYTES = 48 << 20  # text for each task, at most
-PART_SHARDS = 4  # shards of documents and of windows for each task: several, so that tasks are alike
+PART_BYTES = 48 << 20  # text for each shard of documents, and of windows, at most
 FLUSH_ANCHORS = 2 << 20
 FLUSH_WINDOWS = 1 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -202,7 +201,7 @@ def _rows(kind: int, found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["kind", "shard", "blob"])
 
 
-def repeated_windows(dealt: DataFrame, answers: DataFrame, parts: int, shards: int, window: int, run: int) -> DataFrame:
+def repeated_windows(dealt: DataFrame, answers: DataFrame, shards: int, window: int, run: int) -> DataFrame:
     """dealt: text, id (its order), key (its row) and shard; answers: shard, blob.  (shard, blob): places of windows that also start
     earlier, packed by document, to their document's shard."""
 
@@ -266,7 +265,7 @@ def repeated_windows(dealt: DataFrame, answers: DataFrame, parts: int, shards: i
         yield from settle()
 
     found = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_trimmed_table(candidates), _MESSAGE)
-    return found.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("kind", "shard").mapInArrow(trimmed(repeats), _MESSAGE).select("shard", "blob")
+    return found.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "shard").mapInArrow(trimmed(repeats), _MESSAGE).select("shard", "blob")
 
 
 def _trimmed_table(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -291,14 +290,13 @@ def remove_repeats(docs: DataFrame, *, keep: Sequence[str] = (), window: int = 2
     kept = [F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(keep)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n_bytes) // part_bytes + 1)
-    shards = PART_SHARDS * parts
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n_bytes) // part_bytes + 1)
     cell_shards = int(n_bytes) // cell_bytes + 1
     texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(int(NULL_ID)))).withColumn("key", F.xxhash64("id", "text")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    dealt = texts.repartition(parts, "shard")
+    dealt = texts.repartition(shards, "shard")
     asked = durable(asked_anchors(texts, cell_shards, window, run))
-    answers = asked.where("kind = 1").unionByName(answered_anchors(asked, cell_shards, cell_bits)).select("shard", "blob").repartition(parts, "shard")
-    places = repeated_windows(dealt, answers, parts, shards, window, run).repartition(parts, "shard")
+    answers = asked.where("kind = 1").unionByName(answered_anchors(asked, cell_shards, cell_bits)).select("shard", "blob").repartition(shards, "shard")
+    places = repeated_windows(dealt, answers, shards, window, run).repartition(shards, "shard")
     names = ["doc_id", *(f"_keep{k}" for k in range(len(keep)))]
 
     def cut(texts: pa.Table, places: pa.Table) -> pa.Table:

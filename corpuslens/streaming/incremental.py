@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators.graph import shared_folder
+
 WATERMARK = "2 days"
 
 
@@ -55,7 +56,7 @@ def split_undated(df: DataFrame, ts: str) -> tuple[DataFrame, DataFrame]:
 def run_available(df: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
     """Run the stream over what is there now and return the table it wrote: Parquet in the folder that all executors share
     (spark.checkpoint.dir unless given).  Of a complete stream every batch writes the whole result and the last one counts."""
-    folder = f"{folder or _shared(df.sparkSession)}/stream-{uuid4().hex}"
+    folder = f"{folder or shared_folder(df.sparkSession)}/stream-{uuid4().hex}"
     if mode == "append":
         append_available(df, f"{folder}/rows", f"{folder}/state")
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
@@ -67,15 +68,6 @@ def run_available(df: DataFrame, mode: str = "complete", folder: str | None = No
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
-def _shared(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="corpuslens-")
-    return folder
-
-
 def append_available(df: DataFrame, path: str, checkpoint: str) -> None:
     """Append what is new to a Parquet table, exactly once by the checkpoint."""
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

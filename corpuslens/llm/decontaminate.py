@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, hash_binary, pieces, spans, text_bytes, trimmed, words_of
+from .common import U64, Words, pieces, spans, text_bytes, trimmed, words_of
 
 MAX_PART_BYTES = 16 << 20
 BLOCK_ITEMS = 8

@@ -81,6 +81,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import count_words, variants
+
+    return variants(count_words(table(spark, sf_dir, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import resample
 
@@ -133,6 +139,18 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
 
 
+_OP12_SQL = rf"""with {_CRC_SQL},
+ runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) run from documents),
+ hashed as (select run, n, {_crc("coalesce(doc_id::varchar, '') || ':' || run")} h from (select doc_id, run, count(*) n from runs where length(run) >= 7 group by 1, 2), crc_table),
+ words as (select case when h % 31 = 0 then substring(run, 1, (h % length(run))::int) || substring(run, (h % length(run))::int + 2) else run end word, cast(sum(n) as bigint) n from hashed group by 1 having length(word) >= 7 and sum(n) >= 2),
+ cut as (select word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) rest from (select word, n, unnest(range(1, length(word) + 1)) i from words)),
+ pairs as (select a.word, a.n, b.word near, b.n near_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from words a join cut b on a.word = b.rest union select b.word, b.n, a.word, a.n from words a join cut b on a.word = b.rest),
+ best as (select word, count(*) n_near, arg_min(near, (-near_n, near)) near, max(near_n) near_n from pairs group by 1),
+ placed as (select w.word, w.n, coalesce(n_near, 0) n_near, case when near_n >= 10 * w.n then near end form, case when near_n >= 10 * w.n then near_n end form_n from words w left join best using (word)),
+ chain(word, node, k) as (select word, word, 0 from placed union all select c.word, p.form, k + 1 from chain c join placed p on c.node = p.word where p.form is not null)
+ select word, form, root, n, n_near, form_n from placed join (select word, arg_max(node, k) root from chain group by 1) using (word)"""
+
 _OP13_SQL = rf"""with {_CRC_SQL},
  words as (select 0 side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) word from documents
   union all select 1, null, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
@@ -151,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Operators 1, 2, 3, 5, 7, 8, 9 and 11 have no SQL form; tests/llm holds them against brute force or held-out rows."""
-    return {"op4_quality_rules": _op4_sql(), "op6_chat_format": _OP6_SQL, "op10_substring_dedup": _OP10_SQL, "op13_resample": _OP13_SQL}
+    return {"op4_quality_rules": _op4_sql(), "op6_chat_format": _OP6_SQL, "op10_substring_dedup": _OP10_SQL, "op12_spelling_variants": _OP12_SQL, "op13_resample": _OP13_SQL}

@@ -9,7 +9,7 @@ with a chance below 1 - confidence each: there the search stops.
    pass takes the exact boxes and sizes of the cells.  A cell of more than UNIT_ROWS rows (many equal vectors, or a very large table) is
    several units, by hash of the row.
 2. Every query searches the unit that holds its own row: the k-th best there is its first bound.
-3. The query goes to every cell whose box its bound does not exclude, in chunks of QUERY_ROWS queries a unit.  A unit builds the kd-tree
+3. The query goes to every other unit of cells whose box its bound does not exclude, in chunks of QUERY_ROWS queries a unit.  A unit builds the kd-tree
    of its points; each query takes leaves by rising box distance, in doubling steps; points inside the radius are verified by their inner
    product in double precision (a leaf of which much lies inside as one block), the bound rises and the radius shrinks until no leaf is left.
 4. What the units found meets by query, as 21 rows a unit at most.
@@ -246,19 +246,21 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, axes: int = AXE
     unit = F.pmod(F.xxhash64("vec_id", "key", F.monotonically_increasing_id()), F.element_at(F.lit(units.tolist()).cast("array<long>"), (F.col("cell") + 1).cast("int")))
     placed = durable(placed.withColumn("unit", unit))
 
-    def first_bounds(t: pa.Table) -> pa.Table:
+    def at_home(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
         asks = t.column("asks").to_numpy()
-        mine = t.filter(pa.array(asks))
-        x = _matrix(t.column("vec"), space.dim)
-        least = np.full(mine.num_rows, -np.inf)
-        if mine.num_rows:
-            at, _, score, _ = search_unit(space, x, _ranks(t.column("vec_id").combine_chunks()), x[asks], least, k + 1, quantile)
-            full = np.bincount(at, minlength=len(least)) > k
-            least[full] = score[np.searchsorted(at, np.flatnonzero(full), "right") - 1]
-        return pa.table({"query_id": mine.column("vec_id"), "key": mine.column("key"), "vec": mine.column("vec"), "least": pa.array(least)})
-
-    asked = placed.repartition(parts, "cell", "unit").groupBy("cell", "unit").applyInArrow(first_bounds, f"query_id long, key long, vec {kind}, least double")
-    asked = durable(asked.groupBy("query_id", "key").agg(F.max("least").alias("least"), F.first("vec").alias("vec")))
+        mine, x = t.filter(pa.array(asks)), _matrix(t.column("vec"), space.dim)
+        ids, q = t.column("vec_id").combine_chunks(), x[asks]
+        at, point, score, _ = search_unit(space, x, _ranks(ids), q, np.full(len(q), -np.inf), k + 1, quantile)
+        n = np.bincount(at, minlength=len(q))
+        least = np.where(n > k, score[np.maximum(np.cumsum(n) - 1, 0)] if len(at) else -np.inf, -np.inf)
+        found = _lists(n, ids, x, mine.column("vec_id").to_numpy(), q, at, point, score)
+        return pa.table([*(mine.column(c) for c in ("vec_id", "key", "vec", "cell", "unit")), pa.array(least), *found], names=["query_id", "key", "vec", "cell", "unit", "least", *_FOUND])
+
+    units_of = placed.repartition(parts, "cell", "unit").groupBy("cell", "unit")
+    homes = units_of.applyInArrow(_trimmed(at_home), f"query_id long, key long, vec {kind}, cell long, unit long, least double, {_LISTS}")
+    one = F.max_by(F.struct("vec", "cell", "unit", "least", *_FOUND), F.struct("least", "cell", "unit")).alias("home")
+    asked = durable(homes.groupBy("query_id", "key").agg(one).select("query_id", "key", "home.*"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,9 +269,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, axes: int = AXE
                 q, least = _matrix(part.column("vec"), space.dim), part.column("least").to_numpy()
                 radius = np.where(np.isneginf(least), np.inf, quantile * np.maximum(np.einsum("ij,ij->i", q, q) + space.largest - 2 * least, 0) * (1 + 1e-9))
                 i, c = np.nonzero(_box_distances(space.queries(q), lo, hi) <= radius[:, None])
-                yield pa.RecordBatch.from_arrays([*(part.column(x).take(pa.array(i)) for x in ("query_id", "key", "vec", "least")), pa.array(cell_ids[c])], names=["query_id", "key", "vec", "least", "cell"])
+                yield pa.RecordBatch.from_arrays([*(part.column(x).take(pa.array(i)) for x in names_in), pa.array(cell_ids[c])], names=[*names_in, "to"])
 
-    routed = asked.select("query_id", "key", "vec", "least").mapInArrow(trimmed(route), f"query_id long, key long, vec {kind}, least double, cell long")
+    names_in = ["query_id", "key", "vec", "least", "cell", "unit"]
+    routed = asked.select(*names_in).mapInArrow(trimmed(route), f"query_id long, key long, vec {kind}, least double, cell long, unit long, to long")
+    routed = routed.select("query_id", "key", "vec", "least", F.col("to").alias("cell"), F.when(F.col("cell") == F.col("to"), F.col("unit")).otherwise(-1).alias("home"))
     chunks = np.zeros(2**depth, np.int64)
     for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MAX_CELLS rows
         chunks[r.cell] = -(-r.n // query_rows)
@@ -277,25 +281,22 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, axes: int = AXE
     def of(numbers: np.ndarray) -> Column:
         return F.element_at(F.lit(numbers.tolist()).cast("array<long>"), (F.col("cell") + 1).cast("int"))
 
-    questions = routed.withColumn("chunk", F.pmod(F.xxhash64("query_id", "key"), of(chunks))).withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), of(units) - 1)))
+    questions = routed.withColumn("chunk", F.pmod(F.xxhash64("query_id", "key"), of(chunks))).withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), of(units) - 1))).where("unit <> home").drop("home")
     candidates = placed.where(of(chunks) > 0).select("vec_id", "key", "vec", "cell", "unit", F.explode(F.sequence(F.lit(0).cast("long"), of(chunks) - 1)).alias("chunk"))
     parts = min(1 << 13, max(parts, int((units * chunks).sum())))
     by = ["cell", "unit", "chunk"]
 
     def answer(points: pa.Table, queries: pa.Table) -> pa.Table:
         points, queries = points.combine_chunks(), queries.combine_chunks()
-        ids = points.column("vec_id").combine_chunks() if points.num_rows else pa.array([], pa.int64())
+        ids = points.column("vec_id").combine_chunks()
         x, q = _matrix(points.column("vec"), space.dim), _matrix(queries.column("vec"), space.dim)
-        if not len(x) or not len(q):
-            return _hits(*(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))))
-        at, point, score, _ = search_unit(space, x, _ranks(ids), q, queries.column("least").to_numpy(), k + 1, quantile)
-        own = (ids.take(pa.array(point)).fill_null(-1).to_numpy(zero_copy_only=False) == queries.column("query_id").to_numpy()[at]) & (x[point] == q[at]).all(axis=1)
-        held, n = np.unique(at, return_counts=True)
-        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-        lists = (pa.ListArray.from_arrays(ends, y) for y in (ids.take(pa.array(point)), pa.array(score), pa.array(own)))
-        return _hits(*(queries.column(c).combine_chunks().take(pa.array(held)) for c in ("query_id", "key")), *lists)
-
-    found = candidates.repartition(parts, *by).groupBy(*by).cogroup(questions.repartition(parts, *by).groupBy(*by)).applyInArrow(_trimmed(answer), "query_id long, key long, ids array<long>, scores array<double>, own array<boolean>")
+        at, point, score, _ = search_unit(space, x, _ranks(ids), q, queries.column("least").to_numpy(), k + 1, quantile) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0)
+        found = _lists(np.bincount(at, minlength=len(q)), ids, x, queries.column("query_id").to_numpy(), q, at, point, score)
+        out = pa.table([*(queries.column(c) for c in ("query_id", "key")), *found], names=["query_id", "key", *_FOUND])
+        return out.filter(pa.array(np.isin(np.arange(len(q)), at)))
+
+    found = candidates.repartition(parts, *by).groupBy(*by).cogroup(questions.repartition(parts, *by).groupBy(*by)).applyInArrow(_trimmed(answer), f"query_id long, key long, {_LISTS}")
+    found = found.unionByName(asked.select("query_id", "key", *_FOUND))
     hits = found.select("query_id", "key", F.explode(F.arrays_zip("ids", "scores", "own")).alias("h")).select("query_id", "key", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score"), F.col("h.own").alias("own"))
     order = "order by score desc, vec_id asc nulls last"
     hits = hits.repartition("query_id", "key").withColumn("nth", F.expr(f"row_number() over (partition by query_id, key, own {order})")).where("not own or nth > 1")
@@ -303,12 +304,19 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, axes: int = AXE
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _hits(*columns: pa.Array) -> pa.Table:
-    return pa.table(list(columns), names=["query_id", "key", "ids", "scores", "own"])
+_FOUND = ["ids", "scores", "own"]
+_LISTS = "ids array<long>, scores array<double>, own array<boolean>"
+
 
+def _lists(n: np.ndarray, ids: pa.Array, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, at: np.ndarray, point: np.ndarray, score: np.ndarray) -> list[pa.Array]:
+    """Of each query (n of the points found are its): ids, scores, and whether a point has the query's id and vector."""
+    mine = ids.take(pa.array(point))
+    own = (mine.fill_null(0).to_numpy(zero_copy_only=False) == query_ids[at]) & mine.is_valid().to_numpy(zero_copy_only=False) & (x[point] == q[at]).all(axis=1)
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return [pa.ListArray.from_arrays(ends, y) for y in (mine, pa.array(score), pa.array(own))]
 
-def _trimmed(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def then_trim(left: pa.Table, right: pa.Table) -> pa.Table:
-        return next(iter(trimmed(lambda _: iter([run(left, right)]))(iter(()))))
 
-    return then_trim
+def _trimmed(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    if run.__code__.co_argcount == 1:
+        return lambda t: next(iter(trimmed(lambda _: iter([run(t)]))(iter(()))))
+    return lambda left, right: next(iter(trimmed(lambda _: iter([run(left, right)]))(iter(()))))

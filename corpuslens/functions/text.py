@@ -64,6 +64,32 @@ def words(x: Column | str) -> Column:
     return F.filter(F.split(_c(x), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
 
+#: an abbreviation of single letters with full stops, a run of letters or digits, or any other character but white space
+TOKEN = r"(?:\p{L}\.){2,}|[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]"
+
+
+def tokens(x: Column | str) -> Column:
+    """Lowered tokens: u.s. is one, each punctuation mark is one."""
+    return F.regexp_extract_all(F.lower(_c(x)), F.lit(TOKEN), F.lit(0))
+
+
+def phrase_starts(words: str, phrases: Sequence[str]) -> Column:
+    """Places, counted from 0, of the array column words at which one of the phrases (tokens joined by one space) begins, each once.
+    Words are looked up in the phrases' first words; only where one fits are as many words joined as the phrases have."""
+    by_size: dict[int, list[str]] = {}
+    for p in phrases:
+        by_size.setdefault(len(p.split()), []).append(" ".join(p.lower().split()))
+
+    def begins(w: Column, i: Column) -> Column:
+        out = F.lit(False)
+        for n, same in sorted(by_size.items()):
+            found = w.isin(*same) if n == 1 else w.isin(*{p.split()[0] for p in same}) & F.array_join(F.slice(words, i + 1, n), " ").isin(*same)
+            out = out | found
+        return out
+
+    return F.filter(F.transform(words, lambda w, i: F.when(begins(w, i), i)), lambda i: i.isNotNull())
+
+
 def paragraphs(x: Column | str, least: int = 30) -> Column:
     return F.filter(F.transform(F.split(_c(x), "\n"), F.trim), lambda p: F.length(p) > least)
 

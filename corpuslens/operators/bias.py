@@ -12,31 +12,40 @@ from corpuslens.functions import text as X
 WINDOW = 15
 
 
-def actor_vocabulary(docs: DataFrame, actors: dict[str, Sequence[str]], sanitizing: Sequence[str], condemnatory: Sequence[str], window: int = WINDOW) -> DataFrame:
-    """doc_id, actor, mentions, sanitizing, condemnatory, score.  Each mention of an actor looks at the tokens within window
-    places before and window - 1 after; tokens near several mentions count for each.  All inside a row: no shuffle.  A token is
-    looked up in the lexicons once: its worth holds both counts, which the mentions' windows then add up."""
-    tokens = X.words(F.regexp_replace(F.lower("text"), "[^a-z0-9\\s]", " "))
-    one, high = F.lit(1).cast("long"), F.lit(1 << 32).cast("long")
-    zero = F.lit(0).cast("long")
-    worth = lambda w: F.when(w.isin(*sanitizing), one).otherwise(zero) + F.when(w.isin(*condemnatory), high).otherwise(zero)
-    rows = docs.select("doc_id", "source", tokens.alias("tokens")).withColumn("worth", F.transform("tokens", worth))
-    parts = []
-    for name, terms in actors.items():
-        at = F.filter(F.transform("tokens", lambda w, i: F.when(w.isin(*terms), i)), lambda i: i.isNotNull())  # noqa: B023
-        near = lambda i: F.aggregate(F.slice("worth", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)) + window), zero, lambda s, x: s + x)
-        both = F.transform(at, near)
-        parts.append(F.struct(F.lit(name).alias("actor"), both.alias("near")))
-    each = rows.select("doc_id", "source", F.explode(F.array(*parts)).alias("p")).select("doc_id", "source", "p.actor", "p.near")
-    total = lambda f: F.aggregate("near", zero, lambda s, x: s + f(x))
-    each = each.select("doc_id", "source", "actor", F.size("near").cast("long").alias("mentions"), total(lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))).alias("sanitizing"), total(lambda x: F.shiftright(x, 32)).alias("condemnatory"))
-    return each.where("mentions > 0").withColumn("score", F.col("sanitizing") - F.col("condemnatory"))
-
-
-def double_standard(scores: DataFrame, group: str, actor_a: str, actor_b: str) -> DataFrame:
-    """Mean score of either actor by group (0 if absent) and the gap between them."""
-    m = lambda a: F.coalesce(F.avg(F.when(F.col("actor") == a, F.col("score"))), F.lit(0.0))
-    return scores.groupBy(group).agg(m(actor_a).alias("mean_a"), m(actor_b).alias("mean_b")).withColumn("gap", F.col("mean_a") - F.col("mean_b"))
+def actor_vocabulary(docs: DataFrame, actors: dict[str, Sequence[str]], sanitizing: Sequence[str], condemnatory: Sequence[str], window: int = WINDOW, least: int = 50) -> DataFrame:
+    """doc_id, source, actor, mentions, sanitizing, condemnatory, score, sanitizing_terms, condemnatory_terms, for texts of at least
+    least characters.  Actors are phrases of tokens; a place at which several phrases of an actor begin is one mention.  A mention looks at
+    the tokens within window places before and window - 1 after it; tokens near several mentions count for each; a term of both
+    lexicons is sanitizing.  All inside a row: no shuffle.  A token is looked up in the lexicons once."""
+    sanitizing, condemnatory = [t.lower() for t in sanitizing], [t.lower() for t in condemnatory]
+    kept = docs.where(F.length(F.trim("text")) >= least)
+    rows = X.computed_once(kept.select("doc_id", "source", "text"), tokens=X.tokens("text")).drop("text")
+    rows = X.computed_once(rows, terms=F.transform("tokens", lambda w: F.when(w.isin(*sanitizing, *condemnatory), w)))
+    near = lambda i: F.filter(F.slice("terms", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)) + window), lambda w: w.isNotNull())
+    parts = [F.struct(F.lit(name).alias("actor"), F.transform(X.phrase_starts("tokens", phrases), near).alias("near")) for name, phrases in actors.items()]
+    each = rows.select("doc_id", "source", F.inline(F.array(*parts))).where(F.size("near") > 0)
+    each = X.computed_once(each.withColumn("mentions", F.size("near").cast("long")), found=F.flatten("near")).drop("near")
+    each = X.computed_once(each, sanitizing_terms=F.filter("found", lambda w: w.isin(*sanitizing)), condemnatory_terms=F.filter("found", lambda w: ~w.isin(*sanitizing))).drop("found")
+    n = {k: F.size(f"{k}_terms").cast("long") for k in ("sanitizing", "condemnatory")}
+    return each.select("doc_id", "source", "actor", "mentions", *(c.alias(k) for k, c in n.items()), (n["sanitizing"] - n["condemnatory"]).alias("score"), "sanitizing_terms", "condemnatory_terms")
+
+
+def double_standard(scores: DataFrame, group: str, actors_a: Sequence[str], actors_b: Sequence[str]) -> DataFrame:
+    """Mean score of either group of actors by group (0 if absent) and the gap between them."""
+    m = lambda a: F.coalesce(F.avg(F.when(F.col("actor").isin(*a), F.col("score"))), F.lit(0.0))
+    return scores.groupBy(group).agg(m(actors_a).alias("mean_a"), m(actors_b).alias("mean_b")).withColumn("gap", F.col("mean_a") - F.col("mean_b"))
+
+
+def term_frequency(scores: DataFrame, actors: dict[str, Sequence[str]], k: int) -> DataFrame:
+    """side, kind, term, n, rank: the k terms most often found near each side's actors (ties by term)."""
+    from corpuslens.operators.relational import top_per_group
+
+    side = F.lit(None).cast("string")
+    for name, own in actors.items():
+        side = F.when(F.col("actor").isin(*own), name).otherwise(side)
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_terms").alias("terms")) for kind in ("sanitizing", "condemnatory")))
+    each = scores.select(side.alias("side"), F.inline(kinds)).where("side is not null").select("side", "kind", F.explode("terms").alias("term"))
+    return top_per_group(each.groupBy("side", "kind", "term").agg(F.count("*").alias("n")), ["side", "kind"], [F.col("n").desc(), "term"], k)
 
 
 def elaboration(docs: DataFrame, side_a: Sequence[str], side_b: Sequence[str], named: Sequence[str]) -> DataFrame:

@@ -18,16 +18,20 @@ def _first_hashes(df: DataFrame, group: str, key: str, wanted: DataFrame, seed:
     most = F.least(room / F.col("_n") * float(1 << 32), F.lit(float(1 << 32)))
     h = hash_order(key, seed)
     head = F.conv(F.left(h, F.lit(8)), 16, 10).cast("double")
-    return df.withColumn("_h", h).join(F.broadcast(wanted.withColumn("_most", most)), group).where(head < F.col("_most")).drop("_most")
+    return df.withColumn("_h", h).join(wanted.withColumn("_most", most), group).where(head < F.col("_most")).drop("_most")
 
 
-def stratified(df: DataFrame, stratum: str, key: str, target: int, seed: int = 42) -> DataFrame:
-    """max(1, round half even(share * target)) rows a stratum, at most all of it.  Strata are a few levels (their counts are broadcast);
-    rows are cut by a threshold of their hash before they are ranked, and where a cut was too tight the stratum is ranked whole."""
+def stratified(df: DataFrame, stratum: str, key: str, target: int, seed: int = 42, slack: float = 1.1) -> DataFrame:
+    """max(1, round half even(share * target)) rows a stratum, at most all of it; if many small strata make that more than slack * target
+    rows, only target of them stay, the first in an order of their hash that the strata do not share.  Rows are cut by a threshold of
+    their hash before they are ranked, and where a cut was too tight the stratum is ranked whole."""
     n = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     total = n.agg(F.sum("_n").alias("_all"))
     quota = n.crossJoin(total).select(stratum, "_n", F.least(F.greatest(F.bround(F.col("_n") / F.col("_all") * target), F.lit(1)), F.col("_n")).cast("long").alias("_q"))
-    return _ranked(df, stratum, key, quota, seed).drop("_r", "_q", "_h")
+    sample = _ranked(df, stratum, key, quota, seed).drop("_r", "_q", "_h")
+    if (quota.agg(F.sum("_q")).first()[0] or 0) <= target * slack:
+        return sample
+    return sample.orderBy(F.md5(F.concat(F.lit(f"trim:{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(target)
 
 
 def _ranked(df: DataFrame, group: str, key: str, quota: DataFrame, seed: int) -> DataFrame:
@@ -35,8 +39,8 @@ def _ranked(df: DataFrame, group: str, key: str, quota: DataFrame, seed: int) ->
     w = Window.partitionBy(group).orderBy("_h", key)
     few = _first_hashes(df, group, key, quota, seed).withColumn("_r", F.row_number().over(w)).where("_r <= _q").drop("_n")
     short = quota.join(few.groupBy(group).agg(F.count("*").alias("_got")), group, "left").where("coalesce(_got, 0) < _q").select(group, "_q")
-    whole = df.withColumn("_h", hash_order(key, seed)).join(F.broadcast(short), group).withColumn("_r", F.row_number().over(w)).where("_r <= _q")
-    return few.join(F.broadcast(short.select(group)), group, "left_anti").unionByName(whole.select(few.columns))
+    whole = df.withColumn("_h", hash_order(key, seed)).join(short, group).withColumn("_r", F.row_number().over(w)).where("_r <= _q")
+    return few.join(short.select(group), group, "left_anti").unionByName(whole.select(few.columns))
 
 
 def priority(df: DataFrame, key: str, level: str, language: str, size: int, seed: int = 42, least_foreign: float = 0.3) -> DataFrame:

@@ -10,11 +10,12 @@ from corpuslens.operators import bias as B
 from .registry import query
 from .relational import OUTLETS, outlets
 
-ACTORS = {"a": ["the", "of"], "b": ["and", "to"]}
-SANITIZING, CONDEMNATORY = ["is", "that", "it"], ["for", "was", "on"]
+ACTORS = {"a1": ["of the", "the the the", "the"], "a2": ["is"], "b": ["and", "to the"]}
+SANITIZING, CONDEMNATORY = ["is", "that", "it"], ["for", "was", "on", "it"]
 
-SCORES = r"""tk as (select doc_id, source, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '') w from documents where text is not null),
- ps as (select doc_id, source, w, unnest(range(1, len(w) + 1)) i from tk), mt as (select doc_id, source, case when w[i] in ('the', 'of') then 'a' else 'b' end actor, w[greatest(i - 15, 1):i + 14] n from ps where w[i] in ('the', 'of', 'and', 'to')),
+SCORES = r"""tk as (select doc_id, source, regexp_extract_all(lower(text), '(?:\p{L}\.){2,}|[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]') w from documents where length(trim(text)) >= 50),
+ ps as (select doc_id, source, w, unnest(range(1, len(w) + 1)) i from tk), an as (select *, array_to_string(w[i:i + 1], ' ') w2, array_to_string(w[i:i + 2], ' ') w3 from ps),
+ mt as (select doc_id, source, actor, w[greatest(i - 15, 1):i + 14] n from an join (values ('a1'), ('a2'), ('b')) v(actor) on (actor = 'a1' and (w[i] = 'the' or w2 = 'of the' or w3 = 'the the the')) or (actor = 'a2' and w[i] = 'is') or (actor = 'b' and (w[i] = 'and' or w2 = 'to the'))),
  sc as (select doc_id, source, actor, count(*) mentions, cast(sum(len(list_filter(n, lambda x: x in ('is', 'that', 'it')))) as bigint) sanitizing, cast(sum(len(list_filter(n, lambda x: x in ('for', 'was', 'on')))) as bigint) condemnatory from mt group by all)"""
 
 
@@ -27,15 +28,21 @@ def actor_vocabulary_scores(t):  # M23 J20
     return scores(t).select("doc_id", "actor", "mentions", "sanitizing", "condemnatory", "score")
 
 
-@query(f"with {SCORES} select source, round(coalesce(avg(sanitizing - condemnatory) filter (actor = 'a'), 0), 6) mean_a, round(coalesce(avg(sanitizing - condemnatory) filter (actor = 'b'), 0), 6) mean_b, round(coalesce(avg(sanitizing - condemnatory) filter (actor = 'a'), 0) - coalesce(avg(sanitizing - condemnatory) filter (actor = 'b'), 0), 6) gap from sc group by 1")
+@query(f"""with {SCORES}, x as (select case when actor = 'b' then 'b' else 'a' end side, unnest(n) term from mt), y as (select side, case when term in ('is', 'that', 'it') then 'sanitizing' else 'condemnatory' end kind, term, count(*) n from x where term in ('is', 'that', 'it', 'for', 'was', 'on') group by all)
+ select * from (select *, row_number() over (partition by side, kind order by n desc, term) rank from y) where rank <= 2""")
+def actor_terms(t):  # M23
+    return B.term_frequency(scores(t), {"a": ["a1", "a2"], "b": ["b"]}, 2)
+
+
+@query(f"with {SCORES} select source, round(coalesce(avg(sanitizing - condemnatory) filter (actor <> 'b'), 0), 6) mean_a, round(coalesce(avg(sanitizing - condemnatory) filter (actor = 'b'), 0), 6) mean_b, round(coalesce(avg(sanitizing - condemnatory) filter (actor <> 'b'), 0) - coalesce(avg(sanitizing - condemnatory) filter (actor = 'b'), 0), 6) gap from sc group by 1")
 def double_standard(t):  # M24 A26
-    return B.double_standard(scores(t), "source", "a", "b").select("source", *(F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "gap")))
+    return B.double_standard(scores(t), "source", ["a1", "a2"], ["b"]).select("source", *(F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "gap")))
 
 
-@query(f"with {SCORES}, g as (select doc_id, avg(sanitizing - condemnatory) filter (actor = 'a') a, avg(sanitizing - condemnatory) filter (actor = 'b') b from sc group by 1) select count(*) n, round(avg(a - b), 6) mean_gap, round(corr(a - b, cast(toxic as double)), 6) r from g join labels using (doc_id) where a is not null and b is not null")
+@query(f"with {SCORES}, g as (select doc_id, avg(sanitizing - condemnatory) filter (actor = 'a1') a, avg(sanitizing - condemnatory) filter (actor = 'b') b from sc group by 1) select count(*) n, round(avg(a - b), 6) mean_gap, round(corr(a - b, cast(toxic as double)), 6) r from g join labels using (doc_id) where a is not null and b is not null")
 def framing_gap_correlation(t):  # M22
     m = lambda k: F.avg(F.when(F.col("actor") == k, F.col("score")))
-    g = scores(t).groupBy("doc_id").agg((m("a") - m("b")).alias("gap")).where("gap is not null").join(t.labels, "doc_id")
+    g = scores(t).groupBy("doc_id").agg((m("a1") - m("b")).alias("gap")).where("gap is not null").join(t.labels, "doc_id")
     return g.agg(F.count("*").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.corr("gap", F.col("toxic").cast("double")), 6).alias("r"))
 
 

@@ -133,6 +133,11 @@ def stratified_sample(t):  # M6 D12
     return S.stratified(t.documents.where("lang is not null").select("doc_id", "lang"), "lang", "doc_id", 60)
 
 
+@query("with n as (select o_custkey, count(*) n from orders group by 1), q as (select o_custkey, cast(least(greatest(round_even(n / (select sum(n) from n) * 40, 0), 1), n) as bigint) q from n), r as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by md5('42:' || o_orderkey), o_orderkey) r from orders) select o_orderkey, o_custkey from r join q using (o_custkey) where r <= q order by md5('trim:42:' || o_orderkey), o_orderkey limit 40")
+def trimmed_sample(t):  # M6: many small strata
+    return S.stratified(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", 40)
+
+
 @query("""with d as (select doc_id, lang, case doc_id % 3 when 0 then 'contested' when 1 then 'medium' else 'high' end "level", md5('42:' || doc_id) h from documents),
  c as (select *, 0 tier from d where "level" = 'contested' order by h, doc_id limit 24), m as (select *, 1 tier from d where "level" = 'medium' order by h, doc_id limit 18), t as (select * from c union all select * from m),
  r as (select *, 2 tier from d where doc_id not in (select doc_id from t) order by h, doc_id limit 60), k as (select * from (select * from t union all select * from r) order by tier, h, doc_id limit 60),

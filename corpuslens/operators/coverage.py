@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as X
 
+from .lexicon import match_terms
+
 # Last names that are words, and what tells of an academic angle.
 AMBIGUOUS_NAMES = ("church",)
 ANGLE_TERMS = ("academic", "professor", "university", "scientist", "research", "mit media lab", "harvard", "yale", "stanford", "columbia", "guru", "wellness", "chopra", "spiritual")
-MAX_LEXICON = 10_000
 
 
 def absence_report(registry: DataFrame, covered: DataFrame) -> DataFrame:
@@ -40,8 +41,9 @@ def amplified(ratio: Column, threshold: float = 2.0) -> Column:
 
 
 def frame_share(docs: DataFrame, frames: DataFrame, total: int) -> DataFrame:
-    """frames: frame, term (a configuration table of a few rows).  Documents that hold any term of a frame, and their share."""
-    hits = docs.join(F.broadcast(frames), F.lower("text").contains(F.col("term"))).select("frame", "doc_id").distinct()
+    """frames: frame, term.  Documents that hold any term of a frame, and their share."""
+    held = match_terms(docs.select("doc_id", "text"), F.col("text"), frames.select("term", F.col("frame").alias("name")))
+    hits = held.select("doc_id", F.explode(F.array_distinct("found.name")).alias("frame")).distinct()
     return hits.groupBy("frame").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(total))
 
 
@@ -63,17 +65,11 @@ def entity_terms(entities: DataFrame, ambiguous: Sequence[str] = AMBIGUOUS_NAMES
     return full.unionByName(short).groupBy("term").agg(F.max_by("name", F.struct("phase", "ord")).alias("name"))
 
 
-def tag_entities(docs: DataFrame, terms: DataFrame, text: Column, angles: Sequence[str] = ANGLE_TERMS) -> DataFrame:
-    """docs with entities (names whose terms the lowered text holds, sorted) and angle (does it hold an angle term?), where there are
-    any.  The lexicon, at most MAX_LEXICON terms, becomes part of the expression, so texts are looked at where they are."""
-    lexicon = [(r["term"], r["name"]) for r in terms.select("term", "name").limit(MAX_LEXICON + 1).collect()]
-    if len(lexicon) > MAX_LEXICON:
-        raise ValueError(f"over {MAX_LEXICON} terms: match tokens with a join instead")
-    low = F.lower(text)
-    pairs = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in sorted(lexicon))) if lexicon else F.array().cast("array<struct<t:string,n:string>>")
-    named = F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(F.col("_low"), p["t"])), lambda p: p["n"])))
-    tagged = X.computed_once(X.computed_once(docs, _low=low), entities=named, angle=X.any_term("_low", angles)).drop("_low")
-    return tagged.where((F.size("entities") > 0) | F.col("angle"))
+def tag_entities(docs: DataFrame, terms: DataFrame, text: Column, angles: Sequence[str] = ANGLE_TERMS, **limits: int) -> DataFrame:
+    """docs with entities (names of terms, a lexicon of any size, that the lowered text holds, sorted) and angle (does it hold an angle
+    term?), where there are any."""
+    tagged = match_terms(X.computed_once(docs, _text=text), F.col("_text"), terms, **limits).withColumn("entities", F.array_sort(F.array_distinct("found.name")))
+    return X.computed_once(tagged, angle=F.coalesce(X.any_term("_text", angles), F.lit(False))).drop("_text", "found").where((F.size("entities") > 0) | F.col("angle"))
 
 
 def entity_counts(tagged: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import coverage as C
 from corpuslens.operators import sampling as S
+from corpuslens.operators.lexicon import match_terms
 
 from .registry import query
 from .relational import OUTLETS, outlets
@@ -36,7 +37,8 @@ def coverage_report(t):  # M33 M36
 @query("with k(name) as (values ('idiot'), ('clown'), ('haha'), ('onthe'), ('keit'), ('nowhere')), m as (select name, doc_id, source from documents join k on contains(lower(text), name)), a as (select name, count(*) docs, count(*) filter (source = 'src1') media from m group by 1) select name, docs, media, round(media / greatest(docs, 1), 6) ratio, case when docs >= 10 and media = 0 then 'SUPPRESSED' when docs >= 10 and media / greatest(docs, 1) < 0.2 then 'UNDER-COVERED' else '' end status from a")
 def suppression_index(t):  # M38 M39 J19 J23
     k = t.spark.createDataFrame([(x,) for x in ("idiot", "clown", "haha", "onthe", "keit", "nowhere")], "name string")
-    m = t.documents.join(F.broadcast(k), F.lower("text").contains(F.col("name")))
+    held = match_terms(t.documents.select("doc_id", "source", "text"), F.col("text"), k.select(F.col("name").alias("term"), "name"))
+    m = held.select("source", F.explode("found.name").alias("name"))
     docs, media = m.groupBy("name").agg(F.count("*").alias("docs")), m.where("source = 'src1'").groupBy("name").agg(F.count("*").alias("media"))
     return C.suppression(docs, media).withColumn("ratio", F.round("ratio", 6))
 
@@ -163,6 +165,15 @@ def entity_tags(t):  # J19 M39
     return tagged(t).select("doc_id", F.array_join("entities", ",").alias("entities"), "angle")
 
 
+@query("""with k as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) term from benchmark), d as (select doc_id, lower(text) x from documents)
+ select doc_id, count(*) terms, min(term) first_term, max(term) last_term from d join k on contains(x, term) group by 1""")
+def lexicon_matches(t):  # J19: every word of the benchmark, in any text
+    k = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term")).distinct()
+    held = match_terms(t.documents.select("doc_id", "text"), F.col("text"), k.select("term", F.col("term").alias("name")))
+    found = F.col("found.term")
+    return held.where(F.size("found") > 0).select("doc_id", F.size("found").cast("long").alias("terms"), F.array_min(found).alias("first_term"), F.array_max(found).alias("last_term"))
+
+
 @query(f"with {TERMS}, d as (select doc_id, lower(concat_ws(' ', coalesce(lang, ''), coalesce(text, ''))) x from documents) select name, count(distinct doc_id) media from d join k on contains(x, term) group by 1")
 def entity_media_counts(t):  # M39
     return C.entity_counts(tagged(t), "doc_id")

@@ -26,7 +26,8 @@ Words: runs of letters, digits and other non-ASCII characters, A-Z lowered; in s
 (CJK, kana, Thai) every character is a word.  Words are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts match nothing, items without a word are matched by nothing; equal
-items all match; repeated rows match each; very long texts are searched whole; other columns are
+items all match; items of one id (or of none: a null id is an id) are one item with several texts, of which the best
+hit counts; repeated rows match each; very long texts are searched whole; other columns are
 ignored.
 """
 
@@ -148,7 +149,7 @@ def build_index(items: list[tuple[int, str | None]], stats: Stats | None = None)
     while done < size.max():
         mine = np.flatnonzero((size > done) & (size <= chunk))
         if len(mine):
-            mine = mine[np.lexsort(([items[k][0] for k in mine], size[mine]))]
+            mine = mine[np.lexsort(([items[k][0] or 0 for k in mine], [items[k][0] is None for k in mine], size[mine]))]
             levels.append(_level(chunk, [items[k][0] for k in mine], [term[w.first[k] : w.first[k + 1]] for k in mine], idf, stats.words / stats.items))
         done, chunk = chunk, 2 * chunk
     return Index(terms, levels, whole)
@@ -198,7 +199,7 @@ def search(index: Index, texts: pa.Array) -> list[tuple[int, int, float, float,
         for row in np.flatnonzero((w.per_doc > 0) & (w.per_doc < RUN)).tolist():
             for item in index.whole.get(tuple(term[w.first[row] : w.first[row + 1]].tolist()), ()):
                 best[row, item] = (1.0, 1.0, 1.0)
-    return [(*k, *v) for k, v in sorted(best.items())]
+    return [(*k, *best[k]) for k in sorted(best, key=lambda k: (k[0], k[1] is None, k[1] or 0))]
 
 
 def _hits(level: Level, w: Words, term: np.ndarray, n_terms: int) -> Iterator[tuple[int, int, tuple[float, float, float]]]:

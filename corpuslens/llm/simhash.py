@@ -10,14 +10,15 @@ so that such a group holds at most MEAN_GROUP random nodes (up to 4 x 10^12 node
 the method decides: distances of every fingerprint to many reference fingerprints (pivots, drawn
 from the data by hash) are tabulated; by the triangle inequality a pair whose distances to any
 pivot differ by more than d is discarded, and the survivors are verified.  Only a spanning forest
-of a group's links, the nearest ones, is emitted.
+of a group's links, the nearest ones, is emitted (the links decide by themselves there).
 
 A similarity of word shingles (Jaccard) asks for a wide radius: d is the distance that wide
 fingerprints of so similar texts have, and SLACK standard deviations.  No exact choice of blocks is
 small there, so nodes are looked up under samples of bits, as many as find a pair at distance d with
 probability FOUND (nearer pairs with more), and decided in the same way.  Links are then verified by
-the texts' shingle sets; a group's forest prefers near pairs, so what two similar texts are tied by
-is as near as they are.
+the texts' shingle sets.  A link of the forest may fail there and part what it tied, so a group also
+emits the links of every node to its NEAREST nearest nodes: in a group of up to NEAREST + 1 close
+nodes all its links are verified, in a larger one each node has as many ways out as NEAREST.
 
 Hot groups (more than GROUP_ROWS nodes) are dealt into chunks by hash and every two chunks meet in
 a task of their own, exactly; a task walks its nodes breadth-first, comparing each only with nodes
@@ -51,6 +52,8 @@ MEAN_GROUP = 128
 FINGERPRINT_DOCS = 256
 WIDE_WORDS = 4
 SLACK = 1.5
+NEAREST = 8
+STEPS = 64
 FOUND = 0.99
 
 
@@ -166,8 +169,10 @@ def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits
     return i, j, far
 
 
-def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """fp: (nodes,) or (nodes, words), pivots alike.  Links (positions) that connect the nodes of each group as its close pairs do; groups are runs of equal numbers."""
+def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """fp: (nodes,) or (nodes, words), pivots alike.  Links (positions) that connect the nodes of each group as its close pairs do, and
+    those to every node's nearest nodes, as many as nearest says (in a large group, of those within STEPS rows); groups are runs of equal
+    numbers."""
     fp, pivots = fp.reshape(len(fp), -1), pivots.reshape(len(pivots), -1)
     table = np.bitwise_count(fp[:, None, :] ^ pivots[None, :, :]).sum(axis=2, dtype=np.int16)
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -175,8 +180,9 @@ def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> t
     left, right, far = [], [], []
     small = np.repeat(np.where(size <= SMALL_GROUP, size, 0), size)
     place = np.arange(len(group)) - np.repeat(begin, size)
+    all_ = np.repeat(size, size)
     for d in range(1, SMALL_GROUP):
-        i = np.flatnonzero(place + d < small)
+        i = np.flatnonzero(place + d < (all_ if nearest and d < STEPS else small))
         if not len(i):
             break
         i, j, x = _close(fp, table, i, i + d, bits)
@@ -199,8 +205,14 @@ def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int) -> t
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = np.concatenate(left), np.concatenate(right)
-    tree = _forest(len(fp), i, j, np.concatenate(far))
-    return i[tree], j[tree]
+    far = np.concatenate(far)
+    kept = _forest(len(fp), i, j, far)
+    if nearest:
+        end, link = np.concatenate([i, j]), np.concatenate([np.arange(len(i))] * 2)
+        order = np.lexsort((link, far[link], end))
+        nth = np.arange(len(order)) - np.searchsorted(end[order], end[order])
+        kept = np.union1d(kept, link[order[nth < nearest]])
+    return i[kept], j[kept]
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -228,7 +240,8 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray
 
 
 def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
-    """(u, v): links between nodes (node, f0, ...) that leave no close pair unconnected; of wide fingerprints, as many as FOUND says."""
+    """(u, v): links between nodes (node, f0, ...) that leave no close pair unconnected; of wide fingerprints, as many as FOUND says, and
+    with every node's nearest in each group, as their links have still to be verified."""
     names = [c for c in nodes.columns if c != "node"]
     count, wide = nodes.count(), len(names) > 1
     few = PIVOTS // WIDE_WORDS if wide else PIVOTS  # pivots discard little at a wide radius
@@ -268,7 +281,7 @@ def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
 
     def _linked(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.stack([b.column(k).to_numpy() for k in names], axis=1).view(np.uint64)
-        i, j = links(np.cumsum(_changes(b)), fp, pivots, bits)
+        i, j = links(np.cumsum(_changes(b)), fp, pivots, bits, NEAREST if wide else 0)
         node = b.column("node")
         return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import set_distance
+from corpuslens.operators.graph import durable
 
 MIN_COMMON = 5
 
@@ -86,6 +87,29 @@ def hard_core(reference: DataFrame, runs: DataFrame, threshold: float = 0.8) ->
     return g.select("cluster", "n", "mean_rate", "core")
 
 
+def cooccurrence_statistics(runs: DataFrame) -> DataFrame:
+    """pairs, mean, std (ddof 0) and median of the rates of landing together (over runs that sample both) of all pairs of items, whatever
+    their cluster, whose rate is not 0.  runs: run, item, label, an item once a run at most.
+
+    Items that the runs treat alike are one vector with their number; only vectors that share a label in some run meet, and carry
+    the products of their numbers.  Rates are fractions of run counts, so the weights of the few different ones tell everything."""
+    each = runs.where("label is not null").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("run", "label"))).alias("vector"))
+    v = durable(each.groupBy("vector").agg(F.count("*").alias("n")).withColumn("x", F.xxhash64("vector")))
+    marks = v.select("x", "n", F.col("vector.run").alias("all"), F.inline("vector"))
+    right = marks.select("run", "label", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("all").alias("ally"))
+    met = marks.join(right, ["run", "label"]).where("x <= y").groupBy("x", "y").agg(F.count("*").alias("together"), F.first("n").alias("nx"), F.first("ny").alias("ny"), F.first(F.size(F.array_intersect("all", "ally"))).alias("sampled"))
+    weight = F.when(F.col("x") == F.col("y"), F.col("nx") * (F.col("nx") - 1) / 2).otherwise(F.col("nx") * F.col("ny")).cast("long")
+    rates = met.select((F.col("together") / F.col("sampled")).alias("rate"), weight.alias("w")).groupBy("rate").agg(F.sum("w").alias("w")).where("w > 0")
+    run = F.sum("w").over(Window.orderBy("rate"))  # as many rows as there are fractions of run counts
+    total = F.sum("w").over(Window.partitionBy())
+    placed = rates.select("rate", "w", run.alias("upto"), total.alias("all"))
+    mean = F.sum(F.col("rate") * F.col("w")) / F.sum("w")
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("rate")))
+    median = (at(F.floor((F.col("all") + 1) / 2)) + at(F.floor((F.col("all") + 2) / 2))) / 2
+    square = F.sum(F.col("rate") * F.col("rate") * F.col("w")) / F.sum("w")
+    return placed.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("pairs"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), median.alias("median"))
+
+
 def perturbation_stability(baseline: DataFrame, runs: DataFrame, n_runs: int) -> DataFrame:
     """cluster, n, stability: how often two members of a baseline cluster (item, label) share a label in the runs over noisy vectors
     (run, item, label), all pairs over n_runs; 1 for a cluster of one.  Pairs are counted from the sizes of the parts, not formed."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import product
+from math import exp, factorial
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,23 +252,28 @@ def scalable_clusters(df: DataFrame, vector: str, k: int, seed: int = 42) -> Dat
     return model.transform(data).drop("features").withColumnRenamed("prediction", "cluster")
 
 
+# The distribution of Poisson(1), up to where a 52-bit number is above all of it.
+POISSON_ONE = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(18)]
+MANY = 64  # equal values drawn one by one up to here
+
+
 def bootstrap_ci(df: DataFrame, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean, n and 2.5 / 97.5 percentiles of resampled means.  A row enters each resample a Poisson(1) number of times; equal rows are
-    one with their count c and enter Poisson(c) times, drawn from a generator seeded by the row's hash, so any partitioning gives the
-    same draws.  A partition adds its rows up in two arrays of one number a resample, which are all that is shuffled; a resample that
-    drew nothing has no mean."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.xxhash64(*df.columns).alias("row")).groupBy("x", "row").agg(F.count("*").alias("c"))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, weights = np.zeros(resamples), np.zeros(resamples)
-        for b in batches:
-            x, row, c = (b.column(k).to_numpy() for k in ("x", "row", "c"))
-            for k in range(len(x)):
-                w = np.random.default_rng([seed, int(row[k]) & (1 << 64) - 1]).poisson(c[k], resamples)
-                sums += w * x[k]
-                weights += w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(weights)], names=["b", "s", "w"])
-
-    means = rows.mapInArrow(add, "b long, s double, w double").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    """Mean, n and 2.5 / 97.5 percentiles of resampled means.  A row enters each resample a Poisson(1) number of times, so c equal values
+    enter Poisson(c) times: drawn one by one from a hash of value, place and resample, above MANY from the normal distribution with its
+    correction for skewness.  So draws do not depend on partitions or on rows' other columns.  Values are counted before they
+    meet resamples, sums are combined before they are shuffled, and all of it is built-in expressions; a resample that drew nothing has
+    no mean."""
+    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x")).groupBy("x").agg(F.count("*").alias("c"))
+    drawn = values.withColumn("i", F.explode(F.when(F.col("c") <= MANY, F.sequence(F.lit(1).cast("long"), F.col("c"))).otherwise(F.array(F.lit(0).cast("long")))))
+    drawn = drawn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed + salt), "x", "i", "b"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = drawn.withColumn("u", u(0))
+    one = F.lit(len(POISSON_ONE))
+    for k in reversed(range(len(POISSON_ONE))):
+        one = F.when(F.col("u") < POISSON_ONE[k], k).otherwise(one)
+    z = F.sqrt(-2 * F.ln("u")) * F.cos(2 * np.pi * u(1))
+    many = F.greatest(F.round(F.col("c") + F.sqrt(F.col("c").cast("double")) * z + (z * z - 1) / 6), F.lit(0.0))
+    drawn = drawn.select("b", "x", F.when(F.col("i") > 0, one).otherwise(many).cast("double").alias("w"))
+    means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
     ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return rows.agg((F.sum(F.col("x") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("mean"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).crossJoin(ci)  # one row each
+    return values.agg((F.sum(F.col("x") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("mean"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).crossJoin(ci)  # one row each

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import with_ordinal
+
+DIRECT_WINDOWS = 100  # compared one by one
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row a key, the first in order (first writer wins, latest row, preferred row)."""
@@ -60,7 +64,7 @@ def round_robin(df: DataFrame, group: str, position: str, cap: int, target: int
     picked = known.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap)
     if target is not None:
         picked = picked.orderBy("_rn", group).limit(target)
-    return picked.withColumn("turn", F.row_number().over(Window.orderBy("_rn", group)).cast("long")).drop("_rn")
+    return with_ordinal(picked, ["_rn", group, position], "turn").drop("_rn")
 
 
 def suffix_duplicates(df: DataFrame, name: str, position: str) -> DataFrame:
@@ -70,9 +74,20 @@ def suffix_duplicates(df: DataFrame, name: str, position: str) -> DataFrame:
 
 
 def chunk_of(order: Sequence[str], size: int, *partition: str) -> Column:
-    """Fixed-size chunks in order.  Without a partition all rows meet in one window: for lists of bounded size."""
-    w = (Window.partitionBy(*partition) if partition else Window).orderBy(*order)
-    return F.floor((F.row_number().over(w) - 1) / size).cast("long")
+    """Fixed-size chunks in order within each partition (see chunks for a whole table)."""
+    if not partition:
+        raise ValueError("name what parts the table, or use chunks()")
+    return F.floor((F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) / size).cast("long")
+
+
+def chunks(df: DataFrame, order: Sequence[Column | str], size: int, name: str = "chunk") -> DataFrame:
+    """df with fixed-size chunks 0, 1, 2 ... in order over the whole table, numbered by ranges."""
+    return with_ordinal(df, order, "_place").withColumn(name, F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
+
+
+def at_positions(df: DataFrame, order: Sequence[Column | str], positions: DataFrame, name: str = "pos") -> DataFrame:
+    """df's rows at positions (column pos, from 0, any number of them) of its order; positions beyond its end have no row."""
+    return with_ordinal(df, order, "_place").withColumn(name, F.col("_place") - 1).drop("_place").join(positions.select(F.col("pos").cast("long").alias(name)).distinct(), name)
 
 
 def circuit_breaker(df: DataFrame, key: str, order: Sequence[str], failed: Column, limit: int) -> DataFrame:
@@ -99,13 +114,30 @@ def share_of_total(df: DataFrame, value: str, order: Sequence[Column | str]) ->
     return df.withColumn("share", F.col(value) / total).withColumn("cumulative_share", run / total)
 
 
-def assign_windows(df: DataFrame, ts: str, windows: DataFrame) -> DataFrame:
-    """Rows in half-open named windows [begins, ends); a row in several gets the first listed (column ord), rows in none go.  windows
-    is a configuration table of a few rows; it is read to the driver and becomes one expression, so nothing is joined or merged."""
-    out = F.lit(None).cast("string")
-    for w in sorted(windows.collect(), key=lambda w: w["ord"], reverse=True):
-        out = F.when((F.col(ts) >= F.lit(w["begins"])) & (F.col(ts) < F.lit(w["ends"])), F.lit(w["window"])).otherwise(out)
-    return df.withColumn("window", out).where(F.col("window").isNotNull())
+def assign_windows(df: DataFrame, ts: str, windows: DataFrame, *, every: bool = False, direct: int = DIRECT_WINDOWS) -> DataFrame:
+    """Rows in half-open named windows [begins, ends), any number of them; a row in several gets the first listed (column ord), or with
+    every is returned for each; rows in none go, and windows that end before they begin hold nothing.  A few windows become one expression.
+    More are an interval join: a window is dealt to the one or two bins of its scale (the least power of two seconds that is no
+    shorter) that it touches, a row to its bin of every scale that occurs, and what meets in a bin is compared."""
+    listed = windows.where("begins < ends").select("begins", "ends", "window", "ord")
+    few = listed.limit(direct + 1).collect()
+    if len(few) <= direct and not every:
+        out = F.lit(None).cast("string")
+        for w in sorted(few, key=lambda w: w["ord"], reverse=True):
+            out = F.when((F.col(ts) >= F.lit(w["begins"])) & (F.col(ts) < F.lit(w["ends"])), F.lit(w["window"])).otherwise(out)
+        return df.withColumn("window", out).where(F.col("window").isNotNull())
+    second = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    scale = F.ceil(F.log2(F.greatest(second("ends") - second("begins"), F.lit(1.0)))).cast("int")
+    bin_of = lambda seconds, k: F.floor(seconds / F.pow(F.lit(2.0), k)).cast("long")
+    scaled = listed.withColumn("_k", scale)
+    scales = sorted(r[0] for r in scaled.select("_k").distinct().collect())  # some sixty at most
+    dealt = scaled.withColumn("_bin", F.explode(F.sequence(bin_of(second("begins"), F.col("_k")), bin_of(second("ends"), F.col("_k")))))
+    rows = df.where(F.col(ts).isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.monotonically_increasing_id().alias("_id"), second(ts).alias("_s"), F.col(ts).cast("timestamp").alias("_t"))
+    rows = rows.withColumn("_k", F.explode(F.lit(scales).cast("array<int>"))).withColumn("_bin", bin_of(F.col("_s"), F.col("_k")))
+    met = rows.join(dealt, ["_k", "_bin"]).where((F.col("_t") >= F.col("begins")) & (F.col("_t") < F.col("ends")))
+    if not every:
+        met = met.groupBy("_id").agg(F.min_by(F.struct("_row", "window"), "ord").alias("_m")).select("_m.*")
+    return met.select("_row.*", "window")
 
 
 def union_by_position(tables: Sequence[DataFrame], key: str, order: str) -> DataFrame:

@@ -66,6 +66,13 @@ def percentile_interval(t):  # A18
     return t.events.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("value", F.lit(0.975)), 6).alias("high"))
 
 
+@query("with q as (select event_type, unnest([0.025, 0.5, 0.975]::double[]) share, unnest(quantile_cont(value, [0.025, 0.5, 0.975])) q, count(value) n from events group by 1) select event_type, share, n, round(q, 6) quantile from q")
+def exact_quantiles(t):  # A17 A18: groups of any size
+    from corpuslens.operators.quantiles import exact_quantiles as quantiles
+
+    return quantiles(t.events, "event_type", "value", [0.025, 0.5, 0.975]).withColumn("quantile", F.round("quantile", 6))
+
+
 @query("with x as (select l_discount * 10 v from lineitem), s as (select unnest(range(10)) bin) select bin, coalesce(n, 0) n from s left join (select cast(least(floor(v * 10), 9) as bigint) bin, count(*) n from x where v between 0 and 1 group by 1) using (bin)")
 def discount_histogram(t):  # A19
     return A.histogram(t.lineitem.select((F.col("l_discount") * 10).alias("v")), "v").select("bin", F.col("n").cast("long").alias("n"))

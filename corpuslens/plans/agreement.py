@@ -140,6 +140,12 @@ def cooccurrence_rates(t):  # M12 J18
     return r.select("cluster", "i", "j", "sampled", "together", F.round("rate", 6).alias("rate"))
 
 
+@query(f"""with {RATES.split(',\n w as')[0]}, pr as (select x.item i, y.item j, count(*) filter (x.label = y.label) / count(*) r from b x join b y on x.run = y.run and x.item < y.item group by all)
+ select count(*) pairs, round(avg(r), 6) mean, round(stddev_pop(r), 6) std, round(median(r), 6) median from pr where r > 0""")
+def cooccurrence_summary(t):  # M12: the whole matrix
+    return G.cooccurrence_statistics(bootstrap_runs(t)).select("pairs", *(F.round(c, 6).alias(c) for c in ("mean", "std", "median")))
+
+
 @query(f"with {RATES}, q as (select cluster, i item, together / sampled r from pr union all select cluster, j, together / sampled from pr), mm as (select cluster, item, avg(r) m from q group by all) select cast(cluster as bigint) cluster, n, round(mean_rate, 6) mean_rate, core from (select cluster, count(*) n, count(*) filter (round(m, 9) >= 0.8) core from mm group by 1) join (select cluster, avg(together / sampled) mean_rate from pr group by 1) using (cluster)")
 def hard_core(t):  # M12
     r = t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label"))

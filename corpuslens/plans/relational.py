@@ -119,6 +119,17 @@ def chunk_assignment(t):  # W8
     return t.part.select("p_partkey", R.chunk_of(["p_partkey"], 80, "p_type").alias("chunk"))
 
 
+@query("select event_id, cast(floor((row_number() over (order by ts, event_id) - 1) / 80) as bigint) chunk from events")
+def global_chunks(t):  # W8: over the whole table
+    return R.chunks(t.events.select("event_id", "ts"), ["ts", "event_id"], 80).select("event_id", "chunk")
+
+
+@query("select pos, event_id from (select event_id, row_number() over (order by ts desc, event_id) - 1 pos from events) where pos % 97 = 5")
+def global_positions(t):  # J11: members named by their place in the whole table
+    wanted = t.spark.range(t.events.count() + 100).where("id % 97 = 5").withColumnRenamed("id", "pos")
+    return R.at_positions(t.events.select("event_id", "ts"), [F.col("ts").desc(), F.col("event_id").asc()], wanted).select("pos", "event_id")
+
+
 @query("""with s as (select *, sum(case when f then 0 else 1 end) over (partition by user_id order by ts, event_id) i from (select *, event_type = 'click' f from events)),
  k as (select *, sum(cast(f as int)) over (partition by user_id, i order by ts, event_id) streak from s),
  b as (select *, coalesce(max(cast(streak >= 2 as int)) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) cut from k)
@@ -191,6 +202,29 @@ def window_assignment(t):  # J22 X2
     return R.assign_windows(t.events.select("event_id", "ts"), "ts", w).select("event_id", "window")
 
 
+_SPANS = "w as (select o_orderkey k, o_orderdate b, o_orderdate + to_hours((1 + o_orderkey % 200)::int) e from orders), d as (select event_id, ts, (date '1992-01-01' + (event_id % 2400)::int)::timestamp + to_minutes((event_id % 1440)::int) spot from events)"
+
+
+def spans(t):
+    """A window an order, some hours long, and the events spread over the orders' years."""
+    start = F.col("o_orderdate").cast("timestamp")
+    w = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("window"), F.col("o_orderkey").alias("ord"), start.alias("begins"), (start + F.make_interval(hours=(1 + F.col("o_orderkey") % 200).cast("int"))).alias("ends"))
+    d = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("event_id") % 2400).cast("int")).cast("timestamp") + F.make_interval(mins=(F.col("event_id") % 1440).cast("int"))
+    return t.events.select("event_id", d.alias("spot")), w
+
+
+@query(f"with {_SPANS} select event_id, 'o' || min(k) \"window\" from d join w on spot >= b and spot < e group by 1")
+def interval_first(t):  # J22: as many windows as orders, first listed wins
+    d, w = spans(t)
+    return R.assign_windows(d, "spot", w, direct=0).select("event_id", "window")
+
+
+@query(f"with {_SPANS} select k o, count(*) n from d join w on spot >= b and spot < e group by 1")
+def interval_counts(t):  # J22 X2: every window of every row
+    d, w = spans(t)
+    return R.assign_windows(d, "spot", w, every=True).groupBy(F.substring("window", 2, 20).cast("long").alias("o")).agg(F.count("*").alias("n"))
+
+
 @query("""with f as (select 0 feed, url, page_id from pages where page_id % 2 = 0 union all select 1, url, page_id from pages)
  select url, page_id from (select *, row_number() over (partition by url order by feed, page_id) r from f) where r = 1""")
 def url_first_wins(t):  # U1 S2 W11

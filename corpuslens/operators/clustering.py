@@ -101,6 +101,12 @@ def transfer(similarity: DataFrame, threshold: float = 0.70) -> DataFrame:
     return similarity.groupBy().applyInPandas(solve, "a long, b long, similarity double, status string")
 
 
+def transfer_rate(transferred: DataFrame) -> DataFrame:
+    """transferred, clusters, rate: how many of the first taxonomy's clusters (rows of transfer) came over; rate 0 of none."""
+    n, came = F.count("a"), F.count_if(F.col("status") == "transferred")
+    return transferred.agg(came.alias("transferred"), n.alias("clusters"), F.coalesce(came / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("rate"))
+
+
 def agglomerative(vectors: np.ndarray, k: int) -> np.ndarray:
     """Average linkage under cosine distance down to k clusters; labels in order of first member."""
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

@@ -148,6 +148,29 @@ def cluster_concentration(t):  # W10 M37
     return R.share_of_total(c, "n", [F.col("n").desc(), "label"]).select("label", "n", F.round("share", 6).alias("share"), F.round("cumulative_share", 6).alias("cumulative_share"))
 
 
+@query("""with c as (select vec_id % 3 event, label, count(*) n from embeddings group by all), r as (select *, row_number() over (partition by event order by n desc, label) r from c)
+ select event, cast(sum(n) as bigint) items, count(*) clusters, round(sum(n) filter (r <= 1) / sum(n), 6) top_1, round(sum(n) filter (r <= 3) / sum(n), 6) top_3, round(sum(n) filter (r <= 5) / sum(n), 6) top_5, count(*) filter (n > 50) "large", count(*) filter (n = 1) singletons from r group by 1""")
+def event_concentration(t):  # M37: across events
+    c = A.concentration(t.embeddings.select((F.col("vec_id") % 3).alias("event"), "label"), "event", "label")
+    return c.select("event", "items", "clusters", *(F.round(k, 6).alias(k) for k in ("top_1", "top_3", "top_5")), "large", "singletons")
+
+
+_LABEL_STOP = ", ".join(f"'{w}'" for w in A.LABEL_STOP)
+
+
+@query(rf"""with d as (select source, doc_id, coalesce(lang, '??') l, coalesce(text, '') t, row_number() over (partition by source order by doc_id) k from documents where source is not null),
+ g as (select source, l, count(*) n, min(doc_id) f from d group by all), gl as (select source, string_agg(l || '=' || n, ',' order by n desc, f, l) langs from (select *, row_number() over (partition by source order by n desc, f, l) r from g) where r <= 5 group by 1),
+ w as (select source, k, list_transform(list_filter(regexp_split_to_array(lower(left(t, 200)), '[ 	
+]+'), lambda x: length(x) >= 4), lambda x: trim(x, '.,;:!?"''()[]{{}}|*$%&#')) w from d where k <= 10),
+ x as (select source, k, unnest(w) w, generate_subscripts(w, 1) i from w), xc as (select source, w, count(*) n, min(k * 4294967296 + i) f from x where w <> '' and w not in ({_LABEL_STOP}) group by all),
+ kw as (select source, string_agg(w, ',' order by n desc, f) keywords from (select *, row_number() over (partition by source order by n desc, f) r from xc) where r <= 5 group by 1)
+ select source, count(*) size, round(count(*) / (select count(*) from documents), 6) share, any_value(langs) languages, coalesce(any_value(keywords), '') keywords, left(min(t) filter (k = 1), 100) representative from d join gl using (source) left join kw using (source) group by 1""")
+def cluster_composition(t):  # M35 A10
+    c = A.composition(t.documents, "source", "doc_id", "lang", "text", noise=None)
+    langs = F.array_join(F.transform("top_languages", lambda x: F.concat(x["language"], F.lit("="), x["n"].cast("string"))), ",")
+    return c.select("source", "size", F.round("share", 6).alias("share"), langs.alias("languages"), F.array_join("keywords", ",").alias("keywords"), "representative")
+
+
 @query(f"with {OUTLETS} select o.region, d.lang, count(*) n, round(avg(n_chars), 4) mean_chars from documents d join outlets o on d.source = o.outlet group by cube (o.region, d.lang)")
 def region_language_cube(t):  # J12 J24
     d = t.documents.join(outlets(t), F.col("source") == F.col("outlet"))

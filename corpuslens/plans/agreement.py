@@ -196,11 +196,20 @@ def taxonomy_stability(t):  # M14
 
 @query()
 def taxonomy_transfer(t):  # M15 U5
+    return C.transfer(_centroid_pairs(t))
+
+
+@query()
+def taxonomy_transfer_rate(t):  # M15
+    return C.transfer_rate(C.transfer(_centroid_pairs(t))).withColumn("rate", F.round("rate", 6))
+
+
+def _centroid_pairs(t: Tables) -> DataFrame:
     from corpuslens.functions.vectors import cosine
 
     half = lambda k, name: A.centroids(t.embeddings.where(f"vec_id % 2 = {k}"), "label", "embedding").select(F.col("label").cast("long").alias(name), F.col("centroid").alias(f"c{name}"))
     pairs = half(0, "a").crossJoin(half(1, "b"))  # ten centroids a side
-    return C.transfer(pairs.select("a", "b", cosine("ca", "cb").alias("similarity")))
+    return pairs.select("a", "b", cosine("ca", "cb").alias("similarity"))
 
 
 @query()

@@ -61,9 +61,9 @@ def cluster_report(t):  # M42 P22
     return t.embeddings.groupBy("label").agg(F.count("*").alias("articles"), *(F.count_if(v == k).alias(n) for k, n in enumerate(("high", "medium", "contested")))).where("articles > 1")
 
 
-@query("with a as (select vec_id item, label cluster from embeddings where vec_id % 5 <> 0), m as (select item, cluster % 3 merged from a where cluster % 4 <> 3) select item, merged, false carried from m union all select item, cluster + 100, true from a where item not in (select item from m)")
+@query("with a as (select vec_id item, label cluster from embeddings), m as (select item, cluster % 3 merged from a where cluster % 4 <> 3) select item, merged, false carried from m union all select item, cluster + 100, true from a where item not in (select item from m)")
 def coverage_preserving_merge(t):  # M43 J7
-    a = t.embeddings.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("item"), F.col("label").alias("cluster"))
+    a = t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").alias("cluster"))
     m = a.where("cluster % 4 <> 3").select("item", (F.col("cluster") % 3).alias("merged"), F.lit(False).alias("carried"))
     return m.unionByName(a.join(m, "item", "left_anti").select("item", (F.col("cluster") + 100).alias("merged"), F.lit(True).alias("carried")))
 

@@ -72,9 +72,9 @@ def semi_join(t):  # J5
     return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def anti_join(t):  # J6 J7
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by (role = 'assistant') desc, turn desc, text) r from conversations) where r = 1")
@@ -139,18 +139,18 @@ def circuit_breaker(t):  # W9 X7
     return out.select("user_id", "event_id", F.col("streak").cast("long").alias("streak"))
 
 
-@query("""with a as (select s_name, s_acctbal from supplier where s_suppkey % 2 = 0), b as (select s_name, s_acctbal from supplier where s_suppkey % 3 = 0)
+@query("""with a as (select s_name, s_acctbal from supplier where s_suppkey % 2 = 0), b as (select s_name, s_acctbal from supplier where s_suppkey % 2 = 1 or s_suppkey % 3 = 0)
  select s_name, max(s_acctbal + x) s_acctbal from (select s_name, s_acctbal, 0 x from a union all select s_name, s_acctbal, 1 from b) group by 1""")
 def upsert_greatest(t):  # K6
     a = t.supplier.where("s_suppkey % 2 = 0").select("s_name", "s_acctbal")
-    b = t.supplier.where("s_suppkey % 3 = 0").select("s_name", (F.col("s_acctbal") + 1).alias("s_acctbal"))
+    b = t.supplier.where("s_suppkey % 2 = 1 or s_suppkey % 3 = 0").select("s_name", (F.col("s_acctbal") + 1).alias("s_acctbal"))
     return R.upsert_greatest(a, b, ["s_name"], "s_acctbal")
 
 
-@query("select s_name, case when s_suppkey % 3 = 0 then 'new' else 'old' end origin, s_nationkey from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0")
+@query("select s_name, case when s_suppkey % 2 = 1 or s_suppkey % 3 = 0 then 'new' else 'old' end origin, s_nationkey from supplier where s_suppkey % 2 = 0 or s_suppkey % 2 = 1 or s_suppkey % 3 = 0")
 def upsert_last(t):  # K7
     a = t.supplier.where("s_suppkey % 2 = 0").withColumn("origin", F.lit("old"))
-    b = t.supplier.where("s_suppkey % 3 = 0").withColumn("origin", F.lit("new"))
+    b = t.supplier.where("s_suppkey % 2 = 1 or s_suppkey % 3 = 0").withColumn("origin", F.lit("new"))
     return R.upsert_last(a, b, ["s_name"], ["origin", "s_nationkey"])
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from corpuslens.operators.graph import shared_folder
 from corpuslens.streaming import incremental as I
+from corpuslens.streaming import stateful as S
 
 from .registry import query
 
@@ -36,3 +41,21 @@ def stream_session(t):  # X6
 def stream_dedup(t):  # X1 X4
     dated, _ = I.split_undated(events(t), "ts")
     return I.run_available(I.dedup(dated, ["user_id", "event_type"], "ts", "60 days"), "append").select("user_id", "event_type")
+
+
+@query("""with s as (select *, sum(case when f then 0 else 1 end) over (partition by user_id order by ts, event_id) i from (select *, event_type = 'click' f from events where ts is not null)),
+ k as (select *, sum(cast(f as int)) over (partition by user_id, i order by ts, event_id) streak from s),
+ b as (select *, coalesce(max(cast(streak >= 2 as int)) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) cut from k)
+ select user_id, event_id, cast(streak as bigint) streak from b where cut = 0""")
+def stream_circuit_breaker(t):  # X7: keyed state
+    rows = events(t).select("user_id", "event_id", "event_type", "ts")
+    return I.run_available(S.circuit_breaker(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "click", 2, "ts", idle=timedelta(days=3650)), "append").select("user_id", "event_id", "streak")
+
+
+@query("select event_type, count(distinct user_id) n, 1 versions from events group by 1")
+def stream_versions(t):  # X5 X1: a version a batch, first row of every key
+    folder = f"{shared_folder(t.spark)}/versions-{uuid4().hex}"
+    rows = events(t).select("user_id", "event_type", "event_id")
+    S.ingest(rows, f"{folder}/table", f"{folder}/state", ["user_id", "event_type"], ["event_id"])
+    got = S.read_version(t.spark, f"{folder}/table", rows.schema)
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("corpus_version").cast("int").alias("versions"))

@@ -77,12 +77,12 @@ def quote_spans(t):  # F7
     return t.documents.where(F.col("text").contains('"')).select("doc_id", F.array_join(X.quoted_spans("text"), "|").alias("spans"))
 
 
-@query(r"""with k as (select source, unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: length(w) >= 4), lambda w: trim(w, '.,;:!?"''()[]{}|*$%&#'))) w from documents),
- c as (select source, w, count(*) n from k where w <> '' and w not in ('that', 'with', 'this', 'from', 'pour', 'dans', 'nicht') group by all)
- select source, w, n, rank from (select *, row_number() over (partition by source order by n desc, w, w) rank from c) where rank <= 10""")
-def keyword_topk_per_cluster(t):  # F15 A10 M35
-    k = t.documents.select("source", F.explode(X.keyword_tokens("text", STOP)).alias("w"))
-    return A.most_common(k.withColumn("p", F.col("w")), ["source"], "w", "p", 10).select("source", "w", "n", "rank")
+@query(r"""with k as (select source, unnest(list_transform(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: length(w) >= 4), lambda w: trim(w, '.,;:!?"''()[]{}|*$%&#'))) w, doc_id from documents),
+ c as (select source, w, count(*) n, min(doc_id) f from k where w <> '' and w not in ('that', 'with', 'this', 'from', 'pour', 'dans', 'nicht') group by all)
+ select source, w, n, rank from (select *, row_number() over (partition by source order by n desc, f, w) rank from c) where rank <= 10""")
+def keyword_topk_per_cluster(t):  # F15 A10
+    k = t.documents.select("source", "doc_id", F.explode(X.keyword_tokens("text", STOP)).alias("w"))
+    return A.most_common(k, ["source"], "w", "doc_id", 10).select("source", "w", "n", "rank")
 
 
 @query("""with x as (select o_orderkey, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%Y%m%dT%H%M%SZ') when 1 then strftime(o_orderdate, '%Y%m%d%H%M%S') when 2 then strftime(o_orderdate, '%Y-%m-%d 10:15:00') when 3 then '' else 'Wed, 02 Apr' end s, o_orderdate d from orders)
@@ -195,3 +195,11 @@ def json_array_coercion(t):  # N2 N5
 def error_rows_excluded(t):  # P23 M5f
     e = t.events.where(F.get_json_object("props", "$.missing").isNull() & (F.col("event_type") != "error"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("r2"), F.round(F.avg("value"), 4).alias("r4"))
+
+
+@query()
+def detected_languages(t):  # D3
+    from corpuslens.operators import language as L
+
+    model = L.learn(t.documents, "text", "lang")
+    return L.detect(t.documents.select("doc_id", "lang", "text"), "text", model).groupBy("lang", "language").agg(F.count("*").alias("n"))

@@ -96,17 +96,6 @@ def silent_client(address: str) -> dict:
     return {"transcript": f"recording {hashlib.md5(address.encode()).hexdigest()[:8]}", "language": "en", "confidence": 1.0, "minutes": 0.0}
 
 
-PROFILES = {"en": "the and of to in that is was for with", "de": "der die und das von mit den nicht ist ein", "fr": "le la les des et du que dans une pour", "es": "el los las que del por una con para de"}
-
-
-def language(text: str):
-    """en for under 20 characters, else the language with most function words in the first 1000 (a column, no Python)."""
-    head = F.concat(F.lit(" "), F.lower(F.left(F.regexp_replace(text, r"[^\p{L}]+", " "), F.lit(1000))), F.lit(" "))
-    words = F.split(head, " ")
-    votes = [F.struct(F.size(F.filter(words, lambda w: w.isin(*p.split()))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("lang")) for k, (name, p) in enumerate(PROFILES.items())]  # noqa: B023
-    return F.when(F.length(text) < 20, "en").otherwise(F.greatest(*votes)["lang"])
-
-
 def translation_route(lang: str, direct: Sequence[str] = ("de", "fr", "es", "ru", "ar", "zh")):
     """Which of two engines translates a language; English is left alone."""
     return F.when(F.col(lang) == "en", "none").when(F.col(lang).isin(*direct), "pairwise").otherwise("multilingual")

@@ -32,21 +32,38 @@ def _free(spark: SparkSession, path: str, join: str = "_", ending: str = "", fir
     return name
 
 
-def write_artifact(df: DataFrame, path: str, run_id: str | None = None, now: datetime | None = None) -> str | None:
-    """Write df as JSON to path, the canonical copy; the one that was there moves to path_<time> (numbered if that is taken), and a
-    copy under path_<run id> is never touched again (an error if it is there).  The canonical copy is replaced in one rename, so
-    readers find the old or the new one.  The run's copy, or None without a run."""
+def write_artifact(df: DataFrame, path: str, run_id: str | None = None, now: datetime | None = None) -> str:
+    """Write df as JSON under path_<run id> (an error if it is there), or without a run under path_<time> (numbered if that is taken),
+    and make it the canonical copy: path is a small file that names it, replaced in one rename.  No copy is ever touched again, so
+    readers (see read_artifact) find the old one or the new one, whole, at any time.  The name of the new copy."""
     spark, path = df.sparkSession, path.rstrip("/")
-    safe = re.sub(r"[^\w-]", "_", run_id) if run_id else None
-    written = f"{path}_{safe}" if safe else f"{path}.next"
-    df.write.mode("errorifexists" if safe else "overwrite").json(written)
-    if safe:
-        spark.read.text(written).write.mode("overwrite").text(f"{path}.next")
-    fs, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.rename(p, _fs(spark, _free(spark, f"{path}_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}"))[1])
-    fs.rename(_fs(spark, f"{path}.next")[1], p)
-    return written if safe else None
+    copy = f"{path}_{re.sub(r'[^\w-]', '_', run_id)}" if run_id else _free(spark, f"{path}_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}")
+    df.write.mode("errorifexists").json(copy)
+    _put(spark, f"{path}.next", copy.rsplit("/", 1)[-1])
+    _replace(spark, f"{path}.next", path)
+    return copy
+
+
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename source to target, whether or not target is there."""
+    jvm = spark._jvm
+    overwrite = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = overwrite
+    fs, a = _fs(spark, source)
+    qualified = fs.makeQualified(a)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(qualified, fs.makeQualified(_fs(spark, target)[1]), options)
+
+
+def current_artifact(spark: SparkSession, path: str) -> str:
+    """The copy that path names now."""
+    name = spark.read.text(path).first()[0]
+    return f"{path.rsplit('/', 1)[0]}/{name}" if "/" in path else name
+
+
+def read_artifact(spark: SparkSession, path: str) -> DataFrame:
+    """The canonical copy."""
+    return spark.read.json(current_artifact(spark, path))
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> bool:

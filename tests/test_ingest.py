@@ -139,14 +139,33 @@ def test_api_reader_has_one_budget():
 
 def test_artifacts(spark, tmp_path):
     path, when = f"{tmp_path}/a/result", datetime(2024, 5, 1, 10, 0, 0)
-    assert sinks.write_artifact(spark.range(1), path, "run 1", when) == f"{path}_run_1"
-    assert sinks.write_artifact(spark.range(2), path, None, when) is None
-    sinks.write_artifact(spark.range(3), path, "run/2", when)
     n = lambda p: spark.read.json(p).count()
-    assert [n(path), n(f"{path}_run_1"), n(f"{path}_run_2"), n(f"{path}_20240501_100000"), n(f"{path}_20240501_100000_1")] == [3, 1, 3, 1, 2]
+    now = lambda: sinks.read_artifact(spark, path).count()
+    assert sinks.write_artifact(spark.range(1), path, "run 1", when) == f"{path}_run_1" and now() == 1
+    reader = sinks.read_artifact(spark, path)  # opened before the next copy, read after it
+    assert sinks.write_artifact(spark.range(2), path, None, when) == f"{path}_20240501_100000" and now() == 2
+    assert reader.count() == 1
+    assert sinks.write_artifact(spark.range(4), path, None, when) == f"{path}_20240501_100000_1" and now() == 4
+    sinks.write_artifact(spark.range(3), path, "run/2", when)
+    assert [n(f"{path}_{k}") for k in ("run_1", "run_2", "20240501_100000", "20240501_100000_1")] == [1, 3, 2, 4] and now() == 3
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.write_artifact(spark.range(9), path, "run 1", when)
-    assert n(path) == 3
+    assert now() == 3 and sinks.current_artifact(spark, path) == f"{path}_run_2"
+
+
+def test_the_canonical_copy_is_there_at_every_step(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/result"
+    sinks.write_artifact(spark.range(1), path, "a")
+    seen, real = [], sinks._replace
+
+    def watched(*args):
+        seen.append(sinks.read_artifact(spark, path).count())
+        real(*args)
+        seen.append(sinks.read_artifact(spark, path).count())
+
+    monkeypatch.setattr(sinks, "_replace", watched)
+    sinks.write_artifact(spark.range(5), path, "b")
+    assert seen == [1, 5]
 
 
 def test_report_topic_and_publishing(spark, tmp_path):

@@ -75,7 +75,6 @@ def test_sinks(spark, tmp_path):
 
 def test_effects(spark):
     df = spark.createDataFrame([("the house and the garden of that man",), ("der hund und die katze von nebenan",), ("x",)], "t string")
-    assert [r[0] for r in df.select(effects.language("t")).collect()] == ["en", "de", "en"]
     assert all("primary_frame" in r.answer for r in effects.complete(df, "t", effects.echo_client).collect())
 
     def broken(_):

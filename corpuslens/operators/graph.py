@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +32,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v.  (node, root), root being the smallest node that edges reach.  Each round a node takes the least root of its
-    neighbours and then that root's root, so the rounds grow with the logarithm of the longest way."""
-    both = durable(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    now = durable(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder.  A checkpoint remembers what its filters imply, and plans that add to it round by round take
+    longer each time; a table does not."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """edges: u, v and the columns of by, each of whose values has a graph of its own.  (by ..., node, root), root being the smallest node that
+    edges reach.  Each round a node takes the least root of its neighbours and then that root's root, so the rounds grow with the
+    logarithm of the longest way."""
+    by = list(by)
+    both = durable(edges.select(*by, "u", "v").unionByName(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    now = durable(both.groupBy(*by, F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
     for _ in range(MAX_ROUNDS):
-        near = both.join(now.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        step = now.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"))
+        near = both.join(now.select(*by, F.col("node").alias("v"), "root"), [*by, "v"]).groupBy(*by, F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        step = now.join(near, [*by, "node"]).select(*by, "node", F.least("root", "near").alias("root"))
+        jump = step.join(step.select(*by, F.col("node").alias("root"), F.col("root").alias("top")), [*by, "root"], "left").select(*by, "node", F.least("root", F.coalesce("top", "root")).alias("root"))
         then = durable(jump)
-        if not then.join(now, ["node", "root"], "left_anti").limit(1).count():
+        if not then.join(now, [*by, "node", "root"], "left_anti").limit(1).count():
             return then
         now = then
     raise RuntimeError("components did not settle")

@@ -230,8 +230,9 @@ def scalable_clusters(t):  # D9
 
 @query()
 def density_clusters(t):  # D9
-    d = C.density_clusters(t.embeddings, "vec_id", "embedding")
-    return d.groupBy("cluster").agg(F.count("*").alias("n"))
+    from corpuslens.operators.density import density_clusters as by_density
+
+    return by_density(t.embeddings, "vec_id", "embedding").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def cluster_document(t: Tables) -> DataFrame:

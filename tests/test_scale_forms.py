@@ -11,6 +11,7 @@ from corpuslens.operators import agreement as G
 from corpuslens.operators import bias as B
 from corpuslens.operators import clustering as C
 from corpuslens.operators import coverage as V
+from corpuslens.operators import density
 from corpuslens.operators import graph
 from corpuslens.operators import relational as R
 from corpuslens.operators import sampling as S
@@ -153,6 +154,14 @@ def test_cluster_tables(spark):
     assert {(r.cluster_name, r.item) for r in members.collect()} == {("c1", 100), ("c1", 101), ("Singleton 2", 102)}
 
 
+def test_density_clusters_part_groups_and_noise(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(4)[i % 2] + rng.normal(0, 0.01, 4)).tolist()) for i in range(80)] + [(100, [0.0, 0.0, 1.0, 0.0]), (101, [0.0, 0.0, 0.0, -1.0])]
+    got = {r.item: r.cluster for r in density.density_clusters(spark.createDataFrame(rows, "item long, v array<double>"), "item", "v", axes=2).collect()}
+    assert len({got[i] for i in range(0, 80, 2)}) == 1 and len({got[i] for i in range(1, 80, 2)}) == 1
+    assert got[0] != got[1] and got[100] == got[101] == -1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).unionByName(spark.createDataFrame([(500, 501)], "u long, v long"))
     got = {r.node: r.root for r in graph.components(edges).collect()}

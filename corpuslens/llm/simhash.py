@@ -18,7 +18,8 @@ small there, so nodes are looked up under samples of bits, as many as find a pai
 probability FOUND (nearer pairs with more), and decided in the same way.  Links are then verified by
 the texts' shingle sets.  A link of the forest may fail there and part what it tied, so a group also
 emits the links of every node to its NEAREST nearest nodes: in a group of up to NEAREST + 1 close
-nodes all its links are verified, in a larger one each node has as many ways out as NEAREST.
+nodes all its links are verified, in a larger one each node has as many ways out as NEAREST, and in one of more than SMALL_GROUP nodes
+NEAREST_OF_MANY under every sample.
 
 Hot groups (more than GROUP_ROWS nodes) are dealt into chunks by hash and every two chunks meet in
 a task of their own, exactly; a task walks its nodes breadth-first, comparing each only with nodes
@@ -53,6 +54,7 @@ FINGERPRINT_DOCS = 256
 WIDE_WORDS = 4
 SLACK = 1.5
 NEAREST = 8
+NEAREST_OF_MANY = 2
 STEPS = 64
 FOUND = 0.99
 
@@ -171,8 +173,8 @@ def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits
 
 def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """fp: (nodes,) or (nodes, words), pivots alike.  Links (positions) that connect the nodes of each group as its close pairs do, and
-    those to every node's nearest nodes, as many as nearest says (in a large group, of those within STEPS rows); groups are runs of equal
-    numbers."""
+    those to every node's nearest nodes, as many as nearest says (in a group over SMALL_GROUP, NEAREST_OF_MANY of those within STEPS
+    rows, which are others under every sample of bits); groups are runs of equal numbers."""
     fp, pivots = fp.reshape(len(fp), -1), pivots.reshape(len(pivots), -1)
     table = np.bitwise_count(fp[:, None, :] ^ pivots[None, :, :]).sum(axis=2, dtype=np.int16)
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -211,7 +213,8 @@ def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, near
         end, link = np.concatenate([i, j]), np.concatenate([np.arange(len(i))] * 2)
         order = np.lexsort((link, far[link], end))
         nth = np.arange(len(order)) - np.searchsorted(end[order], end[order])
-        kept = np.union1d(kept, link[order[nth < nearest]])
+        most = np.where(all_[end[order]] <= SMALL_GROUP, nearest, min(nearest, NEAREST_OF_MANY))
+        kept = np.union1d(kept, link[order[nth < most]])
     return i[kept], j[kept]
 
 

@@ -51,7 +51,7 @@ def components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         near = both.join(now.select(*by, F.col("node").alias("v"), "root"), [*by, "v"]).groupBy(*by, F.col("u").alias("node")).agg(F.min("root").alias("near"))
         step = now.join(near, [*by, "node"]).select(*by, "node", F.least("root", "near").alias("root"))
         jump = step.join(step.select(*by, F.col("node").alias("root"), F.col("root").alias("top")), [*by, "root"], "left").select(*by, "node", F.least("root", F.coalesce("top", "root")).alias("root"))
-        then = durable(jump)
+        then = written(jump)
         if not then.join(now, [*by, "node", "root"], "left_anti").limit(1).count():
             return then
         now = then

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.vectors import cosine
 from corpuslens.operators.agreement import cluster_jaccard, perturbation_stability
 from corpuslens.operators.graph import durable
+from corpuslens.operators.linkage import cut, linkage
 
 MAX_AGGLOMERATIVE = 4000
 MAX_LEVELS = 4
@@ -123,17 +124,27 @@ def agglomerative(vectors: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def cluster_groups(df: DataFrame, group: str, item: str, vector: str, k: int) -> DataFrame:
-    """Agglomerative clusters within groups of bounded size (an error above MAX_AGGLOMERATIVE rows: chunk first)."""
+def cluster_groups(df: DataFrame, group: str, item: str, vector: str, k: int, most: int = MAX_AGGLOMERATIVE) -> DataFrame:
+    """Average-linkage clusters of every group, numbered in order of first member.  Groups of up to most rows are clustered in one task each,
+    larger ones in rounds (see linkage); rows with a null vector are left out."""
+    rows = df.where(F.col(vector).isNotNull()).select(group, item, vector)
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
-        if len(p) > MAX_AGGLOMERATIVE:
-            raise ValueError(f"{len(p)} rows in a group: deal them into chunks first")
         p = p.sort_values(item)
         return pd.DataFrame({group: p[group], item: p[item], "cluster": agglomerative(np.stack(p[vector].to_numpy()).astype(float), k)})
 
     kinds = f"{group} {df.schema[group].dataType.simpleString()}, {item} {df.schema[item].dataType.simpleString()}, cluster long"
-    return df.select(group, item, vector).groupBy(group).applyInPandas(solve, kinds)
+    # at most one group in `most` rows
+    large = durable(rows.groupBy(group).count().where(F.col("count") > most).select(group))
+    if large.isEmpty():
+        return rows.groupBy(group).applyInPandas(solve, kinds)
+    small = rows.join(F.broadcast(large), group, "left_anti").groupBy(group).applyInPandas(solve, kinds)
+    rest = rows.join(F.broadcast(large), group, "left_semi")
+    found = durable(cut(rest, linkage(rest, group, item, vector, finish=most), group, item, k=k, finish=most))
+    names = found.groupBy(group, "cluster").count().drop("count")  # k a group
+    names = names.withColumn("n", F.expr(f"row_number() over (partition by `{group}` order by cluster) - 1").cast("long"))
+    numbered = found.join(F.broadcast(names), [group, "cluster"]).select(group, item, F.col("n").alias("cluster"))
+    return small.unionByName(numbered)
 
 
 Solver = Callable[[np.ndarray], "np.ndarray | None"]

@@ -88,7 +88,7 @@ def near_points(points: DataFrame, k: int, *, by: str = "distance", tables: int
         score = -(x @ x.T) if unit else np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0)
         np.fill_diagonal(score, np.inf)
         few = min(k, m - 1)
-        at = np.argsort(score, axis=1, kind="stable")[:, :few]
+        at = np.argmin(score, axis=1)[:, None] if few == 1 else np.argsort(score, axis=1, kind="stable")[:, :few]
         i = np.repeat(np.arange(m), few)
         best = score[i, at.ravel()]
         best = best if unit else np.sqrt(((x[i] - x[at.ravel()]) ** 2).sum(1))

@@ -218,6 +218,14 @@ def agglomerative_clusters(t):  # D8
     return C.cluster_groups(e, "chunk", "vec_id", "embedding", 8)
 
 
+@query()
+def average_linkage_clusters(t):  # D8 M13
+    from corpuslens.operators.linkage import cut, linkage
+
+    e = t.embeddings.withColumn("g", F.lit(0))
+    return cut(e, linkage(e, "g", "vec_id", "embedding", finish=256), "g", "vec_id", k=8).select("vec_id", "cluster")
+
+
 @query()
 def reduced_clusters(t):  # D11 W8
     return C.reduce_clusters(t.embeddings.select(F.col("vec_id").alias("item"), "embedding"), "item", "embedding", chunk=80, most=12)

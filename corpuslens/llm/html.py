@@ -6,10 +6,18 @@ footer, sidebar, notice, advert, form, comments) are cut with all they hold.  A
 its whole name or the name's first or last word, unless it tells of a state (has-sidebar,
 comments-open, overflow-hidden); paragraphs and headings count by the whole name only.  An element
 that was marked only by class or as a form but holds most of the page's text around paragraphs (a form
-around a page) is not cut.  Every remaining block of text gives points for its length and commas to
-its container and, lessened by distance, to the containers above; a container's points are discounted
-by its link density.  The best container is kept whole, widened to the article or main element around
-it if there is one, together with siblings that score well or read like text and the page's heading.
+around a page) is not cut.  Names that say as much of layout or of a topic (text-widget, hidden-xs,
+share-price) cut only what does not read as text: an element with a long block and few links stays inside an
+article, and elsewhere if the elements of that name hold a third of the page's text.  Comments under
+any name are found by repetition: siblings of one kind after the first prose, that each open with a
+short name and hold a block, and that bear a date, a reply link or a container's name for talk.
+
+Every remaining block of text gives points for its length and commas to its container and, lessened by
+distance, to the containers above; a container's points are discounted by its link density.  The best
+container is kept whole, widened to the article or main element around it if there is one, together with
+siblings (of it, or of the wrappers that hold nothing else) that score well inside or read like text, other
+articles beside it at half its score or more, and the page's heading.  Of equal scores the later, inner container is
+the best one.
 
 Output: character references decoded, white space collapsed, blocks joined by one space.
 
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +52,10 @@ COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "rep
 ADVERT_WORDS = {"ad", "ads", "adsbygoogle", "advert", "advertisement", "sponsored", "promo", "cookie", "newsletter"}
 #: what related must be followed by, if by anything
 LISTED_WORDS = {"post", "posts", "article", "articles", "story", "stories", "link", "links", "content", "item", "items", "news", "reading", "topics", "list"}
+#: marking words that as often name a layout, alone; and the other marking words that are sure even before another word
+LAYOUT_WORDS = {"widget", "widgets"}
+SURE_WORDS = COMMENT_WORDS | ADVERT_WORDS | set("adbox adslot adverts advertising sponsor promotion cookies consent gdpr sidebar aside nav navbar breadcrumb breadcrumbs footer related recommended recommendations login popup pager pagination masthead".split())
+TALK_WORDS = {"discussion", "discussions", "thread", "threads", "conversation", "feedback", "reactions", "responses", "opinions", "talk"}
 #: words that make a name tell of a state, before the marking word and after it
 STATE_BEFORE = {"has", "no", "with", "without", "is", "not", "overflow", "show", "hide", "allow"}
 STATE_AFTER = {"open", "closed", "enabled", "disabled", "visible", "on", "off", "active"}
@@ -53,11 +66,18 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figure
 SCOPE = {"html", "body", "table", "td", "th", "ul", "ol", "dl", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "blockquote"}
 LEAF_BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dt", "dd", "figcaption", "blockquote"}
 LEVELS = 6  # how far up points are passed
+LONG = 60  # characters of a block that reads as text
+MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+DATED = re.compile(rf"<time\b|\b(?:\d+|an?) (?:second|minute|min|hour|day|week|month|year)s? ago\b|\b[0-2]?\d:[0-5]\d\b|\b\d{{1,2}}(?:st|nd|rd|th)?\.? {MONTH},? \d{{4}}|\b{MONTH} \d{{1,2}},? \d{{4}}|\b\d{{4}}-\d\d-\d\d\b|\b\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}\b", re.I)
+REPLY = re.compile(r">\s*(?:reply|antworten|répondre|responder|rispondi)\s*<", re.I)
+OPENING = re.compile(r"(?:\s*<(?!h[1-6]\b|/)[^>]*>){1,12}\s*([^<>\d]{1,40}?)\s*<")
+HOLDS = re.compile(r"<(?:p|div|blockquote|dd|section)\b", re.I)
+ITEMS = {"div", "li", "article", "section", "dd", "tr", "blockquote"}
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
 def _names(tag: str, value: str, in_article: bool) -> str:
-    """What a class or id makes of an element: "" (nothing), "mark" or "comment"."""
+    """What a class or id makes of an element: "" (nothing), "layout:" and the name, "mark" or "comment"."""
     out = ""
     for name in value.split():
         words = [x.lower() for x in WORD.findall(name)]
@@ -70,12 +90,14 @@ def _names(tag: str, value: str, in_article: bool) -> str:
             continue
         if COMMENT_WORDS & {words[0], words[-1]}:
             return "comment"
-        out = "mark"
+        sure = any(words[k] not in LAYOUT_WORDS and (k == len(words) - 1 or words[k] in SURE_WORDS) for k in marks)
+        out = "mark" if sure or out == "mark" else f"layout:{name}"
     return out
 
 
 def _cut(tag: str, raw: str, in_article: bool) -> str:
-    """"tag" or "comment" if an element is cut, "mark" if it is unless it holds the page, else ""."""
+    """"tag" or "comment" if an element is cut, "mark" if it is unless it holds the page, "layout:" and a name if it is unless it reads as
+    text, else ""."""
     if tag in CUT_TAGS or tag == "header" and not in_article:
         return "tag"
     out = "mark" if tag == "form" else ""
@@ -87,7 +109,8 @@ def _cut(tag: str, raw: str, in_article: bool) -> str:
             found = _names(tag, value, in_article)
             if found == "comment":
                 return found
-            out = out or found if tag != "article" else out
+            if tag != "article" and (not out or found == "mark"):
+                out = found or out
         elif name == "role" and value.lower() in CUT_ROLES - {"form"} or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return "tag"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -102,28 +125,34 @@ def main_text(page: str | None) -> str:
     tags, parent, last, block, kind, near, link, article = ["#"], [0], [0], [0], [""], [0], [False], [False]
     prose: set[int] = set()  # nearest nodes with a kind of cut around paragraphs
     chunks: list[tuple[int, str]] = []
+    begin, end_at, raw, first_prose = [0], [len(page)], [""], len(page)
     stack, at = [0], 0
 
-    def pop(to: int) -> None:
+    def pop(to: int, here: int) -> None:
         while len(stack) > to:
+            end_at[stack[-1]] = here
             last[stack.pop()] = len(tags) - 1
 
-    def text(value: str) -> None:
-        if value and kind[near[stack[-1]]] != "tag":
-            chunks.append((stack[-1], _html.unescape(value) if "&" in value else value))
+    def text(value: str, here: int) -> None:
+        nonlocal first_prose
+        top = stack[-1]
+        if value and kind[near[top]] != "tag":
+            if here < first_prose and len(value) >= LONG and not link[top] and not kind[near[top]] and len(value.strip()) >= LONG:
+                first_prose = here
+            chunks.append((top, _html.unescape(value) if "&" in value else value))
 
     while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
+        text(page[at : m.start()], at)
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+                text(m[0][9:-3], at)
             continue
         tag = m[2].lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] == tag:
-                    pop(k)
+                    pop(k, at)
                     break
                 if tag in INLINE and tags[stack[k]] not in INLINE or tag == "p" and tags[stack[k]] in SCOPE:
                     break
@@ -134,7 +163,7 @@ def main_text(page: str | None) -> str:
         if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] in closes:
-                    pop(k)
+                    pop(k, m.start())
                     break
                 if tags[stack[k]] in SCOPE:
                     break
@@ -143,6 +172,9 @@ def main_text(page: str | None) -> str:
         tags.append(tag)
         parent.append(up)
         last.append(len(tags) - 1)
+        begin.append(m.start())
+        end_at.append(at)
+        raw.append(m[3])
         node = len(tags) - 1
         block.append(block[up] if tag in INLINE else node)
         kind.append("tag" if kind[near[up]] == "tag" else _cut(tag, m[3], article[up]))
@@ -158,14 +190,16 @@ def main_text(page: str | None) -> str:
         stack.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            text(page[at : end.start()] if end else page[at:])
+            text(page[at : end.start()] if end else page[at:], at)
             at = end.end() if end else len(page)
-            pop(len(stack) - 1)
-    text(page[at:])
-    pop(0)
+            pop(len(stack) - 1, at)
+    text(page[at:], at)
+    pop(0, len(page))
 
     n = len(tags)
-    cut = _cuts(parent, kind, near, prose, chunks)
+    for node in _talk(page, tags, parent, begin, end_at, raw, article, first_prose):
+        kind[node] = "tag"
+    cut = _cuts(parent, kind, near, prose, chunks, block, link, article)
     chunks = [(node, value) for node, value in chunks if not cut[node]]
     chars, linked, commas = [0] * n, [0] * n, [0] * n
     for node, value in chunks:
@@ -208,16 +242,24 @@ def main_text(page: str | None) -> str:
                 break
         k = parent[k]
     kept = [(home, last[home])]
+    inner = final[:]  # the best score inside
+    for k in range(n - 1, 0, -1):
+        inner[parent[k]] = max(inner[parent[k]], inner[k])
+    outer = home  # the outermost wrapper that holds nothing else
+    while outer and parent[outer] and total[last[parent[outer]] + 1] - total[parent[outer]] == total[last[outer] + 1] - total[outer]:
+        outer = parent[outer]
     heads = [k for k in range(n) if tags[k] == "h1" and not cut[k]]
     if len(heads) == 1 and heads[0] < home and last[heads[0]] < home:
         kept.append((heads[0], last[heads[0]]))
-    if tags[home] not in ("article", "main"):
-        least = 0.2 * final[best]
+    if tags[home] != "main":
+        one = tags[home] == "article"
+        least = (0.5 if one else 0.2) * final[best]
         for s in range(1, n):
-            if s != home and parent[s] == parent[home] and not cut[s] and home:
+            if s != outer and parent[s] == parent[outer] and not cut[s] and outer:
                 size = total[last[s] + 1] - total[s]
                 reads = tags[s] in LEAF_BLOCKS and size and density(s) < 0.25
-                if (final[s] >= least or reads) and s not in heads[:1]:
+                scores = inner[s] >= least and (final[s] >= least or density(s) < 0.25)
+                if (scores and tags[s] == "article" if one else scores or reads) and s not in heads[:1]:
                     kept.append((s, last[s]))
     kept.sort()
     out, spot = [], 0
@@ -231,19 +273,88 @@ def main_text(page: str | None) -> str:
     return " ".join("".join(out).split())
 
 
-def _cuts(parent: list[int], kind: list[str], near: list[int], prose: set[int], chunks: list[tuple[int, str]]) -> list[bool]:
-    """Which nodes are cut: all that have a kind or lie in one that has, but for a mark that holds the page."""
+def _talk(page: str, tags: list[str], parent: list[int], begin: list[int], end: list[int], raw: list[str], article: list[bool], first_prose: int) -> list[int]:
+    """Nodes of readers' comments: repeated siblings after the first prose of the page, or what holds little beside them."""
+    found: dict[re.Pattern, list[int]] = {}  # the page is searched once, and only if an element asks
+
+    def has(what: re.Pattern, k: int) -> bool:
+        if what not in found:
+            found[what] = [m.start() for m in what.finditer(page)]
+        return bisect_left(found[what], begin[k]) < bisect_left(found[what], end[k])
+
+    def opens(k: int) -> bool:
+        return bool(OPENING.match(page, begin[k], end[k]) and HOLDS.search(page, begin[k] + 1, end[k]))
+
+    def shape(k: int) -> tuple[int, str, str]:
+        names = re.search(r"""\bclass\s*=\s*["']?\s*([^\s"'>]*)""", raw[k]) if raw[k] else None
+        return parent[k], tags[k], names[1] if names else ""
+
+    alike: dict[tuple[int, str, str], list[int]] = {}
+    for k in range(1, len(tags)):
+        if tags[k] in ITEMS and begin[k] > first_prose:
+            alike.setdefault(shape(k), []).append(k)
+    out = []
+    for (up, _, _), items in alike.items():
+        named = bool(raw[up]) and any(TALK_WORDS & {x.lower() for x in WORD.findall(a or b or c)} for name, a, b, c in ATTRIBUTE.findall(raw[up]) if name.lower() in ("class", "id"))
+        if len(items) < 2 and not named:
+            continue
+        # in an article a date is not enough: entries of a running report bear one too
+        told = [k for k in items if (named or not article[up]) and opens(k) and (named or has(DATED, k)) or has(REPLY, k)]
+        if len(told) < 0.8 * len(items):
+            continue
+        held = begin[up] > first_prose and sum(end[k] - begin[k] for k in items) > 0.6 * (end[up] - begin[up])
+        if held or named and begin[up] > first_prose:
+            out.append(up)
+            continue
+        out += items
+        before = [k for k in range(up + 1, items[0]) if parent[k] == up]
+        if before and re.fullmatch("h[1-6]", tags[before[-1]]) and begin[before[-1]] > first_prose:
+            out.append(before[-1])
+    return out
+
+
+def _cuts(parent: list[int], kind: list[str], near: list[int], prose: set[int], chunks: list[tuple[int, str]], block: list[int], link: list[bool], article: list[bool]) -> list[bool]:
+    """Which nodes are cut: all that have a kind or lie in one that has, but for layout that reads as text and a mark that holds the page."""
     own: dict[int, int] = {0: 0}
+    linked: dict[int, int] = {}
+    longest: dict[int, int] = {}
+    blocks: dict[int, int] = {}
     for node, value in chunks:
-        own[near[node]] = own.get(near[node], 0) + len(value.strip())
+        size, s = len(value.strip()), near[node]
+        own[s] = own.get(s, 0) + size
+        if link[node]:
+            linked[s] = linked.get(s, 0) + size
+        elif size:
+            b = block[node]
+            blocks[b] = blocks.get(b, 0) + size
+            longest[s] = max(longest.get(s, 0), blocks[b])
     spared = set()
+    by_name: dict[str, list[int]] = {}
+    for s in own:
+        if kind[s].startswith("layout:"):
+            by_name.setdefault(kind[s], []).append(s)
+    whole = sum(own[s] for s in own if not kind[s] or kind[s].startswith("layout:"))
+    for same in by_name.values():
+        text, links = sum(own[s] for s in same), sum(linked.get(s, 0) for s in same)
+        holds = text >= whole / 3 and links < 0.3 * text and max(longest.get(s, 0) for s in same) >= LONG
+        for s in same:
+            dense = linked.get(s, 0) >= 0.3 * own[s]
+            if own[s] and not dense and (holds or article[s] and longest.get(s, 0) >= LONG):
+                spared.add(s)
+    if spared:
+        for s in list(own):
+            to = s
+            while to in spared:
+                to = near[parent[to]]
+            if to != s:
+                own[to] = own.get(to, 0) + own[s]
     most = max((s for s in own if kind[s] == "mark" and s in prose), key=lambda s: (own[s], -s), default=0)
     if most and own[most] > 2 * own[0]:
         way, s = {most}, near[parent[most]]
-        while s and kind[s] == "mark":
+        while s and (kind[s] == "mark" or s in spared):
             way.add(s)
             s = near[parent[s]]
-        spared = way if not s else set()
+        spared |= way if not s else set()
     cut = [False]
     for k in range(1, len(parent)):
         cut.append(cut[parent[k]] or bool(kind[k]) and k not in spared)
@@ -251,8 +362,6 @@ def _cuts(parent: list[int], kind: list[str], near: list[int], prose: set[int],
 
 
 def _inside(spans: list[tuple[int, int]], node: int) -> bool:
-    from bisect import bisect_right
-
     k = bisect_right(spans, (node, 1 << 60)) - 1
     return k >= 0 and node <= spans[k][1]
 

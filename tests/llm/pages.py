@@ -50,6 +50,23 @@ PAGES = {
     "nested_divs": f"<div><div><div><div><div><p>[[{A}]]</p></div><div><p>[[{B}]]</p></div><div><p>[[{C}]]</p></div></div></div></div><div class=footer-links>{MENU}</div></div>",
     "definition_list": f"<article><p>[[{A}]]</p><dl><dt>[[Cable]]<dd>[[What holds the deck, mostly.]]<dt>[[Deck]]<dd>[[What you drive on.]]</dl></article>",
     "data_table": f"<article><p>[[{A}]]</p><table><tr><th>[[Year]]</th><th>[[Cost]]</th></tr><tr><td>[[1931]]</td><td>[[12]]</td></tr></table><p>[[{B}]]</p></article>",
+    "page_builder": f"<body><div class=menu>{MENU}</div><div class='elementor-element elementor-widget'><h2>[[What was decided]]</h2></div><div class='elementor-element elementor-widget'><p>[[{A}]] [[{B}]]</p></div><div class='elementor-element elementor-widget'><p>[[{C}]] [[{E}]]</p></div></body>",
+    "widget_in_main": f"<main><div class='text-widget'><p>[[{A}]]</p></div><p>[[{B}]]</p><div class=widget><ul><li><a href=/1>Storm closes the harbour road</a></li></ul></div></main>",
+    "widgets_beside": f"<div class=post>{P}<p>[[{E}]]</p></div><div class=widget><p>This paper has told the valley's news, good and bad, since 1931.</p></div>",
+    "hidden_on_phones": f"<article><p>[[{A}]]</p><div class=hidden-xs><p>[[{B}]]</p></div><div class=hidden><p>An unused text, long enough, it seems, to be read as one by a machine.</p></div></article>",
+    "share_price": f"<article><p>[[{A}]]</p><div class=share-price><p>[[{B}]]</p></div><div class=share-links><a href=/s>Share this</a></div></article>",
+    "topic_names": f"<main><section class=navigation-systems><p>[[{A}]]</p></section><section id=banner-year><p>[[{B}]]</p></section></main>",
+    "table_rows": f"<table class=layout><tr><td><p>[[{A}]] [[{B}]]</p></td></tr><tr><td><p>[[{C}]] [[{E}]]</p></td></tr></table>",
+    "grid_rows": f"<div class=grid><div class=row><div class=col><p>[[{A}]] [[{B}]]</p></div></div><div class=row><div class=col><p>[[{C}]] [[{E}]]</p></div></div></div>",
+    "two_articles": f"<div class=posts><article><p>[[{A}]] [[{B}]]</p></article><article><p>[[{C}]] [[{E}]]</p></article></div>",
+    "article_and_teasers": f"<div><article>{P}<p>[[{E}]]</p></article><article><h3><a href=/1>Storm</a></h3><p>The ferry stays in port.</p></article></div>",
+    "discussion": f"<div class=post>{P}</div><div class=discussion><h3>8 thoughts</h3>" + "".join(f"<div><b>{n}</b> <span>3 May 2021</span>{COMMENTS}</div>" for n in ("Ann", "Bo", "Cy", "Di")) + "</div>",
+    "thread": f"<article>{P}</article><ol class=thread>" + "".join(f"<li><strong>{n}</strong><p>I drive over it every day, and frankly, it shakes, it rattles, and nobody listens.</p></li>" for n in ("Ann", "Bo", "Cy")) + "</ol>",
+    "unnamed_comments": f"<div id=c><div class=t>{P}</div><div class=x>" + "".join(f"<div class=y><a href=/u>{n}</a><time>2 hours ago</time><p>I drive over it every day, and frankly, it shakes, it rattles, and nobody listens.</p></div>" for n in ("Ann", "Bo", "Cy")) + "</div></div>",
+    "reply_links": f"<main><p>[[{A}]]</p><p>[[{B}]]</p><h4>Readers</h4>" + "".join(f"<div class=y><p>{n}: I drive over it every day, and frankly, it shakes, it rattles.</p><a href=#>Reply</a></div>" for n in ("Ann", "Bo")) + "</main>",
+    "running_report": f"<article><p>[[{A}]]</p><div class=e><b>[[Vote]]</b> <time>[[10:31]]</time><p>[[{B}]]</p></div><div class=e><b>[[Debate]]</b> <time>[[09:12]]</time><p>[[{C}]]</p></div></article>",
+    "interview": f"<div class=story><p>[[{A}]]</p><div><b>[[Mayor]]</b><p>[[{B}]]</p></div><div><b>[[Post]]</b><p>[[{C}]]</p></div></div>",
+    "timeline": f"<div class=story><p>[[{A}]]</p><ul><li><b>[[March]]</b> [[3 March 1931, the cables are laid.]]</li><li><b>[[May]]</b> [[1 May 1990, the deck is renewed, at last.]]</li></ul><p>[[{B}]]</p></div>",
     "cjk": "<div class=menu><a href=/>首页</a></div><div class=content><p>[[议会周二开会，经过四个小时的辩论，以微弱多数投票决定冬季保持大桥开放。]]</p><p>[[工程师警告说，旧缆绳需要经常检查，但是完全关闭会使山谷与外界隔绝。]]</p></div>",
 }
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, pieces, spans, trimmed, words_of
+from .common import durable, join_counted, mix64, pieces, spans, trimmed, words_of
 
 BUCKET_ROWS = 4096
 BROADCAST_SOURCES = 10_000
@@ -250,9 +250,14 @@ def _mix(docs: DataFrame, weights: Callable[[int], Sequence[float]], share: floa
     rows = sorted(((r[0], r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     shards = shards or shards_of(share * sum(r[1] or 0 for r in rows), len(rows))
     plan = _plan(rows, weights, share, max_passes, block_words, shards, seed)
-    known = spark.createDataFrame([(r[0], i, int(r[1]), float(plan["target"][i]), r[2] // BUCKET_ROWS + 1) for i, r in enumerate(rows)], "source string, s int, source_size long, target double, buckets long")
-    side = F.broadcast(known) if len(rows) <= BROADCAST_SOURCES else known
-    sized = sized.join(side.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("bucket", F.pmod("h", "buckets"))
+    known = spark.createDataFrame([(r[0], i, int(r[1]), float(plan["target"][i]), r[2] // BUCKET_ROWS + 1, r[2]) for i, r in enumerate(rows)], "source string, s int, source_size long, target double, buckets long, _n long")
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null is a source too
+    sized, known = sized.withColumn("_s", named), known.withColumn("_s", named).drop("source")
+    if len(rows) <= BROADCAST_SOURCES:
+        sized = sized.join(F.broadcast(known.drop("_n")), "_s")
+    else:
+        sized = join_counted(sized, known, "_s", "_n", sum(r[2] for r in rows))
+    sized = sized.drop("_s").withColumn("bucket", F.pmod("h", "buckets"))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sized.groupBy("s", "bucket").agg(F.sum("size").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

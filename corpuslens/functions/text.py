@@ -18,6 +18,15 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+#: the space separators of Unicode (category Zs)
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trim(x: Column | str) -> Column:
+    """x without space separators at its ends (no-break and ideographic ones too; tabs and line ends stay)."""
+    return F.trim(_c(x), F.lit(SPACES))
+
+
 def effective_text(*candidates: Column | str) -> Column:
     """The first candidate that is neither null nor empty, else ''."""
     return F.coalesce(*(F.nullif(_c(c), F.lit("")) for c in candidates), F.lit(""))
@@ -91,7 +100,7 @@ def phrase_starts(words: str, phrases: Sequence[str]) -> Column:
 
 
 def paragraphs(x: Column | str, least: int = 30) -> Column:
-    return F.filter(F.transform(F.split(_c(x), "\n"), F.trim), lambda p: F.length(p) > least)
+    return F.filter(F.transform(F.split(_c(x), "\n"), trim), lambda p: F.length(p) > least)
 
 
 def sentences(x: Column | str) -> Column:

@@ -18,7 +18,7 @@ def actor_vocabulary(docs: DataFrame, actors: dict[str, Sequence[str]], sanitizi
     the tokens within window places before and window - 1 after it; tokens near several mentions count for each; a term of both
     lexicons is sanitizing.  All inside a row: no shuffle.  A token is looked up in the lexicons once."""
     sanitizing, condemnatory = [t.lower() for t in sanitizing], [t.lower() for t in condemnatory]
-    kept = docs.where(F.length(F.trim("text")) >= least)
+    kept = docs.where(F.length(X.trim("text")) >= least)
     rows = X.computed_once(kept.select("doc_id", "source", "text"), tokens=X.tokens("text")).drop("text")
     rows = X.computed_once(rows, terms=F.transform("tokens", lambda w: F.when(w.isin(*sanitizing, *condemnatory), w)))
     near = lambda i: F.filter(F.slice("terms", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)) + window), lambda w: w.isNotNull())
@@ -122,12 +122,12 @@ def concessive_constructions(text: Column | str, markers: Sequence[str] = CONCES
             rest = F.substr(s, at + size)
             comma = F.instr(rest, ",")
             if m in leading:
-                found = F.when(comma > 6, F.struct(F.lit(m).alias("pattern"), F.trim(F.left(rest, comma - 1)).alias("subordinated"), F.trim(F.substr(rest, comma + 1)).alias("main")))
+                found = F.when(comma > 6, F.struct(F.lit(m).alias("pattern"), X.trim(F.left(rest, comma - 1)).alias("subordinated"), X.trim(F.substr(rest, comma + 1)).alias("main")))
             elif m in turning:
-                found = F.struct(F.lit(m).alias("pattern"), F.rtrim(F.trim(F.left(s, at - 1)), F.lit(",")).alias("subordinated"), F.trim(F.ltrim(F.trim(rest), F.lit(","))).alias("main"))
+                found = F.struct(F.lit(m).alias("pattern"), F.rtrim(X.trim(F.left(s, at - 1)), F.lit(",")).alias("subordinated"), X.trim(F.ltrim(X.trim(rest), F.lit(","))).alias("main"))
             elif m in joining:
                 spot = F.instr(low, f" {m} ")
-                found = F.when(spot > 1, F.struct(F.lit(m).alias("pattern"), F.trim(F.left(s, spot - 1)).alias("subordinated"), F.trim(F.substr(s, spot + size + 1)).alias("main")))
+                found = F.when(spot > 1, F.struct(F.lit(m).alias("pattern"), X.trim(F.left(s, spot - 1)).alias("subordinated"), X.trim(F.substr(s, spot + size + 1)).alias("main")))
             else:
                 found = F.lit(None)
             out = F.when(at > 0, found).otherwise(out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as X
 from corpuslens.functions.vectors import cosine
 from corpuslens.operators import aggregates as A
 from corpuslens.operators import relational as R
@@ -122,7 +123,7 @@ def guarded_ratio(t):  # A27 M6f
 
 @query("select count(distinct nullif(trim(lang), '')) languages, count(distinct nullif(trim(source), '')) sources, count(*) documents from documents")
 def corpus_distincts(t):  # A28
-    return t.documents.agg(F.count_distinct(F.nullif(F.trim("lang"), F.lit(""))).alias("languages"), F.count_distinct(F.nullif(F.trim("source"), F.lit(""))).alias("sources"), F.count("*").alias("documents"))
+    return t.documents.agg(F.count_distinct(F.nullif(X.trim("lang"), F.lit(""))).alias("languages"), F.count_distinct(F.nullif(X.trim("source"), F.lit(""))).alias("sources"), F.count("*").alias("documents"))
 
 
 @query("select 'orders' name, count(*) n from orders union all select 'customer', count(*) from customer union all select 'documents', count(*) from documents union all select 'labels', count(*) from labels union all select 'events', count(*) from events")
@@ -161,7 +162,8 @@ _LABEL_STOP = ", ".join(f"'{w}'" for w in A.LABEL_STOP)
 @query(rf"""with d as (select source, doc_id, coalesce(lang, '??') l, coalesce(text, '') t, row_number() over (partition by source order by doc_id) k from documents where source is not null),
  g as (select source, l, count(*) n, min(doc_id) f from d group by all), gl as (select source, string_agg(l || '=' || n, ',' order by n desc, f, l) langs from (select *, row_number() over (partition by source order by n desc, f, l) r from g) where r <= 5 group by 1),
  w as (select source, k, list_transform(list_filter(regexp_split_to_array(lower(left(t, 200)), '[ 	
-]+'), lambda x: length(x) >= 4), lambda x: trim(x, '.,;:!?"''()[]{{}}|*$%&#')) w from d where k <= 10),
+
+]+'), lambda x: length(x) >= 4), lambda x: trim(x, '.,;:!?"''()[]{{}}|*$%&#')) w from d where k <= 10),
  x as (select source, k, unnest(w) w, generate_subscripts(w, 1) i from w), xc as (select source, w, count(*) n, min(k * 4294967296 + i) f from x where w <> '' and w not in ({_LABEL_STOP}) group by all),
  kw as (select source, string_agg(w, ',' order by n desc, f) keywords from (select *, row_number() over (partition by source order by n desc, f) r from xc) where r <= 5 group by 1)
  select source, count(*) size, round(count(*) / (select count(*) from documents), 6) share, any_value(langs) languages, coalesce(any_value(keywords), '') keywords, left(min(t) filter (k = 1), 100) representative from d join gl using (source) left join kw using (source) group by 1""")

@@ -99,6 +99,15 @@ def phrase_starts(words: str, phrases: Sequence[str]) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(begins(w, i), i)), lambda i: i.isNotNull())
 
 
+#: a run of the digits 0-9 with no ASCII letter, digit or underscore beside it
+NUMBER = r"(?<![0-9A-Za-z_])[0-9]+(?![0-9A-Za-z_])"
+
+
+def number_count(x: Column | str) -> Column:
+    """How many numbers x holds.  Borders are those of ASCII words, so letters such as é and marks may touch a number."""
+    return F.regexp_count(_c(x), F.lit(NUMBER))
+
+
 def paragraphs(x: Column | str, least: int = 30) -> Column:
     return F.filter(F.transform(F.split(_c(x), "\n"), trim), lambda p: F.length(p) > least)
 

@@ -70,8 +70,8 @@ def sentence_features(docs: DataFrame, sides: tuple[Sequence[str], Sequence[str]
     looked at once, and the sums are taken inside the row: no shuffle."""
 
     def look(s: Column) -> Column:
-        has = lambda terms: s.rlike(r"(^|[ \n,;:])(" + "|".join(terms) + r")([ \n,;:.!?]|$)")
-        number = F.regexp_count(s, F.lit(r"\b[0-9]+\b"))
+        has = lambda terms: s.rlike(r"(^|[ \n,;:])(" + "|".join(terms) + r")([ \n,;:.!?]|\z)")
+        number = X.number_count(s)
         hedged = F.size(F.filter(X.words(s), lambda w: w.isin(*hedges)))
         return F.struct(has(attribution).alias("att"), has(passive).alias("pas"), has(concessive).alias("con"), has(sides[0]).alias("a"), has(sides[1]).alias("b"), number.alias("num"), (number - hedged).alias("sure"))
 

@@ -34,3 +34,8 @@ def same(spark, sf, name):
 @pytest.mark.parametrize("name", ["elaboration_ratio", "min_length_and_title", "first_nonblank_tier", "corpus_distincts", "actor_vocabulary_scores", "concessive_constructions"])
 def test_all_space_separators_are_trimmed(spark, sf, name):
     same(spark, sf, name)
+
+
+@pytest.mark.parametrize("name", ["text_counts", "sentence_asymmetry"])
+def test_numbers_end_at_ascii_words(spark, sf, name):
+    same(spark, sf, name)

@@ -175,12 +175,17 @@ def duration_seconds(x: Column | str) -> Column:
     return F.when(n == 3, get(0) * 3600 + get(1) * 60 + get(2)).when(n == 2, get(0) * 60 + get(1)).when(n == 1, get(0))
 
 
+def dated(x: Column | str, pattern: str) -> Column:
+    """A date in a pattern that begins with the year; years beyond 9999 have no sign."""
+    return F.ltrim(F.date_format(_c(x), pattern), F.lit("+"))
+
+
 def epoch_date(x: Column | str) -> Column:
-    return F.date_format(F.timestamp_seconds(_c(x)), "yyyy-MM-dd")
+    return dated(F.timestamp_seconds(_c(x)), "yyyy-MM-dd")
 
 
 def day_bounds(d: Column | str) -> tuple[Column, Column]:
-    day = F.date_format(_c(d), "yyyyMMdd")
+    day = dated(d, "yyyyMMdd")
     return F.concat(day, F.lit("000000")), F.concat(day, F.lit("235959"))
 
 

@@ -39,3 +39,12 @@ def test_all_space_separators_are_trimmed(spark, sf, name):
 @pytest.mark.parametrize("name", ["text_counts", "sentence_asymmetry"])
 def test_numbers_end_at_ascii_words(spark, sf, name):
     same(spark, sf, name)
+
+
+def test_years_beyond_9999_have_no_sign(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"copy (select r::bigint event_id, timestamp '2024-01-05 01:02:03' + to_days((r // 2)::int) ts from (select unnest([0, 1, 2, 3, 2913221, 2913222, 2913223, 5999999, 35999999]) r)) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.execute(oracle_sql()["epoch_duration_bounds"])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, queries()["epoch_duration_bounds"](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())

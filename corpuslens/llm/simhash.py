@@ -15,11 +15,13 @@ of a group's links, the nearest ones, is emitted (the links decide by themselves
 A similarity of word shingles (Jaccard) asks for a wide radius: d is the distance that wide
 fingerprints of so similar texts have, and SLACK standard deviations.  No exact choice of blocks is
 small there, so nodes are looked up under samples of bits, as many as find a pair at distance d with
-probability FOUND (nearer pairs with more), and decided in the same way.  Links are then verified by
-the texts' shingle sets.  A link of the forest may fail there and part what it tied, so a group also
-emits the links of every node to its NEAREST nearest nodes: in a group of up to NEAREST + 1 close
-nodes all its links are verified, in a larger one each node has as many ways out as NEAREST, and in one of more than SMALL_GROUP nodes
-NEAREST_OF_MANY under every sample.
+probability FOUND (nearer pairs with more), and decided in the same way.  Pairs whose sizes and shingle
+parities (MARKS) show that they cannot have the similarity go too, which loses none that has it.  The
+links are then verified by the texts' shingle sets.  A link of the forest may fail there and part what it
+tied, so a second pass over the same groups emits every other link between nodes that the verified links
+leave apart, each once, and verifies those too: no pair that meets is left out, however large its group.
+Only nodes with a link in the first pass take part in the second; its links are as many as there are
+close pairs that are not similar, beside few that are.
 
 Hot groups (more than GROUP_ROWS nodes) are dealt into chunks by hash and every two chunks meet in
 a task of their own, exactly; a task walks its nodes breadth-first, comparing each only with nodes
@@ -48,14 +50,14 @@ from .components import connected_components
 PIECE_BYTES = 2 << 20
 GROUP_ROWS = 4096
 SMALL_GROUP = 512
+ROWS_AT_ONCE = 64
 PIVOTS = 32
 MEAN_GROUP = 128
+KEY_BITS = 40
 FINGERPRINT_DOCS = 256
 WIDE_WORDS = 4
 SLACK = 1.5
-NEAREST = 8
-NEAREST_OF_MANY = 2
-STEPS = 64
+MARKS = ["size", "p0", "p1"]  # distinct shingles, and 128 parities of how many of them have a hash
 FOUND = 0.99
 
 
@@ -115,9 +117,25 @@ def wide_fingerprints(texts: pa.Array, shingle: int = 5, seed: int = 42) -> np.n
     return out
 
 
+def shingle_marks(texts: pa.Array, shingle: int, seed: int = 42) -> list[np.ndarray]:
+    """MARKS of every text.  Every shingle that only one of two texts has turns one parity, so parities differ in no more places."""
+    doc, key = shingle_sets(texts, shingle, seed)
+    size = np.bincount(doc, minlength=len(texts))
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
+    place, out = mix64(key ^ np.uint64(0x5A5A)) >> np.uint64(57), [size]
+    for half in (0, 1):
+        bit = np.where(place >> np.uint64(6) == half, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
+        parity = np.zeros(len(texts), np.uint64)
+        if len(first):
+            parity[doc[first]] = np.bitwise_xor.reduceat(bit, first)
+        out.append(parity)
+    return out
+
+
 def fingerprint_table(docs: DataFrame, *, shingle: int, seed: int = 42, wide: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, the columns of keep (longs) and the fingerprint as signed numbers f0, f1, ... with node, one number for all of them."""
-    n = WIDE_WORDS if wide else 1
+    """doc_id, the columns of keep (longs) and the fingerprint as signed numbers f0, f1, ... with node, one number for all of them; if
+    wide also MARKS."""
+    n, marks = (WIDE_WORDS, MARKS) if wide else (1, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +144,10 @@ def fingerprint_table(docs: DataFrame, *, shingle: int, seed: int = 42, wide: bo
                 node = fp[:, 0].copy()
                 for k in range(1, n):
                     node = mix64(node) ^ fp[:, k]
-                columns = [node, *fp.T]
-                yield pa.RecordBatch.from_arrays([p.column("doc_id"), *(p.column(k) for k in keep), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=["doc_id", *keep, "node", *(f"f{k}" for k in range(n))])
+                columns = [node, *fp.T, *(shingle_marks(p.column("text"), shingle, seed) if wide else [])]
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), *(p.column(k) for k in keep), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=["doc_id", *keep, "node", *(f"f{k}" for k in range(n)), *marks])
 
-    kinds = ", ".join(["doc_id long", *(f"`{k}` long" for k in keep), "node long", *(f"f{k} long" for k in range(n))])
+    kinds = ", ".join(["doc_id long", *(f"`{k}` long" for k in keep), "node long", *(f"f{k} long" for k in range(n)), *(f"{k} long" for k in marks)])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(trimmed(run), kinds)
 
 
@@ -158,8 +176,18 @@ def bit_samples(n: int, bits: int, seed: int = 42) -> list[np.ndarray]:
     return [np.sort(rng.choice(64 * WIDE_WORDS, size, replace=False)) for _ in range(ceil(log(1 - FOUND) / log(1 - meet)) if meet < 1 else 1)]
 
 
-def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs i, j those that differ in at most bits bits, and in how many: pivot by pivot, then verified word by word."""
+def may_have(marks: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs i, j of marks (nodes, MARKS) can have the similarity.  Sets of sizes m and n that have it differ in at most
+    (m + n) (1 - similarity) / (1 + similarity) members."""
+    m, n = marks[i, 0].astype(np.int64), marks[j, 0].astype(np.int64)
+    apart = np.abs(m - n)
+    parities = np.bitwise_count(marks[i, 1:] ^ marks[j, 1:]).sum(axis=1, dtype=np.int64)
+    return np.maximum(apart, parities) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int, marks: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs i, j those that differ in at most bits bits and, with marks, may have the similarity, and in how many bits: pivot by
+    pivot, then verified word by word."""
     for p in range(table.shape[1]):
         near = np.abs(table[i, p] - table[j, p]) <= bits
         i, j = i[near], j[near]
@@ -168,26 +196,37 @@ def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits
         far += np.bitwise_count(fp[i, k] ^ fp[j, k])
         near = far <= bits
         i, j, far = i[near], j[near], far[near]
+    if marks is not None:
+        near = may_have(marks, i, j, similarity)
+        i, j, far = i[near], j[near], far[near]
     return i, j, far
 
 
-def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """fp: (nodes,) or (nodes, words), pivots alike.  Links (positions) that connect the nodes of each group as its close pairs do, and
-    those to every node's nearest nodes, as many as nearest says (in a group over SMALL_GROUP, NEAREST_OF_MANY of those within STEPS
-    rows, which are others under every sample of bits); groups are runs of equal numbers."""
-    fp, pivots = fp.reshape(len(fp), -1), pivots.reshape(len(pivots), -1)
-    table = np.bitwise_count(fp[:, None, :] ^ pivots[None, :, :]).sum(axis=2, dtype=np.int16)
+def _distances(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[:, None, :] ^ pivots[None, :, :]).sum(axis=2, dtype=np.int16)
+
+
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers begin, and their sizes."""
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(group)]]))
+    return begin, np.diff(np.concatenate([begin, [len(group)]]))
+
+
+def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, nearest: int = 0, marks: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """fp: (nodes,) or (nodes, words), pivots alike.  Links (positions) that connect the nodes of each group as its close pairs do (with
+    marks, as those that may have the similarity do), and in groups up to SMALL_GROUP those to every node's nearest nodes, as many as
+    nearest says; groups are runs of equal numbers."""
+    fp, pivots = fp.reshape(len(fp), -1), pivots.reshape(len(pivots), -1)
+    table = _distances(fp, pivots)
+    begin, size = _runs(group)
     left, right, far = [], [], []
     small = np.repeat(np.where(size <= SMALL_GROUP, size, 0), size)
     place = np.arange(len(group)) - np.repeat(begin, size)
-    all_ = np.repeat(size, size)
     for d in range(1, SMALL_GROUP):
-        i = np.flatnonzero(place + d < (all_ if nearest and d < STEPS else small))
+        i = np.flatnonzero(place + d < small)
         if not len(i):
             break
-        i, j, x = _close(fp, table, i, i + d, bits)
+        i, j, x = _close(fp, table, i, i + d, bits, marks, similarity)
         left.append(i)
         right.append(j)
         far.append(x)
@@ -197,7 +236,7 @@ def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, near
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 q = queue.pop()
-                _, hit, x = _close(fp, table, np.full(len(rest), q), rest, bits)
+                _, hit, x = _close(fp, table, np.full(len(rest), q), rest, bits, marks, similarity)
                 if len(hit):
                     left.append(np.full(len(hit), q))
                     right.append(hit)
@@ -213,11 +252,29 @@ def links(group: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, near
         end, link = np.concatenate([i, j]), np.concatenate([np.arange(len(i))] * 2)
         order = np.lexsort((link, far[link], end))
         nth = np.arange(len(order)) - np.searchsorted(end[order], end[order])
-        most = np.where(all_[end[order]] <= SMALL_GROUP, nearest, min(nearest, NEAREST_OF_MANY))
-        kept = np.union1d(kept, link[order[nth < most]])
+        kept = np.union1d(kept, link[order[nth < nearest]])
     return i[kept], j[kept]
 
 
+def open_pairs(group: np.ndarray, label: np.ndarray, fp: np.ndarray, pivots: np.ndarray, bits: int, marks: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All close pairs (positions) of each group that may have the similarity and whose labels differ; groups are runs of equal numbers."""
+    table = _distances(fp, pivots)
+    begin, size = _runs(group)
+    small = np.repeat(np.where(size <= SMALL_GROUP, size, 0), size)
+    place = np.arange(len(group)) - np.repeat(begin, size)
+    for d in range(1, SMALL_GROUP):
+        i = np.flatnonzero(place + d < small)
+        if not len(i):
+            break
+        i = i[label[i] != label[i + d]]
+        yield _close(fp, table, i, i + d, bits, marks, similarity)[:2]
+    for b, n in zip(begin[size > SMALL_GROUP], size[size > SMALL_GROUP], strict=True):
+        for k in range(b, b + n, ROWS_AT_ONCE):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(k, min(k + ROWS_AT_ONCE, b + n)), np.arange(k, b + n), indexing="ij"))
+            apart = (i < j) & (label[i] != label[j])
+            yield _close(fp, table, i[apart], j[apart], bits, marks, similarity)[:2]
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Those of the links i, j of n nodes that connect what all of them connect by the nearest links (every part takes its nearest
     link out, part by part, until none is left)."""
@@ -242,67 +299,111 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray
         root = up[root]
 
 
-def near_links(nodes: DataFrame, *, bits: int = 4) -> DataFrame:
-    """(u, v): links between nodes (node, f0, ...) that leave no close pair unconnected; of wide fingerprints, as many as FOUND says, and
-    with every node's nearest in each group, as their links have still to be verified."""
-    names = [c for c in nodes.columns if c != "node"]
-    count, wide = nodes.count(), len(names) > 1
-    few = PIVOTS // WIDE_WORDS if wide else PIVOTS  # pivots discard little at a wide radius
-    pivots = np.array([list(r) for r in nodes.select(*names).orderBy(F.xxhash64("node"), "node").limit(few).collect()], np.int64).reshape(-1, len(names)).view(np.uint64)
-    samples = bit_samples(count, bits) if wide else []
+def _groups(nodes: DataFrame, bits: int, count: int) -> tuple[DataFrame, list[str]]:
+    """The nodes (node, f0, ... and other longs) under every choice of blocks or sample of bits for count nodes, sorted by group, and the
+    columns that tell a group.  Of wide fingerprints the sample's number is held above KEY_BITS of key.  meet tells which two chunks of a hot group meet, and
+    which of them is the node's own: (lesser << 32 | greater) << 1 | own is the greater."""
+    names, carried = [c for c in nodes.columns if c[0] == "f" and c[1:].isdigit()], nodes.columns
+    if len(names) > 1:
+        samples = bit_samples(count, bits)
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.stack([b.column(k).to_numpy() for k in names], axis=1)
-            set_ = np.unpackbits(fp.astype("<i8").view(np.uint8), axis=1, bitorder="little")
-            for t, places in enumerate(samples):
-                key = set_[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *(b.column(k) for k in ("node", *names))], names=["t", "key", "node", *names])
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fp = np.stack([b.column(k).to_numpy() for k in names], axis=1)
+                set_ = np.unpackbits(fp.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+                for t, places in enumerate(samples):
+                    key = set_[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places))) + (np.int64(t) << KEY_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", *carried])
 
-    if wide:
-        keyed = nodes.mapInArrow(trimmed(looked_up), ", ".join(["t int", "key long", "node long", *(f"{k} long" for k in names)]))
+        keyed, by = nodes.mapInArrow(trimmed(looked_up), ", ".join(["key long", *(f"{k} long" for k in carried)])), ["key"]
     else:
         masks = block_masks(count, bits)
-        keyed = nodes.select("node", "f0", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("g")).select("g.t", "g.key", "node", "f0")
-    hot = keyed.groupBy("t", "key").count().where(F.col("count") > GROUP_ROWS).select("t", "key", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("chunks"))
-    dealt = keyed.join(hot, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("t", "key", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), "node", *names)
-    ordered = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", F.xxhash64("t", "node"))  # other walks in every group
+        keyed = nodes.select(*carried, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("g")).select("g.t", "g.key", *carried)
+        by = ["t", "key"]
+    hot = keyed.groupBy(*by).count().where(F.col("count") > GROUP_ROWS).select(*by, F.ceil(F.col("count") / GROUP_ROWS).cast("long").alias("chunks"))
+    dealt = keyed.join(hot, by, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    meet = F.shiftleft(F.shiftleft(F.least(own, "other"), 32).bitwiseOR(F.greatest(own, "other")), 1).bitwiseOR((own > F.col("other")).cast("long"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(*by, meet.alias("meet"), *carried)
+    cell = F.shiftright("meet", 1)
+    return dealt.repartition(*by, cell).sortWithinPartitions(*by, cell, F.xxhash64(*by, "node")), by  # other walks in every group
+
+
+def _by_group(ordered: DataFrame, by: list[str], linked: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """(u, v) that linked makes of batches of whole groups and the groups' numbers."""
+
+    def changes(b: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(b.num_rows, bool)
+        for x in (*(b.column(k).to_numpy() for k in by), b.column("meet").to_numpy() >> 1):
+            out[1:] |= x[1:] != x[:-1]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
             if b.num_rows:
                 rest = b if rest is None else pa.concat_batches([rest, b])
-                cut = _last_group(rest)
-                if cut:
-                    yield _linked(rest.slice(0, cut))
-                    rest = rest.slice(cut)
+                at = np.flatnonzero(changes(rest))
+                if len(at):
+                    whole, rest = rest.slice(0, int(at[-1])), rest.slice(int(at[-1]))
+                    yield linked(whole, np.cumsum(changes(whole)))
         if rest is not None:
-            yield _linked(rest)
-
-    def _linked(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.stack([b.column(k).to_numpy() for k in names], axis=1).view(np.uint64)
-        i, j = links(np.cumsum(_changes(b)), fp, pivots, bits, NEAREST if wide else 0)
-        node = b.column("node")
-        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
+            yield linked(rest, np.cumsum(changes(rest)))
 
     return ordered.mapInArrow(trimmed(run), "u long, v long")
 
 
-def _changes(b: pa.RecordBatch) -> np.ndarray:
-    """Where a row's group is not that of the row before."""
-    out = np.zeros(b.num_rows, bool)
-    for k in ("t", "key", "a", "b"):
-        x = b.column(k).to_numpy()
-        out[1:] |= x[1:] != x[:-1]
-    return out
+def _unsigned(b: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    return np.stack([b.column(k).to_numpy() for k in names], axis=1).view(np.uint64)
+
+
+def _pairs(b: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    node = b.column("node")
+    return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
+
+
+def _pivots(nodes: DataFrame, names: Sequence[str]) -> np.ndarray:
+    few = PIVOTS // WIDE_WORDS if len(names) > 1 else PIVOTS  # pivots discard little at a wide radius
+    return np.array([list(r) for r in nodes.select(*names).orderBy(F.xxhash64("node"), "node").limit(few).collect()], np.int64).reshape(-1, len(names)).view(np.uint64)
 
 
-def _last_group(b: pa.RecordBatch) -> int:
-    at = np.flatnonzero(_changes(b))
-    return int(at[-1]) if len(at) else 0
+def near_links(nodes: DataFrame, *, bits: int = 4, similarity: float = 0.0) -> DataFrame:
+    """(u, v): links between nodes (node, f0, ...) that leave no close pair unconnected; of wide fingerprints with MARKS, as many pairs as
+    FOUND says, and only those that may have the similarity."""
+    names = [c for c in nodes.columns if c[0] == "f" and c[1:].isdigit()]
+    pivots, marked = _pivots(nodes, names), "size" in nodes.columns
+    ordered, by = _groups(nodes, bits, nodes.count())
+
+    def linked(b: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        i, j = links(group, _unsigned(b, names), pivots, bits, 0, _unsigned(b, MARKS) if marked else None, similarity)
+        return _pairs(b, i, j)
+
+    return _by_group(ordered, by, linked)
+
+
+def links_between(nodes: DataFrame, count: int, *, bits: int, similarity: float) -> DataFrame:
+    """(u, v): every pair of nodes (node, label, f0, ..., MARKS) of different labels that near_links over count nodes would find close, once."""
+    names = [c for c in nodes.columns if c[0] == "f" and c[1:].isdigit()]
+    pivots, samples = _pivots(nodes, names), bit_samples(count, bits)
+    ordered, by = _groups(nodes, bits, count)
+
+    def linked(b: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        fp, label, meet = _unsigned(b, names), b.column("label").to_numpy(), b.column("meet").to_numpy()
+        sample, one, second = b.column("key").to_numpy() >> KEY_BITS, meet >> 33 == (meet >> 1) & 0xFFFFFFFF, meet & 1
+        left, right = [], []
+        for i, j in open_pairs(group, label, fp, pivots, bits, _unsigned(b, MARKS), similarity):
+            met = one[i] | (second[i] != second[j])  # those of one chunk meet where it meets itself
+            i, j = i[met], j[met]
+            apart = np.unpackbits((fp[i] ^ fp[j]).astype("<u8").view(np.uint8).reshape(len(i), 8 * len(names)), axis=1, bitorder="little")
+            first = np.full(len(i), len(samples))
+            for t in reversed(range(len(samples))):
+                first[~apart[:, samples[t]].any(axis=1)] = t
+            left.append(i[first == sample[i]])
+            right.append(j[first == sample[i]])
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        return _pairs(b, i, j)
+
+    return _by_group(ordered, by, linked)
 
 
 def near_duplicates(docs: DataFrame, *, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -333,17 +434,39 @@ def similar_links(links: DataFrame, marked: DataFrame, texts: DataFrame, similar
     return both.where(shared >= similarity * (F.size("su") + F.size("sv") - shared) - 1e-9).select("u", "v")
 
 
-def _classes(marked: DataFrame, bits: int, verify: Callable[[DataFrame], DataFrame] = lambda links: links) -> tuple[DataFrame, int]:
-    """(node, docs, root, component_id of every distinct fingerprint; rows of marked)."""
+def _classes(marked: DataFrame, bits: int, verify: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> tuple[DataFrame, int]:
+    """(node, docs, root, component_id of every distinct fingerprint; rows of marked).  verify, for wide fingerprints (with row), keeps the links
+    whose texts have the similarity."""
     names = [c for c in marked.columns if c[0] == "f" and c[1:].isdigit()]
-    nodes = durable(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")))
+    kept = [F.min(F.struct("row", *MARKS)).alias("m")] if verify else []  # of the row whose text stands for the node
+    nodes = marked.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"), *kept)
+    nodes = durable(nodes.select("node", *names, "least", "docs", *(f"m.{k}" for k in MARKS if verify)))
     total, n_nodes = nodes.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count("*")).first()
-    roots = connected_components(verify(near_links(nodes.select("node", *names), bits=bits)))
-    placed = durable(nodes.drop(*names).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    if verify:
+        roots = _verified_roots(nodes.select("node", *names, *MARKS), n_nodes, bits, verify, similarity)
+    else:
+        roots = connected_components(near_links(nodes.select("node", *names), bits=bits))
+    placed = durable(nodes.drop(*names, *MARKS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     return durable(join_counted(placed, smallest, "root", "members", n_nodes).select("node", "docs", "root", "component_id")), total
 
 
+def _verified_roots(nodes: DataFrame, count: int, bits: int, verify: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, root) of the components that verified links make: of a forest's links first, then of all others between what those leave apart."""
+    found = durable(near_links(nodes, bits=bits, similarity=similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    roots = durable(connected_components(verify(found)))
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    labelled = ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+    linked = durable(nodes.join(labelled, "node"))
+    more = links_between(linked, count, bits=bits, similarity=similarity).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    labels = linked.select("node", "label")
+    ties = verify(more.join(found, ["u", "v"], "left_anti"))
+    for end in ("u", "v"):
+        ties = ties.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end)
+    tops = connected_components(ties.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
+    return labels.join(tops.select(F.col("node").alias("label"), F.col("root").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("root"))
+
+
 def one_of_each(docs: DataFrame, *, similarity: float | None = None, shingle: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
     """docs with one row of each component: the row with the smallest doc_id (null ids last; of equal ids the first by text hash;
     equal rows are one).  Links are those of texts whose shingle sets have the similarity; without one, of 64-bit fingerprints that
@@ -352,7 +475,7 @@ def one_of_each(docs: DataFrame, *, similarity: float | None = None, shingle: in
     texts = docs.select("doc_id", "text", key.alias("row"))
     marked = durable(fingerprint_table(texts, shingle=shingle, seed=seed, wide=wide, keep=["row"]))
     if wide:
-        classes, total = _classes(marked, radius(similarity), lambda links: similar_links(links, marked, texts.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), similarity, shingle, seed))
+        classes, total = _classes(marked, radius(similarity), lambda links: similar_links(links, marked, texts.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), similarity, shingle, seed), similarity)
     else:
         classes, total = _classes(marked, bits)
     rooted = join_counted(marked.select("doc_id", "row", "node"), classes.select("node", "root", "docs"), "node", "docs", total)

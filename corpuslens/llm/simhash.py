@@ -101,8 +101,11 @@ def shingle_sets(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray,
 
 def wide_fingerprints(texts: pa.Array, shingle: int = 5, seed: int = 42) -> np.ndarray:
     """(texts, WIDE_WORDS): the fingerprint of every text over its distinct shingles, hashed from the words' hashes."""
-    out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
-    doc, key = shingle_sets(texts, shingle, seed)
+    return _wide(len(texts), *shingle_sets(texts, shingle, seed))
+
+
+def _wide(n: int, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, WIDE_WORDS), np.uint64)
     if not len(doc):
         return out
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -119,13 +122,16 @@ def wide_fingerprints(texts: pa.Array, shingle: int = 5, seed: int = 42) -> np.n
 
 def shingle_marks(texts: pa.Array, shingle: int, seed: int = 42) -> list[np.ndarray]:
     """MARKS of every text.  Every shingle that only one of two texts has turns one parity, so parities differ in no more places."""
-    doc, key = shingle_sets(texts, shingle, seed)
-    size = np.bincount(doc, minlength=len(texts))
+    return _marks(len(texts), *shingle_sets(texts, shingle, seed))
+
+
+def _marks(n: int, doc: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    size = np.bincount(doc, minlength=n)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
     place, out = mix64(key ^ np.uint64(0x5A5A)) >> np.uint64(57), [size]
     for half in (0, 1):
         bit = np.where(place >> np.uint64(6) == half, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
-        parity = np.zeros(len(texts), np.uint64)
+        parity = np.zeros(n, np.uint64)
         if len(first):
             parity[doc[first]] = np.bitwise_xor.reduceat(bit, first)
         out.append(parity)
@@ -140,11 +146,12 @@ def fingerprint_table(docs: DataFrame, *, shingle: int, seed: int = 42, wide: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in pieces(batch, "text", PIECE_BYTES):
-                fp = wide_fingerprints(p.column("text"), shingle, seed) if wide else fingerprints(p.column("text"), shingle, seed)[:, None]
+                sets = shingle_sets(p.column("text"), shingle, seed) if wide else ()
+                fp = _wide(p.num_rows, *sets) if wide else fingerprints(p.column("text"), shingle, seed)[:, None]
                 node = fp[:, 0].copy()
                 for k in range(1, n):
                     node = mix64(node) ^ fp[:, k]
-                columns = [node, *fp.T, *(shingle_marks(p.column("text"), shingle, seed) if wide else [])]
+                columns = [node, *fp.T, *(_marks(p.num_rows, *sets) if wide else [])]
                 yield pa.RecordBatch.from_arrays([p.column("doc_id"), *(p.column(k) for k in keep), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=["doc_id", *keep, "node", *(f"f{k}" for k in range(n)), *marks])
 
     kinds = ", ".join(["doc_id long", *(f"`{k}` long" for k in keep), "node long", *(f"f{k} long" for k in range(n)), *(f"{k} long" for k in marks)])
@@ -321,6 +328,7 @@ def _groups(nodes: DataFrame, bits: int, count: int) -> tuple[DataFrame, list[st
         keyed = nodes.select(*carried, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("f0").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("g")).select("g.t", "g.key", *carried)
         by = ["t", "key"]
     hot = keyed.groupBy(*by).count().where(F.col("count") > GROUP_ROWS).select(*by, F.ceil(F.col("count") / GROUP_ROWS).cast("long").alias("chunks"))
+    hot = F.broadcast(hot)  # at most a row for GROUP_ROWS rows, and the rows are shuffled once
     dealt = keyed.join(hot, by, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     meet = F.shiftleft(F.shiftleft(F.least(own, "other"), 32).bitwiseOR(F.greatest(own, "other")), 1).bitwiseOR((own > F.col("other")).cast("long"))

@@ -223,7 +223,7 @@ def interval_first(t):  # J22: as many windows as orders, first listed wins
 @query(f"with {_SPANS} select k o, count(*) n from d join w on spot >= b and spot < e group by 1")
 def interval_counts(t):  # J22 X2: every window of every row
     d, w = spans(t)
-    return R.assign_windows(d, "spot", w, every=True).groupBy(F.substring("window", 2, 20).cast("long").alias("o")).agg(F.count("*").alias("n"))
+    return R.window_counts(d, "spot", w).select(F.substring("window", 2, 20).cast("long").alias("o"), "n")
 
 
 @query("""with f as (select 0 feed, url, page_id from pages where page_id % 2 = 0 union all select 1, url, page_id from pages)

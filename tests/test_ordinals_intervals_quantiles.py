@@ -93,3 +93,26 @@ def test_bootstrap_runs_no_python_and_many_equal_values_have_the_right_width(spa
     assert "Python" not in plan and "Arrow" not in plan
     r = C.bootstrap_ci(df, "x", 1000).first()
     assert r.high - r.low == pytest.approx(2 * 1.96 * 0.5 / 20000**0.5, rel=0.1) and r.low < r.mean < r.high
+
+
+@pytest.mark.parametrize("slots", [1, 4, 1024])
+def test_first_windows_and_counts_meet_no_pairs(spark, monkeypatch, slots):
+    monkeypatch.setattr(R, "SLOTS", slots)
+    rng = random.Random(slots)
+    spans = [(b, b + rng.choice([0, 1, 2, 3, 5, 64, 65, 127, 1000, 4096])) for b in rng.choices(range(-3000, 4000), k=300)] + [(-3000, 4001), (7, 7), (9, 2)]
+    order = list(range(len(spans)))
+    rng.shuffle(order)
+    stamp = lambda c: F.timestamp_micros(F.col(c))
+    w = spark.createDataFrame([(b, e, f"w{o}", o) for (b, e), o in zip(spans, order, strict=True)], "b long, e long, window string, ord int").select("window", "ord", stamp("b").alias("begins"), stamp("e").alias("ends")).repartition(3)
+    points = [rng.randrange(-3100, 4200) for _ in range(1500)] + [7, 7, 7] + [e for s in spans for e in s]
+    df = spark.createDataFrame([(p,) for p in points] + [(None,)], "p long").withColumn("ts", stamp("p")).repartition(4)
+    first, counts = [], {}
+    for p in points:
+        held = sorted(o for (b, e), o in zip(spans, order, strict=True) if b <= p < e)
+        first += [(p, f"w{held[0]}")] if held else []
+        for o in held:
+            counts[f"w{o}"] = counts.get(f"w{o}", 0) + 1
+    out = R.assign_windows(df, "ts", w, direct=0)
+    assert out.columns == ["p", "ts", "window"] and sorted((r.p, r.window) for r in out.collect()) == sorted(first)
+    assert {r.window: r.n for r in R.window_counts(df, "ts", w).collect()} == counts
+    assert R.window_counts(df.limit(0), "ts", w).count() == 0 == R.window_counts(df, "ts", w.limit(0)).count()

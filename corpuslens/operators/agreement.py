@@ -9,6 +9,8 @@ from corpuslens.functions.vectors import set_distance
 from corpuslens.operators.graph import durable
 
 MIN_COMMON = 5
+CHUNK = 1000  # members of a cluster that meet at once
+DIRECT_RUNS = 64  # compared column by column
 
 
 def _pairs(n: Column) -> Column:
@@ -54,15 +56,33 @@ def cluster_stability(a: DataFrame, b: DataFrame, stable: float = 0.5) -> DataFr
     return g.select("label", "common", "destination", share.alias("share"), (share >= stable).alias("stable"))
 
 
-def cooccurrence(reference: DataFrame, runs: DataFrame) -> DataFrame:
+def cooccurrence(reference: DataFrame, runs: DataFrame, chunk: int = CHUNK, direct: int = DIRECT_RUNS) -> DataFrame:
     """Within clusters of reference (item, label): how often two members that a run both samples land together.
-    Only pairs of one reference cluster are formed, never all items by all items."""
+    Only pairs of one reference cluster are formed, never all items by all items.  runs: an item once a run at most.
+
+    A pair is formed once, from what all runs make of its members, and is not shuffled: the members of a cluster are dealt into chunks of
+    about chunk rows, and every two chunks meet."""
     r = reference.select("item", F.col("label").alias("cluster"))
-    m = runs.join(r, "item")
-    a = m.select("run", "cluster", F.col("item").alias("i"), F.col("label").alias("li"))
-    b = m.select("run", "cluster", F.col("item").alias("j"), F.col("label").alias("lj"))
-    p = a.join(b, ["run", "cluster"]).where("i < j")
-    return p.groupBy("cluster", "i", "j").agg(F.count("*").alias("sampled"), F.count_if(F.col("li") == F.col("lj")).alias("together")).withColumn("rate", F.col("together") / F.col("sampled"))
+    known = runs.where("run is not null").join(r, "item").where("cluster is not null")
+    names = [x[0] for x in known.select("run").distinct().orderBy("run").limit(direct + 1).collect()]
+    if len(names) <= direct:  # a column a run
+        marks = F.struct(*(F.struct(F.max(F.when(F.col("run") == x, True)).alias("in"), F.max(F.when(F.col("run") == x, F.col("label"))).alias("label")).alias(f"r{k}") for k, x in enumerate(names)), F.lit(0).alias("end"))
+        count = lambda test: sum((F.when(test(f"r{k}"), 1).otherwise(0) for k in range(len(names))), F.lit(0)).cast("long")
+        sampled, same = count(lambda k: F.col(f"mi.{k}.in") & F.col(f"mj.{k}.in")), count(lambda k: F.col(f"mi.{k}.label") == F.col(f"mj.{k}.label"))
+    else:
+        marks = F.map_from_entries(F.collect_list(F.struct("run", "label")))
+        both = F.array_intersect(F.map_keys("mi"), F.map_keys("mj"))
+        sampled, same = F.size(both).cast("long"), F.size(F.filter(both, lambda k: F.col("mi")[k] == F.col("mj")[k])).cast("long")
+    each = durable(known.groupBy("cluster", "item").agg(marks.alias("marks")))
+    chunks = each.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")
+    dealt = each.join(chunks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "item", "marks")
+    a = dealt.select("cluster", "c", "d", F.col("own").alias("ci"), F.col("item").alias("i"), F.col("marks").alias("mi"))
+    b = dealt.select("cluster", "c", "d", F.col("own").alias("cj"), F.col("item").alias("j"), F.col("marks").alias("mj"))
+    met = a.join(b, ["cluster", "c", "d"]).where("i < j and (ci <> cj or c = d)")
+    p = met.select("cluster", "i", "j", sampled.alias("sampled"), same.alias("together")).where("sampled > 0")
+    return p.withColumn("rate", F.col("together") / F.col("sampled"))
 
 
 def label_vectors(reference: DataFrame, runs: DataFrame) -> DataFrame:

@@ -116,3 +116,21 @@ def test_first_windows_and_counts_meet_no_pairs(spark, monkeypatch, slots):
     assert out.columns == ["p", "ts", "window"] and sorted((r.p, r.window) for r in out.collect()) == sorted(first)
     assert {r.window: r.n for r in R.window_counts(df, "ts", w).collect()} == counts
     assert R.window_counts(df.limit(0), "ts", w).count() == 0 == R.window_counts(df, "ts", w.limit(0)).count()
+
+
+@pytest.mark.parametrize("limits", [{}, {"chunk": 7}, {"chunk": 7, "direct": 2}])
+def test_rates_of_pairs_form_each_pair_once_and_shuffle_none(spark, capsys, limits):
+    rng = random.Random(6)
+    clusters = {i: rng.choice("xxy") for i in range(60)}
+    runs = {(r, i): rng.choice(["a", "b", None]) for r in range(5) for i in range(60) if rng.random() < 0.6}
+    df = spark.createDataFrame([(r, i, x) for (r, i), x in runs.items()], "run int, item int, label string")
+    want = {}
+    for i, j in itertools.combinations(range(60), 2):
+        both = [r for r in range(5) if (r, i) in runs and (r, j) in runs]
+        if both and clusters[i] == clusters[j]:
+            want[i, j] = (clusters[i], len(both), sum(runs[r, i] is not None and runs[r, i] == runs[r, j] for r in both))
+    out = G.cooccurrence(spark.createDataFrame(list(clusters.items()), "item int, label string"), df, **limits)
+    assert {(r.i, r.j): (r.cluster, r.sampled, r.together) for r in out.collect()} == want and out.count() == len(want)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "Aggregate" not in plan[: plan.index("Join")]

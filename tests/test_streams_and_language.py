@@ -113,3 +113,19 @@ def test_composition_leaves_noise_out(spark):
     assert set(got) == {1, 2} and got[1].size == 3 and got[1].share == 0.5
     assert [tuple(x) for x in got[1].top_languages] == [("fr", 1), ("en", 1), ("??", 1)]
     assert got[1].keywords == ["strike", "first", "frame", "second", "words"] and got[1].representative == "About the first, strike frame" and got[2].keywords == []
+
+
+def test_languages_are_told_in_bounded_pieces(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text").coalesce(1)
+    most, runs = [], L._runs
+    model = L.learn(docs, "text", "lang")
+    want = sorted((r.doc_id, r.language) for r in L.detect(docs, "text", model).collect())
+    monkeypatch.setattr(L, "ROWS_AT_ONCE", 7)
+    again = L.learn(docs, "text", "lang")
+    assert again.names == model.names and (again.logs == model.logs).all()
+    assert sorted((r.doc_id, r.language) for r in L.detect(docs, "text", model).collect()) == want
+    monkeypatch.setattr(L, "_runs", lambda texts: most.append(len(texts)) or runs(texts))
+    import pandas as pd
+
+    L.tell_all(pd.Series(["der Hund und die Katze laufen"] * 30), model.names, model.logs, "en")
+    assert max(most) == 7

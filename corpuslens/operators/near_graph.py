@@ -14,7 +14,7 @@ from .graph import durable
 
 TABLES = 8
 LEAF = 1024  # points of a leaf, and most points that meet at once
-SAMPLE = 1 << 15
+SAMPLE = 32  # rows for each leaf by which trees are cut, 2^16 rows at most
 MAX_DEPTH = 11
 
 
@@ -59,7 +59,8 @@ def near_points(points: DataFrame, k: int, *, by: str = "distance", tables: int
     tables = tables if depth else 1
     unit = by == "product"
     if depth:
-        sample = _matrix(points.sample(min(1.0, SAMPLE / n), seed).select("vector").toArrow().column("vector"))
+        drawn = points.sample(min(1.0, (SAMPLE << depth) / n), seed)
+        sample = _matrix(drawn.select(F.col("vector").cast("array<float>").alias("vector")).toArrow().column("vector")).astype(float)
         directions = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if unit else x
         forest = _Forest(directions(sample), depth, tables, seed)
         extra = np.random.default_rng(seed + 1).standard_normal((tables, sample.shape[1]))

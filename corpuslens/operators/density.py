@@ -75,6 +75,27 @@ def sparser(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long, w double")
 
 
+def nested_components(edges: DataFrame, weights: list[float]) -> DataFrame:
+    """edges: u, v, w.  (level, node, root) of the components of the edges up to each of the rising weights.  A level adds its own edges to
+    the components of the level before, so an edge is used once."""
+    now, out = None, None
+    for level, most in enumerate(weights):
+        own = edges.where(F.col("w") <= most)
+        if level:
+            own = own.where(F.col("w") > weights[level - 1])
+            for end in ("u", "v"):
+                own = own.join(now.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        tops = components(own.select("u", "v"))
+        if level:
+            raised = now.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            now = written(raised.unionByName(tops.join(now.select("node"), "node", "left_anti")))
+        else:
+            now = tops
+        here = now.select(F.lit(level).alias("level"), "node", "root")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
 def density_clusters(df: DataFrame, item: str, vector: str, *, axes: int = 15, min_samples: int = 3, min_cluster: int = 5, near: int = NEAR, levels: int = LEVELS, tables: int = TABLES, leaf: int = LEAF, seed: int = 42) -> DataFrame:
     """item (a long), cluster: the smallest item of the cluster, or -1 for noise.  Vectors (of one length) are brought to their first
     axes principal axes; with axes 0 they are taken as they are.  Equal vectors are one point with their number.  Items with a null
@@ -98,8 +119,7 @@ def density_clusters(df: DataFrame, item: str, vector: str, *, axes: int = 15, m
     low = max(low, high * 1e-6)
     weights = [float(low * (high / low) ** (k / (levels - 1))) for k in range(levels)] if high > low else [float(high)]
     weights[-1] = float(high)
-    each = edges.select(F.explode(F.array(*(F.when(F.col("w") <= x, F.lit(k)) for k, x in enumerate(weights)))).alias("level"), "u", "v").where("level is not null")
-    labels = components(each, by=["level"])
+    labels = nested_components(edges, weights)
     alone = n.where(F.col("n") >= min_cluster).select(F.explode(F.lit(list(range(levels))).cast("array<int>")).alias("level"), F.col("p").alias("node"))
     alone = alone.join(labels, ["level", "node"], "left_anti").withColumn("root", F.col("node"))  # copies that no edge reaches yet
     labels = durable(labels.unionByName(alone).join(n.withColumnRenamed("p", "node"), "node"))

@@ -81,3 +81,29 @@ def test_forests_keep_what_is_connected_at_every_weight():
 
     for x in (3, 10, 30, 49):
         assert parts(i[w <= x], j[w <= x]) == parts(i[kept][w[kept] <= x], j[kept][w[kept] <= x])
+
+
+def test_nested_components_are_those_of_each_level_and_use_an_edge_once(spark, monkeypatch):
+    from corpuslens.operators.graph import components
+
+    rng, used = np.random.default_rng(5), []
+    edges = [(int(u), int(v), float(w)) for u, v, w in zip(rng.integers(0, 60, 90), rng.integers(60, 90, 90), rng.integers(0, 40, 90), strict=True)]
+    df = spark.createDataFrame(edges, "u long, v long, w double")
+
+    def counted(e, by=()):
+        used.append(e.count())
+        return components(e, by)
+
+    monkeypatch.setattr(D, "components", counted)
+    got = sorted(tuple(r) for r in D.nested_components(df, [3.0, 4.0, 10.0, 39.0]).collect())
+    want = sorted((k, r.node, r.root) for k, x in enumerate([3.0, 4.0, 10.0, 39.0]) for r in components(df.where(F.col("w") <= x)).collect())
+    assert got == want and sum(used) == len(edges)
+
+
+def test_trees_are_cut_by_a_small_sample(spark, monkeypatch):
+    from corpuslens.operators import near_graph as N
+
+    drawn, rows = [], np.random.default_rng(6).standard_normal((6000, 8))
+    monkeypatch.setattr(N, "_Forest", lambda sample, *more, made=N._Forest: drawn.append(len(sample)) or made(sample, *more))
+    near_points(frame(spark, rows).withColumn("g", F.lit("a")), 1, leaf=1000).count()
+    assert 150 < drawn[0] < 400  # 32 a leaf of 8, not all 6,000

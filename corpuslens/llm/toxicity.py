@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, pieces, trimmed, words_of
+from .common import give_back, hash_spans, pieces, trimmed, words_of
 
 MAX_ROWS = 5_000
 MAX_WORDS = 2_500_000
 MAX_ROW_BYTES = 2 << 20
 BLOCK_PLACES = 1 << 16
 BATCH_WORDS = 1 << 18
+LANGUAGE_DOCS = 256
+FEATURE_WORDS = 1 << 14
 CUT = 0.7
 PIECE_BYTES = 1 << 20
 PREFIXES = (3, 4, 5, 6)
@@ -71,10 +73,41 @@ class Bags:
 
 
 def bags_of(texts: pa.Array, bits: int) -> Bags:
+    ids, first, distinct = _coded(texts)
+    return Bags(ids, first, _features(distinct, bits))
+
+
+def bags_by_pieces(texts: list[str], bits: int) -> Bags:
+    """bags_of, of whose intermediate arrays only a piece of PIECE_BYTES is held at a time."""
+    of = lambda part: _coded(pa.array(part, pa.large_string()))
+    coded, begin, size = [of([])], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size > PIECE_BYTES:
+            coded.append(of(texts[begin : k + 1]))
+            begin, size = k + 1, 0
+    coded.append(of(texts[begin:]))
+    words = pa.concat_arrays([distinct for _, _, distinct in coded]).dictionary_encode()  # in order of appearance, as in one piece
+    code, at, ends = words.indices.to_numpy(zero_copy_only=False), 0, [np.zeros(1, np.int64)]
+    ids, n = np.zeros(sum(len(x) for x, _, _ in coded), np.int64), 0
+    for x, first, distinct in coded:
+        ids[n : n + len(x)] = code[at + x]
+        ends.append(first[1:] + n)
+        at, n = at + len(distinct), n + len(x)
+    features = [_features(words.dictionary[a : a + FEATURE_WORDS], bits) for a in range(0, len(words.dictionary), FEATURE_WORDS)]
+    return Bags(ids, np.concatenate(ends), np.concatenate([_features(words.dictionary[:0], bits), *features]))
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each word, first word of each text, the distinct words)."""
     w = words_of(texts, lower=True, breaks=PARTS)
     ids, distinct = w.distinct() if len(w.start) else (np.zeros(0, np.int64), pa.array([], pa.large_binary()))
+    return ids, w.first, distinct
+
+
+def _features(distinct: pa.Array, bits: int) -> np.ndarray:
     _, offsets, data = distinct.buffers()
-    offs = np.frombuffer(offsets, np.int64)[: len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
+    offs = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if len(distinct) else np.zeros(0, np.uint8)
     size = np.diff(offs)
     features = np.full((len(size), 1 + len(PREFIXES)), -1, np.int32)
@@ -83,7 +116,7 @@ def bags_of(texts: pa.Array, bits: int) -> Bags:
     for k, n in enumerate(PREFIXES):
         at = np.flatnonzero(size > n)
         features[at, k + 1] = (hash_spans(raw, offs[at], np.full(len(at), n)) ^ np.uint64(0x5A << 56)) >> shift
-    return Bags(ids, w.first, features)
+    return features
 
 
 def _embed(m: Model, features: np.ndarray) -> np.ndarray:
@@ -200,7 +233,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], *, epochs
     m.kernels = [rng.normal(0, 0.5 / np.sqrt(w * m.dim), (w, m.dim, m.filters)).astype(np.float32) for w in m.widths]
     m.bias = np.zeros(width, np.float32)
     m.out = np.concatenate([rng.normal(0, 0.1, width), [np.log(labels.mean() / (1 - labels.mean()))]]).astype(np.float32)
-    bags = bags_of(pa.array(texts, pa.large_string()), m.bits)
+    bags = bags_by_pieces(texts, m.bits)
     _learn_languages(m, bags, langs)
     order = rng.permutation(len(texts))
     held, learn = order[: len(order) // 4], order[len(order) // 4 :]
@@ -246,7 +279,9 @@ def _gradients(m: Model, b: Bags, y: np.ndarray, weight: np.ndarray) -> list:
     dz = ((p - y) * weight / docs).astype(np.float32)
     d_out = np.concatenate([act.T @ dz, [dz.sum()]])
     d_pool = dz[:, None] * m.out[:-1][None, :] * (act > 0)
-    hit, channel = np.nonzero(c == np.repeat(pooled, np.diff(first), axis=0))
+    tops = [np.nonzero(c[a:z] == row) for a, z, row in zip(first[:-1], first[1:], pooled, strict=True)]  # no copy of c
+    hit = np.concatenate([at + a for (at, _), a in zip(tops, first[:-1], strict=True)])
+    channel = np.concatenate([f for _, f in tops])
     doc = np.searchsorted(first, hit, "right") - 1
     _, lead = np.unique(doc * width + channel, return_index=True)
     hit, channel, doc = hit[lead], channel[lead], doc[lead]
@@ -281,9 +316,11 @@ def _learn_languages(m: Model, b: Bags, langs: list[str | None]) -> None:
     names = sorted({x for x in langs if x})
     counts = np.full((1 << m.bits, max(len(names), 1)), 0.1)
     code = np.array([names.index(x) if x else -1 for x in langs])
-    of = np.repeat(code, np.diff(b.first))
-    known = of >= 0
-    np.add.at(counts, (b.features[b.ids[known], 0], of[known]), 1)
+    for a in range(0, len(code), LANGUAGE_DOCS):
+        first = b.first[a : a + LANGUAGE_DOCS + 1]
+        of, ids = np.repeat(code[a : a + LANGUAGE_DOCS], np.diff(first)), b.ids[first[0] : first[-1]]
+        known = of >= 0
+        np.add.at(counts, (b.features[ids[known], 0], of[known]), 1)
     share = np.log(counts / counts.sum(axis=0))
     m.lang_table = (share - share.mean(axis=1, keepdims=True)).astype(np.float32)
 
@@ -327,7 +364,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "to
             texts.append(text)
             ys.append(y)
             langs.append(lang)
-    return fit(texts, np.array(ys, float), langs)
+    model = fit(texts, np.array(ys, float), langs)
+    del texts
+    give_back()  # the driver lives on
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -202,3 +202,30 @@ def test_a_full_sketch_loses_no_repeat(spark, cell_bits, cell_bytes, part_bytes)
     got = substrings.remove_repeats(docs, keep=["kept_text"], cell_bits=cell_bits, cell_bytes=cell_bytes, part_bytes=part_bytes)
     assert sorted((str(r[0]), str(r[1]), r[2], r[3], r[4]) for r in got.collect()) == sorted(want)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_bags_by_pieces_are_the_same_bags(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 40)
+    monkeypatch.setattr(toxicity, "FEATURE_WORDS", 3)
+    for texts in ([], [""], ["Ein Wort", "", "word wörter words " * 9, "ein word.two", "", "wo"] * 3, ["a b"] * 50 + [""]):
+        got, want = toxicity.bags_by_pieces(texts, 16), toxicity.bags_of(pa.array(texts, pa.large_string()), 16)
+        assert all(np.array_equal(a, b) for a, b in ((got.ids, want.ids), (got.first, want.first), (got.features, want.features)))
+
+
+def test_bagging_a_sample_holds_few_bytes_a_word():
+    import tracemalloc
+
+    texts = [" ".join(f"w{(31 * k + j) % 5000}" for j in range(20)) for k in range(30_000)]
+    tracemalloc.start()
+    bags = toxicity.bags_by_pieces(texts, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bags.ids) == 600_000 and peak < 40 * 600_000  # bags_of all at once takes more than 60 bytes a word
+
+
+def test_training_gives_free_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: given.append(1))
+    docs = spark.createDataFrame([(1, "a b", "en"), (2, "c d", "en")], "doc_id long, text string, lang string")
+    toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), F.lit(True))
+    assert given

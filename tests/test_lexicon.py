@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +40,40 @@ def test_tags_are_the_same_either_way(spark):
     people = spark.createDataFrame([(0, "Ada Lovelace", []), (1, "Charles Babbage", ["charles"])], "ord int, name string, aliases array<string>")
     one, two = (sorted(map(str, V.tag_entities(docs, V.entity_terms(people), F.col("text"), direct=n).collect())) for n in (200, 0))
     assert one == two and len(one) == 2
+
+
+def brute(texts, terms):
+    return [(i, k) for i, x in enumerate(texts) for k, t in enumerate(terms) if x is not None and t in x]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"PLACES": 7, "PAIRS": 3, "SLOT_BITS": 2}])
+def test_scan_against_a_plain_search(monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(L, k, v)
+    rng = random.Random(5)
+    syllables = ["an", "ba", "日本", "é", "x y", "thethe", "q", "\n", "😀", "\0", "abcdefgh"]
+    say = lambda most: "".join(rng.choice(syllables) for _ in range(rng.randint(0, most)))
+    texts = [say(40) for _ in range(60)] + [None, "", "abcdefghabcdefghabcdefg", "a" * 50]
+    terms = sorted({say(6).encode() for _ in range(300)} - {b""} | {b"a" * n for n in (1, 2, 8, 9, 16, 17, 50, 51)} | {b"never"})
+    got = L.Terms(terms).held_by(pa.array(["cut off", *texts]).slice(1))
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == brute([None if x is None else x.encode() for x in texts], terms)
+
+
+def test_scan_and_join_give_the_same_rows(spark):
+    docs = spark.createDataFrame([(1, "Ada Lovelace, ada"), (2, "nothing"), (3, None), (4, "LOVE and lace")], "id int, text string")
+    lexicon = spark.createDataFrame([("ada", "b"), ("ada", "a"), ("ada", None), ("love", "x"), ("lovelace", "x"), ("lovelace, ada", "y"), ("zzz", "z")], "term string, name string")
+    one, two = (sorted(map(str, L.match_terms(docs, F.col("text"), lexicon, direct=0, **limits).collect())) for limits in ({}, {"scan": 0}))
+    assert one == two
+
+
+@pytest.mark.parametrize("limits", [{"direct": 0, "scan": 0}, {"direct": 0, "scan": 0, "hot_rows": 3}])
+def test_every_term_is_found_by_the_join(spark, limits):
+    test_every_term_is_found(spark, limits)
+
+
+def test_a_broadcast_lexicon_shuffles_no_text(spark, capsys):
+    docs = spark.createDataFrame([(1, "abcdef")], "id int, text string")
+    lexicon = spark.createDataFrame([(f"term{i:05d}", "n") for i in range(300)], "term string, name string")
+    L.match_terms(docs, F.col("text"), lexicon).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan

@@ -11,6 +11,9 @@ from corpuslens.operators.graph import durable
 MIN_COMMON = 5
 CHUNK = 1000  # members of a cluster that meet at once
 DIRECT_RUNS = 64  # compared column by column
+LIST = 64  # members alike that meet at once
+TASK_PAIRS = 1 << 22
+MAX_TASKS = 1 << 13
 
 
 def _pairs(n: Column) -> Column:
@@ -56,12 +59,14 @@ def cluster_stability(a: DataFrame, b: DataFrame, stable: float = 0.5) -> DataFr
     return g.select("label", "common", "destination", share.alias("share"), (share >= stable).alias("stable"))
 
 
-def cooccurrence(reference: DataFrame, runs: DataFrame, chunk: int = CHUNK, direct: int = DIRECT_RUNS) -> DataFrame:
+def cooccurrence(reference: DataFrame, runs: DataFrame, chunk: int = CHUNK, direct: int = DIRECT_RUNS, digits: int | None = None) -> DataFrame:
     """Within clusters of reference (item, label): how often two members that a run both samples land together.
-    Only pairs of one reference cluster are formed, never all items by all items.  runs: an item once a run at most.
+    Only pairs of one reference cluster are formed, never all items by all items.  runs: an item once a run at most.  digits: the rate is
+    rounded to so many.
 
-    A pair is formed once, from what all runs make of its members, and is not shuffled: the members of a cluster are dealt into chunks of
-    about chunk rows, and every two chunks meet."""
+    The members of a cluster are dealt into chunks of about chunk rows, and every two chunks meet once.  Members of a chunk that all runs
+    treat alike are rows of LIST members at most; two such rows are compared once, and their lists give the pairs, which are not shuffled.
+    The work grows with pairs and not with bytes, so the number of tasks does too."""
     r = reference.select("item", F.col("label").alias("cluster"))
     known = runs.where("run is not null").join(r, "item").where("cluster is not null")
     names = [x[0] for x in known.select("run").distinct().orderBy("run").limit(direct + 1).collect()]
@@ -70,19 +75,27 @@ def cooccurrence(reference: DataFrame, runs: DataFrame, chunk: int = CHUNK, dire
         count = lambda test: sum((F.when(test(f"r{k}"), 1).otherwise(0) for k in range(len(names))), F.lit(0)).cast("long")
         sampled, same = count(lambda k: F.col(f"mi.{k}.in") & F.col(f"mj.{k}.in")), count(lambda k: F.col(f"mi.{k}.label") == F.col(f"mj.{k}.label"))
     else:
-        marks = F.map_from_entries(F.collect_list(F.struct("run", "label")))
+        marks = F.array_sort(F.collect_list(F.struct("run", "label")))
         both = F.array_intersect(F.map_keys("mi"), F.map_keys("mj"))
         sampled, same = F.size(both).cast("long"), F.size(F.filter(both, lambda k: F.col("mi")[k] == F.col("mj")[k])).cast("long")
     each = durable(known.groupBy("cluster", "item").agg(marks.alias("marks")))
-    chunks = each.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")
-    dealt = each.join(chunks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "item", "marks")
-    a = dealt.select("cluster", "c", "d", F.col("own").alias("ci"), F.col("item").alias("i"), F.col("marks").alias("mi"))
-    b = dealt.select("cluster", "c", "d", F.col("own").alias("cj"), F.col("item").alias("j"), F.col("marks").alias("mj"))
-    met = a.join(b, ["cluster", "c", "d"]).where("i < j and (ci <> cj or c = d)")
-    p = met.select("cluster", "i", "j", sampled.alias("sampled"), same.alias("together")).where("sampled > 0")
-    return p.withColumn("rate", F.col("together") / F.col("sampled"))
+    sizes = each.groupBy("cluster").agg(F.count("*").alias("n"))
+    pairs = sizes.agg(F.sum(_pairs(F.col("n")))).first()[0] or 0
+    tasks = max(int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, int(pairs // TASK_PAIRS)))
+    dealt = each.join(sizes.select("cluster", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "cluster")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")).repartition("cluster", "own")
+    alike = dealt.groupBy("cluster", "chunks", "own", "marks").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    lists = F.transform(F.sequence(F.lit(1), F.size("items"), F.lit(LIST)), lambda k: F.slice("items", k, LIST))
+    alike = alike.select("cluster", "chunks", "own", "marks" if len(names) <= direct else F.map_from_entries("marks").alias("marks"), F.explode(lists).alias("items")).withColumn("first", F.col("items")[0])
+    a = alike.withColumn("d", F.explode(F.sequence("own", F.col("chunks") - 1))).select("cluster", F.col("own").alias("c"), "d", F.col("first").alias("fi"), F.col("marks").alias("mi"), F.col("items").alias("xs"))
+    b = alike.withColumn("c", F.explode(F.sequence(F.lit(0), "own"))).select("cluster", "c", F.col("own").alias("d"), F.col("first").alias("fj"), F.col("marks").alias("mj"), F.col("items").alias("ys"))
+    key = ["cluster", "c", "d"]
+    met = a.repartition(tasks, *key).join(b.repartition(tasks, *key), key).where("c < d or fi <= fj")
+    met = met.select("cluster", "xs", "ys", ((F.col("c") == F.col("d")) & (F.col("fi") == F.col("fj"))).alias("self"), sampled.alias("sampled"), same.alias("together")).where("sampled > 0")
+    rate = F.col("together") / F.col("sampled")
+    met = met.withColumn("rate", rate if digits is None else F.round(rate, digits))
+    p = met.withColumn("x", F.explode("xs")).drop("xs").withColumn("y", F.explode("ys")).where("not self or x < y")
+    return p.select("cluster", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "sampled", "together", "rate")
 
 
 def label_vectors(reference: DataFrame, runs: DataFrame) -> DataFrame:

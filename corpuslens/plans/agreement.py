@@ -136,8 +136,8 @@ RATES = """b as (select run, vec_id item, case when (vec_id + run) % 9 = 0 then
 
 @query(f"with {RATES} select cast(cluster as bigint) cluster, i, j, sampled, together, round(together / sampled, 6) rate from pr")
 def cooccurrence_rates(t):  # M12 J18
-    r = G.cooccurrence(t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label")), bootstrap_runs(t))
-    return r.select("cluster", "i", "j", "sampled", "together", F.round("rate", 6).alias("rate"))
+    r = G.cooccurrence(t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label")), bootstrap_runs(t), digits=6)
+    return r.select("cluster", "i", "j", "sampled", "together", "rate")
 
 
 @query(f"""with {RATES.split(',\n w as')[0]}, pr as (select x.item i, y.item j, count(*) filter (x.label = y.label) / count(*) r from b x join b y on x.run = y.run and x.item < y.item group by all)

@@ -134,3 +134,30 @@ def test_rates_of_pairs_form_each_pair_once_and_shuffle_none(spark, capsys, limi
     out.explain()
     plan = capsys.readouterr().out
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_rates_of_pairs_compare_members_alike_once_and_take_tasks_by_pairs(spark, capsys):
+    rng = random.Random(7)
+    clusters = {i: "xy"[i % 10 == 0] for i in range(700)}
+    kinds = [[rng.choice(["a", "b", None, "-"]) for _ in range(5)] for _ in range(3)]  # "-": not in the run
+    runs = {(r, i): x for i in range(700) for r, x in enumerate(kinds[i % 3]) if x != "-"}
+    df = spark.createDataFrame([(r, i, x) for (r, i), x in runs.items()], "run int, item int, label string")
+    reference = spark.createDataFrame(list(clusters.items()), "item int, label string")
+    want = {}
+    for i, j in itertools.combinations(range(700), 2):
+        a, b = kinds[i % 3], kinds[j % 3]
+        sampled = sum(x != "-" and y != "-" for x, y in zip(a, b))
+        if sampled and clusters[i] == clusters[j]:
+            together = sum(x == y and x not in ("-", None) for x, y in zip(a, b))
+            want[i, j] = (clusters[i], sampled, together, round(together / sampled, 2))
+    for limits in ({}, {"chunk": 90}, {"direct": 2}):
+        out = G.cooccurrence(reference, df, digits=2, **limits)
+        rows = out.collect()
+        assert len(rows) == len(want) and {(r.i, r.j): (r.cluster, r.sampled, r.together, r.rate) for r in rows} == want
+    out.explain()
+    plan = capsys.readouterr().out
+    top = plan[: plan.index("Join")]
+    assert top.count("explode") == 2 and "round" not in top[: top.rindex("explode")]  # rates are formed and rounded below the lists
+    assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, many pairs: not one task
+    none = spark.createDataFrame([], "run int, item int, label string")
+    assert G.cooccurrence(reference, none).count() == 0 == G.cooccurrence(reference.limit(0), df).count()
